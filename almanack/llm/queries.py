@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from almanack.llm import bpe, decontaminate, quality, secrets
 from almanack.llm.jaccard import jaccard_components
 
 
@@ -17,13 +19,30 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), secrets.fit_secrets())
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP2_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), i -> array_to_string(ws[i:i+4], ' '))) AS g
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i+4], ' '))) AS g
   FROM w WHERE len(ws) > 0
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (
@@ -41,6 +60,10 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.x = d.do
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLE: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
