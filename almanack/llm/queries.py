@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from almanack.llm import bpe, chat, decontaminate, quality, secrets, warc
+from almanack.llm import bpe, chat, decontaminate, quality, secrets, topk, warc
 from almanack.llm.jaccard import jaccard_components
 
 
@@ -39,6 +39,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -97,12 +102,25 @@ SELECT conv_id::BIGINT AS conv_id, n_turns::BIGINT AS n_turns, sha256(t) AS turn
   chars::BIGINT AS formatted_chars FROM g
 """
 
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_exact_top_k": op6_exact_top_k,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_secret_scans": op10_secret_scans,
 }
@@ -110,4 +128,5 @@ ORACLE: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_ngram_jaccard_join": OP2_SQL,
     "op5_chat_formatting": OP5_SQL,
+    "op6_exact_top_k": OP6_SQL,
 }
