@@ -10,11 +10,13 @@ The Jaccard distance ``d = 1 - |x & y| / |x | y|`` is a metric, and two document
 3. Every shared prefix shingle elects a pivot: the document where it stands earliest, which is
    the most central one. Documents around a pivot are its region. A document near the border of
    several regions is replicated to each, so that both ends of every link meet in some region.
-4. Each document's exact distance to its pivots is computed. The ball ``d <= t`` links to the
-   pivot at once. Only members outside the pivot's component go on.
+4. Each document's distance to its pivots is bounded by small bitmaps and, where it may be within
+   ``t``, computed exactly. The ball ``d <= t`` links to the pivot at once. Only members outside
+   the pivot's component go on.
 5. Such members recurse as queries against their region, in blocks of bounded size. With the
    distances to the pivot known, the triangle inequality leaves the window
-   ``|d(q, pivot) - d(x, pivot)| <= t``; the overlap of what is left is counted exactly.
+   ``|d(q, pivot) - d(x, pivot)| <= t``; of that, the pairs whose bitmaps allow a link are
+   verified exactly.
 6. Links are closed to components.
 
 Pure Voronoi cells of random pivots do not work here: unrelated texts are all at distance 1 from
@@ -117,8 +119,8 @@ def _prefixes(width: int, percent: int, hot):
     return run
 
 
-def _sets(width: int, bits: int, bloom):
-    """The whole sorted set, as bytes, of documents that the filter lets through."""
+def _chosen(width: int, bits: int, bloom, encode, names: list[str]):
+    """``encode(sorted sets)`` for the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bloom.value
@@ -131,12 +133,56 @@ def _sets(width: int, bits: int, bloom):
             for lo, hi, data, offs in textcore.slices(part.column(1)):
                 word, _, _, first = textcore.words(data, offs)
                 h, at = textcore.shingles(word, first, width)
-                packed = pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], type=pa.binary())
-                yield pa.record_batch([_ids(part, lo, hi), packed], names=["id", "items"])
+                columns = encode([np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])
+                yield pa.record_batch([_ids(part, lo, hi), *columns], names=["id", *names])
 
     return run
 
 
+def _as_sets(sets: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([s.tobytes() for s in sets], type=pa.binary())]
+
+
+def _as_bits(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Sizes, and bitmaps of 4 to 8 bits an item: what one lacks of the other's bits, its set lacks too."""
+    out = []
+    for s in sets:
+        m = 1 << max(6, int(4 * len(s) - 1).bit_length()) if len(s) else 64
+        flags = np.zeros(m, dtype=np.uint8)
+        flags[(s & np.uint64(m - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(flags, bitorder="little").tobytes())
+    return [pa.array([len(s) for s in sets], type=pa.int64()), pa.array(out, type=pa.binary())]
+
+
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they would be with half the size, until ``words`` wide."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def _most(n: np.ndarray, bits: np.ndarray, m: int, other: np.ndarray) -> np.ndarray:
+    """An upper bound on the overlap of each set with one other, from their bitmaps."""
+    width = min(bits.shape[-1], other.shape[-1])
+    x, y = _fold(bits, width), _fold(other, width)
+    both = np.bitwise_count(x & y).sum(axis=-1, dtype=np.int64)
+    lack_x = np.bitwise_count(x).sum(axis=-1, dtype=np.int64) - both
+    lack_y = int(np.bitwise_count(y).sum(dtype=np.int64)) - both
+    return np.minimum(n - lack_x, m - lack_y)
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most that the two sets of a row can share."""
+    for batch in batches:
+        n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+        most = np.zeros(batch.num_rows, dtype=np.int64)
+        for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
+            a, b = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+            most[i] = _most(n[i : i + 1], a[None, :], m[i], b)[0]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(m), pa.array(most)], names=["id", "pivot", "n", "pivot_n", "most"])
+
+
 def _spot(ids: np.ndarray, bits: int) -> np.ndarray:
     return (textcore.mix(ids.view(np.uint64)) >> np.uint64(1)).view(np.int64) & (bits - 1)
 
@@ -158,14 +204,13 @@ def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact sizes and overlap of the two sets in every row."""
+    """Exact sizes and overlap of the two sets of a row."""
     for batch in batches:
         out = np.zeros((3, batch.num_rows), dtype=np.int64)
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             a, b = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-            out[0, i], out[1, i] = len(a), len(b)
-            out[2, i] = _common(a, b)
-        yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, out)], names=["id", "pivot", "n", "pivot_n", "overlap"])
+            out[:, i] = len(a), len(b), _common(a, b)
+        yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, out)], names=["a", "b", "n", "m", "overlap"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -180,35 +225,29 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _block(percent: int):
-    """Links of one block of queries with one block of members of the same region."""
+    """Pairs of one block of queries and one block of members of a region that may link."""
     window = 1 - percent / 100 + 1e-9
 
     def run(table: pa.Table) -> pa.Table:
-        ids, far, own = table["id"].to_numpy(), table["far"].to_numpy(), table["own"].to_numpy()
+        ids, own, n = (table[k].to_numpy() for k in ("id", "own", "n"))
+        lo, hi = table["far"].to_numpy(), table["far_most"].to_numpy()
         asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["items"]]
-        n = np.array([len(s) for s in sets], dtype=np.int64)
-        members = np.flatnonzero(~asks)
-        a, b = [], []
-        flat = np.concatenate([sets[i] for i in members]) if len(members) else np.zeros(0, dtype=np.uint64)
-        at = np.concatenate([[0], np.cumsum(n[members])])
-        row = np.repeat(np.arange(len(members)), n[members])
-        for q in np.flatnonzero(asks):
-            fits = (np.abs(far[members] - far[q]) <= window) & (own[members] != own[q]) & (100 * np.minimum(n[members], n[q]) >= percent * np.maximum(n[members], n[q]))
-            if not fits.any():
-                continue
-            if fits.sum() * 4 < len(members):
-                common = np.zeros(len(members), dtype=np.int64)
-                for m in np.flatnonzero(fits):
-                    common[m] = _common(flat[at[m] : at[m + 1]], sets[q])
-            else:
-                where = np.minimum(np.searchsorted(sets[q], flat), len(sets[q]) - 1)
-                common = np.bincount(row[sets[q][where] == flat], minlength=len(members))
-            linked = fits & (100 * common >= percent * (n[members] + n[q] - common))
-            a.append(ids[members[linked]])
-            b.append(np.full(int(linked.sum()), ids[q]))
-        none = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+        bits = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["bits"]]
+        wide = np.array([len(x) for x in bits], dtype=np.int64)
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for w in np.unique(wide[~asks]):
+            some = np.flatnonzero(~asks & (wide == w))
+            stack = np.stack([bits[i] for i in some])
+            for q in np.flatnonzero(asks & (wide * 4 >= w) & (wide <= 4 * w)):
+                fits = (lo[q] - hi[some] <= window) & (lo[some] - hi[q] <= window) & (own[some] != own[q])
+                fits &= 100 * np.minimum(n[some], n[q]) >= percent * np.maximum(n[some], n[q])
+                if fits.any():
+                    at = some[fits]
+                    most = _most(n[at], stack[fits], n[q], bits[q])
+                    at = at[100 * most >= percent * (n[at] + n[q] - most)]
+                    a.append(np.minimum(ids[at], ids[q]))
+                    b.append(np.maximum(ids[at], ids[q]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
@@ -256,16 +295,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lead = shared.groupBy("h").agg(F.min(F.struct("pos", "n", "id")).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", F.col("l.id").alias("pivot"))
     regions = materialise(shared.join(lead, "h").filter("id <> pivot").select("id", "pivot").distinct(), "regions")
 
-    bits = config.bloom_bits
-    wanted = spark.sparkContext.broadcast(_bloom(regions.select("id").union(regions.select("pivot")), bits))
-    sets = materialise(base.mapInArrow(_sets(config.width, bits, wanted), "id long, items binary"), "items")
-    near = regions.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
-    near = near.select("id", "pivot", "items", "pivot_items").mapInArrow(_overlaps, "id long, pivot long, n long, pivot_n long, overlap long")
-    near = materialise(near.withColumn("linked", F.expr(f"100 * overlap >= {p} * (n + pivot_n - overlap)")), "near")
-    first = near.filter("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    done = materialise(components(first), "done")
+    wanted = _bloom(regions.select("id").union(regions.select("pivot")), config.bloom_bits)
+    run = _chosen(config.width, config.bloom_bits, spark.sparkContext.broadcast(wanted), _as_bits, ["n", "bits"])
+    bits = materialise(base.mapInArrow(run, "id long, n long, bits binary").dropDuplicates(["id", "n", "bits"]), "bits")
+    near = regions.join(bits, "id").join(bits.toDF("pivot", "pivot_n", "pivot_bits"), "pivot")
+    near = near.select("id", "pivot", "n", "bits", "pivot_n", "pivot_bits").mapInArrow(_bounds, "id long, pivot long, n long, pivot_n long, most long")
+    near = materialise(near, "near")
+    first = _verify(base, near.filter(f"100 * most >= {p} * (n + pivot_n - most)").select(F.col("id").alias("a"), F.col("pivot").alias("b")), config)
+    done = materialise(components(first.filter("linked")), "done")
 
-    more = _recurse(near, sets, done, config)
+    more = _recurse(base, near, first, bits, done, config)
     closed = components(done.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = real.join(classes, ["k1", "k2", "n"]).select("id", "n", "rep").join(closed.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
@@ -273,18 +312,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _recurse(near: DataFrame, sets: DataFrame, done: DataFrame, config: JaccardConfig) -> DataFrame:
+def _verify(base: DataFrame, pairs: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(a, b, far, linked): the exact distance of each pair. Only sets that some pair names are moved."""
+    wanted = _bloom(pairs.select("a").union(pairs.select("b")), config.bloom_bits)
+    run = _chosen(config.width, config.bloom_bits, base.sparkSession.sparkContext.broadcast(wanted), _as_sets, ["items"])
+    sets = base.mapInArrow(run, "id long, items binary").dropDuplicates(["id", "items"])
+    both = pairs.join(sets.toDF("a", "a_items"), "a").join(sets.toDF("b", "b_items"), "b").select("a", "b", "a_items", "b_items")
+    out = both.mapInArrow(_overlaps, "a long, b long, n long, m long, overlap long")
+    out = out.withColumn("linked", F.expr(f"100 * overlap >= {config.percent} * (n + m - overlap)"))
+    return materialise(out.select("a", "b", F.expr("1 - overlap / (n + m - overlap)").alias("far"), "linked"), "verified")
+
+
+def _recurse(base: DataFrame, near: DataFrame, first: DataFrame, bits: DataFrame, done: DataFrame, config: JaccardConfig) -> DataFrame:
     """Links of members outside their pivot's component with the other members of the region."""
     own = done.select(F.col("node").alias("id"), F.col("component").alias("own"))
-    of = near.select("id", "pivot", F.expr("1 - overlap / (n + pivot_n - overlap)").alias("far")).join(own, "id", "left")
+    of = near.select("id", "pivot", F.expr("1 - most / (n + pivot_n - most)").alias("least"))
+    of = of.join(first.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("far").alias("exact")), ["id", "pivot"], "left").join(own, "id", "left")
     of = of.join(own.select(F.col("id").alias("pivot"), F.col("own").alias("pivot_own")), "pivot", "left")
-    of = of.withColumn("own", F.coalesce("own", "id")).withColumn("asks", F.col("own") != F.coalesce("pivot_own", "pivot"))
-    of = materialise(of.select("id", "pivot", "far", "own", "asks"), "members")
+    of = of.select("id", "pivot", F.coalesce("exact", "least").alias("far"), F.coalesce("exact", F.lit(1.0)).alias("far_most"), F.coalesce("own", "id").alias("own"), F.expr("coalesce(own, id) <> coalesce(pivot_own, pivot)").alias("asks"))
+    of = materialise(of, "members")
     open_ = of.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if("asks").alias("q")).filter("q > 0 and m > 1")
     open_ = open_.select("pivot", F.ceil(F.col("q") / config.query_block).cast("int").alias("qb"), F.ceil(F.col("m") / config.member_block).cast("int").alias("mb"))
     part = materialise(of.join(open_, "pivot"), "open")
+    keep = ["pivot", "id", "far", "far_most", "own"]
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    ask = part.filter("asks").select("pivot", "id", "far", "own", F.lit(True).alias("asks"), spot("qb").alias("x"), F.explode(F.expr("sequence(0, mb - 1)")).alias("y"))
-    answer = part.select("pivot", "id", "far", "own", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0, qb - 1)")).alias("x"), spot("mb").alias("y"))
-    rows = ask.union(answer).join(sets, "id")
-    return rows.groupBy("pivot", "x", "y").applyInArrow(_block(config.percent), "a long, b long").filter("a <> b")
+    ask = part.filter("asks").select(*keep, F.lit(True).alias("asks"), spot("qb").alias("x"), F.explode(F.expr("sequence(0, mb - 1)")).alias("y"))
+    answer = part.select(*keep, F.lit(False).alias("asks"), F.explode(F.expr("sequence(0, qb - 1)")).alias("x"), spot("mb").alias("y"))
+    rows = ask.union(answer).join(bits, "id")
+    pairs = rows.groupBy("pivot", "x", "y").applyInArrow(_block(config.percent), "a long, b long").filter("a <> b").distinct()
+    return _verify(base, materialise(pairs, "pairs"), config).filter("linked").select("a", "b")
