@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from almanack.llm import bpe, chat, decontaminate, quality, secrets, topk, warc
+from almanack.llm import bpe, chat, ctw, decontaminate, langid, quality, secrets, topk, warc
 from almanack.llm.jaccard import jaccard_components
 
 
@@ -44,6 +44,14 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -121,7 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLE: dict[str, str] = {
