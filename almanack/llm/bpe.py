@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanack.llm import textcore
 
@@ -316,7 +317,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: st
                 column = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, column], names=[*kept, out_col])
 
-    schema = base.schema.add(out_col, "array<int>")
+    schema = T.StructType([*base.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     return base.mapInArrow(run, schema)
 
 
@@ -333,7 +334,7 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col
             out = [bpe.decode_flat(np.asarray(x or [], dtype=np.int64))[0].tobytes() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=pa.binary())], names=[*kept, out_col])
 
-    return base.mapInArrow(run, base.schema.add(out_col, "binary"))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
