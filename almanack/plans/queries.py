@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from almanack.functions import periods, text, values
 from almanack.operators import cube, dataset, derive, describe, diff, geography, missing, outliers, search, survey_stats, validate
 from almanack.sources import driver_tables as tables
+from almanack.sources import sinks
+from almanack.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -528,3 +530,38 @@ def scale_conversion(spark, sf):
 def pagination(spark, sf):
     o = tables.read(spark, sf, "orders").orderBy("o_orderdate", "o_orderkey").offset(20).limit(20)
     return o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderpriority").startswith("1"), "urgent").otherwise("other").alias("kind"))
+
+
+@query("""SELECT conv_id, count(*)::BIGINT AS turns, count(*) FILTER (WHERE role = 'user')::BIGINT AS user_turns, arg_max(role, turn) AS last_role, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
+def conversation_fold(spark, sf):
+    return streams.fold_batch(tables.read(spark, sf, "conversations"))
+
+
+@query("SELECT doc_id, 1::BIGINT AS has_title FROM documents WHERE len(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{N}]+')) >= 1 AND list_contains(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{N}]+'), 'the')")
+def title_tagging(spark, sf):
+    phrases = spark.createDataFrame([("the", "article")], "phrase string, concept string")
+    return search.tag_titles(tables.catalogue(spark, sf), phrases, longest=1).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("has_title"))
+
+
+@query("SELECT provider, user_id, seconds::BIGINT AS seconds, recent::BIGINT AS recent FROM (SELECT 'p' AS provider, user_id, event_type, epoch(ts)::BIGINT AS seconds, count(*) FILTER (WHERE event_type = 'error') OVER (ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS recent FROM events) WHERE event_type = 'error' AND recent >= 2")
+def circuit_breaker(spark, sf):
+    e = tables.read(spark, sf, "events").select(F.lit("p").alias("provider"), "user_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("seconds"), (F.col("event_type") != "error").alias("ok"))
+    return streams.breaker(e, 2, 300).select("provider", "user_id", "seconds", "recent")
+
+
+@query(OBS + """, o AS (SELECT series_id, geography, period, value FROM obs) SELECT 'v' || 1 AS name, count(*)::BIGINT AS points, count(DISTINCT series_id)::BIGINT AS series FROM o WHERE left(period, 4) = '1995'""")
+def window_points(spark, sf):
+    o = tables.observations(spark, sf).filter(F.left("period", F.lit(4)) == "1995")
+    return o.agg(F.count(F.lit(1)).alias("points"), F.countDistinct("series_id").alias("series")).select(F.lit("v1").alias("name"), "points", "series")
+
+
+@query("""SELECT period AS date, max(value) FILTER (WHERE series_id = 'BUILDING') AS "BUILDING", max(value) FILTER (WHERE series_id = 'MACHINERY') AS "MACHINERY" FROM (""" + _MONTH + """ SELECT * FROM t WHERE series_id IN ('BUILDING', 'MACHINERY')) GROUP BY period""")
+def align_series(spark, sf):
+    rows = _months(spark, sf).filter(F.col("series_id").isin("BUILDING", "MACHINERY")).select(F.col("period").alias("date"), F.col("series_id").alias("series"), "value", F.lit(1).alias("seq"))
+    return sinks.align_series(rows, ["BUILDING", "MACHINERY"])
+
+
+@query("""SELECT o_custkey, o_orderpriority, count(*)::BIGINT AS n FROM (SELECT *, bool_or(o_orderpriority = '1-URGENT') OVER (PARTITION BY o_custkey) AS has FROM orders) WHERE NOT has OR o_orderpriority = '1-URGENT' GROUP BY ALL""")
+def total_commodity_filter(spark, sf):
+    rows = tables.read(spark, sf, "orders").withColumn("code", F.when(F.col("o_orderpriority") == "1-URGENT", "TOTAL").otherwise("x"))
+    return derive.total_filter(rows, ["o_custkey"], "code").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
