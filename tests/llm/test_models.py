@@ -1,0 +1,226 @@
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from almanack.llm import ctw, langid, quality, secrets, topk
+
+
+# top-k
+
+
+def best(vectors, k=10):
+    ints = {}
+    for i, (v, e) in enumerate(vectors):
+        if v is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
+            ints[i] = (v, [math.floor(1024 * float(np.float32(x))) for x in e])
+    out = set()
+    for v, q in {v: q for v, q in reversed(list(ints.values()))}.items():
+        if v % 100 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(q, e)), w) for w, e in ints.values() if w != v and len(e) == len(q)))[:k]
+            out |= {(v, r, w, -s) for r, (s, w) in enumerate(scored, 1)}
+    return out
+
+
+def test_top_k_agrees_with_all_scores(spark):
+    rng = random.Random(1)
+    vectors = [(i, [rng.gauss(0, 0.2) for _ in range(9)]) for i in range(700)]
+    vectors += [(800 + i, vectors[i % 5][1]) for i in range(40)]  # ties
+    vectors += [(900, None), (901, [0.1, None] + [0.0] * 7), (902, [math.nan] * 9), (1000, [math.inf] * 9), (None, [0.1] * 9), (1100, [0.5, 0.5]), (1101, [0.25, -0.5]), (1200, [0.0] * 9)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    config = topk.BsiConfig(block=64, queries=3, lanes=4)
+    got = topk.top_k(df.filter("vec_id % 100 = 0"), df, config=config)
+    assert {tuple(r) for r in got.collect()} == best(vectors)
+    assert topk.top_k(df.limit(0), df, config=config).count() == 0 and topk.top_k(df, df.limit(0), config=config).count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 3, 8, 20])
+def test_boundary_rows_are_never_lost(slices):
+    rng = np.random.default_rng(slices)
+    ints = rng.integers(-600, 600, (500, 7))
+    block = topk.Block(np.arange(500), ints, slices)
+    for q in range(0, 500, 25):
+        found, score = block.top(ints[q], q, 10)
+        exact = ints @ ints[q]
+        order = [i for i in np.lexsort((np.arange(500), -exact)) if i != q][:10]
+        assert found.tolist() == order and score.tolist() == exact[order].tolist()
+
+
+# language model
+
+
+def naive(context_counts, depth, context, byte):
+    """Probability of a byte by the recursion itself, from all (context, byte) counts."""
+    total = 1.0
+    for i in range(8):
+        prefix, bit = byte >> (8 - i), (byte >> (7 - i)) & 1
+
+        def counts(ctx):
+            a = b = 0
+            for (c, y), n in context_counts.items():
+                if c[len(c) - len(ctx) :] == ctx and y >> (8 - i) == prefix:
+                    a, b = (a + n, b) if not (y >> (7 - i)) & 1 else (a, b + n)
+            return a, b
+
+        def weigh(ctx):
+            a, b = counts(ctx)
+            pe = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+            if len(ctx) == depth:
+                return pe, 1.0
+            below = sum(weigh(child)[0] for child in {c[len(c) - len(ctx) - 1 :] for c, _ in context_counts if c[len(c) - len(ctx) :] == ctx})
+            both = np.logaddexp(pe, below) - math.log(2)
+            return both, math.exp(pe - math.log(2) - both)
+
+        def one(ctx):
+            a, b = counts(ctx)
+            if a + b == 0:
+                return 0.5
+            kt = (b + 0.5) / (a + b + 1)
+            if len(ctx) == depth:
+                return kt
+            stop = weigh(ctx)[1]
+            return stop * kt + (1 - stop) * one(context[len(context) - len(ctx) - 1 :])
+
+        p = one(b"")
+        total *= p if bit else 1 - p
+    return math.log10(total)
+
+
+def test_trees_agree_with_the_recursion():
+    rng, depth = random.Random(2), 2
+    counts = Counter()
+    for _ in range(60):
+        counts[bytes(rng.choice(b"\x00ab") for _ in range(depth)), rng.choice(b"abc\x00")] += rng.randint(1, 5)
+    tables = []
+    for d in range(depth + 1):
+        c = Counter()
+        for (ctx, y), n in counts.items():
+            c[int.from_bytes(ctx[depth - d :] + bytes([y]), "big")] += n
+        tables.append((np.array(list(c), dtype=np.uint64), np.array(list(c.values()))))
+    model = ctw.Ctw(tables)
+    for ctx, y in [*list(counts)[:12], (b"zz", 97), (b"az", 98), (b"aa", 200)]:
+        key = np.array([int.from_bytes(ctx + bytes([y]), "big")], dtype=np.uint64)
+        expected = naive(counts, depth, ctx, y)
+        assert model.log10(key)[0] == pytest.approx(expected, abs=1e-5)
+        assert model.score(key)[0] == pytest.approx(expected, abs=1e-5)
+    every = (np.full(256, int.from_bytes(b"ab", "big"), dtype=np.uint64) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    assert (10 ** model.log10(every)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_base_scores(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["The", "the", "cat", "sat", "été", f"w{i}"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (61, "the\x0bcat"), (None, "the"), (62, "x" * 200_000)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, uid long")
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+    c = Counter(w for d, t in docs if not held(d) for w in words(t))
+    n, v = sum(c.values()), len(c)
+    expected = sorted((repr(d), held(d), len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for d, t in docs)
+    for hot in (1 << 17, 2):  # all counts by broadcast, or nearly all by join
+        out = ctw.score_documents(df, config=ctw.CtwConfig(depth=2, hot_words=hot)).collect()
+        assert sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == expected
+        assert all(r.score <= 0 and math.isfinite(r.score) for r in out)
+    assert ctw.score_documents(df.limit(0)).count() == 0
+
+
+def test_pruned_trees_stay_proper(spark):
+    df = spark.createDataFrame([(i, "abracadabra " * 5 + str(i)) for i in range(40)], "doc_id long, text string")
+    counts = ctw.count_corpus(df.select("text"), ctw.CtwConfig(depth=3))
+    model = ctw.fit(counts, ctw.CtwConfig(depth=3, entries=20))
+    every = (np.full(256, int.from_bytes(b"bra", "big"), dtype=np.uint64) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    assert (10 ** model.log10(every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+# language
+
+
+def speech(lang, rng, n=60):
+    own = {"en": "the of and to in is that with was for".split(), "de": "der die und das nicht ein mit von ist für".split(), "fr": "le la et les des que dans pour une qui".split(), "es": "el la y los que de en por una con".split(), "xx": "zu qo wi ke ra".split()}[lang]
+    tails = {"en": "ing tion ly ed", "de": "ung keit lich en", "fr": "eux tion ment é", "es": "ción mente os ar", "xx": "kk qq"}[lang].split()
+    return " ".join(rng.choice(own) if rng.random() < 0.5 else "".join(rng.choice("abdelmnorst") for _ in range(4)) + rng.choice(tails) for _ in range(n))
+
+
+def test_language(spark):
+    rng = random.Random(5)
+    docs = [(i, speech(g, rng), g) for i in range(600) for g in [("en", "de", "fr", "es", "xx")[i % 5]]]
+    odd = [(700, None, "en"), (701, "", "en"), (702, "123 !?", "de"), (703, speech("fr", rng, 20_000), None), (None, speech("es", rng), "es"), (704, "é", "fr")]
+    df = spark.createDataFrame(docs + odd, "doc_id long, text string, lang string").withColumnRenamed("x", "x")
+    out = langid.identify_documents(df, config=langid.LangConfig(dims=512)).collect()
+    got = {r.doc_id: r for r in out}
+    right = [got[d].lang_pred == g for d, _, g in docs if got[d].held_out]
+    assert sum(right) >= 0.97 * len(right) > 100
+    assert all(0 <= r.score <= 1 for r in out) and len(out) == len(docs) + len(odd)
+    assert [got[i].lang_pred for i in (700, 701, 702)] == ["und"] * 3 and got[703].lang_pred == "fr" and got[704].lang_pred != "und"
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    swapped = df.replace({"en": "de", "de": "en"}, subset="lang").filter("doc_id % 3 < 0")
+    assert langid.identify(swapped, None).count() == 0
+    assert {r.lang_pred for r in langid.identify_documents(df.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
+
+
+# quality
+
+
+def test_quality(spark):
+    rng = random.Random(6)
+    good = lambda: speech("en", rng, rng.randint(20, 200)).capitalize() + "."
+    junk = lambda: rng.choice([lambda: " | ".join(speech("en", rng, 40).split()), lambda: speech("en", rng, 40).upper().replace(" ", "!! "), lambda: "spam " * 60, lambda: speech("en", rng, 40).replace(" ", "%%% ")])()
+    rows = [(i, (good if i % 3 else junk)(), "en", f"s{i % 4}", 100) for i in range(400)]
+    rows += [(1000, None, None, None, None), (1001, "", "en", "s1", 0), (1002, good() * 500, "en", "s1", 1), (1, rows[1][1], "en", "s1", 100)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score long")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300)] + [(5, 1), (None, 1), (6, None)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    got = quality.score_quality(docs, model)
+    assert got.columns == ["doc_id", "text_score", "meta_score", "score", "keep"] and got.count() == len(rows)
+    kept = {r.doc_id: r.keep for r in got.collect()}
+    assert sum(kept[i] == (i % 3 > 0) for i in range(300, 400)) >= 97 and kept[1002]
+    whole = quality.score_quality(docs, model, keep_columns=True)
+    assert whole.schema == docs.schema and whole.count() == sum(r.keep for r in got.collect())
+    assert quality.fit_quality(docs, labels.filter("quality = 1")) is None and quality.fit_quality(docs, labels.limit(0)) is None
+    assert quality.score_quality(docs, None).filter("keep").count() == len(rows)
+    assert quality.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_views_exchange_labels():
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, 2, 60).astype(float)
+    pool_y = rng.integers(0, 2, 800)
+    view = lambda t, noise: t[:, None] + rng.normal(0, noise, (len(t), 3))
+    model = quality.co_train(view(y, 0.3), view(y, 0.6), y, view(pool_y, 0.3), view(pool_y, 0.6), quality.CoTrainConfig(per_round=100))
+    test = rng.integers(0, 2, 500)
+    a, b, both = model.score(view(test, 0.3), view(test, 0.6))
+    assert ((both > 0.5) == test).mean() > 0.95 and ((0 <= a) & (a <= 1) & (0 <= b) & (b <= 1)).all()
+
+
+# secrets
+
+
+def test_forest_on_held_out_findings():
+    forest = secrets.fit_secrets(secrets.SecretConfig(findings=2000, trees=20))
+    fresh = secrets.labelled_findings(800, 123)
+    p = forest.prob(np.array([secrets.features(*f[:4]) for f in fresh])) >= 0.5
+    y = np.array([f[4] for f in fresh]) == 1
+    assert (p == y).mean() > 0.97
+
+
+def test_secrets(spark):
+    forest = secrets.fit_secrets(secrets.SecretConfig(findings=2000, trees=20))
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'été thing token = "{key}" more words', "src1", 1), (2, "a card 4952935900253052 and +1 (487) 555-7209 only", "src2", 2), (3, None, None, None), (4, "", "x", 0), (1, f'token = "{key}"', None, 5), (5, "plain words " * 20_000 + f'\nsecret: "{key}"', "s", 6), (6, f"commit {key} fixed", "docs/example.md", 7)]
+    df = spark.createDataFrame([(*r, False) for r in rows], "doc_id long, text string, source string, n_chars long, is_secret boolean")
+    found = secrets.scan_secrets(df, forest)
+    hit = {(r.doc_id, r.start_byte) for r in found.filter("is_secret").collect()}
+    assert {d for d, _ in hit} == {1, 5} and len(hit) == 3
+    assert all(rows[0][1].encode()[a : a + 40].decode() == key for d, a in hit if d == 1 and a > 12)
+    clean = {(r.doc_id, r.text, r.n_chars) for r in secrets.redact_secrets(df, forest).collect()}
+    assert (1, 'token = "[SECRET]"', 18) in clean and (3, None, None) in clean and (2, rows[1][1], 2) in clean and len(clean) == len(rows)
+    assert secrets.scan_secrets(df.limit(0), forest).count() == 0
+
+
+def test_feature_rows_are_finite():
+    x, _ = langid.features(pa.array(["", None, "a", "ab", "x" * 10]), 256)
+    assert np.isfinite(x).all() and np.isfinite(quality.text_view(pa.array(["", None, "a", "| |", "x" * 10]))).all()
