@@ -35,9 +35,8 @@ def test_round_trip(spark):
     assert manifest.count() > 3  # archives end at their size
     body = {r.page_id: r.payload for r in got.filter("record_type = 'response'").collect()}
     assert bytes(body[3]).decode() == "é" * 300_000
-    paths = [r.path for r in manifest.collect()]
-    raw = open(paths[0], "rb").read()
-    assert struct.unpack("<I", raw[:4])[0] == warc.SKIPPABLE  # the dictionary leads
+    heads = [struct.unpack("<I", open(r.path, "rb").read(4))[0] for r in manifest.collect()]
+    assert warc.SKIPPABLE in heads  # the dictionary leads; archives of too few records have none
 
 
 def test_small_payloads_are_all_responses(spark):
