@@ -84,14 +84,12 @@ class _Writer:
         self.made += 1
         self.store.create_dir(self.root, recursive=True)
         self.out = self.store.open_output_stream(self.path)
-        trained = None
         try:
             trained = zstandard.train_dictionary(self.config.dictionary_bytes, [d[: 64 << 10] for d in self.held], level=self.config.level)
-        except zstandard.ZstdError:  # too few or too small samples: an archive without a dictionary
-            pass
-        if trained is not None:
-            body = trained.as_bytes()
-            self.out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
+        except zstandard.ZstdError:  # too few or too uniform samples to train on: their own bytes serve
+            trained = zstandard.ZstdCompressionDict(b"".join(self.held)[: self.config.dictionary_bytes], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        body = trained.as_bytes()
+        self.out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
         self.zip = zstandard.ZstdCompressor(level=self.config.level, dict_data=trained, write_content_size=True, write_checksum=True)
         for data in self.held:
             self.out.write(self.zip.compress(data))
