@@ -83,7 +83,7 @@ class _Writer:
         self.path = f"{self.root}/{self.stem}-{self.made:04d}.warc.zst"
         self.made += 1
         self.store.create_dir(self.root, recursive=True)
-        self.out = self.store.open_output_stream(self.path)
+        self.out = self.store.open_output_stream(self.path, compression=None)
         try:
             trained = zstandard.train_dictionary(self.config.dictionary_bytes, [d[: 64 << 10] for d in self.held], level=self.config.level)
         except zstandard.ZstdError:  # too few or too uniform samples to train on: their own bytes serve
@@ -250,7 +250,7 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for path, folder, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 store, _ = fs.FileSystem.from_uri(folder)
                 rows, size, count = [], 0, 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream):
                         rows.append(parse(data))
                         size, count = size + len(data), count + 1
