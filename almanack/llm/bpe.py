@@ -29,7 +29,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Pre-tokens of more bytes are merged with a heap: rounds over a matrix would take quadratic time.
 LONG = 128
-SLICE = 2 << 20
+SLICE = 1 << 20
 CACHE = 400_000
 _TABLES: dict[str, np.ndarray] = {}
 _READY: dict[int, "Bpe"] = {}
