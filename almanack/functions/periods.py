@@ -115,3 +115,11 @@ def extract_years(text: Column) -> tuple[Column, Column]:
     """(first, last) year named in a text; a single year has no last."""
     years = F.transform(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)\d{2})\b"), 1), lambda y: y.cast("int"))
     return F.array_min(years), F.when(F.size(F.array_distinct(years)) > 1, F.array_max(years))
+
+
+def within_dates(date: Column, start: tuple[int, int | None, int | None], end: tuple[int, int | None, int | None]) -> Column:
+    """Whether a date lies in a span whose missing months and days are the first and the last."""
+    parts = F.struct(F.year(date).alias("y"), F.month(date).alias("m"), F.day(date).alias("d"))
+    low = F.struct(*(F.lit(x).alias(n) for n, x in zip("ymd", (start[0], start[1] or 1, start[2] or 1), strict=True)))
+    high = F.struct(*(F.lit(x).alias(n) for n, x in zip("ymd", (end[0], end[1] or 12, end[2] or 31), strict=True)))
+    return (parts >= low) & (parts <= high)

@@ -114,3 +114,26 @@ def panel_balance(observations: DataFrame, key: Column) -> DataFrame:
     cell = observations.groupBy("provider", "series_id", key.alias("geo_key"), "period").agg(F.count(F.lit(1)).alias("n"))
     out = cell.groupBy("provider", "series_id").agg(F.countDistinct("geo_key").alias("geographies"), F.countDistinct("period").alias("periods"), F.count(F.lit(1)).alias("cells"), F.sum(F.col("n") - 1).alias("duplicates"))
     return out.withColumn("expected", F.col("geographies") * F.col("periods")).withColumn("balanced", (F.col("cells") == F.col("expected")) & (F.col("duplicates") == 0))
+
+
+def economic_summary(observations: DataFrame, variables: DataFrame) -> DataFrame:
+    """One row for each variable: role, geographies, periods, balance, coverage, units, frequencies.
+
+    The role is ``level``, ``rate`` or ``index``, from the unit.
+    """
+    from almanack.functions.values import unit_family
+    from almanack.operators.dataset import geo_key, named
+
+    rows = named(observations, variables, "inner").withColumn("geo_key", geo_key())
+    family = unit_family(F.col("unit"))
+    role = F.when(family == "percent", "rate").when(family == "index", "index").otherwise("level")
+    out = rows.groupBy("alias").agg(
+        F.min(role).alias("role"),
+        F.countDistinct("geo_key").alias("geographies"),
+        F.countDistinct("period").alias("periods"),
+        F.countDistinct("geo_key", "period").alias("cells"),
+        F.count("value").alias("present"),
+        F.array_join(F.array_sort(F.collect_set("unit")), ",").alias("units"),
+        F.array_join(F.array_sort(F.collect_set("frequency")), ",").alias("frequencies"),
+    )
+    return out.withColumn("balanced", F.col("cells") == F.col("geographies") * F.col("periods")).withColumn("coverage_pct", F.bround(safe_div(100 * F.col("present"), F.col("geographies") * F.col("periods")), 2))

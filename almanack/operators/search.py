@@ -186,3 +186,32 @@ def build_catalogue(raw: DataFrame, order: str, upsert: bool = False) -> DataFra
     rows = raw.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     rows = rows.withColumn("description", F.substring("description", 1, 4000)) if "description" in raw.columns else rows
     return rows.withColumn("aliases", F.slice("aliases", 1, 12)) if "aliases" in raw.columns else rows
+
+
+def related_series(catalog: DataFrame, posts: DataFrame, name: str, provider: str, key: str = "id", limit: int = 5) -> DataFrame:
+    """Up to five rows of the provider whose terms start with all of the first four words of a name
+    (its part before a comma or parenthesis); any of them where none has all."""
+    import re
+
+    head = re.split(r"[,(]", name)[0]
+    words = [w for w in re.findall(r"\w+", head.lower()) if len(w) > 1][:4]
+    mine = posts.join(catalog.filter(F.col("provider") == provider).select(key), key, "left_semi")
+    return prefix_search(mine, words, True, limit, key)
+
+
+def demote_antonyms(hits: DataFrame, query: str, score: str = "score", title: str = "title") -> DataFrame:
+    """For one-word queries, 50 points less for titles that hold the word only within a longer one (un-, dis-, non-)."""
+    words = query.lower().split()
+    if len(words) != 1:
+        return hits
+    low = F.lower(title)
+    inside = low.rlike(rf"\b(?:un|dis|non|in)-?{words[0]}") & ~low.rlike(rf"\b{words[0]}")
+    return hits.withColumn(score, F.col(score) - F.when(inside, 50.0).otherwise(0.0))
+
+
+def keep_relevant(hits: DataFrame, score: str = "score", several: bool = False) -> DataFrame:
+    """Hits within 3 of the best, if that is at least .8; all of them for requests of several indicators."""
+    if several:
+        return hits
+    top = F.max(score).over(Window.partitionBy())
+    return hits.withColumn("_top", top).filter((F.col("_top") < 0.8) | (F.col(score) >= F.greatest(F.lit(0.0), F.col("_top") - 3))).drop("_top")

@@ -565,3 +565,109 @@ def align_series(spark, sf):
 def total_commodity_filter(spark, sf):
     rows = tables.read(spark, sf, "orders").withColumn("code", F.when(F.col("o_orderpriority") == "1-URGENT", "TOTAL").otherwise("x"))
     return derive.total_filter(rows, ["o_custkey"], "code").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1994-03-01' AND DATE '1995-12-31'")
+def date_range_filter(spark, sf):
+    return tables.read(spark, sf, "orders").filter(periods.within_dates(F.col("o_orderdate"), (1994, 3, None), (1995, None, None))).select("o_orderkey")
+
+
+@query(OBS + """ SELECT lower(series_id) AS alias, 'level' AS role, count(DISTINCT geography)::BIGINT AS geographies, count(DISTINCT period)::BIGINT AS periods, count(*)::BIGINT AS cells, count(value)::BIGINT AS present,
+ 'current us$' AS units, 'monthly' AS frequencies, count(*) = count(DISTINCT geography) * count(DISTINCT period) AS balanced,
+ round_even(100.0::DOUBLE * count(value) / (count(DISTINCT geography) * count(DISTINCT period)), 2) AS coverage_pct FROM obs GROUP BY series_id""")
+def economic_summary(spark, sf):
+    return describe.economic_summary(tables.observations(spark, sf), tables.variables(spark))
+
+
+@query("SELECT max(strftime(o_orderdate, '%Y-%m-%d')) AS latest, count(*) FILTER (WHERE year(o_orderdate) = 2030)::BIGINT AS in_window FROM orders")
+def latest_available_date(spark, sf):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return tables.read(spark, sf, "orders").agg(F.max(day).alias("latest"), F.count_if(F.substring(day, 1, 4) == "2030").alias("in_window"))
+
+
+@query("""SELECT c_custkey, count(o_orderkey)::BIGINT AS orders, max(o_orderdate)::DATE AS last_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def activity_view(spark, sf):
+    c, o = tables.read(spark, sf, "customer"), tables.read(spark, sf, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.to_date(F.max("o_orderdate")).alias("last_order"))
+
+
+@query("SELECT DISTINCT year(l_shipdate)::INT AS year FROM lineitem UNION SELECT DISTINCT year(o_orderdate)::INT FROM orders")
+def union_of_dates(spark, sf):
+    a = tables.read(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year"))
+    return a.union(tables.read(spark, sf, "orders").select(F.year("o_orderdate"))).distinct()
+
+
+@query("""SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.n, 0)::BIGINT AS suppliers, coalesce(b.n, 0)::BIGINT AS customers FROM (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) a
+ FULL JOIN (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1) b ON a.nation = b.nation""")
+def full_outer_zero_fill(spark, sf):
+    a = tables.read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
+    b = tables.read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+    return a.join(b, "nation", "full_outer").na.fill(0, ["suppliers", "customers"])
+
+
+@query("SELECT c_nationkey AS nation, round(covar_samp(c_acctbal, c_custkey), 2) AS covariance FROM customer GROUP BY 1")
+def covariance_by_nation(spark, sf):
+    c = tables.read(spark, sf, "customer")
+    return c.groupBy(F.col("c_nationkey").alias("nation")).agg(F.round(describe.covariance(F.col("c_acctbal"), F.col("c_custkey").cast("double")), 2).alias("covariance"))
+
+
+@query("SELECT page_id, regexp_replace(url, '(?i)([?&](?:api[_-]?key|key|token|access_token|secret|password|page)=)[^&#]*', '\\1***', 'g') AS url FROM pages".replace("|page)", ")"))
+def secret_redaction(spark, sf):
+    return tables.read(spark, sf, "pages").select("page_id", text.redact_query_secrets(F.col("url")).alias("url"))
+
+
+@query("SELECT doc_id, len(" + _TOK.format(c="text") + ")::INT AS tokens, (" + _TOK.format(c="text") + ")[1] AS first_token FROM documents")
+def token_counts(spark, sf):
+    t = text.tokens(F.col("text"))
+    return tables.read(spark, sf, "documents").select("doc_id", F.size(t).alias("tokens"), F.get(t, F.lit(0)).alias("first_token"))
+
+
+@query("SELECT p_partkey, CASE WHEN len(w) > 4 AND w LIKE '%aux' THEN w[1:-4] || 'al' WHEN len(w) > 4 AND regexp_matches(w, '[sx]$') AND NOT regexp_matches(w, '(ss|us|is)$') THEN w[1:-2] ELSE w END AS singular FROM (SELECT p_partkey, lower(p_type) AS w FROM part)")
+def singular_forms(spark, sf):
+    return tables.read(spark, sf, "part").select("p_partkey", text.singular(F.lower("p_type")).alias("singular"))
+
+
+@query("SELECT o_orderkey, least(y, 1995)::INT AS first_year, CASE WHEN y <> 1995 THEN greatest(y, 1995)::INT END AS last_year FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)")
+def years_in_text(spark, sf):
+    first, last = periods.extract_years(F.concat(F.lit("from 1995 to "), F.year("o_orderdate").cast("string")))
+    return tables.read(spark, sf, "orders").select("o_orderkey", first.alias("first_year"), last.alias("last_year"))
+
+
+@query("SELECT n_nationkey, unnest(range(1990 + n_nationkey, 1993 + n_nationkey))::VARCHAR AS period FROM nation")
+def generated_periods(spark, sf):
+    span = periods.comtrade_periods(F.col("n_nationkey") + 1990, F.col("n_nationkey") + 1992)
+    return tables.read(spark, sf, "nation").select("n_nationkey", F.explode(span).alias("period"))
+
+
+@query("SELECT event_id, CASE WHEN abs(value * 1e5) >= 1e12 THEN 4 WHEN abs(value * 1e5) >= 1e9 THEN 3 WHEN abs(value * 1e5) >= 1e6 THEN 2 WHEN abs(value * 1e5) >= 1e3 THEN 1 ELSE 0 END::INT AS scale FROM events")
+def number_scales(spark, sf):
+    mark = F.right(values.short_number(F.col("value") * 1e5), F.lit(1))
+    return tables.read(spark, sf, "events").select("event_id", F.when(mark == "T", 4).when(mark == "B", 3).when(mark == "M", 2).when(mark == "K", 1).otherwise(0).alias("scale"))
+
+
+@query("SELECT event_id, (json_extract_string(props, '$.k'))::INT AS k FROM events")
+def json_field(spark, sf):
+    return tables.read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS rows, round(avg(CASE WHEN l_linenumber <= 3 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, round(avg(1.0::DOUBLE / l_linenumber), 6) AS mrr FROM lineitem GROUP BY ALL""")
+def ranking_quality(spark, sf):
+    at = F.col("l_linenumber")
+    return tables.read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.when(at <= 3, 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg(1.0 / at), 6).alias("mrr"))
+
+
+@query("""SELECT p_partkey, p_retailprice, CASE WHEN p_retailprice * 0.01 BETWEEN 0 AND 15 THEN 0.01 WHEN p_retailprice * 100 BETWEEN 0 AND 15 THEN 100.0 WHEN p_retailprice * 0.001 BETWEEN 0 AND 15 THEN 0.001 END::DOUBLE AS scale_hint FROM part WHERE NOT (p_retailprice BETWEEN 0 AND 15)""")
+def range_checks(spark, sf):
+    ranges = spark.createDataFrame([("rate", 0.0, 15.0)], "kind string, low double, high double")
+    rows = tables.read(spark, sf, "part").withColumnRenamed("p_retailprice", "value")
+    return validate.range_checks(rows, ranges, F.lit("rate")).select("p_partkey", F.col("value").alias("p_retailprice"), "scale_hint")
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderpriority, count(*) AS n, max((o_orderstatus = 'F')::INT) AS pref FROM orders GROUP BY ALL) SELECT o_custkey, o_orderpriority, (n + 1000 * pref)::BIGINT AS score FROM s ORDER BY score DESC, o_custkey, o_orderpriority LIMIT 1""")
+def preferred_slice(spark, sf):
+    return derive.best_slice(tables.read(spark, sf, "orders"), ["o_custkey", "o_orderpriority"], F.col("o_orderstatus") == "F").withColumn("score", F.col("score").cast("long"))
+
+
+@query("""SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1""")
+def freshest_series(spark, sf):
+    return derive.freshest(tables.read(spark, sf, "documents"), ["source"], F.col("n_chars"), ["doc_id"]).select("source", "doc_id", "n_chars")
