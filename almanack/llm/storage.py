@@ -52,9 +52,9 @@ def drop(spark: SparkSession, path: str) -> None:
     _remove(spark, path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

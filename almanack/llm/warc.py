@@ -115,7 +115,7 @@ def plan_records(pages: DataFrame, config: WarcConfig, id_col: str = "page_id",
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     base = base.withColumn("uid", F.monotonically_increasing_id()).withColumn("key", F.sha2("payload", 256)).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    base = materialise(base, "pages")
+    base = materialise(base, "pages", "zstd")
     order = F.struct(F.col("page_id").isNull(), F.col("page_id").alias("page_id"), F.col("uid").alias("uid"))
     first = base.filter(F.octet_length("payload") >= config.revisit_bytes).groupBy("key").agg(F.min(order).alias("first"))
     return base.join(first.select("key", F.col("first.page_id").alias("first_id"), F.col("first.uid").alias("first_uid")), "key", "left").drop("key")
