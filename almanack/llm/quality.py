@@ -106,16 +106,22 @@ def meta_view(lang: list, source: list, chars: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Logistic:
-    """Ridge logistic regression by Newton steps on standardised features."""
+    """Ridge logistic regression by Newton steps on standardised features.
+
+    Features are held to the range that fitting saw, so nothing is judged by extrapolation.
+    """
 
     ridge: float = 1.0
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weight: np.ndarray | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Logistic:
         w = np.ones(len(y)) if w is None else w
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        self.low, self.high = x.min(axis=0), x.max(axis=0)
         z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], axis=1)
         b = np.zeros(z.shape[1])
         penalty = np.full(z.shape[1], self.ridge)
@@ -131,6 +137,7 @@ class Logistic:
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
+        x = np.clip(x, self.low, self.high)
         return np.clip(((x - self.mean) / self.scale) @ self.weight[:-1] + self.weight[-1], -30, 30)
 
     def prob(self, x: np.ndarray) -> np.ndarray:

@@ -23,11 +23,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of similar documents, once.
 
-    Rows with a null id belong to no group and stay.
+    Rows that repeat both id and text stay once; rows with a null id belong to no group and stay.
     """
     groups = jaccard.jaccard_components(docs)
     keep = groups.filter("doc_id = component_id").select("doc_id")
-    chosen = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    chosen = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
