@@ -74,6 +74,10 @@ class Dataset:
     def _log(self, operation: str, **parameters: object) -> tuple[dict, ...]:
         return (*self.transformations, {"operation": operation, "parameters": parameters})
 
+    def persist(self) -> Dataset:
+        """The same with its observations kept: validation and statistics each read them again."""
+        return replace(self, observations=self.observations.persist())
+
     def long(self) -> DataFrame:
         return to_long(self.observations, self.variables)
 

@@ -102,7 +102,7 @@ def collapse_dates(rows: DataFrame, by: list[str], value: str = "value", growth:
     return got.select(*by, upper_median(F.col("v")).alias(value))
 
 
-def best_slice(rows: DataFrame, series: list[str], preferred: Column, order: str = "") -> DataFrame:
+def best_slice(rows: DataFrame, series: list[str], preferred: Column) -> DataFrame:
     """The series with most preferred members (1000 each) and points; the first key on ties."""
     score = F.count(F.lit(1)) + 1000 * F.max(preferred.cast("int"))
     return rows.groupBy(*series).agg(score.alias("score")).orderBy(F.desc("score"), *series).limit(1)

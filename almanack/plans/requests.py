@@ -159,6 +159,6 @@ def instant(text: str, resolve: Callable[[str, Spec], list[dict]], fetch: Callab
                 failures.append({"concept": concept, "series": series.get("series_id"), "error": str(e)[:300]})
     if not parts:
         return {"spec": spec, "dataset": None, "failures": failures, "warning": "no series"}
-    made = build(parts, spec)
+    made = build(parts, spec).persist()
     issues = validate(made.observations, made.variables, spec.frequency, spec.end)
     return {"spec": spec, "dataset": made, "issues": issues, "verdict": verdict(issues), "failures": failures, "warning": None}
