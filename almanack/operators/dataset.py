@@ -23,10 +23,15 @@ def first_variable(variables: DataFrame) -> DataFrame:
     return variables.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").select("provider", "series_id", "alias")
 
 
+#: Variables up to this many are broadcast; more are joined by shuffle.
+BROADCAST_VARIABLES = 10_000
+
+
 def named(observations: DataFrame, variables: DataFrame, how: str = "left") -> DataFrame:
-    """Observations with their variable's alias. A dataset has few variables, so Spark broadcasts
-    them by their size; a larger table is joined by shuffle."""
-    return observations.join(first_variable(variables), ["provider", "series_id"], how)
+    """Observations with their variable's alias. The variables' number is checked before they are broadcast."""
+    names = first_variable(variables)
+    few = variables.limit(BROADCAST_VARIABLES + 1).count() <= BROADCAST_VARIABLES
+    return observations.join(F.broadcast(names) if few else names, ["provider", "series_id"], how)
 
 
 def to_long(observations: DataFrame, variables: DataFrame) -> DataFrame:
@@ -39,11 +44,15 @@ def to_wide(observations: DataFrame, variables: DataFrame, aliases: list[str]) -
     """One row for each geography and period, one column for each alias.
 
     The first value to arrive counts, even if it is null, and so does the first name. The aliases
-    are given, so the pivot needs no extra job; one shuffle, combined on the map side.
+    are given, so the pivot needs no extra job. Values are combined by hash on the map side, with
+    the name among the keys; what is left, about one row a cell row, is merged over the names.
     """
     rows = named(observations, variables, "inner").withColumn("geo_key", geo_key())
-    cell = lambda a: F.min_by(F.when(F.col("alias") == a, F.struct("value")), F.when(F.col("alias") == a, F.col("obs_seq")))["value"].alias(a)
-    return rows.groupBy("geo_key", "period").agg(F.min_by("geography", "obs_seq").alias("geography"), *(cell(a) for a in aliases))
+    seq = lambda a: F.when(F.col("alias") == a, F.col("obs_seq"))
+    cells = [c for i, a in enumerate(aliases) for c in (F.min_by("value", seq(a)).alias(f"_v{i}"), F.min(seq(a)).alias(f"_s{i}"))]
+    each = rows.groupBy("geo_key", "period", "geography").agg(F.min("obs_seq").alias("_s"), *cells)
+    merged = [F.min_by(f"_v{i}", f"_s{i}").alias(a) for i, a in enumerate(aliases)]
+    return each.groupBy("geo_key", "period").agg(F.min_by("geography", "_s").alias("geography"), *merged)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
