@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from almanack.llm import bpe, chat, ctw, decontaminate, langid, quality, secrets, topk, warc
 from almanack.llm.jaccard import jaccard_components
+from almanack.llm.storage import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,6 +33,15 @@ def workdir(spark: SparkSession) -> str:
     return _OWN[key]
 
 
+def small_batches(spark: SparkSession, limit: str = "8m") -> None:
+    """Lower the bytes of the batches that go to Python workers, for jobs over long texts.
+
+    A batch is held several times (rows, vectors that grow by doubling, the worker's copy), so the
+    default of 64 MB costs an executor some hundred MB for each core.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the working folder that nobody else uses."""
     return f"{workdir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

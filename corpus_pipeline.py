@@ -16,6 +16,7 @@ from almanack.llm import bpe, decontaminate, jaccard, quality, secrets, storage
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the co-trained classifier rejects."""
+    storage.small_batches(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_quality(docs, model, keep_columns=True)
 
@@ -25,6 +26,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows that repeat both id and text stay once; rows with a null id belong to no group and stay.
     """
+    storage.small_batches(spark)
     groups = jaccard.jaccard_components(docs)
     keep = groups.filter("doc_id = component_id").select("doc_id")
     chosen = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -33,16 +35,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, exactly or within its share of word edits."""
+    storage.small_batches(spark)
     return decontaminate.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks the secrets in each text; every document stays."""
+    storage.small_batches(spark)
     return secrets.redact_secrets(docs, secrets.fit_secrets())
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text: doc_id, lang, source, n_tokens, token_ids."""
+    storage.small_batches(spark)
     ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return ids.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
