@@ -149,7 +149,7 @@ def test_language(spark):
     rng = random.Random(5)
     docs = [(i, speech(g, rng), g) for i in range(600) for g in [("en", "de", "fr", "es", "xx")[i % 5]]]
     odd = [(700, None, "en"), (701, "", "en"), (702, "123 !?", "de"), (703, speech("fr", rng, 20_000), None), (None, speech("es", rng), "es"), (704, "é", "fr")]
-    df = spark.createDataFrame(docs + odd, "doc_id long, text string, lang string").withColumnRenamed("x", "x")
+    df = spark.createDataFrame(docs + odd, "doc_id long, text string, lang string")
     out = langid.identify_documents(df, config=langid.LangConfig(dims=512)).collect()
     got = {r.doc_id: r for r in out}
     right = [got[d].lang_pred == g for d, _, g in docs if got[d].held_out]
@@ -157,8 +157,7 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in out) and len(out) == len(docs) + len(odd)
     assert [got[i].lang_pred for i in (700, 701, 702)] == ["und"] * 3 and got[703].lang_pred == "fr" and got[704].lang_pred != "und"
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
-    swapped = df.replace({"en": "de", "de": "en"}, subset="lang").filter("doc_id % 3 < 0")
-    assert langid.identify(swapped, None).count() == 0
+    assert langid.identify(df.limit(0), None).count() == 0 and langid.identify_documents(df.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify_documents(df.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
