@@ -283,7 +283,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = spark.sparkContext.broadcast(_frequent(scanned.filter("kind = 1"), config.hot_shingles))
     each = scanned.filter("kind = 0").drop("kind")
     real = each.filter("n > 0 and id is not null")
-    classes = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
+    # Written, so that the join back to all copies has a plain exchange on both sides and can be split.
+    classes = materialise(real.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
 
     reps = classes.select(F.col("rep").alias("id"))
     pre = base.mapInArrow(_prefixes(config.width, p, hot), "id long, n long, pre array<long>").filter("n > 0").join(reps, "id", "left_semi")
