@@ -6,10 +6,11 @@ saw, and the tree weighs, at each node, stopping there against going one byte de
 ``Pw = Pe / 2 + (product of the children's Pw) / 2``. A bit's probability mixes all depths by these
 weights. A text is its UTF-8 bytes and an end, so probabilities of all texts sum to one.
 
-Counts cover all training documents and are summed by Spark. The trees that scoring broadcasts
-hold at most ``entries`` (context, byte) pairs for each depth, whole contexts, the frequent ones first;
-the rarer siblings of a context share one leaf with what is left of its parent's counts, so no
-count is lost at any size of the corpus.
+Counts cover all training documents and are summed by Spark, and every trained context is a node at
+every depth. Contexts of up to ``TOP`` bytes are weighted on the driver (at most 2 ** 24 pairs, whatever
+the corpus); the trees below them are dealt out by the last ``TOP + 1`` bytes of context and weighted in
+tasks. So each pair of the corpus gets its score once: the ``entries`` pairs that occur most are
+broadcast, and all others are joined to the texts that hold them.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ from almanack.llm.storage import materialise
 
 _U = np.uint64
 GRAM, WORD = 0, 1
+#: The longest contexts that the driver weighs.
+TOP = 2
 #: The key of the token that ends each text; words are never hashed to it but by chance.
 END = 0
 
 
 @dataclass(frozen=True)
 class CtwConfig:
-    """``entries``: size bound of each depth's broadcast table. ``hot_words``: size bound of the
-    broadcast word counts (all other words are joined). ``flush``: distinct keys that a task holds."""
+    """``entries``: size bound of the broadcast scores of (context, byte) pairs, and ``hot_words`` of the
+    broadcast word counts (all others are joined). ``flush``: distinct keys that a task holds."""
 
     depth: int = 5
-    entries: int = 1 << 18
+    entries: int = 1 << 20
     hot_words: int = 1 << 17
     flush: int = 1 << 20
 
@@ -64,10 +67,10 @@ def spread(data: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray,
 
 
 class _Tally:
-    """Counts of keys, handed on when there are many."""
+    """Counts of keys, handed on when there are many; ``trained``: whether the model learns them."""
 
-    def __init__(self, kind: int, limit: int) -> None:
-        self.kind, self.limit, self.parts, self.size = kind, limit, [], 0
+    def __init__(self, kind: int, limit: int, trained: bool = True) -> None:
+        self.kind, self.limit, self.trained, self.parts, self.size = kind, limit, trained, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         u, c = np.unique(keys, return_counts=True)
@@ -90,26 +93,34 @@ class _Tally:
             u, c = self.parts[0]
             self.parts, self.size = [], 0
             for a in range(0, len(u), 1 << 17):
-                part = u[a : a + (1 << 17)]
-                yield pa.record_batch([pa.array(np.full(len(part), self.kind, dtype=np.int32)), pa.array(part.view(np.int64)), pa.array(c[a : a + (1 << 17)])], names=["kind", "key", "c"])
+                part, n = u[a : a + (1 << 17)], c[a : a + (1 << 17)]
+                yield pa.record_batch([pa.array(np.full(len(part), self.kind, dtype=np.int32)), pa.array(part.view(np.int64)), pa.array(n * self.trained), pa.array(n)], names=["kind", "key", "c", "n"])
 
 
 def count_corpus(texts: DataFrame, config: CtwConfig) -> DataFrame:
-    """(kind, key, c): counts of (context, byte) keys and of words over all rows of ``texts(text)``."""
+    """(kind, key, c, n): counts of (context, byte) keys and of words in ``texts(text, held)``.
+
+    ``c`` counts the rows that are not held out (all, without that column), ``n`` all rows; words are
+    only counted in the former.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words = _Tally(GRAM, config.flush), _Tally(WORD, config.flush)
+        grams, others, words = _Tally(GRAM, config.flush), _Tally(GRAM, config.flush, trained=False), _Tally(WORD, config.flush)
         for batch in batches:
+            held = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offs in textcore.slices(batch.column(0)):
-                keys, _ = spread(data, offs, config.depth)
-                yield from grams.add(keys)
-                word, *_ = textcore.words(data, offs)
-                yield from words.add(np.concatenate([word, np.full(hi - lo, END, dtype=np.uint64)]))
-        yield from grams.end()
-        yield from words.end()
+                keys, first = spread(data, offs, config.depth)
+                out = np.repeat(held[lo:hi], np.diff(first))
+                yield from grams.add(keys[~out])
+                yield from others.add(keys[out])
+                word, _, _, at = textcore.words(data, offs)
+                yield from words.add(np.concatenate([word[np.repeat(~held[lo:hi], np.diff(at))], np.full((~held[lo:hi]).sum(), END, dtype=np.uint64)]))
+        for tally in (grams, others, words):
+            yield from tally.end()
 
-    part = texts.mapInArrow(run, "kind int, key long, c long")
-    return materialise(part.groupBy("kind", "key").agg(F.sum("c").alias("c")), "counts")
+    held = F.col("held") if "held" in texts.columns else F.lit(False)
+    part = texts.select("text", held.alias("held")).mapInArrow(run, "kind int, key long, c long, n long")
+    return materialise(part.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "counts")
 
 
 def _at_least(counts: DataFrame, by: str, bound: int) -> float | None:
@@ -138,37 +149,36 @@ def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Ctw:
-    """Weighted trees from (context, byte) counts for depths 0 to ``depth``."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.depth = len(tables) - 1
-        self.keys, self.stop, self.one, self.rest = [], [], [], []
-        below = None
-        for d in range(self.depth, -1, -1):  # two depths' counts are held at a time
-            keys, a, b = self._nodes(*tables[d])
+    """Weighted trees from (context, byte) counts for depths ``first`` and on, one table each.
+
+    ``sums``: the nodes of the last depth that have children elsewhere, and the log of their product.
+    """
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], first: int = 0, sums: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.first, self.keys, self.stop, self.one = first, [], [], []
+        weighted = None
+        for d in range(first + len(tables) - 1, first - 1, -1):
+            keys, a, b = self._nodes(*tables[d - first])
             own = kt(a, b)
-            if below is None:
-                weighted, stop, rest = own, np.ones(len(keys), dtype=np.float32), np.full(len(keys), 0.5, dtype=np.float32)
+            if self.keys:
+                at, fits = self._parents(self.keys[0], keys, d)
+                below = np.bincount(at, weighted[fits], len(keys))
+            elif sums is not None:
+                below = np.zeros(len(keys))
+                below[np.searchsorted(keys, sums[0])] = sums[1]
             else:
-                at, fits = self._parents(below[0], keys, d)
-                sums = [np.bincount(at, v[fits], len(keys)) for v in below[1:]]
-                rest_a, rest_b = np.maximum(a - sums[0], 0), np.maximum(b - sums[1], 0)
-                weighted = np.logaddexp(own, sums[2] + kt(rest_a, rest_b)) - np.log(2)
-                stop = np.exp(own - np.log(2) - weighted).astype(np.float32)
-                rest = ((rest_b + 0.5) / (rest_a + rest_b + 1)).astype(np.float32)
+                below = None
+            weighted = own if below is None else np.logaddexp(own, below) - np.log(2)
+            self.stop.insert(0, np.ones(len(keys)) if below is None else np.exp(own - np.log(2) - weighted))
             self.keys.insert(0, keys)
-            self.stop.insert(0, stop)
-            self.one.insert(0, ((b + 0.5) / (a + b + 1)).astype(np.float32))
-            self.rest.insert(0, rest)
-            below = keys, a, b, weighted
-        entries = tables[-1][0]
-        self.shift = 64 - max(10, int(4 * len(entries) + 1).bit_length())
-        self.slot = np.full(1 << (64 - self.shift), _ALL, dtype=np.uint64)
-        self.value = np.zeros(len(self.slot), dtype=np.float32)
-        self.filled = 0
-        for a in range(0, len(entries), 1 << 16):
-            part = entries[a : a + (1 << 16)]
-            self._insert(part, self.log10(part))
+            self.one.insert(0, (b + 0.5) / (a + b + 1))
+        self.weighted = weighted
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """The parents of the first depth's nodes, and the log of the product of their children."""
+        keys, d = self.keys[0], self.first - 1
+        parent, back = np.unique((((keys >> _U(8)) & _U((1 << (8 * d)) - 1)) << _U(8)) | (keys & _U(255)), return_inverse=True)
+        return parent, np.bincount(back, self.weighted, len(parent))
 
     @staticmethod
     def _parents(child: np.ndarray, keys: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,34 +202,43 @@ class Ctw:
         u, back = np.unique(keys, return_inverse=True)
         return u, np.bincount(back[~one], c[~one], len(u)), np.bincount(back[one], c[one], len(u))
 
-    def log10(self, entries: np.ndarray) -> np.ndarray:
-        """log10 of each entry's byte, given its context."""
-        total, byte = np.zeros(len(entries)), entries & _U(255)
+    def ones(self, entries: np.ndarray, under: np.ndarray | None = None) -> np.ndarray:
+        """For each entry and bit of its byte, the probability of a one, given context and bits before.
+
+        ``under``: the same by the trees below the last depth.
+        """
+        out, byte = np.zeros((len(entries), 8)), entries & _U(255)
         for i in range(8):
             prefix = _U(1 << i) | (byte >> _U(8 - i))
             p, share, open_ = np.zeros(len(entries)), np.ones(len(entries)), np.ones(len(entries), dtype=bool)
-            other = np.full(len(entries), 0.5)
-            for d in range(self.depth + 1):
+            for d, keys, stop, one in zip(range(self.first, self.first + len(self.keys)), self.keys, self.stop, self.one, strict=True):
                 node = (((entries >> _U(8)) & _U((1 << (8 * d)) - 1)) << _U(8)) | prefix
-                keys = self.keys[d]
                 at = np.minimum(np.searchsorted(keys, node), max(0, len(keys) - 1))
                 seen = open_ & (keys[at] == node) if len(keys) else np.zeros(len(node), dtype=bool)
-                p = np.where(open_ & ~seen, p + share * other, p)
+                p = np.where(open_ & ~seen, p + share * 0.5, p)
                 if len(keys):
-                    p = np.where(seen, p + share * self.stop[d][at] * self.one[d][at], p)
-                    share = np.where(seen, share * (1 - self.stop[d][at]), share)
-                    other = np.where(seen, self.rest[d][at], other)
+                    p = np.where(seen, p + share * stop[at] * one[at], p)
+                    share = np.where(seen, share * (1 - stop[at]), share)
                 open_ = seen
-            one = ((byte >> _U(7 - i)) & _U(1)).astype(bool)
-            p = np.clip(p, 1e-12, 1 - 1e-12)
-            total += np.log10(np.where(one, p, 1 - p))
-        return total
-
-    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Put distinct keys that are not there into the open-addressing table, while it has room."""
-        if self.filled + len(keys) > len(self.slot) * 6 // 10:
-            return
-        self.filled += len(keys)
+            out[:, i] = np.where(open_, p + share * (0.5 if under is None else under[:, i]), p)
+        return out
+
+    def log10(self, entries: np.ndarray, under: np.ndarray | None = None) -> np.ndarray:
+        """log10 of each entry's byte, given its context."""
+        one = ((entries[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & _U(1)).astype(bool)
+        p = np.clip(self.ones(entries, under), 1e-12, 1 - 1e-12)
+        return np.log10(np.where(one, p, 1 - p)).sum(axis=1)
+
+    score = log10
+
+
+class Scores:
+    """An open-addressing table of distinct keys and their values."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.shift = 64 - max(10, int(2 * len(keys)).bit_length())
+        self.slot = np.full(1 << (64 - self.shift), _ALL, dtype=np.uint64)
+        self.value = np.zeros(len(self.slot))
         spot, left = self._spot(keys), np.arange(len(keys))
         while len(left):
             free = left[self.slot[spot[left]] == _ALL]
@@ -232,48 +251,106 @@ class Ctw:
     def _spot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(self.shift)).astype(np.int64)
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of every key, by the table where it can."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of every key, 0 where there is none, and the places of the keys without one."""
         spot = self._spot(keys)
         have = self.slot[spot]
-        out = self.value[spot].astype(np.float64)
+        out = self.value[spot]
         left = np.flatnonzero(have != keys)
-        lost = [left[have[left] == _ALL]]
-        left = left[have[left] != _ALL]
+        lost = []
         while len(left):
+            gone = self.slot[spot[left]] == _ALL
+            lost.append(left[gone])
+            left = left[~gone]
             spot[left] = (spot[left] + 1) & (len(self.slot) - 1)
-            have = self.slot[spot[left]]
-            hit = have == keys[left]
+            hit = self.slot[spot[left]] == keys[left]
             out[left[hit]] = self.value[spot[left[hit]]]
-            lost.append(left[have == _ALL])
-            left = left[~hit & (have != _ALL)]
-        lost = np.concatenate(lost)
-        if len(lost):
-            u, back = np.unique(keys[lost], return_inverse=True)
-            fresh = self.log10(u).astype(np.float32).astype(np.float64)  # as the table will have it
-            out[lost] = fresh[back]
-            self._insert(u, fresh)  # each worker remembers what it has worked out
-        return out
+            left = left[~hit]
+        lost = np.sort(np.concatenate([*lost, np.zeros(0, dtype=np.int64)]))
+        out[lost] = 0
+        return out, lost
 
 
 _ALL = _U(0xFFFFFFFFFFFFFFFF)
 
 
-def fit(counts: DataFrame, config: CtwConfig) -> Ctw:
-    """The trees of a corpus' counts. What reaches the driver is bounded by ``entries`` a depth."""
-    grams = counts.filter(F.col("kind") == GRAM)
-    tables = []
-    for d in range(config.depth + 1):
-        entry = grams.groupBy((F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1)).alias("key")).agg(F.sum("c").alias("c"))
-        if d >= 2:  # shallower tables cannot outgrow 2 ** 16 entries
-            context = entry.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("rows"))
-            context = materialise(context, "contexts")
-            least = _at_least(context, "total", config.entries)
-            chosen = context.filter(F.col("total") >= least * 0.999 if least else F.lit(False)).select("context")
-            entry = entry.withColumn("context", F.shiftrightunsigned("key", 8)).join(chosen, "context", "left_semi")
-        rows = entry.select("key", "c").toArrow()
-        tables.append((rows.column("key").to_numpy().view(np.uint64), rows.column("c").to_numpy()))
-    return Ctw(tables)
+def _tables(entries: np.ndarray, counts: np.ndarray, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The (context, byte) counts of depths ``first`` to ``last`` from those of a longer context."""
+    out = []
+    for d in range(first, last + 1):
+        u, back = np.unique(entries & _U((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        out.append((u, np.bincount(back, counts, len(u))))
+    return out
+
+
+def lower(counts: DataFrame, config: CtwConfig) -> DataFrame:
+    """The trees below ``TOP``: (key, n, under, total), written.
+
+    A row with ``under`` is a (context, byte) pair of the corpus and its ``ones`` by these trees; a row
+    with ``total`` is a node of depth ``TOP`` and the log of its children's product, by parts to be summed.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Whole contexts of ``TOP + 1`` bytes: their groups, keys, counts."""
+        parts: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut == 0 and parts and parts[-1][0][-1] != columns[0][0]:
+                yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+                parts = []
+            if cut:
+                yield [np.concatenate(c) for c in zip(*parts, [c[:cut] for c in columns], strict=True)]
+                parts = []
+            parts.append([c[cut:] for c in columns])
+        if parts:
+            yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+    def rows(keys: np.ndarray, n: np.ndarray | None, under: np.ndarray | None, total: np.ndarray | None) -> pa.RecordBatch:
+        size = len(keys)
+        lists = pa.nulls(size, pa.list_(pa.float64())) if under is None else pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * size + 1, 8, dtype=np.int32)), pa.array(under.ravel()))
+        return pa.record_batch([pa.array(keys.view(np.int64)), pa.nulls(size, pa.int64()) if n is None else pa.array(n), lists, pa.nulls(size, pa.float64()) if total is None else pa.array(total)], names=["key", "n", "under", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, c, n in chunks(batches):
+            key, trained = key.view(np.uint64), c > 0
+            trees = Ctw(_tables(key[trained], c[trained], TOP + 1, config.depth), TOP + 1)
+            for a in range(0, len(key), 1 << 16):
+                yield rows(key[a : a + (1 << 16)], n[a : a + (1 << 16)], trees.ones(key[a : a + (1 << 16)]), None)
+            node, total = trees.sums()
+            yield rows(node, None, None, total)
+
+    grams = counts.filter(F.col("kind") == GRAM).select(F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * (TOP + 1))) - 1).alias("context"), "key", "c", "n")
+    if config.depth <= TOP:
+        return grams.select("key", "n", F.array_repeat(F.lit(0.5), 8).alias("under"), F.lit(None).cast("double").alias("total"))
+    return materialise(grams.repartition("context").sortWithinPartitions("context").mapInArrow(run, "key long, n long, under array<double>, total double"), "lower")
+
+
+def fit(counts: DataFrame, config: CtwConfig, below: DataFrame | None = None) -> Ctw:
+    """The trees of up to ``TOP`` bytes of context over those ``below`` (``lower``), on the driver."""
+    below = lower(counts, config) if below is None else below
+    top = min(TOP, config.depth)
+    pair = F.col("key").bitwiseAND((1 << (8 * (top + 1))) - 1).alias("key")
+    rows = counts.filter((F.col("kind") == GRAM) & (F.col("c") > 0)).groupBy(pair).agg(F.sum("c").alias("c")).toArrow()
+    tables = _tables(rows.column("key").to_numpy().view(np.uint64), rows.column("c").to_numpy(), 0, top)
+    if config.depth == top:
+        return Ctw(tables)
+    rows = below.filter("total is not null").groupBy("key").agg(F.sum("total").alias("total")).toArrow()
+    return Ctw(tables, sums=(rows.column("key").to_numpy().view(np.uint64), rows.column("total").to_numpy()))
+
+
+def score_pairs(below: DataFrame, model) -> DataFrame:
+    """(key, value): log10 of each pair of ``lower``, by the broadcast trees above it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            under = batch.column(1).flatten().to_numpy().reshape(-1, 8)
+            value = model.value.log10(batch.column(0).to_numpy().view(np.uint64), under)
+            yield pa.record_batch([batch.column(0), pa.array(value)], names=["key", "value"])
+
+    return below.filter("total is null").select("key", "under").mapInArrow(run, "key long, value double")
 
 
 def held_out(id_col: Column, parts: int, part: int) -> Column:
@@ -291,8 +368,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col), parts, part).alias("held"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counts = count_corpus(base.filter("not held").select("text"), config)
-    model = spark.sparkContext.broadcast(fit(counts, config))
+    counts = count_corpus(base.select("text", "held"), config)
+    below = lower(counts, config)
+    model = spark.sparkContext.broadcast(fit(counts, config, below))
+    many = _at_least(counts.filter(F.col("kind") == GRAM).withColumn("rows", F.lit(1)), "n", config.entries)
+    rows = score_pairs(below.filter(F.col("n") >= many * 0.999 if many else F.lit(False)), model).toArrow()
+    pairs = spark.sparkContext.broadcast(Scores(rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()))
     words = counts.filter(F.col("kind") == WORD).select("key", "c")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = _at_least(words.withColumn("rows", F.lit(1)), "c", config.hot_words)
@@ -301,23 +382,31 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys, c = rows.column("key").to_numpy().view(np.uint64), rows.column("c").to_numpy()
     order = np.argsort(keys)
     hot = spark.sparkContext.broadcast((keys[order], np.log10(c[order] + 1.0)))
-    scored = materialise(base.mapInArrow(_scorer(model, hot, config), "uid long, id long, held boolean, n_tokens long, n_bytes long, known long, logs double, score double, rare array<long>"), "scored")
-    rare = scored.select("uid", F.explode("rare").alias("key"))
-    cold = words.filter(F.col("c") < least * 0.999) if least else words
-    more = rare.join(cold, "key").groupBy("uid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    out = scored.drop("rare").join(more, "uid", "left")
+    scored = materialise(base.mapInArrow(_scorer(pairs, hot, config), "uid long, id long, held boolean, n_tokens long, n_bytes long, known long, logs double, score double, rare array<long>, rare_pairs array<long>"), "scored")
+    rare = scored.select("uid", F.lit(WORD).alias("kind"), F.explode("rare").alias("key")).unionAll(scored.select("uid", F.lit(GRAM), F.explode("rare_pairs")))
+    cold = (words.filter(F.col("c") < least * 0.999) if least else words).select(F.lit(WORD).alias("kind"), "key", F.log10(F.col("c") + 1.0).alias("value"))
+    cold = cold.unionAll(score_pairs(below.filter(F.col("n") < many * 0.999) if many else below, model).select(F.lit(GRAM), "key", "value"))
+    worth = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("value")))
+    more = rare.join(cold, ["kind", "key"]).groupBy("uid").agg(F.count(F.when(F.col("kind") == WORD, 1)).alias("more"), worth(WORD).alias("more_logs"), worth(GRAM).alias("more_score"))
+    out = scored.drop("rare", "rare_pairs").join(more, "uid", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     base_score = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + distinct + 1.0))
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
-def _scorer(model, hot, config: CtwConfig):
+def _scorer(pairs, hot, config: CtwConfig):
+    def lists(row: np.ndarray, keys: np.ndarray, rows: int) -> pa.ListArray:
+        """The keys of each row, which need not be in order."""
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[np.argsort(row, kind="stable")].view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, (keys, logs) = model.value, hot.value
+        table, (keys, logs) = pairs.value, hot.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offs in textcore.slices(batch.column(2)):
                 entry, first = spread(data, offs, config.depth)
-                score = np.add.reduceat(trees.score(entry), first[:-1])
+                value, lost = table.find(entry)
+                score = np.add.reduceat(value, first[:-1])
                 word, _, _, at = textcore.words(data, offs)
                 rows = hi - lo
                 row = np.concatenate([np.repeat(np.arange(rows), np.diff(at)), np.arange(rows)])
@@ -327,10 +416,9 @@ def _scorer(model, hot, config: CtwConfig):
                 known = np.bincount(row[hit], minlength=rows)
                 sums = np.bincount(row[hit], logs[spot[hit]], rows) if len(keys) else np.zeros(rows)
                 miss = np.flatnonzero(~hit)
-                miss = miss[np.argsort(row[miss], kind="stable")]
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(row[miss], minlength=rows))]).astype(np.int32)
                 part = batch.slice(lo, rows)
-                yield pa.record_batch([pa.array(uid + np.arange(rows)), part.column(0), part.column(1), pa.array(np.bincount(row, minlength=rows)), pa.array(np.diff(offs)), pa.array(known), pa.array(sums), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), pa.array(word[miss].view(np.int64)))], names=["uid", "id", "held", "n_tokens", "n_bytes", "known", "logs", "score", "rare"])
+                rare, rare_pairs = lists(row[miss], word[miss], rows), lists(np.searchsorted(first, lost, "right") - 1, entry[lost], rows)
+                yield pa.record_batch([pa.array(uid + np.arange(rows)), part.column(0), part.column(1), pa.array(np.bincount(row, minlength=rows)), pa.array(np.diff(offs)), pa.array(known), pa.array(sums), pa.array(score), rare, rare_pairs], names=["uid", "id", "held", "n_tokens", "n_bytes", "known", "logs", "score", "rare", "rare_pairs"])
                 uid += rows
 
     return run

@@ -136,6 +136,27 @@ def test_pruned_trees_stay_proper(spark):
     assert (10 ** model.log10(every)).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_scores_keep_every_context(spark, depth):
+    rng = random.Random(8)
+    docs = [(i, "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(60, ""), (61, None)]
+    pairs = lambda t: [((b"\0" * depth + b)[k : k + depth], (b + b"\0")[k]) for b in [(t or "").encode()] for k in range(len(b) + 1)]
+    train = Counter(p for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2 for p in pairs(t))
+    key = lambda p, d: int.from_bytes(p[0][depth - d :] + bytes([p[1]]), "big")
+    tables = []
+    for d in range(depth + 1):
+        c = Counter()
+        for p, n in train.items():
+            c[key(p, d)] += n
+        tables.append((np.array(list(c), dtype=np.uint64), np.array(list(c.values()))))
+    model = ctw.Ctw(tables)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for entries in (1 << 20, 40, 0):  # scores by broadcast, mostly by join, or all by join
+        got = {r.doc_id: r.score for r in ctw.score_documents(df, config=ctw.CtwConfig(depth=depth, entries=entries)).collect()}
+        for i, t in docs:
+            assert got[i] == pytest.approx(model.log10(np.array([key(p, depth) for p in pairs(t)], dtype=np.uint64)).sum(), abs=1e-6)
+
+
 # language
 
 
