@@ -241,6 +241,27 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.limit(0), forest).count() == 0
 
 
+def test_labelled_secrets_are_found_in_texts(spark):
+    forest = secrets.fit_secrets()
+    fresh = secrets.labelled_findings(1600, 77)
+    rows = [(i, before + value + after, path) for i, (value, before, after, path, _) in enumerate(fresh)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.start_byte, r.end_byte): r.is_secret for r in secrets.scan_secrets(df, forest).collect()}
+    whole = [got.get((i, len(b.encode()), len((b + v).encode()))) for i, (v, b, _, _, _) in enumerate(fresh)]
+    labels = [f[4] for f in fresh]
+    assert sum(w is not None for w, y in zip(whole, labels) if y) >= 0.97 * sum(labels)
+    assert sum(bool(w) for w, y in zip(whole, labels) if y) >= 0.95 * sum(labels)
+    assert sum(bool(w) for w, y in zip(whole, labels) if not y) <= 0.03 * (len(labels) - sum(labels))
+
+
+def test_assigned_values_are_masked_whole(spark):
+    forest = secrets.fit_secrets()
+    texts = ['password = "correcthorsebattery"', 'secret: "kQzWvbTnLpXr"', "api_key=QwErTyUiOpAsDfGhJkLzXcVbNm", 'password: "p@ss!w0rd.x9#Kq"', "token=ab12cd34ef56&user=bob", 'note: "a quiet evening at the river"', "see https://example.org/some/path"]
+    df = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = [r.text for r in secrets.redact_secrets(df, forest).orderBy("doc_id").collect()]
+    assert got == ['password = "[SECRET]"', 'secret: "[SECRET]"', "api_key=[SECRET]", 'password: "[SECRET]"', "token=[SECRET]&user=bob", *texts[5:]]
+
+
 def test_feature_rows_are_finite():
     x, _ = langid.features(pa.array(["", None, "a", "ab", "x" * 10]), 256)
     assert np.isfinite(x).all() and np.isfinite(quality.text_view(pa.array(["", None, "a", "| |", "x" * 10]))).all()
