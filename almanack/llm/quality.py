@@ -222,7 +222,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, config: CoTrainConfig = CoTr
     rows = docs.count()
     share = int(span * min(1.0, 1.2 * config.pool / max(rows, 1)))
     extra = base.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(span)) < share).join(F.broadcast(small.select("doc_id")), "doc_id", "left_anti")
-    extra = extra.select("doc_id", F.lit(-1).alias("y"), "text", "lang", "source", "n_chars").limit(config.pool)
+    extra = extra.select("doc_id", F.lit(-1).alias("y"), "text", "lang", "source", "n_chars")
+    extra = extra.orderBy(F.xxhash64("doc_id", F.lit(1)).bitwiseAND(span - 1), "doc_id", F.xxhash64("text", "lang", "source", "n_chars")).limit(config.pool)
     table = known.unionByName(extra).mapInArrow(features, shape).toPandas().sort_values(["doc_id", "y"] + [f"t{i}" for i in range(TEXT_FEATURES)], kind="stable")
     x = table.filter(regex="^t").to_numpy(), table.filter(regex="^m").to_numpy()
     y = table["y"].to_numpy()

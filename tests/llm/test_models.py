@@ -205,6 +205,18 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_pool_is_the_same_in_any_layout(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, speech("en", rng, 30) + "." * (i % 3), "en", "s", 100) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    pools = []
+    monkeypatch.setattr(quality, "co_train", lambda a, b, y, pool_a, pool_b, config: pools.append(pool_a))
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows if parts == 1 else rows[::-1], "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        quality.fit_quality(docs, labels, config=quality.CoTrainConfig(pool=60))
+    assert len(pools[0]) == len(pools[1]) == 60 and (pools[0] == pools[1]).all()
+
+
 def test_views_exchange_labels():
     rng = np.random.default_rng(7)
     y = rng.integers(0, 2, 60).astype(float)
