@@ -4,7 +4,8 @@ A slice of text is split into pre-tokens without a regular-expression engine: th
 asks for the class of each code point (letter, number, white space, other), so its matches follow
 from the borders of runs. Distinct pre-tokens are put into matrices by length; in each round every
 row merges its leftmost pair of lowest rank, pairs are looked up in an open-addressing hash table,
-rows close the gap, and finished rows leave. A bounded cache keeps the ids of pre-tokens seen.
+rows close the gap, and finished rows leave. A bounded cache, keyed by the bytes themselves, keeps the
+ids of pre-tokens seen.
 """
 
 from __future__ import annotations
@@ -93,6 +94,28 @@ def pre_tokens(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return at[begin]
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span for each distinct byte string, and for every span the place of its own in that list.
+
+    Hashes group the spans, and the bytes of each are compared with those of its group's first.
+    """
+    _, first, back = np.unique(textcore.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[back]
+    same = size == size[like]
+    some = np.flatnonzero(same)
+    cum = np.cumsum(size[some])
+    inside = np.arange(cum[-1] if len(cum) else 0) - np.repeat(cum - size[some], size[some])
+    differ = data[inside + np.repeat(starts[some], size[some])] != data[inside + np.repeat(starts[like[some]], size[some])]
+    same[np.repeat(some, size[some])[differ]] = False
+    if not same.all():  # two strings with one hash: those that differ from the first go by their bytes
+        own: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same):
+            back[i] = own.setdefault(data[starts[i] : ends[i]].tobytes(), len(first))
+            if back[i] == len(first):
+                first = np.append(first, i)
+    return first, back
+
+
 class Bpe:
     """A vocabulary of ranks and the tables to encode and decode with it."""
 
@@ -116,7 +139,7 @@ class Bpe:
                     keys.append(a * self.count + b)
                     values.append(rank)
         self._build(np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64))
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.known_at, self.known_size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
         self.known_ids, self.used = np.zeros(1 << 14, dtype=np.int32), 0
 
@@ -214,8 +237,8 @@ class Bpe:
                         heapq.heappush(heap, (memo[key], x, *key))
         return np.array([x for x in ids if x >= 0], dtype=np.int64)
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: list[int]) -> None:
-        """Encode new distinct pre-tokens, by length, and keep them."""
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: list[bytes]) -> None:
+        """Encode new distinct pre-tokens, by length, and keep them under their bytes."""
         size = ends - starts
         got: list[np.ndarray | None] = [None] * len(starts)
         for length in np.unique(size):
@@ -247,11 +270,11 @@ class Bpe:
         if not len(starts):
             return np.zeros(0, dtype=np.int32), np.zeros(len(offs), dtype=np.int64)
         ends = np.append(starts[1:], len(data))
-        h = textcore.span_hashes(data, starts, ends)
-        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > CACHE and self.known:
+        first, back = distinct_spans(data, starts, ends)
+        if len(self.known) + len(first) > CACHE and self.known:
             self.known, self.used = {}, 0
-        keys = uniq.tolist()
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         spot = np.array([self.known.get(k, -1) for k in keys], dtype=np.int64)
         new = np.flatnonzero(spot < 0)
         if len(new):

@@ -2,9 +2,11 @@
 
 A turn is ``<|turn|>role\\n``, its content, ``<|end|>\\n``. Every control string starts with ``<|``; in
 roles and texts each ``<``, backslashes, ``|`` gets one backslash more, so none can be forged and
-unescaping restores the text exactly. Content is a list of typed parts: texts are escaped, and
-images, audio and documents become placeholders in order, with a reference to the attachment and
-the number of tokens that it expands to.
+unescaping restores the text exactly. Content is a list of typed parts: texts that stand next to each
+other are joined and then escaped, so that no control string can be put together from several
+parts, and all other kinds become placeholders in order, with a reference to the attachment and the
+number of tokens that it expands to. What follows a placeholder is escaped apart from it: placeholders
+end in ``>`` and control strings start with ``<``, so none can form across that border.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 TURN, END, BREAK = "<|turn|>", "<|end|>\n", "<|nl|>"
 PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
-#: Kinds of parts that become placeholders.
+#: Kinds of parts with a placeholder of their own; any other kind but ``text`` is a ``file``.
 KINDS = ("image", "audio", "document")
 
 
@@ -38,24 +40,40 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"<\\(\\*)\|", r"<$1|")
 
 
-def _visit(part: Column, config: ChatConfig) -> Column:
-    """One part: what stands in the text, and the attachment (null for text)."""
+def _attachment(part: Column, config: ChatConfig) -> Column:
+    """What a part that is no text refers to, and the tokens that it expands to; null for text."""
     kind = F.lower(F.coalesce(part["kind"], F.lit("text")))
     size = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
     tokens = (
         F.when(kind == "image", F.ceil(size(part["width"]) / config.patch) * F.ceil(size(part["height"]) / config.patch))
         .when(kind == "audio", F.ceil(size(part["seconds"]) * config.audio_rate))
         .when(kind == "document", size(part["pages"]).cast("long") * config.page_tokens)
+        .otherwise(0)
         .cast("long")
     )
-    mark = kind.isin(*KINDS)
-    return F.struct(F.when(mark, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit("")))).alias("out"), F.when(mark, F.struct(kind.alias("kind"), part["uri"].alias("uri"), tokens.alias("tokens"))).alias("ref"))
+    return F.when(kind != "text", F.struct(kind.alias("kind"), part["uri"].alias("uri"), tokens.alias("tokens")))
+
+
+def _body(parts: Column) -> Column:
+    """The parts as one string: runs of text joined, then escaped; a placeholder for every other part."""
+    kind = lambda p: F.lower(F.coalesce(p["kind"], F.lit("text")))
+    mark = lambda p: F.concat(F.lit("<|"), F.when(kind(p).isin(*KINDS), kind(p)).otherwise(F.lit("file")), F.lit("|>"))
+    empty = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+
+    def visit(state: Column, p: Column) -> Column:
+        text = F.struct(state["done"].alias("done"), F.concat(state["open"], F.coalesce(p["text"], F.lit(""))).alias("open"))
+        other = F.struct(F.concat(state["done"], escape(state["open"]), mark(p)).alias("done"), F.lit("").alias("open"))
+        return F.when(kind(p) == "text", text).otherwise(other)
+
+    return F.aggregate(parts, empty, visit, lambda state: F.concat(state["done"], escape(state["open"])))
 
 
 def format_chats(rows: DataFrame, config: ChatConfig = ChatConfig(), conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans, attachments, attachment_tokens), one row a conversation.
 
-    ``parts`` names a column ``array<PART>``; without it, ``text`` is the one part. Turns go by
+    ``parts`` names a column ``array<PART>``; without it, ``text`` is the one part. Null parts are left
+    out, and a part without a kind is text; a part of a kind that is not known stands as ``<|file|>``
+    and is listed under its own kind with no tokens. Turns go by
     number, then role and text, so ties and repeated rows have a fixed place; a null turn comes
     first, null roles and texts are empty, and null conversation ids form one conversation.
     ``loss_spans`` are code-point ranges of ``formatted`` with what the learned roles say. A
@@ -65,9 +83,9 @@ def format_chats(rows: DataFrame, config: ChatConfig = ChatConfig(), conv: str =
     who = F.coalesce(F.col(role).cast("string"), F.lit(""))
     base = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), who.alias("role"), said.alias("text"), *([F.col(parts).alias("parts")] if parts else []))
     if parts:
-        seen = F.transform(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")), lambda p: _visit(p, config))
-        base = base.withColumn("seen", seen)
-        base = base.withColumn("body", F.array_join(F.transform("seen", lambda s: s["out"]), "")).withColumn("refs", F.filter(F.transform("seen", lambda s: s["ref"]), lambda r: r.isNotNull()))
+        given = F.filter(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
+        base = base.withColumn("parts", given)
+        base = base.withColumn("body", _body(F.col("parts"))).withColumn("refs", F.filter(F.transform("parts", lambda p: _attachment(p, config)), lambda r: r.isNotNull()))
     else:
         base = base.withColumn("body", escape(F.col("text"))).withColumn("refs", F.expr("cast(array() as array<struct<kind:string,uri:string,tokens:bigint>>)"))
     base = base.withColumn("head", F.concat(F.lit(TURN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(BREAK)), F.lit("\n")))
