@@ -23,37 +23,52 @@ from pyspark.sql import functions as F
 from almanack.llm.storage import materialise
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Larger integers take no part: their products would not fit 64 bits.
-LIMIT = 1 << 26
 
 
 @dataclass(frozen=True)
 class BsiConfig:
-    """``block``: vectors of an index block; ``queries``: queries that travel together; ``lanes``:
-    parts that the index is dealt to (each gets every query once)."""
+    """``block``: vectors of an index block; ``queries``: queries that travel together; ``lane_blocks``:
+    blocks of the parts that the index is dealt to (each part gets every query once)."""
 
     k: int = 10
     scale: int = 1024
     slices: int = 8
     block: int = 4096
     queries: int = 128
-    lanes: int = 64
+    lane_blocks: int = 4
 
 
 def quantise(vectors: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows that take part, and their integers: not null, no null or non-finite component, in range."""
+    """Rows that take part, and their integers: not null, no null or non-finite component.
+
+    A component whose integer does not fit 64 bits fails the job: no score could be given for it.
+    """
     keep, out = [], []
     for i, v in enumerate(vectors):
         x = v.values
         if x is None or x.null_count:
             continue
-        x = np.floor(x.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-        if np.isfinite(x).all() and (np.abs(x) < LIMIT).all():
+        x = x.to_numpy(zero_copy_only=False).astype(np.float64)
+        if np.isfinite(x).all():
+            x = np.floor(x * scale)
+            if (np.abs(x) >= 2.0**62).any():
+                raise OverflowError("a component is too large for an integer of 64 bits")
             keep.append(i)
             out.append(x.astype(np.int64))
     return np.array(keep, dtype=np.int64), out
 
 
+def inner(ints: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; beyond the range of 64-bit sums by Python's integers, and an error if one does not fit."""
+    most = max((abs(int(x)) for x in (ints.min(initial=0), ints.max(initial=0))), default=0)
+    if most * sum(abs(x) for x in query.tolist()) < 1 << 63:
+        return ints @ query
+    exact = ints.astype(object) @ query.astype(object)
+    if any(not -(1 << 63) <= x < 1 << 63 for x in exact):
+        raise OverflowError("a score does not fit an integer of 64 bits")
+    return exact.astype(np.int64)
+
+
 class Block:
     """Bitmaps of some vectors of one length."""
 
@@ -99,7 +114,7 @@ class Block:
             out.append(now[0] if len(now) else np.zeros(self.words, dtype=np.uint64))
             carry = np.concatenate(up) if up else now[:0]
             level += 1
-        return out, int(weight.sum()) if self.shift else 0
+        return out, sum(weight.tolist()) if self.shift else 0
 
     def best(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows among which the k best (of any tie order) are for sure."""
@@ -132,13 +147,13 @@ class Block:
             return self.ids[:0], self.ids[:0]
         rows = self.best(query, k + int(np.count_nonzero(self.ids == own)))
         rows = rows[self.ids[rows] != own]
-        score = self.ints[rows] @ query
+        score = inner(self.ints[rows], query)
         order = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows][order], score[order]
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", config: BsiConfig = BsiConfig()) -> DataFrame:
-    """(block, lane, dims, ids, ints) of every vector that takes part, built where the rows are: no shuffle."""
+    """(block, dims, ids, ints) of every vector that takes part, built where the rows are: no shuffle."""
     base = vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).filter(F.col(id_col).isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +164,9 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             nonlocal made
             some = held.pop(dims)
             made += 1
-            ids, ints = np.array([i for i, _ in some], dtype=np.int64), np.concatenate([v for _, v in some]).astype(np.int32)
-            return pa.record_batch([pa.array([(part << 24) + made]), pa.array([(part * 31 + made) % config.lanes], pa.int32()), pa.array([dims], pa.int32()), pa.array([ids.tobytes()]), pa.array([ints.tobytes()])], names=["block", "lane", "dims", "ids", "ints"])
+            ids, ints = np.array([i for i, _ in some], dtype=np.int64), np.concatenate([v for _, v in some])
+            ints = ints.astype(np.int32) if np.abs(ints).max(initial=0) < 1 << 31 else ints
+            return pa.record_batch([pa.array([(part << 24) + made]), pa.array([dims], pa.int32()), pa.array([ids.tobytes()]), pa.array([ints.tobytes()])], names=["block", "dims", "ids", "ints"])
 
         for batch in batches:
             keep, ints = quantise(batch.column(1), config.scale)
@@ -161,12 +177,14 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         for dims in list(held):
             yield block(dims)
 
-    return materialise(base.mapInArrow(run, "block long, lane int, dims int, ids binary, ints binary"), "index")
+    return materialise(base.mapInArrow(run, "block long, dims int, ids binary, ints binary"), "index")
 
 
 def pack_queries(vectors: DataFrame, id_col: str, vector_col: str, config: BsiConfig) -> DataFrame:
-    """Queries in packs, one copy for each lane."""
-    base = vectors.select(F.col(id_col).cast("long"), F.col(vector_col))
+    """Queries in packs; of several vectors with one id that take part, the least one asks."""
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    base = base.filter(F.col("id").isNotNull() & finite).groupBy("id").agg(F.min("v").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,20 +194,21 @@ def pack_queries(vectors: DataFrame, id_col: str, vector_col: str, config: BsiCo
                 some = ints[a : a + config.queries]
                 yield pa.record_batch([pa.array([ids[a : a + config.queries].tobytes()]), pa.array([np.array([len(v) for v in some], dtype=np.int64).tobytes()]), pa.array([np.concatenate(some).tobytes()])], names=["q_ids", "q_dims", "q_ints"])
 
-    packs = base.mapInArrow(run, "q_ids binary, q_dims binary, q_ints binary")
-    return packs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(config.lanes - 1))))
+    return base.mapInArrow(run, "q_ids binary, q_dims binary, q_ints binary")
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", config: BsiConfig = BsiConfig()) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best vectors, all but those with its own id.
 
-    Ties go to the smaller id. Null vectors, and those with a null or non-finite component, a
-    component beyond ``LIMIT``, or a null id take no part; neither do vectors of another length
-    than the query's. Rows that repeat an id are candidates each, and queries each once (the
-    repeats of one query would only repeat its rows). Empty tables give an empty result.
+    Ties go to the smaller id. Null vectors, and those with a null or non-finite component or a
+    null id take no part; neither do vectors of another length than the query's. Rows that repeat an
+    id are candidates each; as a query an id asks once, with the least of its vectors in the order of
+    arrays. Empty tables give an empty result. A score that does not fit 64 bits is an error.
     """
     index = build_index(vectors, id_col, vector_col, config)
-    asked = pack_queries(queries.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]), id_col, vector_col, config)
+    lanes = max(1, -(-index.count() // config.lane_blocks))
+    index = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
+    asked = pack_queries(queries, id_col, vector_col, config).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, block = None, None
@@ -197,7 +216,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector
             for r in range(batch.num_rows):
                 key, dims, ids, ints, q_ids, q_dims, q_ints = (batch.column(c)[r].as_py() for c in range(7))
                 if key != name:
-                    name, block = key, Block(np.frombuffer(ids, dtype=np.int64), np.frombuffer(ints, dtype=np.int32).astype(np.int64).reshape(-1, dims), config.slices)
+                    ids = np.frombuffer(ids, dtype=np.int64)
+                    ints = np.frombuffer(ints, dtype=np.int32 if len(ints) == 4 * dims * len(ids) else np.int64).astype(np.int64)
+                    name, block = key, Block(ids, ints.reshape(-1, dims), config.slices)
                 ends = np.cumsum(np.frombuffer(q_dims, dtype=np.int64))
                 out: list[tuple[int, np.ndarray, np.ndarray]] = []
                 for own, q in zip(np.frombuffer(q_ids, dtype=np.int64).tolist(), np.split(np.frombuffer(q_ints, dtype=np.int64), ends[:-1]), strict=True):

@@ -33,12 +33,35 @@ def test_top_k_agrees_with_all_scores(spark):
     vectors += [(800 + i, vectors[i % 5][1]) for i in range(40)]  # ties
     vectors += [(900, None), (901, [0.1, None] + [0.0] * 7), (902, [math.nan] * 9), (1000, [math.inf] * 9), (None, [0.1] * 9), (1100, [0.5, 0.5]), (1101, [0.25, -0.5]), (1200, [0.0] * 9)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
-    config = topk.BsiConfig(block=64, queries=3, lanes=4)
+    config = topk.BsiConfig(block=64, queries=3, lane_blocks=3)
     got = topk.top_k(df.filter("vec_id % 100 = 0"), df, config=config)
     assert {tuple(r) for r in got.collect()} == best(vectors)
     assert topk.top_k(df.limit(0), df, config=config).count() == 0 and topk.top_k(df, df.limit(0), config=config).count() == 0
 
 
+def test_large_components_take_part(spark):
+    rng = random.Random(3)
+    vectors = [(0, [1.0, 2.0]), (1, [70000.0, 1.0]), (2, [1.0, 1.0]), (100, [1e6, -1e6])] + [(1000 + i, [rng.uniform(-4e5, 4e5), rng.uniform(-4e5, 4e5)]) for i in range(200)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(2)
+    for config in (topk.BsiConfig(block=50, slices=6), topk.BsiConfig()):
+        assert {tuple(r) for r in topk.top_k(df.filter("vec_id % 100 = 0"), df, config=config).collect()} == best(vectors)
+    huge = spark.createDataFrame([(0, [3e6, 3e6]), (1, [3e6, 3e6])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        topk.top_k(huge, huge).collect()
+
+
+def test_a_repeated_query_asks_with_its_least_vector(spark):
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 5.0]), (0, [0.5, math.nan]), (1, [0.0, 1.0]), (2, [1.0, 0.0])]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        assert {tuple(r) for r in topk.top_k(df.filter("vec_id = 0"), df).collect()} == {(0, 1, 1, 5 * 1024 * 1024), (0, 2, 2, 1024 * 1024)}
+
+
+def test_sums_beyond_64_bits_are_exact():
+    ints = np.array([[1 << 61, -(1 << 61)], [1 << 40, 5], [-(1 << 61), 1 << 61]], dtype=np.int64)
+    assert topk.inner(ints, np.array([3, 3])).tolist() == [0, 3 * (1 << 40) + 15, 0]
+
+
 @pytest.mark.parametrize("slices", [1, 3, 8, 20])
 def test_boundary_rows_are_never_lost(slices):
     rng = np.random.default_rng(slices)
