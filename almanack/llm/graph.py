@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanack.llm.storage import materialise
+from almanack.llm.storage import drop, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,21 +23,24 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
 
-    An empty table gives an empty result. Loops and repeated links are harmless.
+    An empty table gives an empty result. Loops and repeated links are harmless. Rounds go on until
+    nothing changes, which the two stars reach for every graph (their number grows with the square
+    of the logarithm of a component's size at most); each round's table is deleted after the next.
     """
+    spark = edges.sparkSession
     now = materialise(edges.filter("a <> b").select("a", "b").distinct(), "links")
     mark = None
-    for _ in range(rounds):
-        now = materialise(_stars(_stars(now, True), False), "stars")
+    while True:
+        new = materialise(_stars(_stars(now, True), False), "stars")
+        drop(spark, now)
+        now = new
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark or not state[0]:
             break
         mark = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     tops = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return roots.union(tops.join(roots, "node", "left_anti"))

@@ -9,10 +9,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def workdir(spark: SparkSession) -> str:
@@ -56,9 +58,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table that no later plan reads."""
-    _remove(spark, path)
+def drop(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a table made by ``materialise`` that no later plan reads."""
+    path = _PATHS.pop(df, None)
+    if path:
+        _remove(spark, path)
 
 
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -66,4 +70,6 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
