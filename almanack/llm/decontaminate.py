@@ -1,19 +1,22 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 Texts are sequences of words (lower-cased A-Z; letters, digits and all non-ASCII bytes). A
-document leaks an item of ``L`` words when some window of exactly ``L`` of its words is within
+document leaks an item of ``L`` words when some run of its words, of any length, is within
 ``k = floor(edit_share * L)`` word edits of the item.
 
-* A window can only qualify if it shares ``L - q + 1 - k q`` q-grams with the item (q-gram lemma,
-  ``q`` small enough to make that positive); this loses nothing and leaves few windows.
-* Each such window and each item are embedded by the CGK random walk: read a symbol, write it,
-  advance or stay by a random bit of (step, symbol). Edit distance ``k`` becomes Hamming distance
-  O(k^2) with good probability. Several walks, each with tables that sample ``sample`` positions,
-  are compared; their number follows from ``recall`` and ``agree``, the share of positions on
-  which windows at the limit agree.
-* Windows that collide with an item in some table are verified by exact edit distance.
-
-Items are broadcast in blocks of at most ``block_items``; more items mean more blocks, not larger ones.
+* Such a run has at most ``L + k`` words and shares ``L - q + 1 - k q`` q-grams with the item (q-gram
+  lemma, ``q`` small enough to make that positive); this loses nothing and leaves few places where it
+  may start.
+* The item-sized window at each such place (filled up behind the end of the document) and each item
+  are embedded by the CGK random walk: read a symbol, write it, advance or stay by a random bit of
+  (step, symbol). Edit distance ``k`` becomes Hamming distance O(k^2) with good probability. Several
+  walks, each with tables that sample ``sample`` positions, are compared; their number follows from
+  ``recall`` and ``agree``, the share of positions on which windows at the limit agree.
+* Around windows that collide with an item in some table, widened by ``k`` words on both sides, the
+  run with the fewest edits is found by exact edit distance with free ends.
+
+Items are broadcast in blocks of at most ``block_items`` items and about ``block_bytes`` of text; more items
+mean more blocks, not larger ones.
 """
 
 from __future__ import annotations
@@ -36,12 +39,16 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 
 @dataclass(frozen=True)
 class CgkConfig:
+    """``burst``: matches of q-grams that are looked at together."""
+
     edit_share: float = 0.2
     recall: float = 0.995
     agree: float = 0.5
     sample: int = 3
     walks: int = 4
     block_items: int = 20_000
+    block_bytes: int = 32 << 20
+    burst: int = 1 << 21
     seed: int = 11
 
     @property
@@ -85,15 +92,23 @@ def lsh_keys(rows: np.ndarray, config: CgkConfig) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def edit_distances(rows: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Exact word edit distance of every row to ``item``."""
-    steps = np.arange(rows.shape[1] + 1)
-    now = np.tile(steps, (len(rows), 1))
+def best_run(words: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+    """(edits, start, end) of the run of ``words`` that is nearest to ``item``: the first to end, then nearest in length."""
+    edits = _last_row(words, item, free=True)
+    end = int(np.argmin(edits))
+    back = _last_row(words[:end][::-1], item[::-1], free=False)
+    sizes = np.flatnonzero(back == edits[end])
+    return int(edits[end]), end - int(sizes[np.argmin(np.abs(sizes - len(item)))]), end
+
+
+def _last_row(words: np.ndarray, item: np.ndarray, free: bool) -> np.ndarray:
+    """Edits between ``item`` and the words up to each place, from the first one or (``free``) from any."""
+    steps = np.arange(len(words) + 1)
+    now = np.zeros_like(steps) if free else steps
     for i, symbol in enumerate(item, 1):
-        best = np.minimum(now[:, 1:] + 1, now[:, :-1] + (rows != symbol))
-        best = np.concatenate([np.full((len(rows), 1), i), best], axis=1)
-        now = np.minimum.accumulate(best - steps, axis=1) + steps
-    return now[:, -1]
+        best = np.minimum(now[1:] + 1, now[:-1] + (words != symbol))
+        now = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
+    return now
 
 
 @dataclass
@@ -130,56 +145,82 @@ def grams(words: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def _search(items: _Items, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(row, item, first word, edits) of the best window of each leaked item in each row."""
-    hits: dict[tuple[int, int], list[np.ndarray]] = {}
+def _matches(items: _Items, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, item, places of shared q-grams) for each row and item that share enough of them."""
     for q, (keys, owner) in items.grams.items():
         g = grams(words, q)
         spots = np.flatnonzero(items.maybe[q][g >> _U(42)])
         lo, hi = np.searchsorted(keys, g[spots], "left"), np.searchsorted(keys, g[spots], "right")
-        real = hi > lo
-        spots, lo, count = spots[real], lo[real], (hi - lo)[real]
+        row = np.searchsorted(first, spots, "right") - 1
+        real = (hi > lo) & (spots + q <= first[row + 1])
+        spots, lo, count, row = spots[real], lo[real], (hi - lo)[real], row[real]
         if not len(spots):
             continue
-        row = np.searchsorted(first, spots, "right") - 1
-        inside = spots + q <= first[row + 1]
-        spots, lo, count, row = spots[inside], lo[inside], count[inside], row[inside]
-        at = np.repeat(spots, count)
-        who = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-        pair = np.repeat(row, count).astype(np.int64) * len(items.words) + who
+        # A gram that many items hold is spread out in parts, so that memory stays bounded.
+        part = np.cumsum(count) // items.config.burst
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+
+        def spread(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            n = count[a:b]
+            who = owner[np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            return np.repeat(row[a:b], n).astype(np.int64) * len(items.words) + who, np.repeat(spots[a:b], n)
+
+        parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        need = np.array(items.need)
+        if len(parts) == 1:
+            pair, at = spread(*parts[0])
+        else:
+            seen, total = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            for a, b in parts:
+                both, n = np.unique(spread(a, b)[0], return_counts=True)
+                seen, back = np.unique(np.concatenate([seen, both]), return_inverse=True)
+                total = np.bincount(back, np.concatenate([total, n]), len(seen)).astype(np.int64)
+            enough = seen[total >= need[seen % len(items.words)]]
+            kept = [(p[ok], s[ok]) for a, b in parts for p, s in [spread(a, b)] for ok in [np.isin(p, enough)]]
+            pair, at = (np.concatenate(x) for x in zip(*kept, strict=True))
         order = np.lexsort((at, pair))
         pair, at = pair[order], at[order]
-        cuts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else []
-        for a, b in zip(cuts, [*cuts[1:], len(pair)], strict=True):
-            r, i = divmod(int(pair[a]), len(items.words))
-            if b - a >= items.need[i]:
-                hits[r, i] = at[a:b]
+        edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]])) if len(pair) else np.zeros(1, dtype=np.int64)
+        who = pair[edge[:-1]] % len(items.words)
+        for j in np.flatnonzero(np.diff(edge) >= need[who]):
+            yield int(pair[edge[j]]) // len(items.words), int(who[j]), at[edge[j] : edge[j + 1]]
+
+
+def _search(items: _Items, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, first word, word after the last, edits) of the best run for each leaked item in each row."""
     out = []
-    for (r, i), at in hits.items():
-        length, k = len(items.words[i]), items.limit[i]
-        begin, end = int(first[r]), int(first[r + 1])
-        if end - begin < length:
-            continue
-        starts = _windows(at, items, i, begin, end)
+    for r, i, at in _matches(items, words, first):
+        item, k = items.words[i], items.limit[i]
+        length, begin, end = len(item), int(first[r]), int(first[r + 1])
+        starts = _starts(at, items, i, begin, end)
         if not len(starts):
             continue
-        rows = words[starts[:, None] + np.arange(length)]
-        near = (lsh_keys(rows, items.config) == items.keys[i]).any(axis=1)
-        if not near.any():
+        near = []
+        for a in range(0, len(starts), 4096):
+            some = starts[a : a + 4096]
+            place = some[:, None] + np.arange(length)
+            rows = np.where(place < end, words[np.minimum(place, end - 1)], _U(0))
+            near.append(some[(lsh_keys(rows, items.config) == items.keys[i]).any(axis=1)])
+        near = np.concatenate(near)
+        if not len(near):
             continue
-        dist = edit_distances(rows[near], items.words[i])
-        best = int(np.argmin(dist))
-        if dist[best] <= k:
-            out.append((r, i, int(starts[near][best]), int(dist[best])))
+        best = (k + 1, 0, 0)
+        breaks = np.flatnonzero(np.diff(near) > length + 2 * k)
+        for a, b in zip(near[np.concatenate([[0], breaks + 1])].tolist(), near[np.concatenate([breaks, [len(near) - 1]])].tolist(), strict=True):
+            low = max(begin, a - k)
+            edits, x, y = best_run(words[low : min(end, b + length + k)], item)
+            best = min(best, (edits, low + x, low + y))
+        if best[0] <= k:
+            out.append((r, i, best[1], best[2], best[0]))
     return out
 
 
-def _windows(at: np.ndarray, items: _Items, i: int, begin: int, end: int) -> np.ndarray:
-    """Starts of item-sized windows that hold enough q-gram hits of the item."""
-    length, q, need = len(items.words[i]), items.width[i], items.need[i]
-    # A window [s, s + length) holds the hits at[j .. j + need - 1] when both ends fit.
-    lo = np.maximum(at[need - 1 :] + q - length, begin)
-    hi = np.minimum(at[: len(at) - need + 1], end - length)
+def _starts(at: np.ndarray, items: _Items, i: int, begin: int, end: int) -> np.ndarray:
+    """Where a run within the limit of edits may start: enough q-gram hits lie in the longest run from there."""
+    length, q, need, k = len(items.words[i]), items.width[i], items.need[i], items.limit[i]
+    # A run [s, s + length + k) holds the hits at[j .. j + need - 1] when both ends fit.
+    lo = np.maximum(at[need - 1 :] + q - length - k, begin)
+    hi = np.minimum(at[: len(at) - need + 1], end - (length - k))
     marks = np.zeros(end - begin + 2, dtype=np.int64)
     fits = lo <= hi
     np.add.at(marks, lo[fits] - begin, 1)
@@ -188,27 +229,29 @@ def _windows(at: np.ndarray, items: _Items, i: int, begin: int, end: int) -> np.
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, config: CgkConfig) -> Iterator[_Items]:
+    """Items in blocks. They come to the driver a partition at a time, and no block exceeds its bounds by more than an item."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    parts = -(-rows.count() // config.block_items)
-    for part in range(parts):
-        block = rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow().combine_chunks()
-        ids, words = [], []
-        if block.num_rows:
-            texts = block.column("text")
-            texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-            ids = block.column("id").to_numpy()
-            for _, _, data, offs in textcore.slices(texts):
-                w, _, _, first = tokenize(data, offs)
-                words += [w[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield _Items(np.asarray(ids, dtype=np.int64), words, config)
+    ids, words, size = [], [], 0
+    for row in rows.toLocalIterator():
+        raw = row.text.encode()
+        if ids and (len(ids) >= config.block_items or size + len(raw) > config.block_bytes):
+            yield _Items(np.array(ids, dtype=np.int64), words, config)
+            ids, words, size = [], [], 0
+        ids.append(row.id)
+        words.append(tokenize(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0])
+        size += len(raw)
+    if ids:
+        yield _Items(np.array(ids, dtype=np.int64), words, config)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", config: CgkConfig = CgkConfig()) -> DataFrame:
     """(id, item_id, edits, item_words, start_byte, end_byte): one row per document and leaked item.
 
-    The span is that of the best window (fewest edits, then first) in the UTF-8 text. Null, empty
-    and wordless texts leak nothing; items without words or id are never leaked. Repeated rows
-    give repeated results. A null document id stays null. Other columns are ignored.
+    The span, in the UTF-8 text, is that of the best run (fewest edits, then first) around the windows
+    that the tables found. Null, empty and wordless texts leak nothing; items without words or id are
+    never leaked. Repeated documents give repeated results, and so do repeated items; items that
+    repeat an id with other texts are each looked for. A null document id stays null. Other columns
+    are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -224,9 +267,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     words, starts, ends, first = tokenize(data, offs)
                     found = _search(have, words, first)
                     if found:
-                        rows, who, at, edits = map(np.array, zip(*found, strict=True))
+                        rows, who, at, stop, edits = map(np.array, zip(*found, strict=True))
                         size = np.array([len(have.words[i]) for i in who])
-                        yield pa.record_batch([batch.column(0).take(pa.array(rows + lo)), pa.array(have.ids[who]), pa.array(edits, pa.int32()), pa.array(size, pa.int32()), pa.array(starts[at] - offs[rows]), pa.array(ends[at + size - 1] - offs[rows])], names=names)
+                        yield pa.record_batch([batch.column(0).take(pa.array(rows + lo)), pa.array(have.ids[who]), pa.array(edits, pa.int32()), pa.array(size, pa.int32()), pa.array(starts[at] - offs[rows]), pa.array(ends[stop - 1] - offs[rows])], names=names)
 
         part = base.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -12,13 +12,14 @@ def words(text):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """The fewest edits between ``a`` and any run of ``b``."""
+    row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
-    return row[-1]
+    return min(row)
 
 
 def brute(docs, items, share):
@@ -29,8 +30,8 @@ def brute(docs, items, share):
             x = words(item)
             if d is None or not x or i is None:
                 continue
-            best = min((distance(w[s : s + len(x)], x) for s in range(len(w) - len(x) + 1)), default=99)
-            if best <= int(share * len(x)):
+            best = distance(x, w)
+            if w and best <= int(share * len(x)):
                 out[d, i] = best
     return out
 
@@ -65,6 +66,36 @@ def test_agrees_with_all_windows(spark, seed):
     assert all(got[k] >= expected[k] for k in got)
 
 
+def test_shorter_and_longer_runs_are_found(spark):
+    item = [f"q{k}" for k in range(30)]
+    gone = lambda *out: [x for k, x in enumerate(item) if k not in out]
+    more = [y for k, x in enumerate(item) for y in ([x, "new"] if k % 6 == 0 else [x])]
+    pad = [f"p{k}" for k in range(40)]
+    docs = [(1, gone(7)), (2, gone(0, 29)), (3, pad + gone(2, 9, 16, 23, 28) + pad), (4, pad + more + pad), (5, gone(*range(10))), (6, more), (7, item[3:])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))] * 2 + [(5, "other words here")], "item_id long, text string")
+    got = sorted((r.doc_id, r.edits) for r in leaks(docs, items).collect())
+    assert got == sorted(2 * [(1, 1), (2, 2), (3, 5), (4, 5), (6, 5), (7, 3)])
+    assert [r.doc_id for r in drop_leaking(docs, items).collect()] == [5]
+
+
+def test_bounded_bursts_and_blocks_change_nothing(spark):
+    docs, items = corpus(3)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted(leaks(d, i).collect())
+    assert sorted(leaks(d, i, config=CgkConfig(burst=7)).collect()) == expected
+    assert sorted(leaks(d, i, config=CgkConfig(block_items=5, block_bytes=300)).collect()) == expected
+
+
+def test_like_strings_are_different_words(spark):
+    s = "a"
+    while len(s) < 1024:
+        s += s.translate(str.maketrans("ab", "ba"))
+    other = s.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, s), (2, other)], "doc_id long, text string")
+    assert [(r.doc_id, r.edits) for r in leaks(docs, spark.createDataFrame([(1, other)], "item_id long, text string")).collect()] == [(2, 0)]
+
+
 def test_filter_keeps_columns_and_clean_rows(spark):
     item = " ".join(f"q{k}" for k in range(20))
     docs = spark.createDataFrame([(1, "a " + item + " b", "x", 1), (1, "clean", None, 2), (None, None, "y", None), (3, "long " * 200_000 + item, "z", 4)], "doc_id long, text string, item_id string, edits int")
