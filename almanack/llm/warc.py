@@ -2,13 +2,15 @@
 
 Archives are written and read inside tasks, straight to and from the shared folder. A task names
 its archives by its attempt and reports them in a manifest; Spark commits the manifest, so the
-archives of lost or repeated attempts are never read.
+archives of lost or repeated attempts are never read. The reader takes any archive of that kind
+(``list_archives``): WARC 1.0 and 1.1, records of every type, ids as text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.llm.storage import fresh, materialise
@@ -27,6 +29,7 @@ from almanack.llm.storage import fresh, materialise
 SKIPPABLE = 0x184D2A5D  # the skippable frame that holds a WARC dictionary
 FRAME = 0xFD2FB528
 VERSION = b"WARC/1.1"
+READABLE = (b"WARC/1.0", b"WARC/1.1")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -110,15 +113,17 @@ def plan_records(pages: DataFrame, config: WarcConfig, id_col: str = "page_id",
     """(page_id, uid, url, payload, sha1, first_id, first_uid): each page with the response of its payload.
 
     Equal payloads are found by SHA-256 and length, with a partial minimum for each task, so one
-    payload that fills a third of the table costs a row a task; the join splits such keys. The
+    payload that fills a third of the table costs a row a task. What repeats is written before it is
+    joined: with a plain exchange on both sides, adaptive execution can split a hot key. The
     numbered rows are written once, as numbers must not change between the two uses.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     base = base.withColumn("uid", F.monotonically_increasing_id()).withColumn("key", F.sha2("payload", 256)).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
     base = materialise(base, "pages", "zstd")
     order = F.struct(F.col("page_id").isNull(), F.col("page_id").alias("page_id"), F.col("uid").alias("uid"))
-    first = base.filter(F.octet_length("payload") >= config.revisit_bytes).groupBy("key").agg(F.min(order).alias("first"))
-    return base.join(first.select("key", F.col("first.page_id").alias("first_id"), F.col("first.uid").alias("first_uid")), "key", "left").drop("key")
+    first = base.filter(F.octet_length("payload") >= config.revisit_bytes).groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = materialise(first.select("key", F.col("first.page_id").alias("first_id"), F.col("first.uid").alias("first_uid")), "repeated")
+    return base.join(first, "key", "left").drop("key")
 
 
 def _name(page_id: int | None, uid: int) -> str:
@@ -195,53 +200,83 @@ def frames(stream, chunk: int = 64 << 10) -> Iterator[bytes]:
 
 
 def parse(data: bytes) -> dict:
-    """One record's fields, validated: version, headers, lengths, line ends, HTTP head, digest."""
+    """One record's fields, validated: version, headers, lengths, line ends, HTTP head, digest.
+
+    The payload is what follows the HTTP head in ``application/http`` responses, revisits and
+    requests, and the whole block otherwise. Its length and SHA-1 are checked where the record states
+    them and holds all of it; digests of other kinds are handed on.
+    """
     head, sep, rest = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not sep or lines[0] != VERSION:
-        raise WarcError("no WARC/1.1 version line")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise WarcError("a header line without a colon")
-        headers[name.strip().lower().decode()] = value.strip().decode()
+    lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")  # a header may go on in the next line
+    if not sep or lines[0] not in READABLE:
+        raise WarcError("no version line of WARC 1.0 or 1.1")
+    headers = _headers(lines[1:])
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
-        if name not in headers:
+        if not headers.get(name):
             raise WarcError(f"{name} is missing")
-    if not headers["content-length"].isdigit():
+    if not re.fullmatch("[0-9]{1,18}", headers["content-length"]):
         raise WarcError("content-length is no number")
     size = int(headers["content-length"])
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise WarcError("the block's length differs from content-length")
-    kind = headers["warc-type"]
-    http, sep, payload = rest[:size].partition(b"\r\n\r\n")
-    length = next((x.split(b":", 1)[1].strip() for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), b"")
-    if not sep or not length.isdigit():
-        raise WarcError("the HTTP head has no length")
-    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response":
-        if len(payload) != int(length):
+    kind, block = headers["warc-type"], rest[:size]
+    digest, payload, length = headers.get("warc-payload-digest"), block, size
+    if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http") and kind in ("response", "revisit", "request"):
+        top, sep, payload = block.partition(b"\r\n\r\n")
+        if not sep and kind == "response":
+            raise WarcError("the HTTP head does not end")
+        http = _headers(top.split(b"\r\n")[1:])
+        length = http.get("content-length", "")
+        if length and not re.fullmatch("[0-9]{1,18}", length):
+            raise WarcError("the HTTP head's length is no number")
+        length = int(length) if length else None if kind == "revisit" else len(payload)
+        if kind == "response" and "transfer-encoding" not in http and "warc-truncated" not in headers and length != len(payload):
             raise WarcError("the payload's length differs from the HTTP head's")
-        if digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
+        length = length if kind == "revisit" else len(payload)
+    if kind == "revisit":
+        if "warc-profile" not in headers:
+            raise WarcError("a revisit without a profile")
+        if payload and headers["warc-profile"] == PROFILE:
+            raise WarcError("a revisit of an identical payload holds one itself")
+        payload = None
+    elif digest and digest.lower().startswith("sha1:") and "warc-truncated" not in headers:
+        if digest[5:].upper() != base64.b32encode(hashlib.sha1(payload).digest()).decode():
             raise WarcError("the payload's digest differs")
-    elif kind == "revisit":
-        if payload or "warc-refers-to" not in headers:
-            raise WarcError("a revisit has a payload, or refers to nothing")
-    else:
-        raise WarcError(f"unknown type {kind}")
-    page = lambda name: int(x) if (x := name.strip("<>").split(":")[2]) else None
-    return {"page_id": page(headers["warc-record-id"]), "url": headers.get("warc-target-uri"), "payload_bytes": int(length), "payload_digest": digest, "record_type": kind, "refers_to": page(headers["warc-refers-to"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
+    elif not digest:
+        digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    bare = lambda name: headers[name].removeprefix("<").removesuffix(">") if name in headers else None
+    return {"record_id": bare("warc-record-id"), "record_type": kind, "date": headers["warc-date"], "url": bare("warc-target-uri"), "content_type": headers.get("content-type"), "payload_bytes": length, "payload_digest": digest and (digest[5:].upper() if digest.lower().startswith("sha1:") else digest), "refers_to": bare("warc-refers-to"), "payload": payload}
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Header lines by lower-case name; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.partition(b":")
+        if not colon:
+            raise WarcError("a header line without a colon")
+        out.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
+    return out
+
 
+_READ = [(n, pa.string(), "string") for n in ("record_id", "record_type", "date", "url", "content_type")] + [("payload_bytes", pa.int64(), "long"), ("payload_digest", pa.string(), "string"), ("refers_to", pa.string(), "string"), ("payload", pa.binary(), "binary")]
 
-_READ = [("page_id", pa.int64(), "long"), ("url", pa.string(), "string"), ("payload_bytes", pa.int64(), "long"), ("payload_digest", pa.string(), "string"), ("record_type", pa.string(), "string"), ("refers_to", pa.int64(), "long"), ("payload", pa.binary(), "binary")]
+
+def list_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest of all ``*.warc.zst`` files below a folder that every executor sees; their records are not counted."""
+    store, root = fs.FileSystem.from_uri(folder)
+    found = store.get_file_info(fs.FileSelector(root, recursive=True))
+    rows = [(f.path, folder) for f in found if f.is_file and f.path.endswith(".warc.zst")]
+    return spark.createDataFrame(sorted(rows), "path string, folder string").withColumn("records", F.lit(None).cast("long"))
 
 
 def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of a manifest's archives; a broken archive or record fails the read (``WarcError``).
+    """The records of a manifest's archives, of every type; a broken archive or record fails the read (``WarcError``).
 
-    Archives are dealt out to tasks and streamed. Without ``payloads`` the column is left out;
-    everything is validated all the same.
+    (record_id, record_type, date, url, content_type, payload_bytes, payload_digest, refers_to, payload):
+    SHA-1 digests stand bare, others with their name; a revisit has no payload. Archives are dealt out
+    to tasks and streamed. Without ``payloads`` the column is left out; everything is validated all
+    the same. An empty manifest gives no records.
     """
     fields = _READ if payloads else _READ[:-1]
 
@@ -252,12 +287,14 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 rows, size, count = [], 0, 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream):
+                        if not data:  # a frame without content is no record
+                            continue
                         rows.append(parse(data))
                         size, count = size + len(data), count + 1
                         if size >= 4 << 20:
                             yield _rows(rows, fields)
                             rows, size = [], 0
-                if count != expected:
+                if expected is not None and count != expected:
                     raise WarcError(f"{path} has {count} records, not {expected}")
                 yield _rows(rows, fields)
 
@@ -265,5 +302,10 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     return manifest.select("path", "folder", "records").repartition(parts).mapInArrow(run, ", ".join(f"{n} {t}" for n, _, t in fields))
 
 
+def page_id(name: Column) -> Column:
+    """The page's id in a record's name as ``write_warc`` gives it; null in any other."""
+    return F.regexp_extract(name, "^urn:x-page:(-?[0-9]+):[0-9]+$", 1).try_cast("long")
+
+
 def _rows(rows: list[dict], fields: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[n] for r in rows], t) for n, t, _ in fields], names=[n for n, _, _ in fields])

@@ -5,6 +5,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from almanack.llm import warc
 
@@ -13,6 +14,10 @@ def digest(text):
     return base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
 
 
+def pages_of(df):
+    return df.withColumn("page_id", warc.page_id(F.col("record_id"))).withColumn("refers_to", warc.page_id(F.col("refers_to")))
+
+
 def rows(df):
     return sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in df.collect()), key=repr)
 
@@ -22,7 +27,7 @@ def test_round_trip(spark):
     pages += [(100 + i, f"http://x/{i}", f"<html><body>page {i} " + "words and more words " * 40, i) for i in range(300)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, uid long").repartition(3)
     manifest = warc.write_warc(df, config=warc.WarcConfig(archive_bytes=1 << 17))
-    got = warc.read_warc(manifest)
+    got = pages_of(warc.read_warc(manifest))
     first = min(p for p, _, h, _ in pages if p is not None and h == "<p>one</p>")
     expected, seen = [], set()
     for p, _, h, _ in pages:
@@ -41,7 +46,7 @@ def test_round_trip(spark):
 
 def test_small_payloads_are_all_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
-    got = warc.read_warc(warc.write_warc(df, config=warc.WarcConfig(revisit_bytes=3)))
+    got = pages_of(warc.read_warc(warc.write_warc(df, config=warc.WarcConfig(revisit_bytes=3))))
     assert {r.page_id: r.record_type for r in got.collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
@@ -62,13 +67,16 @@ GOOD = warc.record("response", "urn:x-page:1:0", None, "http://a", b"<p>", 3, di
         GOOD + b"x",
         GOOD.replace(b"<p>", b"<q>"),
         GOOD.replace(b"WARC-Date", b"WARC-Dote"),
-        GOOD.replace(b"WARC-Type: response", b"WARC-Type: other"),
+        GOOD.replace(b"WARC-Type: response", b"WARC-Type: "),
+        GOOD.replace(b"WARC-Type: response", b"WARC-Type: revisit"),
+        GOOD.replace(b"Content-Length: 8", b"Content-Length: \xc2\xb2"),
+        b"",
         GOOD.replace(b"WARC-Record-ID: ", b"WARC-Record-ID "),
         GOOD.replace(b"Content-Length: 3", b"Content-Length: 4"),
     ],
 )
 def test_validation(bad):
-    assert warc.parse(GOOD)["page_id"] == 1
+    assert warc.parse(GOOD)["record_id"] == "urn:x-page:1:0"
     with pytest.raises(warc.WarcError):
         warc.parse(bad)
 
@@ -86,3 +94,37 @@ def test_frames(compressed):
     with pytest.raises(warc.WarcError):
         list(warc.frames(io.BytesIO(whole[:-3])))
     assert list(warc.frames(io.BytesIO(b""))) == []
+
+
+def foreign(kind, block, version=b"WARC/1.0", **headers):
+    lines = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:12345678-1234-5678-9234-567812345678>", "WARC-Date": "2021-01-01T00:00:00Z", "Content-Length": str(len(block))} | {k.replace("_", "-"): v for k, v in headers.items()}
+    return version + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_public_archives_are_read(spark, tmp_path):
+    http = "application/http;\r\n msgtype=response"  # a folded header
+    body = b"<p>chunked"
+    records = [
+        foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body, Content_Type=http, WARC_Payload_Digest="sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode(), WARC_Target_URI="<http://a/>"),
+        foreign("metadata", b"fetchTimeMs: 3\r\n", WARC_Refers_To="<urn:uuid:x>", WARC_Payload_Digest="md5:abc"),
+        foreign("resource", b"", version=b"WARC/1.1"),
+        foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", Content_Type=http, WARC_Profile="http://netpreserve.org/warc/1.0/revisit/server-not-modified"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\ncut", Content_Type=http, WARC_Truncated="length"),
+        foreign("future-type", b"anything"),
+    ]
+    zip_ = zstandard.ZstdCompressor()
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.warc.zst").write_bytes(b"".join(map(zip_.compress, records)))
+    (tmp_path / "b.warc.zst").write_bytes(zip_.compress(records[0]) + zip_.compress(b"") + zip_.compress(records[1]))
+    (tmp_path / "other.txt").write_text("no archive")
+    got = warc.read_warc(warc.list_archives(spark, f"file://{tmp_path}")).collect()
+    assert sorted(r.record_type for r in got) == sorted(["warcinfo", "request", "response", "metadata", "resource", "revisit", "response", "future-type", "warcinfo", "request"])
+    whole = next(r for r in got if r.url == "http://a/")
+    assert bytes(whole.payload) == body and whole.payload_bytes == len(body) and whole.record_id == "urn:uuid:12345678-1234-5678-9234-567812345678"
+    assert {r.payload_digest for r in got if r.record_type == "metadata"} == {"md5:abc"} and all(r.payload is None for r in got if r.record_type == "revisit")
+    assert warc.read_warc(warc.list_archives(spark, f"file://{tmp_path}").limit(0)).count() == 0
+    (tmp_path / "c.warc.zst").write_bytes(zip_.compress(records[0])[:-3])
+    with pytest.raises(Exception, match="WarcError"):
+        warc.read_warc(warc.list_archives(spark, f"file://{tmp_path}")).collect()
