@@ -62,7 +62,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"), secrets.fit_secrets())
+    lexicon = secrets.read_lexicon(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), secrets.fit_secrets(lexicon))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

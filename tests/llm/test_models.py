@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
 from almanack.llm import ctw, langid, quality, secrets, topk
+from labelled_texts import FINDINGS
 
 
 # top-k
@@ -253,17 +255,19 @@ def test_views_exchange_labels():
 
 # secrets
 
+LEXICON = secrets.read_lexicon(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
 
 def test_forest_on_held_out_findings():
-    forest = secrets.fit_secrets(secrets.SecretConfig(findings=2000, trees=20))
+    forest = secrets.fit_secrets(LEXICON, secrets.SecretConfig(findings=2000, trees=20))
     fresh = secrets.labelled_findings(800, 123)
-    p = forest.prob(np.array([secrets.features(*f[:4]) for f in fresh])) >= 0.5
+    p = forest.prob(np.array([secrets.features(*f[:4], LEXICON) for f in fresh])) >= 0.5
     y = np.array([f[4] for f in fresh]) == 1
     assert (p == y).mean() > 0.97
 
 
 def test_secrets(spark):
-    forest = secrets.fit_secrets(secrets.SecretConfig(findings=2000, trees=20))
+    forest = secrets.fit_secrets(LEXICON, secrets.SecretConfig(findings=2000, trees=20))
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(1, f'été thing token = "{key}" more words', "src1", 1), (2, "a card 4952935900253052 and +1 (487) 555-7209 only", "src2", 2), (3, None, None, None), (4, "", "x", 0), (1, f'token = "{key}"', None, 5), (5, "plain words " * 20_000 + f'\nsecret: "{key}"', "s", 6), (6, f"commit {key} fixed", "docs/example.md", 7)]
     df = spark.createDataFrame([(*r, False) for r in rows], "doc_id long, text string, source string, n_chars long, is_secret boolean")
@@ -277,7 +281,7 @@ def test_secrets(spark):
 
 
 def test_labelled_secrets_are_found_in_texts(spark):
-    forest = secrets.fit_secrets()
+    forest = secrets.fit_secrets(LEXICON)
     fresh = secrets.labelled_findings(1600, 77)
     rows = [(i, before + value + after, path) for i, (value, before, after, path, _) in enumerate(fresh)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -289,8 +293,34 @@ def test_labelled_secrets_are_found_in_texts(spark):
     assert sum(bool(w) for w, y in zip(whole, labels) if not y) <= 0.03 * (len(labels) - sum(labels))
 
 
+def test_texts_labelled_by_hand(spark):
+    """Recall and precision on labels that the generator has no part in."""
+    forest = secrets.fit_secrets(LEXICON)
+    rows = [(i, f"some words before\n{text}\nand after", path) for i, (text, _, path, _) in enumerate(FINDINGS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hit = {(r.doc_id, r.start_byte, r.end_byte) for r in secrets.scan_secrets(df, forest).filter("is_secret").collect()}
+    said = {i for i, a, b in hit}
+    right = {i for i, (_, value, _, y) in enumerate(FINDINGS) if y and any(d == i and rows[i][1][a:b] in (value, value.split(" ")[-1]) for d, a, b in hit)}
+    wrong = {FINDINGS[i][0] for i in said if not FINDINGS[i][3]}
+    missed = [f[0] for i, f in enumerate(FINDINGS) if f[3] and i not in right]
+    total = sum(f[3] for f in FINDINGS)
+    assert len(right) >= 0.95 * total, missed
+    assert len(right) >= 0.9 * (len(right) + len(wrong)), wrong
+
+
+def test_findings_of_the_caller(spark):
+    made = secrets.labelled_findings(1200, 31)
+    df = spark.createDataFrame(made + [(None, "a", "b", "c", 1), ("x1", None, None, None, None)], "value string, before string, after string, path string, label int")
+    config = secrets.SecretConfig(findings=900, trees=20)
+    one, two = (secrets.fit_secrets(LEXICON, config, df.repartition(n)) for n in (1, 3))
+    x = np.array([secrets.features(*f[:4], LEXICON) for f in secrets.labelled_findings(400, 5)])
+    y = np.array([f[4] for f in secrets.labelled_findings(400, 5)])
+    assert (one.prob(x) == two.prob(x)).all() and ((one.prob(x) >= 0.5) == y).mean() > 0.95
+    assert secrets.fit_secrets(LEXICON, config, df.limit(0)).trees
+
+
 def test_assigned_values_are_masked_whole(spark):
-    forest = secrets.fit_secrets()
+    forest = secrets.fit_secrets(LEXICON)
     texts = ['password = "correcthorsebattery"', 'secret: "kQzWvbTnLpXr"', "api_key=QwErTyUiOpAsDfGhJkLzXcVbNm", 'password: "p@ss!w0rd.x9#Kq"', "token=ab12cd34ef56&user=bob", 'note: "a quiet evening at the river"', "see https://example.org/some/path"]
     df = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = [r.text for r in secrets.redact_secrets(df, forest).orderBy("doc_id").collect()]
