@@ -2,7 +2,8 @@
 
 Features are counts of hashed runs of one to three bytes of the lower-cased text, as square roots,
 scaled to length one. Fitting uses a hash-chosen sample of about ``per_language`` rows of each
-language, whole texts; every row is predicted, inside the scan.
+language, whole texts; every row is predicted, inside the scan. Ties go to the family, and the
+language, that comes first in the order of names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,12 @@ FAMILIES = {
 
 @dataclass(frozen=True)
 class LangConfig:
+    """Bounds of the fit: ``per_language`` rows of a language, ``rows`` in all, and the ``languages`` that
+    most rows have (ties to the smaller name), which are the ones that can be predicted."""
+
     per_language: int = 800
+    rows: int = 20_000
+    languages: int = 200
     dims: int = 2048
     epochs: int = 30
     ridge: float = 1e-4
@@ -126,11 +132,12 @@ class LangModel:
 def fit_language(docs: DataFrame, config: LangConfig = LangConfig()) -> LangModel | None:
     """Fit on ``docs(doc_id, text, lang)``; rows without text or language teach nothing. None: no such rows."""
     rows = docs.filter("text is not null and lang is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()}
     if not counts:
         return None
     span = 1 << 30
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(span * min(1.0, config.per_language / n)))))
+    each = min(config.per_language, config.rows // len(counts))
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(span * min(1.0, each / n)))))
     some = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share[F.col("lang")])
     dims = config.dims
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanack.llm import textcore
@@ -60,6 +60,9 @@ def text_view(texts: pa.Array) -> np.ndarray:
         again[1:] = word[1:] == word[:-1]
         pair_again = np.zeros(len(word), dtype=bool)
         pair_again[2:] = word[2:] == word[:-2]
+        start = first[:-1][count > 0]  # what stands before a row's first words belongs to another row
+        again[start] = pair_again[start] = False
+        pair_again[np.minimum(start + 1, len(word) - 1)] = False
         distinct, top = np.ones(hi - lo), np.zeros(hi - lo)
         for i in range(hi - lo):
             w = np.sort(word[first[i] : first[i + 1]])
@@ -188,15 +191,26 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 
 def _both_views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    col |= {n: pa.nulls(batch.num_rows, pa.string()) for n in _VIEWED if n not in col}
     chars = np.nan_to_num(col["n_chars"].cast(pa.float64()).to_numpy(zero_copy_only=False), nan=0.0)
     return text_view(col["text"]), meta_view(col["lang"].to_pylist(), col["source"].to_pylist(), chars)
 
 
+_VIEWED = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def _viewed(docs: DataFrame) -> list[Column]:
+    """The columns that the views read; one that the table lacks is null."""
+    return [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in _VIEWED.items()]
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, config: CoTrainConfig = CoTrainConfig()) -> CoTrained | None:
     """Fit on a bounded sample; None when the labels lack one of the classes.
 
-    Of repeated labels of a document the lowest counts. The sample takes the smallest hashes of
-    the id, so it depends on the ids alone; ``text``, ``lang``, ``source`` and ``n_chars`` of those rows are read.
+    Of repeated labels of a document the lowest counts. The samples take the smallest hashes of the
+    id, of equal hashes the smaller id, and of repeated ids the smaller hash of the row, so they are the
+    same in every layout of the table. Columns of ``text``, ``lang``, ``source`` and ``n_chars`` that the
+    table lacks count as null.
     """
     spark = docs.sparkSession
     marked = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
@@ -205,7 +219,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, config: CoTrainConfig = CoTr
     span = 1 << 30
     near = F.pmod(F.xxhash64("doc_id"), F.lit(span))
     some = marked.filter(near < int(span * min(1.0, 1.2 * config.labelled / max(total, 1)))) if total > config.labelled else marked
-    picked = some.orderBy(F.xxhash64("doc_id")).limit(config.labelled)
+    picked = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.labelled)
     shape = "doc_id long, y int, " + ", ".join(f"t{i} double" for i in range(TEXT_FEATURES)) + ", " + ", ".join(f"m{i} double" for i in range(META_FEATURES))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +227,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, config: CoTrainConfig = CoTr
             text, meta = _both_views(batch)
             yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int32()), *map(pa.array, text.T.copy()), *map(pa.array, meta.T.copy())], names=[x.split()[0] for x in shape.split(", ")])
 
-    base = docs.filter("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars")
+    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), *_viewed(docs))
     ids = picked.toPandas()  # at most ``labelled`` pairs of ids and labels
     if ids["y"].nunique() < 2:
         return None
@@ -237,10 +251,11 @@ def score_quality(docs: DataFrame, model: CoTrained | None, config: CoTrainConfi
     """Every document's scores: (doc_id, text_score, meta_score, score, keep), all rows, inside the scan.
 
     Without a model (labels of one class or none) all are kept with score 1. Null and empty texts
-    are scored as texts without words. With ``keep_columns``, the rows kept, with all their columns.
+    are scored as texts without words; repeated rows each. A score equal to the threshold is kept.
+    With ``keep_columns``, the rows kept, with all their columns.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    threshold, names = config.threshold, docs.columns
+    threshold = config.threshold
 
     def judge(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         have = sent.value
@@ -259,7 +274,6 @@ def score_quality(docs: DataFrame, model: CoTrained | None, config: CoTrainConfi
             yield batch.filter(pa.array(judge(batch)[2] >= threshold))
 
     if keep_columns:
-        assert set(names) >= {"text", "lang", "source", "n_chars"}
         return docs.mapInArrow(good, docs.schema)
-    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    base = docs.select("doc_id", *_viewed(docs))
     return base.mapInArrow(scores, "doc_id long, text_score double, meta_score double, score double, keep boolean")

@@ -116,8 +116,9 @@ def naive(context_counts, depth, context, byte):
     return math.log10(total)
 
 
-def test_trees_agree_with_the_recursion():
-    rng, depth = random.Random(2), 2
+@pytest.mark.parametrize("depth", [2, 5])
+def test_trees_agree_with_the_recursion(depth):
+    rng = random.Random(2)
     counts = Counter()
     for _ in range(60):
         counts[bytes(rng.choice(b"\x00ab") for _ in range(depth)), rng.choice(b"abc\x00")] += rng.randint(1, 5)
@@ -128,7 +129,8 @@ def test_trees_agree_with_the_recursion():
             c[int.from_bytes(ctx[depth - d :] + bytes([y]), "big")] += n
         tables.append((np.array(list(c), dtype=np.uint64), np.array(list(c.values()))))
     model = ctw.Ctw(tables)
-    for ctx, y in [*list(counts)[:12], (b"zz", 97), (b"az", 98), (b"aa", 200)]:
+    for ctx, y in [*list(counts)[:12], (b"zz", 97), (b"az", 98), (b"aa", 200), (b"abaab", 97)]:
+        ctx = ctx.rjust(depth, b"\0")[-depth:]
         key = np.array([int.from_bytes(ctx + bytes([y]), "big")], dtype=np.uint64)
         expected = naive(counts, depth, ctx, y)
         assert model.log10(key)[0] == pytest.approx(expected, abs=1e-5)
@@ -137,6 +139,16 @@ def test_trees_agree_with_the_recursion():
     assert (10 ** model.log10(every)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_like_strings_are_different_words(spark):
+    s = "a"
+    while len(s) < 1024:
+        s += s.translate(str.maketrans("ab", "ba"))
+    other = s.translate(str.maketrans("ab", "ba"))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    got = {r.doc_id: r.n_known for r in ctw.score_documents(spark.createDataFrame([(0, s), (ids[0], other), (ids[1], s)], "doc_id long, text string"), config=ctw.CtwConfig(depth=2)).collect()}
+    assert zlib.crc32(b"0") % 7 != 2 and got == {0: 2, ids[0]: 1, ids[1]: 2}
+
+
 def test_base_scores(spark):
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice(["The", "the", "cat", "sat", "été", f"w{i}"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (61, "the\x0bcat"), (None, "the"), (62, "x" * 200_000)]
@@ -207,6 +219,45 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify_documents(df.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def test_languages_agree_with_a_slow_version(spark):
+    """Predictions again, text by text: hashed runs of bytes, family margins, pairwise votes."""
+    rng = random.Random(15)
+    docs = [(i, rng.choice([speech(g, rng, 12), speech(g, rng, 1), "É " + speech(g, rng, 3).upper(), "", "12"]), g) for i in range(250) for g in [("en", "de", "fr", "es", "xx")[i % 5]]]
+    docs += docs[:20] + [(900, None, "en")]  # repeated rows
+    df = spark.createDataFrame([(*d, 0.5, True) for d in docs], "doc_id long, text string, lang string, score double, held_out boolean").repartition(3)
+    config = langid.LangConfig(dims=256)
+    model = langid.fit_language(df, config)
+
+    def row(text):
+        low, out = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()), np.zeros(256)
+        for k in range(3):
+            for a in range(len(low) - k):
+                gram = int.from_bytes(low[a : a + k + 1], "big")
+                spot = ((gram * 0x9E3779B1) % 2**32 ^ (k * 0x1B873593) % 2**32) >> 15
+                out[(spot * 0xC2B2AE35) % 2**32 >> 24] += 1
+        out = np.sqrt(out)
+        return [*(out / max(np.linalg.norm(out), 1e-9)), 1.0]
+
+    def predict(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und"
+        x = row(text)
+        dot = lambda w: sum(a * b for a, b in zip(x, w))
+        name = max(zip(model.families, map(dot, model.family_weights)), key=lambda v: v[1])[0]
+        members = [i for i, one in enumerate(model.langs) if langid.family(one) == name]
+        votes = dict.fromkeys(members, 0.0)
+        for a, b, w in model.pairs[name]:
+            p = 1 / (1 + math.exp(-2 * min(max(dot(w), -15), 15)))
+            votes[a] += (p > 0.5) + p / (1 + len(members))
+            votes[b] += (p <= 0.5) + (1 - p) / (1 + len(members))
+        return model.langs[max(members, key=lambda i: votes[i])]
+
+    got = [(r.doc_id, r.lang_pred) for r in langid.identify(df, model, config).collect()]
+    assert sorted(got) == sorted((d, predict(t)) for d, t, _ in docs)
+    few = langid.fit_language(df, langid.LangConfig(dims=256, languages=2, rows=40))
+    assert len(few.langs) == 2
+
+
 # quality
 
 
@@ -230,6 +281,50 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_scores_agree_with_a_slow_version(spark):
+    """The features, both views and their combination again, value by value, from the fitted weights."""
+    rng = random.Random(16)
+    rows = [(i, rng.choice([speech("en", rng, 25).capitalize() + ".", "a | b !! cc", "WORD word 12 12 é.\nline", "", None]), rng.choice(["en", None]), f"s{i % 4}", rng.choice([None, 5, 900])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    model = quality.fit_quality(docs, spark.createDataFrame([(i, int(bool(rows[i][1]) and "." in rows[i][1])) for i in range(200)], "doc_id long, quality int"))
+
+    def text_features(text):
+        data = (text or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), data))
+        if not w:
+            return [0.0] * quality.TEXT_FEATURES
+        size, count, c = len(data), len(w), Counter(w)
+        plain = b".,;:'\"-?"
+        mark = lambda b: not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 or b in b" \t\n\x0b\x0c\r")
+        odd = [sum(mark(b) and b not in plain for b in x) for x in w]
+        share = lambda f: sum(map(f, data)) / size
+        return [share(lambda b: 65 <= b < 91), share(lambda b: 97 <= b < 123), share(lambda b: 48 <= b < 58), share(lambda b: b >= 128), share(lambda b: mark(b) and b not in plain), share(lambda b: b in plain), sum(map(len, w)) / count / 16, sum(len(x) > 12 for x in w) / count, sum(len(x) <= 2 for x in w) / count, sum(o > 0 for o in odd) / count, sum(o == len(x) for o, x in zip(odd, w)) / count, sum(a == b for a, b in zip(w, w[1:])) / count, sum(a == b for a, b in zip(w, w[2:])) / count, len(c) / count, max(c.values()) / count, min(sum(b in b".?" for b in data) / count, 1), min((data.count(b"\n") + 1) / count, 1), math.log1p(count) / 10]
+
+    def meta_features(lang, source, chars):
+        out = [math.log1p(max(chars or 0, 0)) / 12] * 2 + [0.0] * (quality.META_FEATURES - 2)
+        out[1] *= out[0]
+        out[2 + zlib.crc32(str(lang).encode()) % 8] = 1.0
+        out[10 + zlib.crc32(str(source).encode()) % 32] = 1.0
+        return out
+
+    def logit(m, x):
+        z = m.weight[-1]
+        for v, mean, scale, low, high, w in zip(x, m.mean, m.scale, m.low, m.high, m.weight):
+            z += (min(max(v, low), high) - mean) / scale * w
+        return min(max(z, -30.0), 30.0)
+
+    sure = lambda z: 1 / (1 + math.exp(-z))
+    got = {r.doc_id: r for r in quality.score_quality(docs, model).collect()}
+    for i, text, lang, source, chars in rows:
+        a = logit(model.calibrators[0], [logit(model.text, text_features(text))])
+        b = logit(model.calibrators[1], [logit(model.meta, meta_features(lang, source, chars))])
+        score = sure(logit(model.final, [a, b]))
+        assert (got[i].text_score, got[i].meta_score, got[i].score) == pytest.approx((sure(a), sure(b), score), abs=1e-9)
+        assert got[i].keep == (got[i].score >= 0.5)
+    bare = quality.score_quality(docs.select("doc_id", "text"), model)
+    assert bare.count() == len(rows) and quality.fit_quality(docs.select("doc_id", "text"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+
+
 def test_pool_is_the_same_in_any_layout(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(i, speech("en", rng, 30) + "." * (i % 3), "en", "s", 100) for i in range(600)]
