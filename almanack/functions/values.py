@@ -55,6 +55,22 @@ def magnitude(value: Column) -> Column:
     return F.when(value != 0, F.floor(F.log10(F.abs(value))))
 
 
+def axis_buckets(orders: Column) -> Column:
+    """Which axis each series belongs on, from the orders of magnitude of all: neighbours within two orders share one.
+
+    ``array<int>`` of orders to ``array<int>`` of axes, from 0 for the smallest; null orders have none.
+    """
+    sorted_ = F.array_sort(F.array_distinct(F.filter(orders, lambda x: x.isNotNull())))
+    start = F.struct(F.array().cast("array<int>").alias("firsts"))
+    firsts = F.aggregate(sorted_, start, lambda s, x: F.struct(F.when((F.size(s["firsts"]) == 0) | (x - F.element_at(s["firsts"], -1) > 2), F.array_append(s["firsts"], x)).otherwise(s["firsts"]).alias("firsts")))["firsts"]
+    return F.transform(orders, lambda x: F.when(x.isNotNull(), F.size(F.filter(firsts, lambda f: f <= x)) - 1))
+
+
+def json_field(text: Column, path: str, kind: str = "string") -> Column:
+    """One field of a JSON text, null where there is none or it is of another kind."""
+    return F.get_json_object(text, path).try_cast(kind)
+
+
 def round_even(value: Column, digits: int) -> Column:
     """Half-even rounding of the decimal form (the nearest of Spark's to binary half-even)."""
     return F.bround(value, digits)

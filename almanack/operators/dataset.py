@@ -55,6 +55,14 @@ def to_wide(observations: DataFrame, variables: DataFrame, aliases: list[str]) -
     return each.groupBy("geo_key", "period").agg(F.min_by("geography", "_s").alias("geography"), *merged)
 
 
+def union_dates(*parts: DataFrame) -> DataFrame:
+    """The distinct values of one-column tables."""
+    out = None
+    for part in parts:
+        out = part if out is None else out.union(part)
+    return out.distinct()
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """Observations one after another: each part's arrivals come after those before it."""
     out = None
@@ -142,6 +150,41 @@ class Dataset:
             raise ValueError(f"unknown operation: {operation}")
         return getattr(self, operation)(**parameters)
 
+    def validate(self, frequency: str | None = None, end: int | None = None) -> DataFrame:
+        from almanack.operators.validate import validate
+
+        return validate(self.observations, self.variables, frequency, end)
+
+    def describe(self) -> DataFrame:
+        from almanack.operators.describe import describe_wide
+
+        return describe_wide(self.wide(), list(self.aliases))
+
+    def missingness(self) -> dict[str, DataFrame]:
+        """By variable and by geography, coverage by period, and what is absent altogether."""
+        from almanack.operators import missing
+
+        cell = missing.cells(self.wide(), list(self.aliases))
+        return {"variables": missing.detail(cell), "geographies": missing.by(cell, "geo_key"), "coverage": missing.coverage_matrix(cell), "absent": missing.absent_matrix(cell)}
+
+    def outliers(self, method: str = "zscore", threshold: float = 3.0) -> DataFrame:
+        from almanack.operators import missing, outliers
+
+        cell = missing.cells(self.wide(), list(self.aliases))
+        if method == "zscore":
+            return outliers.z_scores(cell, ["alias"], threshold=threshold)
+        if method == "iqr":
+            return outliers.iqr_fences(cell, ["alias"], multiplier=threshold)
+        raise ValueError(f"unknown method: {method}")
+
+    def profile(self) -> tuple[DataFrame, bool]:
+        """The profile of every column, and whether it is that of a sample (over 250,000 cells and 10,000 rows)."""
+        from almanack.operators.describe import profile, profiling_sample
+
+        wide = self.wide()
+        table, sampled = profiling_sample(wide, wide.count(), len(wide.columns))
+        return profile(table, table.columns), sampled
+
     def lineage(self) -> DataFrame:
         """One row for each column: where it comes from and what was done."""
         steps = F.array(*(F.lit(t["operation"]) for t in self.transformations)).cast("array<string>")

@@ -102,10 +102,59 @@ def collapse_dates(rows: DataFrame, by: list[str], value: str = "value", growth:
     return got.select(*by, upper_median(F.col("v")).alias(value))
 
 
-def best_slice(rows: DataFrame, series: list[str], preferred: Column) -> DataFrame:
-    """The series with most preferred members (1000 each) and points; the first key on ties."""
-    score = F.count(F.lit(1)) + 1000 * F.max(preferred.cast("int"))
-    return rows.groupBy(*series).agg(score.alias("score")).orderBy(F.desc("score"), *series).limit(1)
+def best_slice(rows: DataFrame, series: list[str], preferred: list[Column], value: str = "value") -> DataFrame:
+    """The series of the highest score: its points, and 1000 for each preferred member of its key.
+
+    Series without points are left out; the first key wins ties. ``preferred`` are conditions on the key.
+    """
+    points = F.count(value)
+    each = rows.groupBy(*series).agg(points.alias("points")).filter("points > 0")
+    score = F.col("points") + sum((1000 * F.coalesce(c, F.lit(False)).cast("int") for c in preferred), F.lit(0))
+    return each.withColumn("score", score.cast("long")).orderBy(F.desc("score"), *series).limit(1)
+
+
+def default_slice(rows: DataFrame, series: str, match: Column, value: str = "value") -> DataFrame:
+    """The rows of the series that fits a provider's defaults best: (matches, points, key), if any matches; else all rows."""
+    each = rows.groupBy(series).agg(F.max(F.coalesce(match, F.lit(0))).alias("m"), F.count(value).alias("n"))
+    best = each.orderBy(F.desc("m"), F.desc("n"), F.desc(series)).limit(1).filter("m > 0").collect()  # one row
+    return rows.filter(F.col(series) == best[0][series]) if best else rows
+
+
+def in_years(rows: DataFrame, date: str, start: int | None, end: int | None) -> DataFrame:
+    """Rows of a span of years, both ends included; dates without a readable year stay."""
+    year = F.left(F.col(date).cast("string"), F.lit(4)).try_cast("int")
+    inside = (year >= start if start else F.lit(True)) & (year <= end if end else F.lit(True))
+    return rows.filter(year.isNull() | inside)
+
+
+def latest_date(rows: DataFrame, date: str, start: int | None, end: int | None) -> DataFrame:
+    """One row: the last date there is, as text, and how many rows a span of years keeps; for spans that keep none."""
+    kept = in_years(rows.select(F.col(date).cast("string").alias("d")).withColumn("in", F.lit(1)), "d", start, end)
+    return rows.agg(F.max(F.col(date).cast("string")).alias("latest")).unionByName(kept.agg(F.count("in").alias("in_window")), allowMissingColumns=True).agg(F.max("latest").alias("latest"), F.max("in_window").alias("in_window"))
+
+
+def with_values(rows: DataFrame, series: list[str], value: str = "value") -> DataFrame:
+    """Rows of the series that have a value at all."""
+    some = rows.filter(F.col(value).isNotNull()).select(*series).distinct()
+    return rows.join(some, series, "left_semi")
+
+
+def partial_sums(rows: DataFrame, by: list[str], member: str, expected: int, value: str = "value") -> DataFrame:
+    """Sums over members with a note where fewer came back than were expected."""
+    out = rows.groupBy(*by).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("total"), F.countDistinct(F.when(F.col(value).isNotNull(), F.col(member))).alias("members"))
+    note = F.when(F.col("members") < expected, F.concat(F.lit("partial: "), F.col("members").cast("string"), F.lit(f" of {expected} members")))
+    return out.withColumn("note", note)
+
+
+def daily(events: DataFrame, ts: str, failed: Column, user: str, amount: Column) -> DataFrame:
+    """Events, failures, users and amounts of each day; amounts are summed as decimals."""
+    return events.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("events"), F.count_if(failed).alias("errors"), F.countDistinct(user).alias("users"), F.sum(amount.cast("decimal(18,4)")).cast("double").alias("purchases"))
+
+
+def activity(users: DataFrame, actions: DataFrame, user: str, action_user: str, action: str, at: str) -> DataFrame:
+    """Every user with the number and the day of their last actions; 0 and null for those without any."""
+    each = actions.groupBy(F.col(action_user).alias(user)).agg(F.count(action).alias("actions"), F.to_date(F.max(at)).alias("last_action"))
+    return users.select(user).join(each, user, "left").withColumn("actions", F.coalesce("actions", F.lit(0).cast("long")))
 
 
 def backfill(base: DataFrame, more: DataFrame, key: list[str], requested: int, country: str) -> tuple[DataFrame, Column]:
@@ -115,6 +164,13 @@ def backfill(base: DataFrame, more: DataFrame, key: list[str], requested: int, c
     return first_of(both, key, [F.col("_p")]).drop("_p"), F.struct(safe_div(F.countDistinct(country), F.lit(requested)).alias("ratio"), F.count(F.lit(1)).alias("rows"))
 
 
+def backfilled(base: DataFrame, more: DataFrame, key: list[str], requested: int, country: str) -> DataFrame:
+    """The merged rows where they cover more of the request than the base alone (share, then rows), else the base."""
+    merged, measure = backfill(base, more, key, requested, country)
+    before, after = (tuple(x.agg(measure.alias("m")).first()["m"]) for x in (base, merged))
+    return merged if after > before else base
+
+
 def spacing_frequency(rows: DataFrame, by: list[str], ts: str) -> DataFrame:
     """Frequency by the upper median of positive spacings: minutely up to 30 minutes, hourly up to 6 hours, else daily."""
     step = F.unix_micros(F.lead(ts).over(Window.partitionBy(*by).orderBy(ts))) - F.unix_micros(ts)

@@ -52,6 +52,19 @@ def covariance(x: Column, y: Column) -> Column:
     return F.covar_samp(F.when(b.isNotNull(), a), F.when(a.isNotNull(), b))
 
 
+def covariance_exact(x: Column, y: Column, scale: int = 2) -> Column:
+    """The same from exact decimal sums, so that it does not depend on the order of rows; values of ``scale`` places.
+
+    Sums hold up to 38 digits together, which is 10^10 rows of values of ten digits.
+    """
+    a, b = finite(x.cast("double")).cast(f"decimal(14,{scale})"), finite(y.cast("double")).cast(f"decimal(14,{scale})")
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    n = F.count(a)
+    part = (F.sum(a).cast("double") * F.sum(b).cast("double")) / F.nullif(n, F.lit(0))
+    return safe_div(F.sum((a * b).cast(f"decimal(28,{2 * scale})")).cast("double") - part, F.nullif((n - 1).cast("double"), F.lit(0.0)))
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation over pairwise complete rows; null where a side is constant."""
     a, b = finite(x), finite(y)
@@ -89,10 +102,13 @@ def mean_rank(value: Column, *group: str) -> Column:
 
 
 def profile(table: DataFrame, columns: list[str]) -> DataFrame:
-    """For each numeric column: distinct, missing, mean, std, min, max, zeros, negatives."""
-    long = table.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns))).alias("c")).select("c.*")
+    """For each column: type (numeric, text, other), distinct, missing; of numbers also mean, std, min, max, zeros, negatives."""
+    kinds = {c: "numeric" if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal") else "text" if t == "string" else "other" for c, t in table.dtypes}
+    cell = lambda c: F.struct(F.lit(c).alias("variable"), F.lit(kinds[c]).alias("kind"), (F.col(f"`{c}`").cast("double") if kinds[c] == "numeric" else F.lit(None).cast("double")).alias("v"), F.col(f"`{c}`").cast("string").alias("s"))
+    long = table.select(F.explode(F.array(*(cell(c) for c in columns))).alias("c")).select("c.*")
     x = finite(F.col("v"))
-    return long.groupBy("variable").agg(F.countDistinct(x).alias("distinct"), F.count_if(x.isNull()).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"))
+    shown = F.when(F.col("kind") == "numeric", x.cast("string")).otherwise(F.col("s"))
+    return long.groupBy("variable", "kind").agg(F.countDistinct(shown).alias("distinct"), F.count_if(shown.isNull()).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"))
 
 
 def table_profile(table: DataFrame) -> DataFrame:

@@ -12,6 +12,11 @@ def coverage(requested: DataFrame, returned: DataFrame, key: str) -> DataFrame:
     return flagged.agg(F.count(F.lit(1)).alias("requested"), F.count("_in").alias("covered"), F.try_divide(F.count("_in"), F.count(F.lit(1))).alias("ratio"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_in").isNull(), F.col(key)))), ",").alias("missing"))
 
 
+def code_difference(codes: Column, known: Column) -> Column:
+    """The codes of one provider's list that another's lacks, each once, in order."""
+    return F.array_except(codes, known)
+
+
 def missing(requested: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return requested.select(key).distinct().join(seen.select(key).distinct(), key, "left_anti")
 

@@ -36,19 +36,32 @@ def absent_matrix(cell: DataFrame) -> DataFrame:
     return cell.groupBy("alias", "geo_key").agg(F.bool_and(F.col("value").isNull()).alias("all_missing"))
 
 
+def detail(cell: DataFrame) -> DataFrame:
+    """For each variable, besides ``by``: first and last period with a value, and the periods without any, in order.
+
+    The periods of a dataset are few; each is listed once a variable.
+    """
+    have = F.when(F.col("value").isNotNull(), F.struct(period_key(F.col("period")).alias("k"), F.col("period").alias("p")))
+    each = cell.groupBy("alias", "period").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("v"), F.max(have).alias("h"))
+    out = each.groupBy("alias").agg(F.sum("n").alias("total"), (F.sum("n") - F.sum("v")).alias("missing"), F.min("h.p").alias("first_valid"), F.max("h.p").alias("last_valid"), F.array_sort(F.collect_list(F.when(F.col("v") == 0, F.struct(period_key(F.col("period")).alias("k"), F.col("period").alias("p"))))).alias("gone"))
+    return out.withColumn("missing_pct", _share(F.col("missing"), F.col("total"), 2)).select("alias", "total", "missing", "missing_pct", "first_valid", "last_valid", F.col("gone.p").alias("missing_periods"))
+
+
 def longest_gap(cell: DataFrame) -> DataFrame:
-    """(alias, gap, geo_key, start): the longest run of missing periods inside a series' own coverage.
+    """(alias, longest_gap, geo_key, gap_start, gap_end): the longest run of missing periods inside a series' own coverage.
 
-    Only periods of the dataset count. Of equally long runs the first wins, geographies in order.
+    Only periods of the dataset count, and the gap's ends are the first and last of them. Of equally
+    long runs the first wins, geographies in order.
     """
     place = cell.select("period").distinct().withColumn("at", F.row_number().over(Window.orderBy(period_key(F.col("period")), "period")))
     rows = cell.join(place, "period")
     own = Window.partitionBy("alias", "geo_key").orderBy("at")
-    full = F.col("value").isNotNull()
-    have = rows.filter(full).withColumn("next", F.lead("at").over(own)).withColumn("gap", F.col("next") - F.col("at") - 1).filter("gap > 0")
+    have = rows.filter(F.col("value").isNotNull()).withColumn("gap", F.lead("at").over(own) - F.col("at") - 1).filter("gap > 0")
     # Every geography has a row in the dataset's calendar only where some variable delivered one, so gaps are counted by place.
     best = have.groupBy("alias").agg(F.min(F.struct((-F.col("gap")).alias("gap"), "geo_key", "at")).alias("b"))
-    return best.select("alias", (-F.col("b.gap")).cast("long").alias("longest_gap"), F.col("b.geo_key").alias("geo_key"), (F.col("b.at") + 1).cast("long").alias("gap_start"))
+    out = best.select("alias", (-F.col("b.gap")).cast("long").alias("longest_gap"), F.col("b.geo_key").alias("geo_key"), (F.col("b.at") + 1).alias("a"), (F.col("b.at") - F.col("b.gap")).alias("z"))
+    out = out.join(place.select(F.col("at").alias("a"), F.col("period").alias("gap_start")), "a").join(place.select(F.col("at").alias("z"), F.col("period").alias("gap_end")), "z")
+    return out.select("alias", "longest_gap", "geo_key", "gap_start", "gap_end")
 
 
 def fill_marked(rows: DataFrame, group: list[str], order: list[Column], value: str = "value", direction: str = "forward") -> DataFrame:

@@ -90,9 +90,17 @@ def verdict(issues: DataFrame) -> DataFrame:
 
 
 def range_checks(observations: DataFrame, ranges: DataFrame, kind: Column) -> DataFrame:
-    """Observations outside their indicator type's range (``kind, low, high``), and whether a scale of
-    0.01, 100 or 0.001 would put them inside. Nothing is dropped."""
+    """Observations outside their indicator type's range (``kind, low, high``), or negative where the type
+    cannot be (``signed`` false, if the table says so), and whether a scale of 0.01, 100 or 0.001 would put
+    them inside. Nothing is dropped."""
     rows = observations.withColumn("kind", kind).join(ranges, "kind")
     inside = lambda factor: (F.col("value") * factor >= F.col("low")) & (F.col("value") * factor <= F.col("high"))
     hint = F.when(inside(0.01), 0.01).when(inside(100.0), 100.0).when(inside(0.001), 0.001)
-    return rows.filter(~inside(1.0)).withColumn("scale_hint", hint).withColumn("severity", F.when(hint.isNotNull(), "warning").otherwise("error"))
+    sign = (F.col("value") < 0) & ~F.coalesce("signed", F.lit(True)) if "signed" in ranges.columns else F.lit(False)
+    return rows.filter(~inside(1.0) | sign).withColumn("scale_hint", hint).withColumn("sign_error", sign).withColumn("severity", F.when(hint.isNotNull() & ~sign, "warning").otherwise("error"))
+
+
+def confidence(checked: DataFrame, by: list[str]) -> DataFrame:
+    """1 less .2 for each error and .1 for each warning of a series, not under 0."""
+    penalty = F.sum(F.when(F.col("severity") == "error", F.lit(2)).otherwise(F.lit(1)))
+    return checked.groupBy(*by).agg(F.greatest(F.lit(0), 10 - penalty).cast("double").alias("p")).select(*by, (F.col("p") / 10).alias("confidence"))

@@ -150,7 +150,7 @@ def missingness_matrix(spark, sf):
 @query(WIDE + """, p AS (SELECT period, row_number() OVER (ORDER BY period) AS pos FROM (SELECT DISTINCT period FROM wide)),
  h AS (SELECT alias, geo_key, pos, lead(pos) OVER (PARTITION BY alias, geo_key ORDER BY pos) - pos - 1 AS gap FROM cells JOIN p USING (period) WHERE value IS NOT NULL),
  r AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY gap DESC, geo_key, pos) AS n FROM h WHERE gap > 0)
- SELECT alias, gap::BIGINT AS longest_gap, geo_key, (pos + 1)::BIGINT AS gap_start FROM r WHERE n = 1""")
+ SELECT alias, gap::BIGINT AS longest_gap, geo_key, a.period AS gap_start, z.period AS gap_end FROM r JOIN p a ON a.pos = r.pos + 1 JOIN p z ON z.pos = r.pos + r.gap WHERE n = 1""")
 def longest_gap(spark, sf):
     return missing.longest_gap(_cells(spark, sf))
 
@@ -334,28 +334,6 @@ def region_expand(spark, sf):
 
 _STOP = ", ".join(f"'{w}'" for w in text.ENGLISH_STOP)
 _TOK = "list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda x: len(x) >= 2 AND x NOT IN (" + _STOP + "))"
-_BM = ("""WITH c AS (SELECT doc_id AS id, """ + _TOK.format(c="split_part(text, chr(10), 1)") + """ AS t, (""" + _TOK.format(c="text") + """)[1:120] AS d, lang AS topic FROM documents),
- tk AS (SELECT id, t, list_transform(t, lambda x: {'x': x, 'w': 8.0::DOUBLE}) || list_transform(""" + _TOK.format(c="topic") + """, lambda x: {'x': x, 'w': 2.0::DOUBLE}) || list_transform(d, lambda x: {'x': x, 'w': 1.0::DOUBLE}) AS e FROM c),
- p AS (SELECT id, x.x AS term, sum(x.w) AS w, any_value(n) AS n FROM (SELECT id, unnest(e) AS x, len(e) AS n FROM tk) GROUP BY id, x.x),
- st AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT avg(n) FROM (SELECT DISTINCT id, n FROM p)) AS avg_n),
- q AS (SELECT unnest(['tion', 'the', 'heat']) AS term EXCEPT SELECT 'the'),
- df AS (SELECT term, count(*) AS df FROM p JOIN q USING (term) GROUP BY term),
- b AS (SELECT id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * w * 2.5 / (w + 1.5 * (0.25 + 0.75 * greatest(n, 1) / avg_n))) AS bm25 FROM p JOIN df USING (term), st GROUP BY id)""")
-
-
-@query(_BM + " SELECT id, round(bm25, 4) AS bm25 FROM b")
-def bm25_scores(spark, sf):
-    catalog = tables.catalogue(spark, sf)
-    posts = search.postings(catalog)
-    size = posts.select("id", "length").distinct().agg(F.avg("length")).first()[0]
-    return search.bm25(posts, ["tion", "heat"], catalog.count(), size).select("id", _r("bm25"))
-
-
-@query(_BM + """, s AS (SELECT id, len(list_intersect(list_distinct(t), ['heat', 'tion'])) / 2.0::DOUBLE AS cov, len(list_distinct(t)) AS nt, array_to_string(t, ' ') AS tt FROM tk),
- r AS (SELECT b.id, round(bm25 + CASE WHEN cov > 0 THEN 60 * cov * cov + 12.0 / (1 + nt) ELSE 0 END + CASE WHEN cov > 0 AND contains(tt, 'tion heat') THEN 90 + CASE WHEN starts_with(tt, 'tion heat') THEN 70 ELSE 0 END ELSE 0 END, 4) AS score FROM b JOIN s USING (id))
- SELECT id, score FROM r ORDER BY score DESC, id LIMIT 20""")
-def catalogue_search(spark, sf):
-    return search.search(tables.catalogue(spark, sf), "tion the heat", 20)
 
 
 _COS = """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]) AS score FROM embeddings)"""
@@ -413,7 +391,7 @@ def hash_split(spark, sf):
  sum(value::DECIMAL(18,4)) FILTER (WHERE event_type = 'purchase')::DOUBLE AS purchases FROM events GROUP BY 1""")
 def daily_stats(spark, sf):
     e = tables.read(spark, sf, "events")
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("user_id").alias("users"), F.sum(F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(18,4)"))).cast("double").alias("purchases"))
+    return derive.daily(e, "ts", F.col("event_type") == "error", "user_id", F.when(F.col("event_type") == "purchase", F.col("value")))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)::BIGINT AS in_window FROM events")
@@ -435,21 +413,21 @@ def strip_markup(spark, sf):
     return tables.read(spark, sf, "pages").select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
 
-@query("SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS day, date_part('year', o_orderdate)::INT AS year FROM orders WHERE date_part('year', o_orderdate) BETWEEN 1994 AND 1996")
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS day, date_part('year', o_orderdate)::INT AS year FROM orders WHERE date_part('year', o_orderdate) BETWEEN 1994 AND 1996 OR o_orderkey % 50 = 0")
 def time_window_filter(spark, sf):
-    o = tables.read(spark, sf, "orders").withColumn("y", F.substring(F.date_format("o_orderdate", "yyyy-MM-dd"), 1, 4).try_cast("int"))
-    return o.filter(F.col("y").isNull() | F.col("y").between(1994, 1996)).select("o_orderkey", F.trunc("o_orderdate", "month").alias("day"), F.col("y").alias("year"))
+    o = tables.read(spark, sf, "orders").withColumn("label", F.when(F.col("o_orderkey") % 50 == 0, "undated").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return derive.in_years(o, "label", 1994, 1996).select("o_orderkey", F.trunc("o_orderdate", "month").alias("day"), F.year("o_orderdate").alias("year"))
 
 
-@query("SELECT p_brand, p_type, count(*)::BIGINT AS series FROM part GROUP BY ALL")
+@query("SELECT p_brand, coalesce(nullif(CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_type END, ''), 'unknown') AS p_type, count(*)::BIGINT AS series FROM part GROUP BY ALL")
 def catalogue_by_provider_topic(spark, sf):
-    p = tables.read(spark, sf, "part")
-    return p.groupBy(F.coalesce(F.nullif("p_brand", F.lit("")), F.lit("Uncategorised")).alias("p_brand"), F.coalesce(F.nullif("p_type", F.lit("")), F.lit("unknown")).alias("p_type")).agg(F.count(F.lit(1)).alias("series"))
+    p = tables.read(spark, sf, "part").withColumn("p_type", F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.col("p_type")))
+    return search.catalogue_counts(p, ("p_brand", "Uncategorised"), ("p_type", "unknown"))
 
 
 @query("SELECT p_brand AS topic, count(*)::BIGINT AS series FROM part GROUP BY 1")
 def catalogue_counts(spark, sf):
-    return search.catalogue_counts(tables.read(spark, sf, "part").withColumnRenamed("p_brand", "topic"), "topic", "Uncategorised")
+    return search.catalogue_counts(tables.read(spark, sf, "part").withColumnRenamed("p_brand", "topic"), ("topic", "Uncategorised"))
 
 
 @query("SELECT provider, code, name FROM (SELECT p_brand AS provider, p_type AS code, p_name AS name, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
@@ -477,10 +455,10 @@ def table_profile(spark, sf):
     return describe.table_profile(tables.read(spark, sf, "customer").select("c_nationkey", "c_mktsegment"))
 
 
-@query("""SELECT 'p_size' AS variable, count(DISTINCT p_size)::BIGINT AS distinct, 0::BIGINT AS missing, round(avg(p_size), 4) AS mean, round(stddev_samp(p_size), 4) AS std, min(p_size)::DOUBLE AS min, max(p_size)::DOUBLE AS max, 0::BIGINT AS zeros, 0::BIGINT AS negatives FROM part
- UNION ALL SELECT 'p_retailprice', count(DISTINCT p_retailprice), 0, round(avg(p_retailprice), 4), round(stddev_samp(p_retailprice), 4), min(p_retailprice), max(p_retailprice), 0, 0 FROM part""".replace("AS distinct", 'AS "distinct"'))
+@query("""SELECT 'p_size' AS variable, 'numeric' AS kind, count(DISTINCT p_size)::BIGINT AS distinct, 0::BIGINT AS missing, round(avg(p_size), 4) AS mean, round(stddev_samp(p_size), 4) AS std, min(p_size)::DOUBLE AS min, max(p_size)::DOUBLE AS max, 0::BIGINT AS zeros, 0::BIGINT AS negatives FROM part
+ UNION ALL SELECT 'p_brand', 'text', count(DISTINCT p_brand), 0, NULL, NULL, NULL, NULL, 0, 0 FROM part UNION ALL SELECT 'p_retailprice', 'numeric', count(DISTINCT p_retailprice), 0, round(avg(p_retailprice), 4), round(stddev_samp(p_retailprice), 4), min(p_retailprice), max(p_retailprice), 0, 0 FROM part""".replace("AS distinct", 'AS "distinct"'))
 def column_profile(spark, sf):
-    return describe.profile(tables.read(spark, sf, "part"), ["p_size", "p_retailprice"]).select("variable", "distinct", "missing", _r("mean"), _r("std"), "min", "max", "zeros", "negatives")
+    return describe.profile(tables.read(spark, sf, "part"), ["p_size", "p_retailprice", "p_brand"]).select("variable", "kind", "distinct", "missing", _r("mean"), _r("std"), "min", "max", "zeros", "negatives")
 
 
 @query(OBS + """ SELECT provider, series_id, count(DISTINCT geography)::BIGINT AS geographies, count(DISTINCT period)::BIGINT AS periods, count(*)::BIGINT AS cells, 0::BIGINT AS duplicates,
@@ -489,23 +467,35 @@ def panel_balance(spark, sf):
     return describe.panel_balance(tables.observations(spark, sf), dataset.geo_key())
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{0600}-\\x{06FF}]') THEN 'ar' ELSE 'other' END AS script FROM documents""")
+FR_LIST, EN_LIST = (str(list(x)).replace('"', "'") for x in (text.FRENCH_MARKS, text.ENGLISH_MARKS))
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN left(text, 40) || ' سعر' ELSE text END AS text FROM documents),
+ w AS (SELECT *, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[a-z]+')) AS ws FROM d)
+ SELECT doc_id, CASE WHEN text IS NULL THEN 'en' WHEN regexp_matches(text, '[\\x{{0600}}-\\x{{06FF}}]') THEN 'ar'
+  WHEN len(list_intersect(ws, {FR_LIST})) + CASE WHEN text <> strip_accents(text) THEN 2 ELSE 0 END > len(list_intersect(ws, {EN_LIST})) THEN 'fr' ELSE 'en' END AS script FROM w""")
 def script_of_documents(spark, sf):
-    lang = text.detect_language(F.col("text"))
-    return tables.read(spark, sf, "documents").select("doc_id", F.when(lang == "ar", "ar").otherwise("other").alias("script"))
+    shown = F.when(F.col("doc_id") % 10 == 0, F.concat(F.left("text", F.lit(40)), F.lit(" سعر"))).otherwise(F.col("text"))
+    return tables.read(spark, sf, "documents").select("doc_id", text.detect_language(shown).alias("script"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, count(*)::BIGINT AS events FROM events GROUP BY ALL")
 def event_tumbling(spark, sf):
-    e = tables.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("events")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
+    out = streams.tumbling(tables.read(spark, sf, "events"), ["event_type"], "1 hour")
+    return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "events")
 
 
 @query("""WITH l AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM l) SELECT user_id, min(ts)::TIMESTAMP AS start, count(*)::BIGINT AS events FROM s GROUP BY user_id, n""")
 def event_session(spark, sf):
-    e = tables.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
+    out = streams.sessions(tables.read(spark, sf, "events"), ["user_id"], "30 minutes")
+    return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "events")
+
+
+@query("""WITH s AS (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE])::TIMESTAMP AS start FROM events) SELECT event_type, start, count(*)::BIGINT AS events FROM s GROUP BY ALL""")
+def event_sliding(spark, sf):
+    out = streams.sliding(tables.read(spark, sf, "events"), ["event_type"], "1 hour", "30 minutes")
+    return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "events")
 
 
 @query(OBS + """, d AS (SELECT series_id, geography, count(*) AS c FROM obs GROUP BY ALL) SELECT 'time_gap' AS code, 'warning' AS severity, count(*)::BIGINT AS issues FROM (
@@ -528,19 +518,30 @@ def scale_conversion(spark, sf):
 
 @query("SELECT o_orderkey, o_orderstatus, CASE lower(o_orderpriority[1:1]) WHEN '1' THEN 'urgent' ELSE 'other' END AS kind FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate, o_orderkey) BETWEEN 21 AND 40")
 def pagination(spark, sf):
+    """A page of a dataset's rows by Dataset.rows is `dataset_page`; this one pages any sorted table."""
     o = tables.read(spark, sf, "orders").orderBy("o_orderdate", "o_orderkey").offset(20).limit(20)
     return o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderpriority").startswith("1"), "urgent").otherwise("other").alias("kind"))
 
 
+@query(OBS + """ SELECT geography, period, lower(series_id) AS indicator, value FROM obs QUALIFY row_number() OVER (ORDER BY geography, period, lower(series_id)) BETWEEN 31 AND 70""")
+def dataset_page(spark, sf):
+    d = dataset.Dataset(tables.observations(spark, sf), tables.variables(spark), tuple(tables.ALIASES), "long")
+    return d.rows(30, 40).select("geography", "period", "indicator", "value")
+
+
 @query("""SELECT conv_id, count(*)::BIGINT AS turns, count(*) FILTER (WHERE role = 'user')::BIGINT AS user_turns, arg_max(role, turn) AS last_role, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
 def conversation_fold(spark, sf):
     return streams.fold_batch(tables.read(spark, sf, "conversations"))
 
 
-@query("SELECT doc_id, 1::BIGINT AS has_title FROM documents WHERE len(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{N}]+')) >= 1 AND list_contains(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{N}]+'), 'the')")
+_W = "regexp_extract_all(lower(split_part(coalesce(text, ''), chr(10), 1)), '[\\p{L}\\p{N}]+')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS w FROM documents), p(phrase, concept) AS (VALUES ('the', 'article'), ('of the', 'pair'), ('and the', 'pair'), ('is the of and the was that', 'long'))
+ SELECT DISTINCT doc_id, concept FROM t JOIN p ON contains(w, ' ' || phrase || ' ')""")
 def title_tagging(spark, sf):
-    phrases = spark.createDataFrame([("the", "article")], "phrase string, concept string")
-    return search.tag_titles(tables.catalogue(spark, sf), phrases, longest=1).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("has_title"))
+    phrases = spark.createDataFrame([("the", "article"), ("of the", "pair"), ("and the", "pair"), ("is the of and the was that", "long")], "phrase string, concept string")
+    return search.tag_titles(tables.catalogue(spark, sf), phrases).withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT provider, user_id, seconds::BIGINT AS seconds, recent::BIGINT AS recent FROM (SELECT 'p' AS provider, user_id, event_type, epoch(ts)::BIGINT AS seconds, count(*) FILTER (WHERE event_type = 'error') OVER (ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS recent FROM events) WHERE event_type = 'error' AND recent >= 2")
@@ -551,7 +552,7 @@ def circuit_breaker(spark, sf):
 
 @query(OBS + """, o AS (SELECT series_id, geography, period, value FROM obs) SELECT 'v' || 1 AS name, count(*)::BIGINT AS points, count(DISTINCT series_id)::BIGINT AS series FROM o WHERE left(period, 4) = '1995'""")
 def window_points(spark, sf):
-    o = tables.observations(spark, sf).filter(F.left("period", F.lit(4)) == "1995")
+    o = derive.in_years(tables.observations(spark, sf), "period", 1995, 1995)
     return o.agg(F.count(F.lit(1)).alias("points"), F.countDistinct("series_id").alias("series")).select(F.lit("v1").alias("name"), "points", "series")
 
 
@@ -581,39 +582,46 @@ def economic_summary(spark, sf):
 
 @query("SELECT max(strftime(o_orderdate, '%Y-%m-%d')) AS latest, count(*) FILTER (WHERE year(o_orderdate) = 2030)::BIGINT AS in_window FROM orders")
 def latest_available_date(spark, sf):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return tables.read(spark, sf, "orders").agg(F.max(day).alias("latest"), F.count_if(F.substring(day, 1, 4) == "2030").alias("in_window"))
+    o = tables.read(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return derive.latest_date(o, "day", 2030, 2030)
 
 
 @query("""SELECT c_custkey, count(o_orderkey)::BIGINT AS orders, max(o_orderdate)::DATE AS last_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def activity_view(spark, sf):
-    c, o = tables.read(spark, sf, "customer"), tables.read(spark, sf, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.to_date(F.max("o_orderdate")).alias("last_order"))
+    out = derive.activity(tables.read(spark, sf, "customer"), tables.read(spark, sf, "orders"), "c_custkey", "o_custkey", "o_orderkey", "o_orderdate")
+    return out.select("c_custkey", F.col("actions").alias("orders"), F.col("last_action").alias("last_order"))
 
 
 @query("SELECT DISTINCT year(l_shipdate)::INT AS year FROM lineitem UNION SELECT DISTINCT year(o_orderdate)::INT FROM orders")
 def union_of_dates(spark, sf):
-    a = tables.read(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year"))
-    return a.union(tables.read(spark, sf, "orders").select(F.year("o_orderdate"))).distinct()
+    return dataset.union_dates(tables.read(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")), tables.read(spark, sf, "orders").select(F.year("o_orderdate").alias("year")))
 
 
 @query("""SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.n, 0)::BIGINT AS suppliers, coalesce(b.n, 0)::BIGINT AS customers FROM (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) a
  FULL JOIN (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1) b ON a.nation = b.nation""")
 def full_outer_zero_fill(spark, sf):
-    a = tables.read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
-    b = tables.read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
-    return a.join(b, "nation", "full_outer").na.fill(0, ["suppliers", "customers"])
+    side = lambda t, c, flow: tables.read(spark, sf, t).select(F.col(c).alias("nation"), F.lit(flow).alias("flow"), F.lit(1).cast("long").alias("value"))
+    out = derive.trade_balance(side("supplier", "s_nationkey", "export").unionByName(side("customer", "c_nationkey", "import")), ["nation"])
+    return out.select("nation", F.col("exports").alias("suppliers"), F.col("imports").alias("customers"))
 
 
-@query("SELECT c_nationkey AS nation, round(covar_samp(c_acctbal, c_custkey), 2) AS covariance FROM customer GROUP BY 1")
+@query("""WITH s AS (SELECT c_nationkey AS nation, c_acctbal::DECIMAL(14,2) AS x, c_custkey::DECIMAL(14,2) AS y FROM customer)
+ SELECT nation, (sum((x * y)::DECIMAL(28,4))::DOUBLE - sum(x)::DOUBLE * sum(y)::DOUBLE / count(*)) / nullif(count(*) - 1, 0)::DOUBLE AS covariance FROM s GROUP BY nation""")
 def covariance_by_nation(spark, sf):
     c = tables.read(spark, sf, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("nation")).agg(F.round(describe.covariance(F.col("c_acctbal"), F.col("c_custkey").cast("double")), 2).alias("covariance"))
+    return c.groupBy(F.col("c_nationkey").alias("nation")).agg(describe.covariance_exact(F.col("c_acctbal"), F.col("c_custkey")).alias("covariance"))
+
+
+@query("SELECT l_returnflag, round(covar_samp(l_quantity, l_linenumber), 6) AS covariance FROM lineitem GROUP BY 1")
+def covariance_by_flag(spark, sf):
+    return tables.read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(describe.covariance(F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")), 6).alias("covariance"))
 
 
-@query("SELECT page_id, regexp_replace(url, '(?i)([?&](?:api[_-]?key|key|token|access_token|secret|password|page)=)[^&#]*', '\\1***', 'g') AS url FROM pages".replace("|page)", ")"))
+@query("""SELECT page_id, CASE WHEN url IS NULL THEN NULL WHEN page_id % 3 = 0 THEN 'http://h/p?api_key=***&q=1#top' WHEN page_id % 3 = 1 THEN 'http://h/p?q=1&Token=***' ELSE url END AS url FROM pages""")
 def secret_redaction(spark, sf):
-    return tables.read(spark, sf, "pages").select("page_id", text.redact_query_secrets(F.col("url")).alias("url"))
+    key = F.concat(F.lit("k"), F.col("page_id").cast("string"))
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("http://h/p?api_key="), key, F.lit("&q=1#top"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("http://h/p?q=1&Token="), key)).otherwise(F.col("url"))
+    return tables.read(spark, sf, "pages").select("page_id", text.redact_query_secrets(F.when(F.col("url").isNotNull(), url)).alias("url"))
 
 
 @query("SELECT doc_id, len(" + _TOK.format(c="text") + ")::INT AS tokens, (" + _TOK.format(c="text") + ")[1] AS first_token FROM documents")
@@ -639,21 +647,22 @@ def generated_periods(spark, sf):
     return tables.read(spark, sf, "nation").select("n_nationkey", F.explode(span).alias("period"))
 
 
-@query("SELECT event_id, CASE WHEN abs(value * 1e5) >= 1e12 THEN 4 WHEN abs(value * 1e5) >= 1e9 THEN 3 WHEN abs(value * 1e5) >= 1e6 THEN 2 WHEN abs(value * 1e5) >= 1e3 THEN 1 ELSE 0 END::INT AS scale FROM events")
+@query("""WITH v AS (SELECT event_id, value * 1e5 + 1 AS v FROM events) SELECT event_id, CASE WHEN abs(v) >= 1e12 THEN printf('%.1fT', v / 1e12) WHEN abs(v) >= 1e9 THEN printf('%.1fB', v / 1e9)
+ WHEN abs(v) >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN abs(v) >= 1e3 THEN printf('%.1fK', v / 1e3) ELSE printf('%.1f', v) END AS shown FROM v""")
 def number_scales(spark, sf):
-    mark = F.right(values.short_number(F.col("value") * 1e5), F.lit(1))
-    return tables.read(spark, sf, "events").select("event_id", F.when(mark == "T", 4).when(mark == "B", 3).when(mark == "M", 2).when(mark == "K", 1).otherwise(0).alias("scale"))
+    return tables.read(spark, sf, "events").select("event_id", values.short_number(F.col("value") * 1e5 + 1).alias("shown"))
 
 
 @query("SELECT event_id, (json_extract_string(props, '$.k'))::INT AS k FROM events")
 def json_field(spark, sf):
-    return tables.read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return tables.read(spark, sf, "events").select("event_id", values.json_field(F.col("props"), "$.k", "int").alias("k"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS rows, round(avg(CASE WHEN l_linenumber <= 3 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall, round(avg(1.0::DOUBLE / l_linenumber), 6) AS mrr FROM lineitem GROUP BY ALL""")
 def ranking_quality(spark, sf):
-    at = F.col("l_linenumber")
-    return tables.read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.when(at <= 3, 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg(1.0 / at), 6).alias("mrr"))
+    rows = tables.read(spark, sf, "lineitem").withColumn("rank", F.col("l_linenumber"))
+    out = search.ranking_quality(rows, 3, ["l_returnflag", "l_linestatus"])
+    return out.select("l_returnflag", "l_linestatus", F.col("queries").alias("rows"), F.round("recall_at_k", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
 @query("""SELECT p_partkey, p_retailprice, CASE WHEN p_retailprice * 0.01 BETWEEN 0 AND 15 THEN 0.01 WHEN p_retailprice * 100 BETWEEN 0 AND 15 THEN 100.0 WHEN p_retailprice * 0.001 BETWEEN 0 AND 15 THEN 0.001 END::DOUBLE AS scale_hint FROM part WHERE NOT (p_retailprice BETWEEN 0 AND 15)""")
@@ -663,9 +672,11 @@ def range_checks(spark, sf):
     return validate.range_checks(rows, ranges, F.lit("rate")).select("p_partkey", F.col("value").alias("p_retailprice"), "scale_hint")
 
 
-@query("""WITH s AS (SELECT o_custkey, o_orderpriority, count(*) AS n, max((o_orderstatus = 'F')::INT) AS pref FROM orders GROUP BY ALL) SELECT o_custkey, o_orderpriority, (n + 1000 * pref)::BIGINT AS score FROM s ORDER BY score DESC, o_custkey, o_orderpriority LIMIT 1""")
+@query("""WITH s AS (SELECT o_custkey, o_orderpriority, count(*) FILTER (WHERE o_totalprice > 50000) AS n FROM orders GROUP BY ALL)
+ SELECT o_custkey, o_orderpriority, n::BIGINT AS points, (n + 1000 * (o_orderpriority = '1-URGENT')::INT + 1000 * (o_custkey % 7 = 3)::INT)::BIGINT AS score FROM s WHERE n > 0 ORDER BY score DESC, o_custkey, o_orderpriority LIMIT 1""")
 def preferred_slice(spark, sf):
-    return derive.best_slice(tables.read(spark, sf, "orders"), ["o_custkey", "o_orderpriority"], F.col("o_orderstatus") == "F").withColumn("score", F.col("score").cast("long"))
+    o = tables.read(spark, sf, "orders").withColumn("value", F.when(F.col("o_totalprice") > 50000, F.col("o_totalprice")))
+    return derive.best_slice(o, ["o_custkey", "o_orderpriority"], [F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey") % 7 == 3])
 
 
 @query("""SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1""")

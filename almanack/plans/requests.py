@@ -5,13 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from almanack.functions.text import FOLDS, distinct_aliases, language_of, smart_alias
-from almanack.operators.dataset import Dataset, union_all
+from almanack.functions.text import detect_language, fold, smart_alias
+from almanack.operators.dataset import Dataset, alias_numbers, union_all
 from almanack.operators.validate import validate, verdict
-from almanack.plans import vocabulary as words
+from almanack.plans.vocabulary import Vocabulary, standard
+from almanack.schema import VARIABLES
+from almanack.sources.readers import fetch_all
 
 
 @dataclass(frozen=True)
@@ -42,8 +48,33 @@ def consume(text: str, names: dict[str, str]) -> list[str]:
     return list(dict.fromkeys(target for _, target in sorted(found)))
 
 
-def _names(table: dict, fold: Callable[[str], str], pick: Callable[[object], list[str]]) -> dict[str, str]:
-    return {fold(n): key for key, value in table.items() for n in pick(value) if fold(n)}
+def mentions(text: Column, names: dict[str, str]) -> Column:
+    """The same for a column of texts: ``array<string>``. ``names`` is a vocabulary, sent to every task once."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else consume(t, names))
+
+    return find(text)
+
+
+def folded(texts: list[str], language: str) -> list[str]:
+    """The search form of some texts (a request, a vocabulary), by the same expression as for columns."""
+    rows = SparkSession.active().createDataFrame(list(enumerate(texts)), "n int, t string")
+    return [r.t for r in rows.select("n", fold(F.col("t"), F.lit(language)).alias("t")).orderBy("n").collect()]
+
+
+@cache
+def _names(vocabulary: Vocabulary, language: str) -> dict[str, dict[str, str]]:
+    """For each table of a vocabulary, what its names fold to in a language, and their keys."""
+    tables = {
+        "concepts": [(n, k) for k, by_language in vocabulary.concepts.items() for names in by_language for n in names],
+        "places": [(n, k) for k, names in vocabulary.countries.items() for n in names] + [(n, f"*{k}") for k, (names, _) in vocabulary.regions.items() for n in names],
+        "shape": [(n, "long") for n in vocabulary.long_shape],
+    } | {t: [(n, k) for k, names in getattr(vocabulary, t).items() for n in names] for t in ("frequencies", "providers", "formats")}
+    every = sorted({n for rows in tables.values() for n, _ in rows})
+    plain = dict(zip(every, folded(every, language), strict=True)) if every else {}
+    return {t: {plain[n]: k for n, k in reversed(rows) if plain[n]} for t, rows in tables.items()}
 
 
 def years(text: str) -> tuple[int | None, int | None]:
@@ -52,34 +83,53 @@ def years(text: str) -> tuple[int | None, int | None]:
     return (found[0] if found else None), (found[-1] if len(found) > 1 else None)
 
 
-def parse(text: str, current_year: int | None = None) -> Spec:
-    """What a sentence asks for. Nothing is guessed: what is not named stays empty."""
-    language = language_of(text)
-    fold = FOLDS[language]
-    plain = fold(text)
-    concepts = consume(plain, _names(words.CONCEPTS, fold, lambda v: [n for names in v for n in names]))
-    places = _names(words.COUNTRIES, fold, list) | {n: f"*{k}" for n, k in _names(words.REGIONS, fold, lambda v: list(v[0])).items()}
-    geographies = [m for p in consume(plain, places) for m in (words.REGIONS[p[1:]][1] if p.startswith("*") else (p,))]
+def language_of(text: str) -> str:
+    return SparkSession.active().range(1).select(detect_language(F.lit(text))).first()[0]
+
+
+def parse(text: str, current_year: int | None = None, vocabulary: Vocabulary | None = None) -> Spec:
+    """What a sentence asks for. Nothing is guessed: what is not named stays empty.
+
+    Of several frequencies named, the one with the longest name counts.
+    """
+    words, language = vocabulary or standard(), language_of(text)
+    plain, names = folded([text], language)[0], _names(words, language)
+    found = {t: consume(plain, table) for t, table in names.items()}
+    geographies = [m for p in found["places"] for m in (words.regions[p[1:]][1] if p.startswith("*") else (p,))]
     start, end = years(text)
-    last = re.search(r"\b(?:last|past|dernieres?|derniers?|اخر)\s+(\d{1,3})\s*(?:years?|ans?|annees?|سنوات|سنه)\b", plain)
+    last = re.search(r"\b(?:last|past|dernieres?|derniers?|derniere?|اخر)\s+(\d{1,3})\s*(?:years?|ans?|annees?|سنوات|سنه)\b", plain)
     if start is None and last and current_year:
         start, end = current_year - int(last[1]) + 1, current_year
-    hints = lambda table: consume(plain, _names(table, fold, list))
+    hint = max((n for n in names["frequencies"] if f" {n} " in f" {plain} "), key=lambda n: (len(n), n), default=None)
     return Spec(
         text,
         language,
-        tuple(concepts),
+        tuple(found["concepts"]),
         tuple(dict.fromkeys(geographies)),
         start,
         end,
-        (hints(words.FREQUENCIES) or ["annual"])[0],
-        tuple(hints(words.PROVIDERS)),
-        "long" if consume(plain, {fold(w): "long" for w in words.LONG_SHAPE}) else "wide",
-        tuple(hints(words.FORMATS)) or ("xlsx",),
-        tuple(c for c in concepts if c in words.AMBIGUOUS),
+        names["frequencies"][hint] if hint else "annual",
+        tuple(found["providers"]),
+        "long" if found["shape"] else "wide",
+        tuple(found["formats"]) or ("xlsx",),
+        tuple(c for c in found["concepts"] if c in words.ambiguous),
     )
 
 
+def concepts(vocabulary: Vocabulary | None = None) -> DataFrame:
+    """(key, language, name, place) of every name of every concept."""
+    words = vocabulary or standard()
+    rows = [(k, g, n, i) for k, by_language in words.concepts.items() for g, names in zip(("en", "fr", "ar"), by_language, strict=False) for i, n in enumerate(names)]
+    return SparkSession.active().createDataFrame(rows, "key string, language string, name string, place int")
+
+
+def geographies(vocabulary: Vocabulary | None = None) -> DataFrame:
+    """(code, kind, names, members): countries, which are their own members, and regions."""
+    words = vocabulary or standard()
+    rows = [(k, "country", list(names), [k]) for k, names in words.countries.items()] + [(k, "region", list(names), list(members)) for k, (names, members) in words.regions.items()]
+    return SparkSession.active().createDataFrame(rows, "code string, kind string, names array<string>, members array<string>")
+
+
 def top_count(text: str) -> int:
     """How many ranks a text asks for: its number (1 to 100), 1 for a superlative, else 10."""
     m = re.search(r"\b(?:top|bottom|first|last)\s+(\d{1,4})\b|\b(\d{1,4})\s+(?:highest|lowest|largest|smallest|best|worst)\b", text.lower())
@@ -131,34 +181,60 @@ def choose_provider(candidates: list[dict], countries: list[str]) -> dict | None
 
 def build(parts: list[tuple[dict, DataFrame]], spec: Spec | None = None) -> Dataset:
     """A dataset of resolved series: (metadata, observations) in order."""
-    names = distinct_aliases([smart_alias(m["title"], m["series_id"], m.get("unit"), m.get("concept")) for m, _ in parts])
     spark = parts[0][1].sparkSession
-    rows = [(a, m["provider"], m["series_id"], m["title"], m.get("unit"), m.get("frequency"), m.get("concept"), m.get("coverage_end"), i) for i, (a, (m, _)) in enumerate(zip(names, parts, strict=True))]
-    variables = spark.createDataFrame(rows, "alias string, provider string, series_id string, title string, unit string, frequency string, concept string, coverage_end string, ordinal int")
+    rows = [(m["provider"], m["series_id"], m["title"], m.get("unit"), m.get("frequency"), m.get("concept"), m.get("coverage_end"), i) for i, (m, _) in enumerate(parts)]
+    raw = spark.createDataFrame(rows, "provider string, series_id string, title string, unit string, frequency string, concept string, coverage_end string, ordinal int")
+    alias = smart_alias(F.col("title"), F.col("series_id"), F.col("unit"), F.col("concept"))
+    made = alias_numbers(raw.select(alias.alias("alias"), *raw.columns)).orderBy("ordinal").collect()  # one row a series of the request
+    variables = spark.createDataFrame(made, VARIABLES)
+    names = [r.alias for r in made]
     return Dataset(union_all([o for _, o in parts]), variables, tuple(names), spec.shape if spec else "wide", ({"operation": "build_dataset", "parameters": {"series": names}},))
 
 
-def instant(text: str, resolve: Callable[[str, Spec], list[dict]], fetch: Callable[[dict, Spec], DataFrame], current_year: int | None = None) -> dict:
+def from_selection(selection: list[dict], fetch: Callable[[dict, Spec], DataFrame], geographies: list[str], start: int | None = None, end: int | None = None, frequency: str = "annual", shape: str = "wide") -> dict:
+    """A dataset of series that a user picked from the catalogue: {provider, series_id, title, ...}.
+
+    Each is fetched and run on its own; failures are reported, and nothing takes their place.
+    """
+    if not selection:
+        raise ValueError("no series selected")
+    spec = Spec("", "en", (), tuple(geographies), start, end, frequency, shape=shape)
+    rows, log = fetch_all([(f"{s['provider']}:{s['series_id']}", lambda s=s: _windowed(fetch(s, spec), spec)) for s in selection], apart=True)
+    parts = [(s, df) for s, df in zip(selection, rows, strict=True) if df is not None]
+    failures = [{"series": x["source"], "error": x["error"]} for x in log if not x["ok"]]
+    return _finish(parts, spec, failures)
+
+
+def _windowed(rows: DataFrame, spec: Spec) -> DataFrame:
+    from almanack.operators.derive import in_years
+
+    return in_years(rows, "period", spec.start, spec.end) if spec.start or spec.end else rows
+
+
+def _finish(parts: list[tuple[dict, DataFrame]], spec: Spec, failures: list[dict]) -> dict:
+    if not parts:
+        return {"spec": spec, "dataset": None, "failures": failures, "warning": "no series"}
+    made = build(parts, spec).persist()
+    issues = validate(made.observations, made.variables, spec.frequency, spec.end)
+    return {"spec": spec, "dataset": made, "issues": issues, "verdict": verdict(issues), "failures": failures, "warning": None}
+
+
+def instant(text: str, resolve: Callable[[str, Spec], list[dict]], fetch: Callable[[dict, Spec], DataFrame], current_year: int | None = None, vocabulary: Vocabulary | None = None) -> dict:
     """Sentence to dataset: parse, resolve each concept, fetch the first series that works, build, validate.
 
-    ``resolve`` ranks series for a concept; ``fetch`` gives a series' observations or raises. What could
-    not be had is reported under ``failures`` and never made up.
+    ``resolve`` ranks series for a concept; ``fetch`` gives a series' observations or raises. Each is run
+    by a small action of its own, so errors in its data are its own too. What could not be had is
+    reported under ``failures`` and never made up.
     """
-    spec = parse(text, current_year)
+    spec = parse(text, current_year, vocabulary)
     if not spec.concepts or not spec.geographies:
         return {"spec": spec, "dataset": None, "failures": [], "warning": "no concept" if not spec.concepts else "no geography"}
     parts, failures = [], []
     for concept in spec.concepts:
         for series in resolve(concept, spec):
-            try:
-                rows = fetch(series, spec)
-                rows.schema  # noqa: B018
+            (rows,), (log,) = fetch_all([(series.get("series_id"), lambda s=series: fetch(s, spec))], apart=True)
+            if log["ok"]:
                 parts.append((series | {"concept": concept}, rows))
                 break
-            except Exception as e:  # noqa: BLE001  the next series may work
-                failures.append({"concept": concept, "series": series.get("series_id"), "error": str(e)[:300]})
-    if not parts:
-        return {"spec": spec, "dataset": None, "failures": failures, "warning": "no series"}
-    made = build(parts, spec).persist()
-    issues = validate(made.observations, made.variables, spec.frequency, spec.end)
-    return {"spec": spec, "dataset": made, "issues": issues, "verdict": verdict(issues), "failures": failures, "warning": None}
+            failures.append({"concept": concept, "series": log["source"], "error": log["error"]})
+    return _finish(parts, spec, failures)

@@ -1,119 +1,55 @@
-"""Names that requests use. Fixed values throughout; ``load`` takes a larger table from a file."""
+"""Names that requests use, as data: a vocabulary is read from JSON or YAML and passed as a parameter.
+
+``vocabulary.json`` beside this module is a small selection of concepts, countries and regions in
+English, French and Arabic, made of public names and ISO 3166 codes; it serves examples and tests, and
+requests over more take a vocabulary of their own. Fixed values only, no logic.
+"""
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from functools import cache
 from pathlib import Path
 
-# Concepts with their English, French and Arabic names, the canonical one first.
-CONCEPTS = {
-    "gdp": (("GDP", "gross domestic product", "national output", "domestic product"), ("PIB", "produit interieur brut", "production nationale"), ("الناتج المحلي الإجمالي", "الناتج الداخلي الخام", "الناتج المحلي")),
-    "gdp_per_capita": (("GDP per capita", "gdp per head", "income per capita", "output per person"), ("PIB par habitant", "PIB par tete", "revenu par habitant"), ("الناتج المحلي الإجمالي للفرد", "نصيب الفرد من الناتج المحلي", "دخل الفرد")),
-    "gdp_growth": (("GDP growth", "economic growth", "growth rate", "real growth"), ("croissance du PIB", "croissance economique", "taux de croissance"), ("نمو الناتج المحلي", "النمو الاقتصادي", "معدل النمو")),
-    "inflation": (("inflation", "CPI inflation", "consumer prices", "price inflation", "cost of living"), ("inflation", "hausse des prix", "prix a la consommation", "indice des prix"), ("التضخم", "معدل التضخم", "ارتفاع الأسعار", "أسعار المستهلك", "غلاء المعيشة")),
-    "cpi": (("CPI", "consumer price index", "price index"), ("IPC", "indice des prix a la consommation"), ("مؤشر أسعار المستهلك", "الرقم القياسي للأسعار")),
-    "unemployment": (("unemployment", "unemployment rate", "jobless rate", "joblessness"), ("chomage", "taux de chomage", "sans emploi"), ("البطالة", "معدل البطالة", "نسبة البطالة")),
-    "employment": (("employment", "employment rate", "jobs", "employed persons"), ("emploi", "taux d'emploi", "population active occupee"), ("التشغيل", "العمالة", "معدل التشغيل")),
-    "labor_force": (("labor force", "labour force", "participation rate", "active population"), ("population active", "taux d'activite", "main d'oeuvre"), ("القوى العاملة", "معدل المشاركة")),
-    "public_debt": (("public debt", "government debt", "national debt", "sovereign debt", "debt to GDP"), ("dette publique", "dette de l'etat", "dette souveraine"), ("الدين العام", "الدين الحكومي", "المديونية")),
-    "external_debt": (("external debt", "foreign debt", "external stocks"), ("dette exterieure", "dette externe"), ("الدين الخارجي", "المديونية الخارجية")),
-    "fdi": (("FDI", "foreign direct investment", "direct investment", "inward investment"), ("IDE", "investissements directs etrangers", "investissement direct"), ("الاستثمار الأجنبي المباشر", "الاستثمارات الأجنبية")),
-    "exchange_rate": (("exchange rate", "currency rate", "forex rate", "FX rate"), ("taux de change", "cours de change"), ("سعر الصرف", "سعر العملة")),
-    "interest_rate": (("interest rate", "policy rate", "lending rate", "deposit rate", "benchmark rate"), ("taux d'interet", "taux directeur"), ("سعر الفائدة", "معدل الفائدة")),
-    "money_supply": (("money supply", "broad money", "M1", "M2", "M3", "monetary aggregate"), ("masse monetaire", "agregat monetaire"), ("عرض النقود", "الكتلة النقدية")),
-    "exports": (("exports", "exports of goods and services", "outbound trade"), ("exportations", "ventes a l'etranger"), ("الصادرات", "التصدير")),
-    "imports": (("imports", "imports of goods and services", "inbound trade"), ("importations", "achats a l'etranger"), ("الواردات", "الاستيراد")),
-    "trade_balance": (("trade balance", "balance of trade", "net exports", "trade deficit", "trade surplus"), ("balance commerciale", "solde commercial"), ("الميزان التجاري", "الرصيد التجاري")),
-    "current_account": (("current account", "current account balance", "external balance"), ("balance courante", "compte courant"), ("الحساب الجاري", "الميزان الجاري")),
-    "population": (("population", "total population", "inhabitants", "demographics"), ("population", "population totale", "habitants"), ("السكان", "عدد السكان")),
-    "government_expenditure": (("government expenditure", "public spending", "government spending", "fiscal expenditure"), ("depenses publiques", "depenses de l'etat"), ("الإنفاق الحكومي", "النفقات العامة")),
-    "government_revenue": (("government revenue", "public revenue", "tax revenue", "fiscal revenue"), ("recettes publiques", "recettes fiscales"), ("الإيرادات الحكومية", "الإيرادات العامة")),
-    "budget_balance": (("budget balance", "fiscal balance", "budget deficit", "fiscal deficit", "surplus"), ("solde budgetaire", "deficit budgetaire"), ("عجز الموازنة", "الميزانية العامة")),
-    "poverty": (("poverty", "poverty rate", "poverty headcount", "poor population"), ("pauvrete", "taux de pauvrete"), ("الفقر", "معدل الفقر")),
-    "energy_use": (("energy use", "energy consumption", "primary energy"), ("consommation energetique", "energie primaire"), ("استهلاك الطاقة", "الطاقة الأولية")),
-    "renewable_energy": (("renewable energy", "renewables", "clean energy share"), ("energie renouvelable", "energies renouvelables"), ("الطاقة المتجددة", "الطاقات المتجددة")),
-    "co2_emissions": (("CO2 emissions", "carbon emissions", "greenhouse gas", "carbon dioxide"), ("emissions de CO2", "gaz a effet de serre"), ("انبعاثات ثاني أكسيد الكربون", "الانبعاثات الكربونية")),
-}
-# Concepts whose plain name has several definitions.
-AMBIGUOUS = ("gdp", "inflation")
-# Countries by ISO code, with English, French and Arabic names.
-COUNTRIES = {
-    "DZA": ("Algeria", "Algerie", "الجزائر"),
-    "MAR": ("Morocco", "Maroc", "المغرب"),
-    "TUN": ("Tunisia", "Tunisie", "تونس"),
-    "LBY": ("Libya", "Libye", "ليبيا"),
-    "MRT": ("Mauritania", "Mauritanie", "موريتانيا"),
-    "EGY": ("Egypt", "Egypte", "مصر"),
-    "SDN": ("Sudan", "Soudan", "السودان"),
-    "JOR": ("Jordan", "Jordanie", "الأردن"),
-    "LBN": ("Lebanon", "Liban", "لبنان"),
-    "SYR": ("Syria", "Syrie", "سوريا"),
-    "IRQ": ("Iraq", "Irak", "العراق"),
-    "SAU": ("Saudi Arabia", "Arabie Saoudite", "السعودية"),
-    "ARE": ("United Arab Emirates", "Emirats Arabes Unis", "الإمارات", "UAE"),
-    "QAT": ("Qatar", "قطر"),
-    "KWT": ("Kuwait", "Koweit", "الكويت"),
-    "OMN": ("Oman", "عمان"),
-    "BHR": ("Bahrain", "Bahrein", "البحرين"),
-    "YEM": ("Yemen", "اليمن"),
-    "PSE": ("Palestine", "فلسطين"),
-    "ISR": ("Israel", "إسرائيل"),
-    "IRN": ("Iran", "إيران"),
-    "TUR": ("Turkiye", "Turquie", "تركيا", "Turkey"),
-    "NGA": ("Nigeria", "نيجيريا"),
-    "ZAF": ("South Africa", "Afrique du Sud", "جنوب أفريقيا"),
-    "KEN": ("Kenya", "كينيا"),
-    "ETH": ("Ethiopia", "Ethiopie", "إثيوبيا"),
-    "GHA": ("Ghana", "غانا"),
-    "SEN": ("Senegal", "السنغال"),
-    "CIV": ("Cote d'Ivoire", "Ivory Coast", "ساحل العاج"),
-    "FRA": ("France", "فرنسا"),
-    "DEU": ("Germany", "Allemagne", "ألمانيا"),
-    "ITA": ("Italy", "Italie", "إيطاليا"),
-    "ESP": ("Spain", "Espagne", "إسبانيا"),
-    "PRT": ("Portugal", "البرتغال"),
-    "GBR": ("United Kingdom", "Royaume-Uni", "المملكة المتحدة", "UK", "Britain"),
-    "NLD": ("Netherlands", "Pays-Bas", "هولندا"),
-    "BEL": ("Belgium", "Belgique", "بلجيكا"),
-    "CHE": ("Switzerland", "Suisse", "سويسرا"),
-    "SWE": ("Sweden", "Suede", "السويد"),
-    "NOR": ("Norway", "Norvege", "النرويج"),
-    "POL": ("Poland", "Pologne", "بولندا"),
-    "GRC": ("Greece", "Grece", "اليونان"),
-    "USA": ("United States", "Etats-Unis", "الولايات المتحدة", "USA", "America"),
-    "CAN": ("Canada", "كندا"),
-    "MEX": ("Mexico", "Mexique", "المكسيك"),
-    "BRA": ("Brazil", "Bresil", "البرازيل"),
-    "ARG": ("Argentina", "Argentine", "الأرجنتين"),
-    "CHL": ("Chile", "Chili", "تشيلي"),
-    "CHN": ("China", "Chine", "الصين"),
-    "JPN": ("Japan", "Japon", "اليابان"),
-    "IND": ("India", "Inde", "الهند"),
-    "KOR": ("South Korea", "Coree du Sud", "كوريا الجنوبية", "Korea"),
-    "IDN": ("Indonesia", "Indonesie", "إندونيسيا"),
-    "MYS": ("Malaysia", "Malaisie", "ماليزيا"),
-    "PAK": ("Pakistan", "باكستان"),
-    "AUS": ("Australia", "Australie", "أستراليا"),
-    "RUS": ("Russia", "Russie", "روسيا"),
-}
-# Regions with their names and members.
-REGIONS = {
-    "maghreb": (("Maghreb", "Maghreb countries", "المغرب العربي"), ("DZA", "MAR", "TUN", "LBY", "MRT")),
-    "north_africa": (("North Africa", "Afrique du Nord", "شمال أفريقيا"), ("DZA", "MAR", "TUN", "LBY", "EGY", "MRT", "SDN")),
-    "mena": (("MENA", "Middle East and North Africa", "الشرق الأوسط وشمال أفريقيا"), ("DZA", "MAR", "TUN", "LBY", "EGY", "MRT", "SDN", "JOR", "LBN", "SYR", "IRQ", "SAU", "ARE", "QAT", "KWT", "OMN", "BHR", "YEM", "PSE", "ISR", "IRN")),
-    "gcc": (("GCC", "Gulf Cooperation Council", "مجلس التعاون الخليجي", "دول الخليج"), ("SAU", "ARE", "QAT", "KWT", "OMN", "BHR")),
-    "eu": (("EU", "European Union", "Union Europeenne", "الاتحاد الأوروبي"), ("FRA", "DEU", "ITA", "ESP", "PRT", "NLD", "BEL", "SWE", "POL", "GRC")),
-    "g7": (("G7", "Group of Seven", "مجموعة السبع"), ("USA", "GBR", "FRA", "DEU", "ITA", "CAN", "JPN")),
-    "brics": (("BRICS", "بريكس"), ("BRA", "RUS", "IND", "CHN", "ZAF")),
-    "sub_saharan_africa": (("Sub-Saharan Africa", "Afrique subsaharienne", "أفريقيا جنوب الصحراء"), ("NGA", "ZAF", "KEN", "ETH", "GHA", "SEN", "CIV")),
-}
-# Words for frequencies, providers, formats and shapes.
-FREQUENCIES = {"annual": ("annual", "yearly", "annuel", "سنوي"), "quarterly": ("quarterly", "trimestriel", "فصلي"), "monthly": ("monthly", "mensuel", "شهري"), "weekly": ("weekly", "hebdomadaire", "اسبوعي"), "daily": ("daily", "quotidien", "journalier", "يومي")}
-PROVIDERS = {"world_bank": ("world bank", "worldbank", "banque mondiale", "البنك الدولي"), "imf": ("imf", "international monetary fund", "fmi", "صندوق النقد"), "fred": ("fred", "st louis fed", "federal reserve"), "oecd": ("oecd", "ocde"), "eurostat": ("eurostat", "يوروستات"), "bis": ("bis", "bank for international settlements")}
-FORMATS = {"xlsx": ("excel", "xlsx", "workbook", "classeur"), "csv": ("csv",), "parquet": ("parquet",), "json": ("json",), "html": ("html", "report", "rapport", "تقرير"), "dta": ("stata", "dta")}
-LONG_SHAPE = ("long", "panel", "طويل")
+
+@dataclass(frozen=True, eq=False)
+class Vocabulary:
+    """``concepts``: names by language; ``regions``: names and members; all others: names by key."""
+
+    concepts: dict[str, list[list[str]]]
+    countries: dict[str, list[str]]
+    regions: dict[str, tuple[list[str], list[str]]]
+    frequencies: dict[str, list[str]]
+    providers: dict[str, list[str]]
+    formats: dict[str, list[str]]
+    long_shape: list[str]
+    ambiguous: list[str]
+
+
+def read_table(path: str) -> dict:
+    """A mapping from JSON or, where a YAML library is installed, from YAML."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ModuleNotFoundError as e:
+        raise RuntimeError("reading YAML needs a YAML library; JSON does not") from e
+    return yaml.safe_load(text)
+
+
+def load(path: str) -> Vocabulary:
+    """A vocabulary from a file; tables that it lacks are empty.
+
+    Concepts are ``{key: [[english], [french], [arabic]]}`` or ``{key: {en: [...], fr: [...], ar: [...]}}``.
+    """
+    raw = read_table(path)
+    concepts = {k: ([v.get(g, []) for g in ("en", "fr", "ar")] if isinstance(v, dict) else v) for k, v in raw.get("concepts", {}).items()}
+    named = {n: raw.get(n, {}) for n in ("countries", "regions", "frequencies", "providers", "formats")}
+    return Vocabulary(concepts, **named, long_shape=raw.get("long_shape", []), ambiguous=raw.get("ambiguous", []))
 
 
-def load(path: str) -> dict[str, tuple[tuple[str, ...], ...]]:
-    """Concepts from JSON: ``{key: [[english], [french], [arabic]]}``."""
-    return {k: tuple(tuple(names) for names in v) for k, v in json.loads(Path(path).read_text(encoding="utf-8")).items()}
+@cache
+def standard() -> Vocabulary:
+    return load(str(Path(__file__).with_name("vocabulary.json")))

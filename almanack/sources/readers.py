@@ -7,6 +7,10 @@ into the observation schema.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,8 @@ from pyspark.sql import types as T
 from almanack.functions import periods
 from almanack.functions.values import numeric_parse, sanitise
 from almanack.operators import cube
+from almanack.operators.dataset import union_all
+from almanack.operators.derive import best_slice
 
 _NAMES = ("provider", "series_id", "geography", "iso3", "period", "value", "unit", "frequency", "status")
 
@@ -204,20 +210,96 @@ def points(rows: DataFrame, provider: str) -> DataFrame:
     return canonical(flat, provider, series_id=F.coalesce("seriesId", "indicator"), geography="country", period="d.date", value="d.value", unit="unit", frequency="frequency")
 
 
-def fetch_all(jobs: list[tuple[str, object]]) -> tuple[DataFrame | None, list[dict]]:
-    """(name, function returning a DataFrame) in order: the union of those that work, and a log of all.
+class Source(Protocol):
+    """What every connector is: landed payloads in, canonical observations out."""
+
+    def __call__(self, spark: SparkSession, path: str, **parameters: object) -> DataFrame: ...
+
+
+def ladder(first: DataFrame, more: DataFrame, key: str = "iso3") -> DataFrame:
+    """A batch answer, completed by a finer one for the keys that the batch lacks altogether."""
+    return first.unionByName(more.join(first.select(key).distinct(), key, "left_anti").select(first.columns))
+
+
+def world_bank_sources(spark: SparkSession, path: str) -> DataFrame:
+    """The source endpoint: ``{source: {data: [{variable: [{concept, id, value}], value}]}}``; times are ``YR2000``."""
+    item = "struct<variable:array<struct<concept:string,id:string,value:string>>,value:string>"
+    raw = spark.read.schema(f"source struct<data:array<{item}>>").option("multiLine", True).json(path)
+    rows = raw.select(F.explode("source.data").alias("d")).select("d.*").filter("value is not null")
+    part = lambda name, field: F.get(F.filter("variable", lambda v: F.lower(v["concept"]) == name), F.lit(0))[field]
+    return canonical(rows, "worldbank", series_id=part("series", "id"), geography=part("country", "value"), iso3=part("country", "id"), period=F.regexp_replace(part("time", "id"), "^YR", ""), value="value", frequency=F.lit("annual"))
+
+
+def statcan_coordinates(spark: SparkSession, path: str, members: dict[str, str] | None = None) -> DataFrame:
+    """WDS answers by coordinate; ``members`` names the geography of a coordinate's first member (provinces)."""
+    point = "struct<refPer:string,value:string,scalarFactorCode:int>"
+    raw = spark.read.schema(f"object struct<productId:long,coordinate:string,frequencyCode:int,vectorDataPoint:array<{point}>>").option("multiLine", True).json(path)
+    rows = raw.select("object.*").select("productId", "coordinate", "frequencyCode", F.explode("vectorDataPoint").alias("p")).filter("p.value is not null")
+    frequency = F.when(F.col("frequencyCode") == 6, "monthly").when(F.col("frequencyCode") == 9, "quarterly").when(F.col("frequencyCode") == 12, "annual").when(F.col("frequencyCode") == 1, "daily").otherwise("unknown")
+    value = F.col("p.value").try_cast("double") * F.pow(F.lit(10.0), F.coalesce("p.scalarFactorCode", F.lit(0)))
+    first = F.substring_index("coordinate", ".", 1)
+    place = F.coalesce(F.create_map(*(F.lit(x) for kv in members.items() for x in kv))[first], F.lit("Canada")) if members else F.lit("Canada")
+    return canonical(rows, "statscan", series_id=F.concat_ws(":", "productId", "coordinate"), geography=place, iso3=F.lit("CAN"), period="p.refPer", value=value, frequency=frequency)
+
+
+def period_chunks(periods_: list[str], most: int = 12) -> list[list[str]]:
+    """The requests that a list of periods takes, each of at most ``most``."""
+    return [periods_[a : a + most] for a in range(0, len(periods_), most)]
 
-    A failure is logged and the others go on. Plans are lazy, so each is analysed here and run later.
+
+def preferred_series(rows: DataFrame, dimensions: list[str], preferences: dict[str, str]) -> DataFrame:
+    """The rows of the series whose key (members joined by dots) fits the preferences best: 1000 for each, and its points."""
+    member = lambda d: F.element_at(F.split("series_id", r"\."), dimensions.index(d) + 1)
+    best = best_slice(rows, ["series_id"], [member(d) == v for d, v in preferences.items() if d in dimensions]).first()
+    return rows.filter(F.col("series_id") == best.series_id) if best else rows.filter("false")
+
+
+def registered_json(spark: SparkSession, path: str, provider: str, series_id: str, fields: dict[str, str], frequency: str, geography: str, iso3: str) -> DataFrame:
+    """Records ``[{...}]`` whose fields for date and value are registered; a missing field is an error, as the source has changed."""
+    raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    if gone := [f for f in fields.values() if f not in raw.columns]:
+        raise ValueError(f"the source's fields have changed; missing: {gone}")
+    rows = raw.withColumn("seq", F.monotonically_increasing_id()).groupBy(F.col(f"`{fields['date']}`").alias("d")).agg(F.max_by(F.col(f"`{fields['value']}`"), "seq").alias("v"), F.max("seq").alias("seq"))
+    return canonical(rows, provider, series_id=F.lit(series_id), geography=F.lit(geography), iso3=F.lit(iso3), period="d", value="v", frequency=F.lit(frequency), obs_seq="seq")
+
+
+def sdg_series(spark: SparkSession, path: str) -> DataFrame:
+    """The list of a JSON catalogue of series, ``[{code, description}]``: (provider, code, title)."""
+    raw = spark.read.schema("code string, description string").option("multiLine", True).json(path)
+    return raw.select(F.lit("unsd").alias("provider"), F.trim("code").alias("code"), F.trim("description").alias("title")).filter("code <> '' and title <> ''")
+
+
+def bulk_catalogue(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame | None, list[dict]]:
+    """Catalogue files of many providers in one table, last of equal codes winning; a provider that fails is logged."""
+    from almanack.operators.search import build_catalogue
+
+    rows, log = fetch_all([(name, lambda n=name, p=path: catalogue_json(spark, p, n).withColumn("seq", F.monotonically_increasing_id())) for name, path in files.items()], apart=True)
+    good = [r for r in rows if r is not None]
+    return (build_catalogue(reduce(DataFrame.unionByName, good), "seq", upsert=True).drop("seq") if good else None), log
+
+
+def fetch_all(jobs: list[tuple[str, Callable[[], DataFrame]]], apart: bool = False, land: str | None = None) -> tuple[DataFrame | list[DataFrame | None] | None, list[dict]]:
+    """(name, function returning a DataFrame) in order: the union of those that work (or each ``apart``), and a log of all.
+
+    Plans are lazy, so each source is run by an action of its own: with ``land``, a folder that the cluster
+    shares, it is written there and read back, and whatever fails in it is its own failure; otherwise its
+    first row is read, which finds missing and malformed payloads but not damage further on.
     """
     log, parts = [], []
-    for name, job in jobs:
+    for n, (name, job) in enumerate(jobs):
         try:
             part = job()
-            part.schema  # noqa: B018  analysis errors belong to this source
+            if land:
+                part.write.mode("overwrite").parquet(f"{land}/{n:05d}")
+                part = part.sparkSession.read.schema(part.schema).parquet(f"{land}/{n:05d}")
+            else:
+                part.limit(1).collect()
             parts.append(part)
             log.append({"source": name, "ok": True, "error": None})
         except Exception as e:  # noqa: BLE001  one source must not stop the others
+            parts.append(None)
             log.append({"source": name, "ok": False, "error": str(e)[:500]})
-    from almanack.operators.dataset import union_all
-
-    return (union_all(parts) if parts else None), log
+    if apart:
+        return parts, log
+    good = [p for p in parts if p is not None]
+    return (union_all(good) if good else None), log

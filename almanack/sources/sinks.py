@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanack.functions.values import guard_formula
+from almanack.sources import workbook
 
-#: Rows that a document for people may hold.
-DOCUMENT_ROWS = 1_000_000
+#: Rows that a document for people may hold; a larger table is an error there, and goes to Parquet or CSV.
+DOCUMENT_ROWS = 5_000_000
 
 
 def to_csv(df: DataFrame, path: str) -> None:
@@ -31,19 +32,35 @@ def to_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
 
 
-def _rows(df: DataFrame) -> list[dict]:
-    return [r.asDict(True) for r in df.limit(DOCUMENT_ROWS).collect()]
+def _whole(df: DataFrame, limit: int | None = None) -> pa.Table:
+    """All rows on the driver, behind a check of their number: more than the bound is an error, never a cut."""
+    limit = DOCUMENT_ROWS if limit is None else limit
+    table = df.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        raise ValueError(f"over {limit} rows are too many for one document; write Parquet or CSV instead")
+    return table
 
 
 def to_json(df: DataFrame, path: str, variables: list[dict], transformations: list[dict]) -> None:
-    """Rows and provenance in one document."""
-    Path(path).write_text(json.dumps({"data": _rows(df), "variables": variables, "transformations": transformations}, default=str, ensure_ascii=False), encoding="utf-8")
+    """Rows and provenance in one document, rows one at a time."""
+    head = json.dumps({"variables": variables, "transformations": transformations}, default=str, ensure_ascii=False)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(head[:-1] + ', "data": [')
+        for batch, rows in enumerate(_whole(df).to_batches()):
+            text = ",\n".join(json.dumps(r, default=str, ensure_ascii=False) for r in rows.to_pylist())
+            out.write((",\n" if batch and text else "") + text)
+        out.write("]}")
+
+
+def to_json_lines(df: DataFrame, path: str) -> None:
+    """Any number of rows, written by executors."""
+    df.write.option("ignoreNullFields", False).json(path)
 
 
 def to_feather(df: DataFrame, path: str) -> None:
     from pyarrow import feather
 
-    feather.write_feather(df.limit(DOCUMENT_ROWS).toArrow(), path)
+    feather.write_feather(_whole(df), path)
 
 
 def stata_names(columns: list[str]) -> dict[str, str]:
@@ -64,21 +81,14 @@ def stata_names(columns: list[str]) -> dict[str, str]:
 
 def to_stata(df: DataFrame, path: str, labels: dict[str, str] | None = None) -> None:
     names = stata_names(df.columns)
-    pdf = df.limit(DOCUMENT_ROWS).toPandas().rename(columns=names)
     labels = {names[c]: label[:80] for c, label in (labels or {}).items() if c in names}
-    pdf.to_stata(path, write_index=False, variable_labels=labels, version=118)
+    _whole(df).to_pandas().rename(columns=names).to_stata(path, write_index=False, variable_labels=labels, version=118)
 
 
 def to_excel(sheets: dict[str, DataFrame], path: str) -> None:
-    """One sheet for each table. Needs a writer library, which is not part of this package."""
-    import pandas as pd
-
-    try:
-        with pd.ExcelWriter(path) as writer:
-            for name, df in sheets.items():
-                df.limit(DOCUMENT_ROWS).toPandas().to_excel(writer, sheet_name=name[:31], index=False)
-    except ModuleNotFoundError as e:
-        raise RuntimeError("writing workbooks needs openpyxl") from e
+    """One sheet for each table; the format's own bound of rows cuts a sheet, which then says so."""
+    tables = {n: df.limit(workbook.SHEET_ROWS + 1).toArrow() for n, df in sheets.items()}
+    workbook.write(path, {n: (t.column_names, [tuple(r.values()) for r in t.to_pylist()]) for n, t in tables.items()})
 
 
 def html_report(title: str, series: dict[str, list[tuple[str, float | None]]], coverage: list[tuple[str, str, float]], path: str) -> None:
@@ -106,9 +116,7 @@ def html_report(title: str, series: dict[str, list[tuple[str, float | None]]], c
 
 def bundle(path: str, data: DataFrame, recipe_text: str, sources: list[dict], transformations: list[dict], readme: str) -> None:
     """A research bundle: data, metadata, sources, transformations, recipe, read-me, and their digests."""
-    text = io.StringIO()
-    data.limit(DOCUMENT_ROWS).toPandas().to_csv(text, index=False)
-    parts = {"data.csv": text.getvalue(), "metadata.json": json.dumps(data.dtypes), "sources.json": json.dumps(sources, default=str), "transformations.json": json.dumps(transformations, default=str), "recipe.yaml": recipe_text, "README.md": readme}
+    parts = {"data.csv": _whole(data).to_pandas().to_csv(index=False), "metadata.json": json.dumps(data.dtypes), "sources.json": json.dumps(sources, default=str), "transformations.json": json.dumps(transformations, default=str), "recipe.yaml": recipe_text, "README.md": readme}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in parts.items():
             z.writestr(name, body)
@@ -120,5 +128,3 @@ def align_series(series: DataFrame, names: list[str], date: str = "date", name:
     cell = lambda n: F.max_by(F.when(F.col(name) == n, F.col(value)), F.when(F.col(name) == n, F.col(seq))).alias(n)
     return series.groupBy(F.substring(F.col(date), 1, 10).alias(date)).agg(*(cell(n) for n in names))
 
-
-EXPORTS = {"csv": to_csv, "safe_csv": to_safe_csv, "parquet": to_parquet, "feather": to_feather, "stata": to_stata}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from almanack.operators.diff import change_counts
 
@@ -77,8 +78,114 @@ def fold_stream(turns: DataFrame) -> DataFrame:
 
 
 def breaker(calls: DataFrame, failures: int = 5, within: int = 300) -> DataFrame:
-    """Calls (provider, seconds, ok) at which a circuit would open: the n-th failure within the window."""
-    from pyspark.sql import Window
+    """Calls (provider, seconds, ok) at which a circuit would open: the n-th failure within the window.
 
-    w = Window.partitionBy("provider").orderBy("seconds").rangeBetween(-within, 0)
-    return calls.withColumn("recent", F.count_if(~F.col("ok")).over(w)).filter(~F.col("ok") & (F.col("recent") >= failures))
+    Calls are dealt out by provider and time bucket of the window's width, each bucket with the failures
+    of the one before, so a provider with most of the calls is many tasks.
+    """
+    own = calls.withColumn("_b", F.floor(F.col("seconds") / (within + 1))).withColumn("_own", F.lit(True))
+    before = own.filter(~F.col("ok")).withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy("provider", "_b").orderBy("seconds").rangeBetween(-within, 0)
+    out = own.unionByName(before).withColumn("recent", F.count_if(~F.col("ok")).over(w))
+    return out.filter(F.col("_own") & ~F.col("ok") & (F.col("recent") >= failures)).drop("_b", "_own")
+
+
+@dataclass(frozen=True)
+class Breaker:
+    """``failures`` within ``within`` seconds open a circuit for ``open_for``; then ``successes`` in a row close it."""
+
+    failures: int = 5
+    within: int = 300
+    open_for: int = 60
+    successes: int = 2
+
+
+_STATES = "provider string, seconds long, ok boolean, state string"
+
+
+def _advance(memory: tuple[str, int, int, list[int]], seconds: int, ok: bool, rule: Breaker) -> tuple[str, int, int, list[int]]:
+    """(state, since, successes, failure times) after one call."""
+    state, since, good, bad = memory
+    if state == "open" and seconds - since >= rule.open_for:
+        state, since, good = "half_open", seconds, 0
+    if state == "half_open":
+        if not ok:
+            return "open", seconds, 0, []
+        return ("closed", seconds, 0, []) if good + 1 >= rule.successes else (state, since, good + 1, bad)
+    if state == "closed" and not ok:
+        bad = [t for t in bad if seconds - t <= rule.within] + [seconds]
+        return ("open", seconds, 0, []) if len(bad) >= rule.failures else (state, since, 0, bad)
+    return state, since, good, bad
+
+
+def breaker_states(calls: DataFrame, rule: Breaker = Breaker()) -> DataFrame:
+    """The state of a provider's circuit after each call (closed, open, half_open), as calls stream in.
+
+    Works on streams and, through the same function, on tables. A circuit holds at most ``failures``
+    times; without calls for ``open_for`` seconds of processing time a stream reports an open one as half open.
+    """
+
+    def run(provider: str, rows: pd.DataFrame, memory: tuple) -> tuple[pd.DataFrame, tuple]:
+        out = []
+        for seconds, ok in rows.sort_values(["seconds", "ok"])[["seconds", "ok"]].itertuples(index=False):
+            memory = _advance(memory, int(seconds), bool(ok), rule)
+            out.append((provider, int(seconds), bool(ok), memory[0]))
+        return pd.DataFrame(out, columns=["provider", "seconds", "ok", "state"]), memory
+
+    base = calls.select("provider", F.col("seconds").cast("long"), "ok")
+    if not calls.isStreaming:
+        return base.groupBy("provider").applyInPandas(lambda key, rows: run(key[0], rows, ("closed", 0, 0, []))[0], _STATES)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        memory = state.get if state.exists else ("closed", 0, 0, [])
+        if state.hasTimedOut:
+            name, since, good, bad = memory
+            name = "half_open" if name == "open" else name
+            state.update((name, since, good, bad))
+            yield pd.DataFrame({"provider": [key[0]], "seconds": [since + rule.open_for], "ok": [None], "state": [name]})
+            return
+        rows = pd.concat(list(parts))
+        out, memory = run(key[0], rows, (memory[0], memory[1], memory[2], list(memory[3])))
+        state.update(memory)
+        if memory[0] == "open":
+            state.setTimeoutDuration(rule.open_for * 1000)
+        yield out
+
+    return base.groupBy("provider").applyInPandasWithState(step, _STATES, "state string, since long, good int, bad array<long>", "append", "ProcessingTimeTimeout")
+
+
+class Progress(StreamingQueryListener):
+    """Hands each batch's progress on: name, batch, rows, rows a second, and how a query ended."""
+
+    def __init__(self, report: Callable[[dict], None]) -> None:
+        self.report = report
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.report({"event": "started", "query": str(event.id), "name": event.name})
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.report({"event": "progress", "query": str(p.id), "name": p.name, "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.report({"event": "idle", "query": str(event.id)})
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.report({"event": "ended", "query": str(event.id), "error": event.exception})
+
+
+def live_datasets(registry: DataFrame, now: Column, hours: int = 6, most: int = 200) -> DataFrame:
+    """Registered datasets (id, created) that are kept: younger than ``hours``, and of those the ``most`` youngest."""
+    young = registry.filter(F.col("created") > now - F.make_interval(hours=F.lit(hours)))
+    return young.orderBy(F.desc("created"), "id").limit(most)
+
+
+#: Seconds that a cached answer stays fresh, by the frequency of its data.
+CACHE_SECONDS = {"daily": 3600, "weekly": 21_600, "monthly": 86_400, "quarterly": 86_400, "annual": 604_800}
+
+
+def cache_state(entries: DataFrame, now: Column, seconds: dict[str, int] = CACHE_SECONDS, otherwise: int = 3600) -> DataFrame:
+    """Cached answers (key, frequency, stored) with their age, and whether they are fresh or stale; stale ones may still be read."""
+    keep = F.coalesce(F.create_map(*(F.lit(x) for kv in seconds.items() for x in kv))[F.col("frequency")], F.lit(otherwise))
+    age = F.unix_timestamp(now) - F.unix_timestamp("stored")
+    return entries.withColumn("age", age).withColumn("state", F.when(age <= keep, "fresh").otherwise("stale"))
