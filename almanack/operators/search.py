@@ -61,7 +61,8 @@ def _described(catalog: DataFrame, key: str) -> DataFrame:
     """Each row's identity, its folded title and the title's words, and its weighted tokens (``t``)."""
     parts = {f: index_tokens(_text(catalog, f)) for f in FIELD_WEIGHTS}
     parts["description"] = F.slice(parts["description"], 1, DESCRIPTION_TOKENS)
-    each = F.concat(*(F.transform(t, lambda x, f=f: F.struct(x.alias("term"), F.lit(FIELD_WEIGHTS[f]).alias("weight"))) for f, t in parts.items()))
+    weighted = lambda t, w: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(w).alias("weight")))
+    each = F.concat(*(weighted(t, FIELD_WEIGHTS[f]) for f, t in parts.items()))
     title = F.coalesce(_text(catalog, "title"), F.lit(""))
     rows = catalog.select(F.col(key).alias("key"), *(F.coalesce(_text(catalog, c), F.lit("")).alias(c) for c in ("provider", "topic", "code")), fold(title, detect_language(title)).alias("plain"), each.alias("t"))
     return rows.withColumn("words", F.array_distinct(index_tokens(F.col("plain")))).withColumn("length", F.size(F.array_distinct("t.term")))
@@ -175,7 +176,8 @@ def _prefix_scored(catalog: DataFrame, words: list[str], weights: dict[str, floa
     """
     parts = {f: F.regexp_extract_all(F.lower(unmarked(F.coalesce(_text(catalog, f), F.lit("")))), F.lit(r"([\p{L}\p{N}]+)"), 1) for f in weights}
     words = sorted(set(words))
-    f = F.array(*(sum((F.size(F.filter(t, lambda x, w=w: x.startswith(w))) * weights[n] for n, t in parts.items()), F.lit(0.0)) for w in words)) if words else F.array().cast("array<double>")
+    begin = lambda t, w: F.size(F.filter(t, lambda x: x.startswith(w)))
+    f = F.array(*(sum((begin(t, w) * weights[n] for n, t in parts.items()), F.lit(0.0)) for w in words)) if words else F.array().cast("array<double>")
     rows = catalog.select(F.col(key).alias("key"), f.alias("f"), sum((F.size(t) for t in parts.values()), F.lit(0)).alias("d"))
     size = rows.agg(F.count(F.lit(1)), F.avg("d"), *(F.count_if(F.get("f", F.lit(i)) > 0) for i in range(len(words)))).first()
     n, average = size[0], float(size[1] or 1.0)

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.functions import periods, text, values
 from almanack.operators import cube, dataset, derive, describe, diff, geography, missing, outliers, search, survey_stats, validate
+from almanack.plans.registry import query
 from almanack.sources import driver_tables as tables
 from almanack.sources import sinks
 from almanack.streaming import streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
 OBS = """
 WITH obs AS (
   SELECT 'orders' AS provider, c_mktsegment AS series_id, n_name AS geography, NULL::VARCHAR AS iso3, strftime(o_orderdate, '%Y-%m') AS period,
@@ -28,18 +24,6 @@ WIDE = OBS + """, wide AS (
 ), cells AS (SELECT geo_key, period, alias, value FROM wide UNPIVOT INCLUDE NULLS (value FOR alias IN (""" + ", ".join(tables.ALIASES) + """)))"""
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a query under the function's name, with its oracle."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.to_wide(tables.observations(spark, sf), tables.variables(spark), tables.ALIASES)
 
@@ -505,12 +489,6 @@ def validation_time_gaps(spark, sf):
     return issues.filter("code = 'time_gap'").groupBy("code", "severity").agg(F.count(F.lit(1)).alias("issues"))
 
 
-@query()
-def validation_issues(spark, sf):
-    issues = validate.validate(tables.observations(spark, sf), tables.variables(spark), "annual", 1999)
-    return issues.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("issues"))
-
-
 @query("SELECT p_partkey, p_size::DOUBLE * power(10.0, 3)  AS thousands, CASE WHEN p_retailprice > 0 THEN floor(log10(p_retailprice))::BIGINT END AS magnitude FROM part")
 def scale_conversion(spark, sf):
     return tables.read(spark, sf, "part").select("p_partkey", values.rescale(F.col("p_size").cast("double"), 3, 0).alias("thousands"), values.magnitude(F.col("p_retailprice")).alias("magnitude"))
