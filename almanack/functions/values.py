@@ -34,7 +34,8 @@ def numeric_parse(raw: Column) -> Column:
 def rescale(value: Column, from_power: Column | int, to_power: Column | int) -> Column:
     """From units of 10^from_power to units of 10^to_power."""
     as_column = lambda p: F.lit(p) if isinstance(p, int) else p
-    return value * F.pow(F.lit(10.0), as_column(from_power) - as_column(to_power))
+    step = as_column(from_power) - as_column(to_power)
+    return F.when(step < 0, value / F.pow(F.lit(10.0), -step)).otherwise(value * F.pow(F.lit(10.0), step))  # exact powers either way
 
 
 def to_billions(value: Column, unit: Column, from_power: Column) -> Column:

@@ -118,11 +118,13 @@ def _advance(memory: tuple[str, int, int, list[int]], seconds: int, ok: bool, ru
     return state, since, good, bad
 
 
-def breaker_states(calls: DataFrame, rule: Breaker = Breaker()) -> DataFrame:
+def breaker_states(calls: DataFrame, rule: Breaker = Breaker(), timers: bool = True) -> DataFrame:
     """The state of a provider's circuit after each call (closed, open, half_open), as calls stream in.
 
     Works on streams and, through the same function, on tables. A circuit holds at most ``failures``
-    times; without calls for ``open_for`` seconds of processing time a stream reports an open one as half open.
+    times; without calls for ``open_for`` seconds of processing time a stream reports an open one as half
+    open. ``timers`` off leaves that out: a stream that only works off what is there (``availableNow``)
+    would wait for its timers for ever.
     """
 
     def run(provider: str, rows: pd.DataFrame, memory: tuple) -> tuple[pd.DataFrame, tuple]:
@@ -147,11 +149,11 @@ def breaker_states(calls: DataFrame, rule: Breaker = Breaker()) -> DataFrame:
         rows = pd.concat(list(parts))
         out, memory = run(key[0], rows, (memory[0], memory[1], memory[2], list(memory[3])))
         state.update(memory)
-        if memory[0] == "open":
+        if timers and memory[0] == "open":
             state.setTimeoutDuration(rule.open_for * 1000)
         yield out
 
-    return base.groupBy("provider").applyInPandasWithState(step, _STATES, "state string, since long, good int, bad array<long>", "append", "ProcessingTimeTimeout")
+    return base.groupBy("provider").applyInPandasWithState(step, _STATES, "state string, since long, good int, bad array<long>", "append", "ProcessingTimeTimeout" if timers else "NoTimeout")
 
 
 class Progress(StreamingQueryListener):
