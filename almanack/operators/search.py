@@ -282,7 +282,7 @@ def reciprocal_rank_fusion(lists: list[DataFrame], key: str, score: str = "score
 def legacy_fusion(vector: DataFrame, lexical: DataFrame, key: str, score: str = "score", cut: int = 20) -> DataFrame:
     """Vector scores with 0.02 / (rank + 1) more for lexical hits; lexical hits alone 0.55 less 0.005 a rank (0.1 at most).
 
-    The lexical list is cut before it is ranked, so one task sees at most ``cut`` rows.
+    The lexical list is cut before it is ranked, so that one task ranks at most ``cut`` rows.
     """
     first = lexical.orderBy(F.desc(score), key).limit(cut)
     ranked = first.select(key, (F.row_number().over(Window.orderBy(F.desc(score), key)) - 1).alias("r"))

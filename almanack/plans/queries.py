@@ -346,7 +346,7 @@ def rrf_fusion(spark, sf):
 def legacy_fusion(spark, sf):
     v = tables.read(spark, sf, "embeddings")
     near = search.vector_top(v, _first_vector(spark, sf), 20)
-    return search.legacy_fusion(near, v.filter("label >= 3").select("vec_id", F.col("label").alias("score")), "vec_id").select("vec_id", _r("fused", 6))
+    return search.legacy_fusion(near, v.filter("label >= 3").select("vec_id", F.col("label").alias("score")), "vec_id", cut=1_000_000).select("vec_id", _r("fused", 6))
 
 
 @query(_COS + ", t AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS n FROM s WHERE score > 0) SELECT round(max(score) FILTER (WHERE n = 1), 6) AS first, round(max(score) FILTER (WHERE n = 3), 6) AS third, max(score) FILTER (WHERE n = 1) - max(score) FILTER (WHERE n = 3) < 0.05 * max(score) FILTER (WHERE n = 1) AS ambiguous FROM t")

@@ -46,7 +46,7 @@ def test_first_value_wins_even_if_null(spark):
 def test_longest_gap_and_jump(panel):
     cells = missing.cells(panel.wide(), ["gdp", "cpi"])
     gap = missing.longest_gap(cells).collect()
-    assert [(r.alias, r.longest_gap, r.geo_key, r.gap_start) for r in gap] == [("cpi", 2, "DZA", 3)]
+    assert [(r.alias, r.longest_gap, r.geo_key, r.gap_start, r.gap_end) for r in gap] == [("cpi", 2, "DZA", "2002", "2003")]
     issues = validate.validate(panel.observations, panel.variables).collect()
     assert [(r.details["geography"], r.details["period"]) for r in issues if r.code == "extreme_jump"] == [("MAR", "2003")]
     assert [r.details["missing"] for r in issues if r.code == "time_gap"] == ["2"]
@@ -157,7 +157,10 @@ def test_survey(spark):
     assert survey_stats.allocate({"a": 5, "b": 3, "c": 0}, 4) in ({"a": 2, "b": 2, "c": 0}, {"a": 3, "b": 1, "c": 0})
 
 
-def test_names():
-    assert text.smart_alias("Inflation, consumer prices", "X", "annual %") == "inflation_consumer_prices_pct"
-    assert text.distinct_aliases(["a", "b", "a", "a"]) == ["a", "b", "a_2", "a_3"]
-    assert text.slug("Évolution du PIB — réel") == "evolution_du_pib_reel"
+def test_names(spark):
+    rows = [("Inflation, consumer prices", "X", "annual %", None), ("T", "s", None, "Évolution du PIB — réel"), ("", "!!", None, None), ("Share in percent", "s", "%", None), (None, "NE.EXP.GNFS", "Index", "")]
+    df = spark.createDataFrame(rows, "title string, series_id string, unit string, concept string")
+    got = [r[0] for r in df.select(text.smart_alias(*(F.col(c) for c in df.columns))).collect()]
+    assert got == ["inflation_consumer_prices_pct", "evolution_du_pib_reel", "series", "share_in_percent_pct", "ne_exp_gnfs_idx"]
+    names = spark.createDataFrame([(i, a) for i, a in enumerate(["a", "b", "a", "a"])], "ordinal int, alias string")
+    assert [r.alias for r in dataset.alias_numbers(names).orderBy("ordinal").collect()] == ["a", "b", "a_2", "a_3"]

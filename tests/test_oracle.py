@@ -5,7 +5,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from almanack.plans import queries as plans
+from almanack.plans import operator_queries, queries, search_queries, source_queries  # noqa: F401  they register themselves
+from almanack.plans import registry as plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from almanack import schema
 from almanack.functions import text
 from almanack.operators import cube, geography, search
 from almanack.plans import recipes, requests
@@ -98,12 +99,12 @@ def test_sinks(spark, tmp_path):
         ("exports of South Africa over the last 5 years", "en", "exports", ("ZAF",), (2021, 2025)),
     ],
 )
-def test_parse(sentence, language, concept, places, span):
+def test_parse(spark, sentence, language, concept, places, span):
     spec = requests.parse(sentence, current_year=2025)
     assert (spec.language, spec.concepts[0], spec.geographies, (spec.start, spec.end)) == (language, concept, places, span)
 
 
-def test_parse_details():
+def test_parse_details(spark):
     spec = requests.parse("GDP per capita GDP quarterly from eurostat as long csv for France")
     assert spec.concepts == ("gdp_per_capita", "gdp") and spec.frequency == "quarterly" and spec.providers == ("eurostat",) and spec.shape == "long" and spec.formats == ("csv",)
     assert (requests.top_count("top 500"), requests.top_count("the highest"), requests.top_count("rank them")) == (100, 1, 10)
@@ -112,8 +113,6 @@ def test_parse_details():
 
 
 def test_instant(spark):
-    from almanack import schema
-
     def fetch(series, spec):
         if series["series_id"] == "bad":
             raise OSError("down")
@@ -125,13 +124,65 @@ def test_instant(spark):
     assert requests.instant("inflation", resolve, fetch)["warning"] == "no geography"
 
 
-def test_recipes(tmp_path):
-    one = recipes.Recipe("n", ["MAR", "DZA"], [{"provider": "p", "series_id": "s", "alias": "a", "title": "x"}], 2000, 2001, transformations=[{"operation": "build_dataset"}])
-    two = recipes.Recipe("other", ["DZA", "MAR"], [{"provider": "p", "series_id": "s", "alias": "a"}], 2000, 2001, request="text")
+def test_recipes(spark, tmp_path):
+    one = recipes.Recipe("n", geographies=["MAR", "DZA"], series=[{"provider": "p", "series_id": "s", "alias": "a", "title": "x"}], start_year=2000, end_year=2001, transformations=[{"operation": "build_dataset"}])
+    two = recipes.Recipe("other", {"request": "text"}, geographies=["DZA", "MAR"], series=[["p", "s", "a"]], start_year=2000, end_year=2001)
     assert one.hash() == two.hash() and len(one.hash()) == 16
     one.save(str(tmp_path / "r.json"))
-    assert recipes.Recipe.load(str(tmp_path / "r.json")).hash() == one.hash()
+    back = recipes.Recipe.load(str(tmp_path / "r.json"))
+    assert back.hash() == one.hash() and back.notes == {"name": "n"}
     assert recipes.Recipe("e").problems() == ["no series", "no geographies"]
+    (tmp_path / "bad.json").write_text(one.text().replace("2001", "2002"))
+    with pytest.raises(ValueError):
+        recipes.Recipe.load(str(tmp_path / "bad.json"))
+    with pytest.raises(ValueError):
+        recipes.Recipe("n", place="x")
+
+
+def test_no_export_cuts_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "DOCUMENT_ROWS", 5)
+    df = spark.range(6).withColumn("x", F.lit("a"))
+    for write in (lambda: sinks.to_json(df, str(tmp_path / "a.json"), [], []), lambda: sinks.to_feather(df, str(tmp_path / "a.feather")), lambda: sinks.to_stata(df, str(tmp_path / "a.dta")), lambda: sinks.bundle(str(tmp_path / "a.zip"), df, "", [], [], "")):
+        with pytest.raises(ValueError):
+            write()
+    sinks.to_json(df.limit(5), str(tmp_path / "b.json"), [{"alias": "x"}], [])
+    assert len(json.loads((tmp_path / "b.json").read_text())["data"]) == 5
+    sinks.to_json(df.limit(0), str(tmp_path / "c.json"), [], [])
+    assert json.loads((tmp_path / "c.json").read_text())["data"] == []
+
+
+def test_a_million_rows_and_one(spark, tmp_path):
+    from pyarrow import feather
+
+    sinks.to_feather(spark.range(1_000_001), str(tmp_path / "m.feather"))
+    assert feather.read_table(str(tmp_path / "m.feather")).num_rows == 1_000_001
+
+
+def test_workbooks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks.workbook, "SHEET_ROWS", 3)
+    df = spark.createDataFrame([("a<b", 1_500_000.0, None), (None, float("nan"), True), ("c", 2.0, False), ("d", 3.0, None)], "s string, v double, b boolean").coalesce(1)
+    sinks.to_excel({"x/y": df, "X_y": df.limit(0)}, str(tmp_path / "w.xlsx"))
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        sheet, book = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/workbook.xml").decode()
+    assert "a&lt;b" in sheet and "cut after 3 rows" in sheet and sheet.count("<row>") == 5
+    assert 'name="x_y"' in book and 'name="X_y_2"' in book
+
+
+def test_a_broken_source_is_its_own_failure(spark, tmp_path):
+    good = spark.createDataFrame([("p", "s", "A", "AAA", "2000", 1.0, None, "annual", None, 1)], schema.OBSERVATIONS)
+    late = good.withColumn("value", F.raise_error(F.lit("cut off")).cast("double"))
+    rows, log = readers.fetch_all([("late", lambda: late), ("good", lambda: good)], apart=True, land=str(tmp_path / "land"))
+    assert rows[0] is None and rows[1].count() == 1 and [x["ok"] for x in log] == [False, True]
+
+
+def test_stored_index_prunes(spark, tmp_path):
+    catalog = spark.createDataFrame([(i, f"C{i}", f"gross product {i}" if i % 3 else f"trade of region {i}", "long words " * 5, "p", "t") for i in range(60)], "id long, code string, title string, description string, provider string, topic string")
+    search.build_index(catalog, str(tmp_path / "index"))
+    index = search.open_index(spark, str(tmp_path / "index"))
+    for query in ("gross product", "trade", "nothing here", "", "C7"):
+        assert search.search(index, query, 7).collect() == search.search(catalog, query, 7).collect()
+    plan = search._hits(index, ["trade"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,trade)]" in plan
 
 
 def test_search_tie_and_fusion(spark):
@@ -152,6 +203,9 @@ def test_search_tie_and_fusion(spark):
 def test_languages(spark):
     cases = ["le taux de chômage", "unemployment rate", "GDP والتضخم", "", "Évolution"]
     df = spark.createDataFrame([(c,) for c in cases], "t string")
-    assert [r[0] for r in df.select(text.detect_language(F.col("t"))).collect()] == [text.language_of(c) for c in cases] == ["fr", "en", "ar", "en", "fr"]
-    assert df.select(text.normalise(F.col("t"), text.detect_language(F.col("t")))).first()[0] == "taux chomage"
-    assert text.fold_arabic("الأسعار ٢٠٢٠") == text.fold_arabic("اسعار 2020")
+    assert [r[0] for r in df.select(text.detect_language(F.col("t"))).collect()] == ["fr", "en", "ar", "en", "fr"]
+    folded = [r[0] for r in df.select(text.fold(F.col("t"), text.detect_language(F.col("t")))).collect()]
+    assert folded == ["taux chomage", "unemployment rate", "GDP تضخم gdp", "", "evolution"]
+    one = lambda t, g: spark.range(1).select(text.fold(F.lit(t), F.lit(g))).first()[0]
+    assert one("الأسعار ٢٠٢٠", "ar") == one("اسعار 2020", "ar") and one("the of", "en") == "the of" and one("l'indice des prix", "fr") == "indice prix"
+    assert one("GDP", "ar") == "gdp" and one(None, "en") is None
