@@ -43,6 +43,16 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows))
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose texts come in two parts, cut anywhere, with an image and an unknown kind behind them."""
+    text, half = F.coalesce("text", F.lit("")), (F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    part = lambda kind, said, width: F.struct(kind.cast("string").alias("kind"), said.cast("string").alias("text"), F.lit("u").alias("uri"), F.lit(width).cast("int").alias("width"), F.lit(28).alias("height"), F.lit(0.0).alias("seconds"), F.lit(0).alias("pages"))
+    parts = F.array(part(F.lit("text"), F.left(text, half), 0), part(F.lit(None), F.substring(text, half + 1, F.length(text)), 0), part(F.lit("Image"), F.lit(None), 57), part(F.lit("video"), F.lit("<|end|>"), 0))
+    made = chat.format_chats(table(spark, sf_dir, "conversations").withColumn("content", parts), parts="content")
+    back = chat.digests(made)
+    return back.join(made.select("conv_id", F.size("attachments").cast("long").alias("attachments"), "attachment_tokens"), "conv_id").select("conv_id", "n_turns", "turns_sha256", "attachments", "attachment_tokens")
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
@@ -115,6 +125,12 @@ SELECT conv_id::BIGINT AS conv_id, n_turns::BIGINT AS n_turns, sha256(t) AS turn
   chars::BIGINT AS formatted_chars FROM g
 """
 
+PARTS_SQL = """
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, (2 * count(*))::BIGINT AS attachments, (3 * count(*))::BIGINT AS attachment_tokens,
+  sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || '<|image|><|file|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256
+FROM conversations GROUP BY conv_id
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
@@ -133,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_formatting": op5_chat_formatting,
+    "chat_typed_parts": chat_typed_parts,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
@@ -143,5 +160,6 @@ ORACLE: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_ngram_jaccard_join": OP2_SQL,
     "op5_chat_formatting": OP5_SQL,
+    "chat_typed_parts": PARTS_SQL,
     "op6_exact_top_k": OP6_SQL,
 }

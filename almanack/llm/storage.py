@@ -38,6 +38,9 @@ def workdir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession, limit: str = "8m") -> None:
     """Lower the bytes of the batches that go to Python workers, for jobs over long texts.
 
+    This sets the session, for good: plans are lazy, and a value put back would not hold when they run.
+    Only the registered queries and the pipeline call it; the operators leave the session as it is.
+
     A batch is held several times (rows, vectors that grow by doubling, the worker's copy), so the
     default of 64 MB costs an executor some hundred MB for each core.
     """
