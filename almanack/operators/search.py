@@ -100,8 +100,12 @@ def _hits(index: Index, terms: list[str]) -> DataFrame:
 
 
 def index_of(catalog: DataFrame, key: str = "id") -> tuple[DataFrame, int, float]:
-    """Described rows, their number and mean length, by one pass without any explode."""
-    rows = _described(catalog, key)
+    """Described rows, their number and mean length, by one pass without any explode.
+
+    The rows are kept (they hold no descriptions), as sizes, postings and ranking each read them; a
+    catalogue that is searched more than once is better stored by ``build_index``.
+    """
+    rows = _described(catalog, key).persist()
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
     return rows, size.n, float(size.average or 0.0)
 
