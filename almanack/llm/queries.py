@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import bpe, chat, ctw, decontaminate, langid, quality, secrets, topk, warc
+from almanack.llm import bpe, chat, ctw, decontaminate, langid, quality, resample, secrets, topk, warc
 from almanack.llm.jaccard import jaccard_components
 from almanack.llm.storage import small_batches
 
@@ -76,6 +76,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), secrets.fit_secrets(lexicon))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP2_SQL = rf"""
@@ -143,6 +147,40 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: CRC-32 of texts: ``_CRC_TABLE`` is a CTE with the table of bytes (``tab.t``), ``_crc32`` an expression over it.
+_CRC_TABLE = "tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t)"
+
+
+def _crc32(text: str) -> str:
+    each = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex({text}), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce({each}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+def _op11_words(table: str, key: str) -> str:
+    return f"SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM {table}"
+
+
+OP11_SQL = f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, w, count(*) AS c FROM ({_op11_words('documents', 'doc_id')}) GROUP BY ALL),
+b AS (SELECT w, count(*) AS c FROM ({_op11_words('benchmark', 'item_id')}) GROUP BY w),
+v AS (SELECT w, {_crc32('w')} % 10000 AS bucket FROM (SELECT w FROM d UNION SELECT w FROM b), tab),
+s AS (SELECT bucket, sum(c) AS s FROM d JOIN v USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(c) AS t FROM b JOIN v USING (w) GROUP BY bucket),
+z AS (SELECT (SELECT coalesce(sum(c), 0) FROM d) AS s, (SELECT coalesce(sum(c), 0) FROM b) AS t),
+g AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t.t, 0) + 1)::DOUBLE * (z.s + 10000)::DOUBLE) / ((s.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), z
+),
+w AS (SELECT doc_id, sum(c) AS n, sum(c * gain) AS weight FROM d JOIN v USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+k AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN w USING (doc_id)
+),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM k WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM k LEFT JOIN r USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -155,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 ORACLE: dict[str, str] = {
     "op1_warc": OP1_SQL,
@@ -162,4 +201,5 @@ ORACLE: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "chat_typed_parts": PARTS_SQL,
     "op6_exact_top_k": OP6_SQL,
+    "op11_importance_resampling": OP11_SQL,
 }

@@ -7,6 +7,7 @@ longer document), so memory is bounded by the longest document and not by the ba
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,3 +117,38 @@ def shingles(word: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
         value = word[np.where(inside, at + k, 0)] if len(word) else h
         h = np.where(inside, mix(h * _U(0xC2B2AE3D27D4EB4F) + value), h)
     return h, out_first
+
+
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def crc32(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """The unsigned CRC-32 of each byte span; ``before`` holds those of what each span continues.
+
+    One round takes a byte of every span that is long enough, the longest spans first.
+    """
+    size = ends - starts
+    order = np.argsort(-size, kind="stable")
+    at, size = starts[order], size[order]
+    state = np.full(len(at), 0xFFFFFFFF, dtype=np.uint32) if before is None else ~before[order].astype(np.uint32)
+    long_ = int(np.searchsorted(-size, -LONG_SPAN, side="left"))
+    for i in range(long_):
+        state[i] = ~np.uint32(zlib.crc32(data[at[i] : at[i] + size[i]].tobytes(), int(~state[i])))
+    reach = np.searchsorted(-size, -np.arange(LONG_SPAN + 1), side="left")  # spans of more than k bytes come before reach[k]
+    for k in range(LONG_SPAN):
+        lo, hi = long_, int(reach[k])
+        if hi <= lo:
+            break
+        some = state[lo:hi]
+        state[lo:hi] = _CRC[(some ^ data[at[lo:hi] + k]) & np.uint32(0xFF)] ^ (some >> np.uint32(8))
+    out = np.empty(len(at), dtype=np.uint32)
+    out[order] = ~state
+    return out
+
+
+def crc32_bytes(byte: int, before: np.ndarray) -> np.ndarray:
+    """The CRC-32s continued by one and the same byte."""
+    state = ~before
+    return ~(_CRC[(state ^ np.uint32(byte)) & np.uint32(0xFF)] ^ (state >> np.uint32(8)))
