@@ -135,12 +135,17 @@ def kth_key(keys: DataFrame, k: int, config: ResampleConfig = ResampleConfig())
         drawn = [r.key for r in left.orderBy(F.xxhash64(F.col("key"), F.lit(config.seed + turn))).limit(config.pivots).collect()]  # ``pivots`` keys
         if not drawn:
             return None
-        pivots = list(dict.fromkeys(drawn))
-        found = left.agg(*(F.count_if(F.col("key") < literal(p)) for p in pivots), *(F.count_if(F.col("key") == literal(p)) for p in pivots), F.count(F.lit(1))).first()
-        below, equal, total = found[: len(pivots)], found[len(pivots) : -1], found[-1]
+        pivots = sorted(set(drawn), key=lambda p: tuple((v is not None, v) for v in p))
+        line = F.array(*map(literal, pivots))
+        place = F.size(F.filter(line, lambda p: p < F.col("key")))
+        found = left.groupBy(place.alias("place"), F.array_contains(line, F.col("key")).alias("same")).agg(F.count(F.lit(1)).alias("n")).collect()  # two rows a pivot, and one
+        at = {(r.place, r.same): r.n for r in found}
+        total = sum(at.values())
         if asked > total:
             return None
-        parts = sorted(zip(below, equal, pivots, strict=True), key=lambda x: x[0])
+        equal = [at.get((i, True), 0) for i in range(len(pivots))]
+        below = [sum(n for (place, same), n in at.items() if place < i or (place == i and not same)) for i in range(len(pivots))]
+        parts = list(zip(below, equal, pivots, strict=True))
         for less, same, pivot in parts:
             if less < asked <= less + same:
                 return literal(pivot)
