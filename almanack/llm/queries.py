@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import bpe, chat, ctw, decontaminate, langid, quality, resample, secrets, topk, warc
+from almanack.llm import bpe, chat, ctw, decontaminate, langid, quality, resample, secrets, spelling, topk, warc
 from almanack.llm.jaccard import jaccard_components
 from almanack.llm.storage import small_batches
 
@@ -80,6 +80,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), config=spelling.SpellingConfig(noise=199))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP2_SQL = rf"""
@@ -181,6 +185,30 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, co
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM k LEFT JOIN r USING (doc_id)
 """
 
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, o AS (
+  SELECT doc_id, translate(w, '{_UPPER}', '{_LOWER}') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) GROUP BY ALL
+),
+h AS (SELECT w, c, {_crc32("(doc_id || ':' || w)")} AS h FROM o, tab),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c FROM h),
+v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+e AS MATERIALIZED (
+  SELECT word, n, word AS e FROM v
+  UNION SELECT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT))) FROM v
+),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS m FROM e a JOIN e b ON a.e = b.e AND a.word <> b.word 
+    AND (length(a.word) <> length(b.word) OR len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1)),
+f AS MATERIALIZED (
+  SELECT word, n, count(near) AS n_near, first(near ORDER BY m DESC, encode(near)) AS near, max(m) AS m
+  FROM (SELECT word, n, near, m FROM v LEFT JOIN (SELECT word, near, m FROM near) USING (word)) GROUP BY word, n
+),
+g AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN m >= 5 * n THEN near END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM f),
+r AS (SELECT word, word AS root FROM g UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL),
+last AS (SELECT r.word, r.root FROM r JOIN g ON g.word = r.root WHERE g.form IS NULL)
+SELECT g.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM g JOIN last USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -194,6 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLE: dict[str, str] = {
     "op1_warc": OP1_SQL,
@@ -202,4 +231,5 @@ ORACLE: dict[str, str] = {
     "chat_typed_parts": PARTS_SQL,
     "op6_exact_top_k": OP6_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
