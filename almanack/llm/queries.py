@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import bpe, chat, ctw, decontaminate, langid, quality, resample, secrets, spelling, topk, warc
+from almanack.llm import bpe, chat, ctw, decontaminate, langid, multiindex, quality, resample, secrets, spelling, topk, warc
 from almanack.llm.jaccard import jaccard_components
 from almanack.llm.storage import small_batches
 
@@ -84,6 +84,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), config=spelling.SpellingConfig(noise=199))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multiindex.search(multiindex.build_index(vectors), vectors.filter("vec_id % 20 = 0"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP2_SQL = rf"""
@@ -223,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scans": op10_secret_scans,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 ORACLE: dict[str, str] = {
     "op1_warc": OP1_SQL,
