@@ -198,7 +198,7 @@ def near_words(words: DataFrame, config: SpellingConfig = SpellingConfig()) -> D
     """(word, near, n): each word of ``words(word, n)`` with each word one edit away and its n, both ways round."""
     total = words.count()
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = max(256, min(config.block, total // (2 * parts)))
+    block = min(config.block, max(256, total // (2 * parts)))
     levels = min(config.groups, max(2, math.ceil(math.log(max(total, 1) / 4000 + 1, 4))))
     steps = reach(levels)
 
