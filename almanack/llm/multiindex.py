@@ -31,7 +31,8 @@ from almanack.llm.storage import materialise
 class MultiIndexConfig:
     """``fit_rows``: distinct vectors that the centroids are fitted on, at most; ``entries``: of a cell, on average, which
     sets the number of centroids of a half up to ``most``; ``reach``: offset and slope of the residual's part
-    over the normal quantile of k among the entries, measured for a recall of about 0.97."""
+    over the normal quantile of k among the entries, measured for a recall of about 0.97. ``block``: entries of a lane,
+    at most; small tables have smaller lanes, so that there is one for each core."""
 
     k: int = 20
     fit_rows: int = 20_000
@@ -189,7 +190,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     q.sizes = np.zeros(len(parts[0]) * wide, dtype=np.int64)
     q.sizes[stats["cell"]] = stats["n"]
     before = np.cumsum(q.sizes) - q.sizes
-    q.lane, q.cuts = (before // config.block).astype(np.int32), np.maximum(1, -(-q.sizes // config.block)).astype(np.int32)
+    block = min(config.block, max(512, total // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    q.lane, q.cuts = (before // block).astype(np.int32), np.maximum(1, -(-q.sizes // block)).astype(np.int32)
 
     def spread(of: np.ndarray, r: str, n: int, width: int) -> np.ndarray:
         every = stats[r].sum() / total
