@@ -288,7 +288,9 @@ class Bpe:
         return ids, cum[np.searchsorted(starts, offs)]
 
     def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all ids, one after another, and the end of each."""
+        """Bytes of all ids, one after another, and the end of each; an id outside the vocabulary is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes)):
+            raise ValueError(f"not an id of this vocabulary: {int(ids.min() if ids.min() < 0 else ids.max())}")
         size = self.sizes[ids]
         cum = np.cumsum(size)
         return self.pool[np.repeat(self.starts[ids] - cum + size, size) + np.arange(cum[-1] if len(cum) else 0)], cum
@@ -345,7 +347,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: st
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """All columns, and the bytes of the ids as ``binary`` (null ids: no bytes)."""
+    """All columns, and the bytes of the ids as ``binary`` (null ids: no bytes). An id that the vocabulary lacks, or a null one, is an error."""
     sent = _Sent(rows, vocabulary)
     kept = [c for c in rows.columns if c != out_col]
     base = rows.select(*(F.col(f"`{c}`") for c in kept))

@@ -1,9 +1,9 @@
 """Language identification: family first, then one-versus-one linear SVMs within the family.
 
 Features are counts of hashed runs of one to three bytes of the lower-cased text, as square roots,
-scaled to length one. Fitting uses a hash-chosen sample of about ``per_language`` rows of each
-language, whole texts; every row is predicted, inside the scan. Ties go to the family, and the
-language, that comes first in the order of names.
+scaled to length one. Fitting uses a bounded, hash-chosen sample of each language, whole texts; every
+language with a letter in its sample can be predicted. Every row is predicted, inside the scan. Ties go
+to the family, and the language, that comes first in the order of names.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.llm import textcore
@@ -31,12 +31,11 @@ FAMILIES = {
 
 @dataclass(frozen=True)
 class LangConfig:
-    """Bounds of the fit: ``per_language`` rows of a language, ``rows`` in all, and the ``languages`` that
-    most rows have (ties to the smaller name), which are the ones that can be predicted."""
+    """Bounds of the fit: ``per_language`` rows of a language at most, and ``rows`` in all, shared among the
+    languages there are; each has one row at least, so with more languages than ``rows`` there is one for each."""
 
     per_language: int = 800
     rows: int = 20_000
-    languages: int = 200
     dims: int = 2048
     epochs: int = 30
     ridge: float = 1e-4
@@ -129,24 +128,42 @@ class LangModel:
         return lang, np.clip(score, 0, 1)
 
 
-def fit_language(docs: DataFrame, config: LangConfig = LangConfig()) -> LangModel | None:
-    """Fit on ``docs(doc_id, text, lang)``; rows without text or language teach nothing. None: no such rows."""
+def sampled(docs: DataFrame, config: LangConfig = LangConfig()) -> DataFrame | None:
+    """(doc_id, lang, x) of the rows that teach: at most ``per_language`` a language. None: no such rows.
+
+    Of each language the rows of the smallest hashes are used, repeated rows among them one by one, so the
+    bound holds whatever repeats. A table without a column ``lang`` teaches nothing.
+    """
+    if "lang" not in docs.columns:
+        return None
     rows = docs.filter("text is not null and lang is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()}
-    if not counts:
+    languages = rows.agg(F.countDistinct("lang")).first()[0]
+    if not languages:
         return None
-    span = 1 << 30
-    each = min(config.per_language, config.rows // len(counts))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(span * min(1.0, each / n)))))
-    some = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share[F.col("lang")])
+    each = max(1, min(config.per_language, config.rows // languages))
+    # Hashes alone say which rows are near enough; a few more than are used, as some have no letter.
+    rows = rows.withColumn("near", F.xxhash64("doc_id", "text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("near"))
+    cuts = rows.select("lang", "near").withColumn("place", first).filter(F.col("place") <= each * 13 // 10 + 30).groupBy("lang").agg(F.max("near").alias("cut"))
+    some = rows.join(F.broadcast(cuts), "lang").filter("near <= cut").select("doc_id", "text", "lang", "near")  # a row a language is sent
     dims = config.dims
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, letters = features(batch.column(1), dims)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "x"]).filter(pa.array(letters))
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "near", "x"]).filter(pa.array(letters))
 
-    table = some.mapInArrow(run, "doc_id long, lang string, x binary").toArrow()  # about per_language rows a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("near", "doc_id", "x"))
+    seen = some.mapInArrow(run, "doc_id long, lang string, near long, x binary").withColumn("place", place).filter(F.col("place") <= each)
+    return seen.select("doc_id", "lang", "x")
+
+
+def fit_language(docs: DataFrame, config: LangConfig = LangConfig()) -> LangModel | None:
+    """Fit on ``docs(doc_id, text, lang)``; rows without text or language teach nothing. None: no such rows."""
+    some, dims = sampled(docs, config), config.dims
+    if some is None:
+        return None
+    table = some.toArrow()  # at most ``per_language`` rows a language
     if not table.num_rows:
         return None
     x = np.stack([np.frombuffer(v.as_py(), dtype=np.float16) for v in table.column("x")]).astype(np.float32)
@@ -172,7 +189,8 @@ def identify(docs: DataFrame, model: LangModel | None, config: LangConfig = Lang
     """(doc_id, held_out, lang_pred, score) of every row; only the text decides.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
-    Repeated rows are predicted each; a null id is never held out. Other columns are ignored.
+    Repeated rows are predicted each, and alike; a null id is never held out. Very long texts are read whole, in
+    a task that holds one of them. An empty table gives an empty result. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), parts, part).alias("held_out"), F.col("text").cast("string"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.llm import textcore
@@ -204,12 +204,12 @@ def _viewed(docs: DataFrame) -> list[Column]:
     return [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in _VIEWED.items()]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, config: CoTrainConfig = CoTrainConfig()) -> CoTrained | None:
-    """Fit on a bounded sample; None when the labels lack one of the classes.
+def sampled(docs: DataFrame, labels: DataFrame, config: CoTrainConfig = CoTrainConfig()) -> DataFrame | None:
+    """(doc_id, y, views) of at most ``labelled`` labelled rows and ``pool`` others (y is -1); None when the labels lack one of the classes.
 
     Of repeated labels of a document the lowest counts. The samples take the smallest hashes of the
-    id, of equal hashes the smaller id, and of repeated ids the smaller hash of the row, so they are the
-    same in every layout of the table. Columns of ``text``, ``lang``, ``source`` and ``n_chars`` that the
+    id, of equal hashes the smaller id, and of a labelled id that repeats one row, that of the smallest hash,
+    so they are bounded, and the same in every layout of the table. Columns of ``text``, ``lang``, ``source`` and ``n_chars`` that the
     table lacks count as null.
     """
     spark = docs.sparkSession
@@ -220,25 +220,36 @@ def fit_quality(docs: DataFrame, labels: DataFrame, config: CoTrainConfig = CoTr
     near = F.pmod(F.xxhash64("doc_id"), F.lit(span))
     some = marked.filter(near < int(span * min(1.0, 1.2 * config.labelled / max(total, 1)))) if total > config.labelled else marked
     picked = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.labelled)
-    shape = "doc_id long, y int, " + ", ".join(f"t{i} double" for i in range(TEXT_FEATURES)) + ", " + ", ".join(f"m{i} double" for i in range(META_FEATURES))
+    names = [f"t{i}" for i in range(TEXT_FEATURES)] + [f"m{i}" for i in range(META_FEATURES)]
+    shape = "doc_id long, y int, near long, " + ", ".join(f"{n} double" for n in names)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta = _both_views(batch)
-            yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int32()), *map(pa.array, text.T.copy()), *map(pa.array, meta.T.copy())], names=[x.split()[0] for x in shape.split(", ")])
+            yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int32()), batch.column(2), *map(pa.array, text.T.copy()), *map(pa.array, meta.T.copy())], names=["doc_id", "y", "near", *names])
 
-    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), *_viewed(docs))
+    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), *_viewed(docs)).withColumn("near", F.xxhash64("text", "lang", "source", "n_chars"))
     ids = picked.toPandas()  # at most ``labelled`` pairs of ids and labels
     if ids["y"].nunique() < 2:
         return None
     small = spark.createDataFrame(ids.astype({"doc_id": "int64", "y": "int32"}), "doc_id long, y int")
-    known = base.join(F.broadcast(small), "doc_id").select("doc_id", "y", "text", "lang", "source", "n_chars")
-    rows = docs.count()
-    share = int(span * min(1.0, 1.2 * config.pool / max(rows, 1)))
-    extra = base.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(span)) < share).join(F.broadcast(small.select("doc_id")), "doc_id", "left_anti")
-    extra = extra.select("doc_id", F.lit(-1).alias("y"), "text", "lang", "source", "n_chars")
-    extra = extra.orderBy(F.xxhash64("doc_id", F.lit(1)).bitwiseAND(span - 1), "doc_id", F.xxhash64("text", "lang", "source", "n_chars")).limit(config.pool)
-    table = known.unionByName(extra).mapInArrow(features, shape).toPandas().sort_values(["doc_id", "y"] + [f"t{i}" for i in range(TEXT_FEATURES)], kind="stable")
+    seen = lambda rows: rows.select("doc_id", "y", "near", *_VIEWED).mapInArrow(features, shape)  # noqa: E731  texts end here, in the scan
+    first = Window.partitionBy("doc_id").orderBy("near", *names)
+    known = seen(base.join(F.broadcast(small), "doc_id")).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    others = max(1, docs.agg(F.approx_count_distinct("doc_id")).first()[0] - len(ids))  # by ids, as one may hold many rows
+    share = int(span * min(1.0, (1.5 * config.pool + 100) / others))
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(span))
+    extra = seen(base.filter(turn < share).join(F.broadcast(small.select("doc_id")), "doc_id", "left_anti").withColumn("y", F.lit(-1)))
+    extra = extra.orderBy(turn, "doc_id", "near", *names).limit(config.pool)
+    return known.unionByName(extra).drop("near")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, config: CoTrainConfig = CoTrainConfig()) -> CoTrained | None:
+    """Fit on a bounded sample (see ``sampled``); None when the labels lack one of the classes."""
+    some = sampled(docs, labels, config)
+    if some is None:
+        return None
+    table = some.toPandas().sort_values(["doc_id", "y"] + [f"t{i}" for i in range(TEXT_FEATURES)], kind="stable")  # at most ``labelled`` and ``pool`` rows
     x = table.filter(regex="^t").to_numpy(), table.filter(regex="^m").to_numpy()
     y = table["y"].to_numpy()
     has = y >= 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.llm import bpe, chat, ctw, decontaminate, langid, multiindex, quality, resample, secrets, spelling, topk, warc
@@ -40,14 +40,18 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(chat.format_chats(rows))
+    return chat.digests(chat.format_chats(rows.withColumn("content", F.array(_part("text", "text"))), parts="content"))
+
+
+def _part(kind: str | None, text: str | Column | None = None, width: int = 0) -> Column:
+    """One typed part of a turn."""
+    return F.struct(F.lit(kind).cast("string").alias("kind"), (F.col(text) if isinstance(text, str) else F.lit(text)).cast("string").alias("text"), F.lit("u").alias("uri"), F.lit(width).alias("width"), F.lit(28).alias("height"), F.lit(0.0).alias("seconds"), F.lit(0).alias("pages"))
 
 
 def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose texts come in two parts, cut anywhere, with an image and an unknown kind behind them."""
     text, half = F.coalesce("text", F.lit("")), (F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
-    part = lambda kind, said, width: F.struct(kind.cast("string").alias("kind"), said.cast("string").alias("text"), F.lit("u").alias("uri"), F.lit(width).cast("int").alias("width"), F.lit(28).alias("height"), F.lit(0.0).alias("seconds"), F.lit(0).alias("pages"))
-    parts = F.array(part(F.lit("text"), F.left(text, half), 0), part(F.lit(None), F.substring(text, half + 1, F.length(text)), 0), part(F.lit("Image"), F.lit(None), 57), part(F.lit("video"), F.lit("<|end|>"), 0))
+    parts = F.array(_part("text", F.left(text, half)), _part(None, F.substring(text, half + 1, F.length(text))), _part("Image", width=57), _part("video", F.lit("<|end|>")))
     made = chat.format_chats(table(spark, sf_dir, "conversations").withColumn("content", parts), parts="content")
     back = chat.digests(made)
     return back.join(made.select("conv_id", F.size("attachments").cast("long").alias("attachments"), "attachment_tokens"), "conv_id").select("conv_id", "n_turns", "turns_sha256", "attachments", "attachment_tokens")

@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,30 +72,38 @@ def _symbol(c: str) -> int:
 class Lexicon:
     """Dictionary words of four letters and more, and how usual each symbol is after another inside them."""
 
-    longest = 16
-
     def __init__(self, words: Iterable[str]) -> None:
-        self.words = frozenset(w for w in words if 4 <= len(w) <= self.longest)
+        self.words = frozenset(w for w in words if len(w) >= 4)
         seen = np.ones((28, 28))
         for w in sorted(self.words):
             for a, b in zip(w, w[1:]):
                 seen[_symbol(a), _symbol(b)] += 1
         self.logs = np.log(seen / seen.sum(axis=1, keepdims=True))
+        self.found: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"found": None}  # each process makes its own automaton
 
     def covered(self, low: str) -> float:
-        """The share of characters inside some word."""
-        inside = bytearray(len(low))
-        for a in range(len(low) - 3):
-            for b in range(min(len(low), a + self.longest), a + 3, -1):
-                if low[a:b] in self.words:
-                    inside[a:b] = b"\1" * (b - a)
-                    break
-        return sum(inside) / max(1, len(low))
+        """The share of characters inside some word; one walk over the whole value."""
+        if self.found is None:
+            self.found = ahocorasick.Automaton()
+            for w in self.words:
+                self.found.add_word(w, len(w))
+            self.found.make_automaton()
+        if not self.words:
+            return 0.0
+        inside = np.zeros(len(low) + 1, dtype=np.int64)
+        for end, n in self.found.iter(low):
+            inside[end + 1 - n] += 1
+            inside[end + 1] -= 1
+        return float((np.cumsum(inside[:-1]) > 0).sum()) / max(1, len(low))
 
     def transitions(self, low: str) -> tuple[float, float]:
         """The mean and the least log probability of a character after the one before."""
-        steps = [self.logs[_symbol(a), _symbol(b)] for a, b in zip(low, low[1:])]
-        return (float(np.mean(steps)), float(min(steps))) if steps else (0.0, 0.0)
+        symbols = np.array([_symbol(c) for c in low], dtype=np.int64)
+        steps = self.logs[symbols[:-1], symbols[1:]]
+        return (float(steps.mean()), float(steps.min())) if len(steps) else (0.0, 0.0)
 
 
 def read_lexicon(path: str, limit: int = 64 << 20) -> Lexicon:
@@ -105,9 +114,8 @@ def read_lexicon(path: str, limit: int = 64 << 20) -> Lexicon:
 
 
 def features(value: str, before: str, after: str, path: str, lexicon: Lexicon) -> list[float]:
-    """The forest's view of one candidate; of the value's words and transitions the first 256 characters count."""
+    """The forest's view of one candidate, of its whole value."""
     n, low = len(value), value.lower()
-    part = low[:256]
     kinds = ["d" if c.isdigit() else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "s" for c in value]
     tally, chars = Counter(kinds), Counter(value)
     covered = [False] * n
@@ -133,9 +141,9 @@ def features(value: str, before: str, after: str, path: str, lexicon: Lexicon) -
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
         sum(a == b for a, b in zip(value, value[1:])) / max(1, n - 1),
         sum(c in "aeiou" for c in low) / letters,
-        lexicon.covered(part),
+        lexicon.covered(low),
         sum(covered) / n,
-        *lexicon.transitions(part),
+        *lexicon.transitions(low),
         max((len(x) for x in re.findall(r"[A-Za-z]+", value)), default=0),
         float(re.match(r"(AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-)", value) is not None),
         float(re.search(r"[=:]\s*[\"']?$", before) is not None),
@@ -340,11 +348,13 @@ def _judge(texts: pa.Array, paths: list, forest: Forest, config: SecretConfig) -
 def scan_secrets(docs: DataFrame, forest: Forest, config: SecretConfig = SecretConfig(), id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row per candidate: id, span in the UTF-8 text, SHA-256 of the value, probability, verdict.
 
-    The value itself is not returned. Null and empty texts have no candidates; a null path is an
-    empty one. Repeated rows give repeated findings. Other columns are ignored.
+    The value itself is not returned. Null and empty texts have no candidates; a null path, or a table
+    without that column, has an empty one. Repeated rows give repeated findings. Candidates may overlap
+    (a run within a quoted value) and are judged each, in the order of start and end. Very long texts and values
+    are read whole, in a task that holds one of them. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(forest)
-    base = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(path_col).cast("string"))
+    base = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string"))
     schema = f"{id_col} long, start_byte long, end_byte long, value_sha256 string, probability double, is_secret boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +370,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, config: SecretConfig = SecretC
 
 def redact_secrets(docs: DataFrame, forest: Forest, config: SecretConfig = SecretConfig(), text_col: str = "text", path_col: str = "source", mask: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with secrets in the text replaced by ``mask``; ``n_chars``, where there
-    is such a column, is that of the new text. Nulls stay null."""
+    is such a column, is that of the new text. Nulls stay null; a table without the path's column has empty paths."""
     sent = docs.sparkSession.sparkContext.broadcast(forest)
     names = docs.columns
 
@@ -368,7 +378,7 @@ def redact_secrets(docs: DataFrame, forest: Forest, config: SecretConfig = Secre
         for batch in batches:
             column = batch.column(names.index(text_col))
             new: dict[int, bytearray] = {}
-            for lo, data, offs, found, p in _judge(column, batch.column(names.index(path_col)).to_pylist(), sent.value, config):
+            for lo, data, offs, found, p in _judge(column, batch.column(names.index(path_col)).to_pylist() if path_col in names else [None] * batch.num_rows, sent.value, config):
                 spans: list[list[int]] = []  # overlapping secrets are masked as one
                 for (r, a, b), share in zip(found, p, strict=True):
                     if share >= config.threshold:

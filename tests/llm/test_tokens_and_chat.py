@@ -124,3 +124,10 @@ def test_chat_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digests(chat.format_chats(df))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("ids", [[-1], [5, 1 << 20], [None]])
+def test_ids_that_are_none(spark, ids):
+    df = spark.createDataFrame([(1, ids)], "doc_id long, token_ids array<int>")
+    with pytest.raises(Exception, match="not an id of this vocabulary|NoneType"):
+        bpe.decode(df, PATH).collect()
