@@ -24,15 +24,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of similar documents, once.
 
-    Rows that repeat both id and text stay once, with the least of the other columns in their order;
-    rows with a null id belong to no group and stay.
+    Rows that repeat both id and text stay once, with the other columns of the row whose JSON is the least,
+    whatever types they have; rows with a null id belong to no group and stay.
     """
     storage.small_batches(spark)
     groups = jaccard.jaccard_components(docs)
     keep = groups.filter("doc_id = component_id").select("doc_id")
     chosen, rest = docs.join(keep, "doc_id", "left_semi"), [c for c in docs.columns if c not in ("doc_id", "text")]
     if rest:
-        chosen = chosen.groupBy("doc_id", "text").agg(F.min(F.struct(*(f"`{c}`" for c in rest))).alias("rest")).select("doc_id", "text", "rest.*")
+        other = F.struct(*(f"`{c}`" for c in rest))
+        chosen = chosen.groupBy("doc_id", "text").agg(F.min_by(other, F.to_json(other)).alias("rest")).select("doc_id", "text", "rest.*")
     else:
         chosen = chosen.distinct()
     return chosen.unionByName(docs.filter("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
@@ -45,14 +46,14 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets in each text; every document stays."""
+    """Masks the secrets in each text; every document stays. Without a column ``source`` all paths are empty."""
     storage.small_batches(spark)
     lexicon = secrets.read_lexicon(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return secrets.redact_secrets(docs, secrets.fit_secrets(lexicon))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text: all columns but the text, n_tokens, token_ids."""
+    """The ids of every text: all columns but the text, n_tokens, token_ids; columns of these names are replaced."""
     storage.small_batches(spark)
     ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return ids.withColumn("n_tokens", F.size("token_ids").cast("long")).drop("text")
