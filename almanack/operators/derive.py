@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.functions.values import round_even, safe_div
+from almanack.operators.order import upper_median
 
 #: Positions back to the same period of the year before.
 LAGS = {"monthly": 12, "quarterly": 4, "annual": 1}
@@ -75,31 +78,27 @@ def latest(rows: DataFrame, by: list[str], date: str = "period", value: str = "v
 def top_n(rows: DataFrame, by: list[str], n: int, year: int | None = None, ascending: bool = False, date: str = "period", value: str = "value") -> DataFrame:
     """Series ranked by their value at the latest date of ``year``, else at the latest of all.
 
-    Ties: descending order has the first key first, ascending order the last.
+    Ties: descending order has the first key first, ascending order the last. ``n`` is what the caller asks
+    for; ``requests.top_count`` keeps what a sentence asks for within 1 to 100.
     """
     full = rows.filter(F.col(value).isNotNull())
     inside = F.col(date).startswith(str(year)) if year else F.lit(False)
     pick = F.max_by(F.struct(F.col(date).alias("date"), F.col(value).alias("value"), inside.alias("inside")), F.struct(inside, F.col(date)))
     found = full.groupBy(*by).agg(pick.alias("l"))
     order = [F.asc("l.value"), *map(F.desc, by)] if ascending else [F.desc("l.value"), *map(F.asc, by)]
-    best = found.orderBy(*order).limit(min(max(n, 1), 100))
+    best = found.orderBy(*order).limit(max(n, 1))
     return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), *by, F.col("l.date").alias("date"), F.col("l.value").alias("value"))
 
 
-def upper_median(values: Column) -> Column:
-    """Element n // 2 of the sorted values."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
-
-
 def collapse_dates(rows: DataFrame, by: list[str], value: str = "value", growth: bool = False) -> DataFrame:
     """Several values of one date become one: the upper median; for growth rates, that of the values
     within 50 of zero, else the smallest in size. It chooses among values, so it is off unless called."""
-    got = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.collect_list(value).alias("v"))
-    if growth:
-        near = F.filter("v", lambda x: F.abs(x) <= 50)
-        small = F.get(F.array_sort(F.transform("v", lambda x: F.struct(F.abs(x).alias("size"), x.alias("x")))), F.lit(0))["x"]
-        return got.select(*by, F.when(F.size(near) > 0, upper_median(near)).otherwise(small).alias(value))
-    return got.select(*by, upper_median(F.col("v")).alias(value))
+    if not growth:
+        return upper_median(rows, by, F.col(value)).select(*by, F.col("median").alias(value))
+    small = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.min(F.struct(F.abs(value).alias("size"), F.col(value).alias("x"))).alias("_s"))
+    near = upper_median(rows, by, F.when(F.abs(value) <= 50, F.col(value))).withColumnsRenamed({k: f"_of_{k}" for k in by})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by))
+    return small.join(near, same, "left").select(*by, F.coalesce("median", "_s.x").alias(value))
 
 
 def best_slice(rows: DataFrame, series: list[str], preferred: list[Column], value: str = "value") -> DataFrame:
@@ -174,8 +173,8 @@ def backfilled(base: DataFrame, more: DataFrame, key: list[str], requested: int,
 def spacing_frequency(rows: DataFrame, by: list[str], ts: str) -> DataFrame:
     """Frequency by the upper median of positive spacings: minutely up to 30 minutes, hourly up to 6 hours, else daily."""
     step = F.unix_micros(F.lead(ts).over(Window.partitionBy(*by).orderBy(ts))) - F.unix_micros(ts)
-    got = rows.withColumn("step", step).filter("step > 0").groupBy(*by).agg(F.collect_list("step").alias("s"))
-    mid = upper_median(F.col("s"))
+    got = upper_median(rows.withColumn("step", step).filter("step > 0"), by, F.col("step"))
+    mid = F.col("median").cast("long")  # microseconds of a spacing are whole numbers below 2^53
     return got.select(*by, mid.alias("median_us"), F.when(mid <= 30 * 60_000_000, "minutely").when(mid <= 6 * 3600_000_000, "hourly").otherwise("daily").alias("frequency"))
 
 

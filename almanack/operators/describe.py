@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanack.functions.values import finite, safe_div
+from almanack.operators.order import mean_ranks, quantiles
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 def statistics(value: Column, period: Column | None = None, total: bool = False) -> list[Column]:
-    """All statistics of a column as one set of aggregates: one shuffle for any number of columns.
+    """All statistics of a column but quantiles as one set of aggregates: one shuffle for any number of columns.
 
-    Quantiles are exact (linear between ranks). Variance needs two values, skewness three,
-    kurtosis four, the variation coefficient values of one sign and a mean that is not zero.
+    Variance needs two values, skewness three, kurtosis four, the variation coefficient values of one
+    sign and a mean that is not zero.
     """
     x = finite(value)
     n = F.count(x).cast("double")
-    q = F.percentile(x, F.array(*map(F.lit, QUANTILES)))
     g1, g2 = F.skewness(x), F.kurtosis(x)
     out = [
         F.count(x).alias("count"),
@@ -26,8 +28,6 @@ def statistics(value: Column, period: Column | None = None, total: bool = False)
         F.avg(x).alias("mean"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
-        *(F.get(q, F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(QUANTILES)),
-        (F.get(q, F.lit(3)) - F.get(q, F.lit(1))).alias("iqr"),
         F.var_samp(x).alias("variance"),
         F.stddev_samp(x).alias("std"),
         F.when((F.avg(x) != 0) & (F.min(x) >= 0), safe_div(F.stddev_samp(x), F.abs(F.avg(x)))).alias("cv"),
@@ -40,10 +40,19 @@ def statistics(value: Column, period: Column | None = None, total: bool = False)
     return out + ([F.sum(x).alias("sum")] if total else [])
 
 
+def describe_long(long: DataFrame, by: list[str], value: str = "value", period: str | None = "period", limit: int = 100_000) -> DataFrame:
+    """One row of statistics for each group, exact quantiles (linear between places) among them."""
+    rest = long.groupBy(*by).agg(*statistics(F.col(value), F.col(period) if period else None))
+    q = quantiles(long, by, F.col(value), QUANTILES, limit).withColumnsRenamed({k: f"_of_{k}" for k in by}).drop("n")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by))
+    shares = [F.get("q", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(QUANTILES)]
+    return rest.join(q, same, "left").select(*rest.columns, *shares, (F.get("q", F.lit(3)) - F.get("q", F.lit(1))).alias("iqr"))
+
+
 def describe_wide(wide: DataFrame, aliases: list[str]) -> DataFrame:
-    """One row of statistics for each column, from one scan and one shuffle."""
-    long = wide.select("period", F.explode(F.array(*(F.struct(F.lit(a).alias("alias"), F.col(f"`{a}`").alias("value")) for a in aliases))).alias("c"))
-    return long.groupBy(F.col("c.alias").alias("alias")).agg(*statistics(F.col("c.value"), F.col("period")))
+    """One row of statistics for each column."""
+    cells = F.array(*(F.struct(F.lit(a).alias("alias"), F.col(f"`{a}`").alias("value")) for a in aliases))
+    return describe_long(wide.select("period", F.explode(cells).alias("c")).select("period", "c.*"), ["alias"])
 
 
 def covariance(x: Column, y: Column) -> Column:
@@ -91,16 +100,12 @@ def correlation_matrix(wide: DataFrame, aliases: list[str], method: str = "pears
         out = row.select(F.explode("p").alias("p")).select("p.*")
     else:
         long = wide.select(F.explode(F.array(*(cell(x, y) for x, y in pairs))).alias("c")).select("c.*").filter("a is not null and b is not null")
-        ranked = long.withColumn("a", mean_rank(F.col("a"), "x", "y")).withColumn("b", mean_rank(F.col("b"), "x", "y"))
-        out = ranked.groupBy("x", "y").agg(pearson(F.col("a"), F.col("b")).alias("r"), F.count(F.lit(1)).alias("n"))
+        rank = lambda c: mean_ranks(long, ["x", "y"], c).withColumnRenamed("rank", f"r{c}")
+        ranked = long.join(rank("a"), ["x", "y", "a"]).join(rank("b"), ["x", "y", "b"])
+        out = ranked.groupBy("x", "y").agg(pearson(F.col("ra"), F.col("rb")).alias("r"), F.count(F.lit(1)).alias("n"))
     return one.unionByName(out).unionByName(out.select(F.col("y").alias("x"), F.col("x").alias("y"), "r", "n"))
 
 
-def mean_rank(value: Column, *group: str) -> Column:
-    """Rank within the group; equal values share the mean of their places."""
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2
-
-
 def profile(table: DataFrame, columns: list[str]) -> DataFrame:
     """For each column: type (numeric, text, other), distinct, missing; of numbers also mean, std, min, max, zeros, negatives."""
     kinds = {c: "numeric" if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal") else "text" if t == "string" else "other" for c, t in table.dtypes}
@@ -119,9 +124,16 @@ def table_profile(table: DataFrame) -> DataFrame:
 
 
 def profiling_sample(table: DataFrame, rows: int, columns: int) -> tuple[DataFrame, bool]:
-    """The table, or exactly 10,000 rows of one that has over 250,000 cells and more rows than that."""
+    """The table, or exactly 10,000 rows of one that has over 250,000 cells and more rows than that.
+
+    They are those with the smallest hashes, so every layout of the table gives the same sample; only
+    rows that are near enough by their hash are sorted.
+    """
     if rows * columns > 250_000 and rows > 10_000:
-        return table.orderBy(F.rand(0)).limit(10_000), True
+        mark, span = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in table.columns)), 1 << 30
+        near = table.withColumn("_mark", mark).filter(F.pmod("_mark", F.lit(span)) < int(span * min(1.0, 13_000 / rows)))
+        near = near if near.limit(10_000).count() == 10_000 else table.withColumn("_mark", mark)  # many rows may be one row
+        return near.orderBy(F.pmod("_mark", F.lit(span)), "_mark").limit(10_000).drop("_mark"), True
     return table, False
 
 

@@ -23,3 +23,10 @@ def land(payloads: DataFrame, payload: str | Column, name: str) -> str:
     path = folder(payloads.sparkSession, name)
     payloads.select(payload).write.option("maxRecordsPerFile", 1).text(path)
     return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """A table written to a folder that the cluster shares and read back: its plan starts anew, and lost executors cost a re-read."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
