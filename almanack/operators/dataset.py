@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.functions.periods import period_key
+from almanack.sources.landing import keep
 
 LONG = ("geography", "iso3", "period", "indicator", "value", "unit", "frequency", "provider", "series_id", "status")
 
@@ -91,9 +92,9 @@ class Dataset:
     def _log(self, operation: str, **parameters: object) -> tuple[dict, ...]:
         return (*self.transformations, {"operation": operation, "parameters": parameters})
 
-    def persist(self) -> Dataset:
-        """The same with its observations kept: validation and statistics each read them again."""
-        return replace(self, observations=self.observations.persist())
+    def stored(self) -> Dataset:
+        """The same with its observations written to the shared folder: validation and statistics each read them again."""
+        return replace(self, observations=keep(self.observations, "observations"))
 
     def long(self) -> DataFrame:
         return to_long(self.observations, self.variables)

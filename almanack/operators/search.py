@@ -8,6 +8,8 @@ reorders them. Both prune to the request's terms before anything is exploded or
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanack.functions.text import detect_language, fold, tokens, unmarked
+from almanack.operators import fulltext
+from almanack.operators.fulltext import PREFIX_B, PREFIX_K1, TextIndex
+from almanack.operators.fulltext import field_text as _text
+from almanack.sources.landing import keep
 
 #: Weights of a catalogue row's fields, tokens of a description that count, words that say nothing here.
 FIELD_WEIGHTS = {"title": 8.0, "aliases": 3.0, "topic": 2.0, "description": 1.0}
@@ -25,28 +31,30 @@ BOUNDED_STOP = (*INDEX_STOP, "from", "between", "since", "during", "over", "show
 K1, B = 1.5, 0.75
 CODE_BONUS, CONCEPT, COVERAGE, PHRASE, PREFIX, SHORT = 1000.0, 40.0, 60.0, 90.0, 70.0, 12.0
 CODE_BAND, BOUNDED_SCALE, ALIAS_OVERLAP, SAME_COUNTRY, OTHER_COUNTRY = 10_000.0, 10.0, 18.0, 45.0, -60.0
-#: Column weights of the bounded search and of the conversational one; its k1 and b.
+#: Column weights of the bounded search and of the conversational one.
 BOUNDED_WEIGHTS = {"code": 3.0, "title": 10.0, "description": 1.0, "topic": 2.0, "keywords": 3.0, "aliases": 2.0}
 SPOKEN_WEIGHTS = {"code": 3.0, "title": 10.0, "description": 1.0, "topic": 3.0, "keywords": 2.0, "aliases": 2.0}
-PREFIX_K1, PREFIX_B = 1.2, 0.75
 CODE_LIKE = r"^[A-Za-z0-9][A-Za-z0-9._:\-]{2,}$"
 BUCKETS = 64
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a long description (in tokens) and of a list (in items) is searched; None is all of it."""
+
+    description: int | None = DESCRIPTION_TOKENS
+    items: int | None = 12
+
+
+WHOLE = Limits(None, None)
+
+
 def index_tokens(text: Column, stop: tuple[str, ...] = INDEX_STOP) -> Column:
     """Runs of ASCII letters and digits in lower case, of two characters at least, without words that say nothing."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*stop))
 
 
-def _text(catalog: DataFrame, field: str) -> Column:
-    """A field as one text; lists are joined, and a column that is not there is empty."""
-    if field not in catalog.columns:
-        return F.lit("")
-    is_list = dict(catalog.dtypes)[field].startswith("array")
-    return F.array_join(F.slice(field, 1, 12), " ") if is_list else F.col(field).cast("string")
-
-
 @dataclass(frozen=True)
 class Index:
     """``posts(bucket, term, key, length, weight)``; ``rows(key, provider, topic, code, plain, words, length)``; sizes."""
@@ -57,10 +65,11 @@ class Index:
     average: float
 
 
-def _described(catalog: DataFrame, key: str) -> DataFrame:
+def _described(catalog: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
     """Each row's identity, its folded title and the title's words, and its weighted tokens (``t``)."""
-    parts = {f: index_tokens(_text(catalog, f)) for f in FIELD_WEIGHTS}
-    parts["description"] = F.slice(parts["description"], 1, DESCRIPTION_TOKENS)
+    parts = {f: index_tokens(_text(catalog, f, limits.items)) for f in FIELD_WEIGHTS}
+    if limits.description is not None:
+        parts["description"] = F.slice(parts["description"], 1, limits.description)
     weighted = lambda t, w: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(w).alias("weight")))
     each = F.concat(*(weighted(t, FIELD_WEIGHTS[f]) for f, t in parts.items()))
     title = F.coalesce(_text(catalog, "title"), F.lit(""))
@@ -79,9 +88,9 @@ def postings(rows: DataFrame, terms: list[str] | None = None) -> DataFrame:
     return flat.groupBy("key", "length", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight")).withColumn("bucket", _bucket(F.col("term")))
 
 
-def build_index(catalog: DataFrame, path: str, key: str = "id") -> None:
+def build_index(catalog: DataFrame, path: str, key: str = "id", limits: Limits = Limits()) -> None:
     """Write postings, partitioned by bucket of term and sorted in it, and rows below ``path``."""
-    rows = _described(catalog, key)
+    rows = _described(catalog, key, limits)
     rows.drop("t").write.mode("overwrite").parquet(f"{path}/rows")
     postings(rows).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
@@ -99,13 +108,13 @@ def _hits(index: Index, terms: list[str]) -> DataFrame:
     return index.posts.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)) if terms else index.posts.filter("false")
 
 
-def index_of(catalog: DataFrame, key: str = "id") -> tuple[DataFrame, int, float]:
+def index_of(catalog: DataFrame, key: str = "id", limits: Limits = Limits()) -> tuple[DataFrame, int, float]:
     """Described rows, their number and mean length, by one pass without any explode.
 
-    The rows are kept (they hold no descriptions), as sizes, postings and ranking each read them; a
-    catalogue that is searched more than once is better stored by ``build_index``.
+    The rows are written to the shared folder, as sizes, postings and ranking each read them; nothing stays in
+    the executors' memory. A catalogue that is searched more than once is better stored by ``build_index``.
     """
-    rows = _described(catalog, key).persist()
+    rows = keep(_described(catalog, key, limits), "described")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
     return rows, size.n, float(size.average or 0.0)
 
@@ -118,9 +127,9 @@ def bm25(hits: DataFrame, documents: int, average: float) -> DataFrame:
     return hits.join(df, "term").groupBy("key").agg(F.sum(idf * F.col("weight") * (K1 + 1) / norm).alias("bm25"))
 
 
-def bm25_scores(catalog: DataFrame, terms: list[str], key: str = "id") -> DataFrame:
+def bm25_scores(catalog: DataFrame, terms: list[str], key: str = "id", limits: Limits = Limits()) -> DataFrame:
     """(key, bm25) of a catalogue without a stored index."""
-    rows, documents, average = index_of(catalog, key)
+    rows, documents, average = index_of(catalog, key, limits)
     return bm25(postings(rows, terms), documents, average)
 
 
@@ -132,7 +141,7 @@ def _on_driver(spark: SparkSession, *texts: Column) -> list:
     return list(spark.range(1).select(*(t.alias(f"c{i}") for i, t in enumerate(texts))).first())
 
 
-def search(catalog: DataFrame | Index, query: str, limit: int = 20, providers: list[str] | None = None, topic: str | None = None, key: str = "id", language: str | None = None, concepts: Concepts | None = None) -> DataFrame:
+def search(catalog: DataFrame | Index, query: str, limit: int = 20, providers: list[str] | None = None, topic: str | None = None, key: str = "id", language: str | None = None, concepts: Concepts | None = None, limits: Limits = Limits()) -> DataFrame:
     """(key, score), best first; ties to the smaller key.
 
     Field-weighted BM25 of the folded query; 1000 for the code itself; 40 / (rank + 1) for titles
@@ -145,9 +154,9 @@ def search(catalog: DataFrame | Index, query: str, limit: int = 20, providers: l
     spark, given = (index.rows if index else catalog).sparkSession, F.lit(query)
     plain, terms = _on_driver(spark, fold(given, F.lit(language) if language else detect_language(given)), index_tokens(fold(given, F.lit(language) if language else detect_language(given))))
     if not query.strip():
-        return (index.rows if index else index_of(catalog, key)[0]).select(F.col("key").alias(key), F.lit(0.0).alias("score")).filter("false")
+        return (index.rows if index else _described(catalog, key)).select(F.col("key").alias(key), F.lit(0.0).alias("score")).filter("false")
     named = [(k, [n for n in names if n.isascii()]) for k, names in (concepts or [])]
-    rows, documents, average = (index.rows, index.documents, index.average) if index else index_of(catalog, key)
+    rows, documents, average = (index.rows, index.documents, index.average) if index else index_of(catalog, key, limits)
     find = lambda terms: _hits(index, terms) if index else postings(rows, terms)
     hits = find(sorted(set(terms)))
     if named and (not terms or hits.isEmpty()):
@@ -185,8 +194,6 @@ def _prefix_scored(catalog: DataFrame, words: list[str], weights: dict[str, floa
     rows = catalog.select(F.col(key).alias("key"), f.alias("f"), sum((F.size(t) for t in parts.values()), F.lit(0)).alias("d"))
     size = rows.agg(F.count(F.lit(1)), F.avg("d"), *(F.count_if(F.get("f", F.lit(i)) > 0) for i in range(len(words)))).first()
     n, average = size[0], float(size[1] or 1.0)
-    import math
-
     idf = [max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) for df in size[2:]]
     share = lambda i: F.get("f", F.lit(i)) * (PREFIX_K1 + 1) / (F.get("f", F.lit(i)) + PREFIX_K1 * (1 - PREFIX_B + PREFIX_B * F.col("d") / average))
     score = sum((idf[i] * share(i) for i in range(len(words))), F.lit(0.0))
@@ -194,15 +201,16 @@ def _prefix_scored(catalog: DataFrame, words: list[str], weights: dict[str, floa
     return rows.filter(every("f", lambda x: x > 0)).select("key", score.alias("bm25")) if words else rows.select("key", F.lit(0.0).alias("bm25")).filter("false")
 
 
-def bounded_search(catalog: DataFrame, query: str, limit: int = 20, providers: list[str] | None = None, topic: str | None = None, key: str = "id", language: str | None = None, concepts: Concepts | None = None, places: list[str] | None = None) -> DataFrame:
+def bounded_search(catalog: DataFrame | TextIndex, query: str, limit: int = 20, providers: list[str] | None = None, topic: str | None = None, key: str = "id", language: str | None = None, concepts: Concepts | None = None, places: list[str] | None = None) -> DataFrame:
     """(key, score) of at most ``max(5 limit, 40)`` candidates by prefix-matched BM25, reordered by bonuses.
 
     Exact codes stand in a band of their own (10,000). To ten times the BM25 come the title's bonuses as
     in ``search``; 18 for each of up to three title words that only other names of the concepts hold;
     and, for titles that name a country, 45 where the request names it too and -60 where not.
-    ``places`` are the words of countries and regions; they, and years, do not retrieve anything.
+    ``places`` are the words of countries and regions; they, and years, do not retrieve anything. A stored
+    index reads only the blocks of the request's prefixes.
     """
-    spark, raw = catalog.sparkSession, query.strip()
+    spark, raw = catalog.spark if isinstance(catalog, TextIndex) else catalog.sparkSession, query.strip()
     given = fold(F.lit(query), F.lit(language) if language else detect_language(F.lit(query)))
     terms = _on_driver(spark, index_tokens(given, BOUNDED_STOP))[0]
     said, places, context = set(terms), set(places or []), set()
@@ -212,13 +220,21 @@ def bounded_search(catalog: DataFrame, query: str, limit: int = 20, providers: l
         context = {w for _, names in concepts[:2] for n in names[1:] for w in split(n)}
         if english:
             terms = english + [t for t in terms if t not in english and not t.isdigit() and t not in places]
-    pool = catalog.filter(F.col("provider").isin(providers)) if providers else catalog
-    pool = pool.filter(F.lower("topic") == topic.lower()) if topic else pool
-    first = _prefix_scored(catalog, terms, {w: v for w, v in BOUNDED_WEIGHTS.items() if w in catalog.columns}, False, key)
-    first = first.join(pool.select(F.col(key).alias("key")), "key", "left_semi").orderBy(F.desc("bm25"), "key").limit(max(5 * limit, 40))
-    exact = catalog.filter((F.lower("code") == raw.lower()) & F.lit(raw).rlike(CODE_LIKE)).select(F.col(key).alias("key")).orderBy("key").limit(5)
-    title = fold(F.coalesce("title", F.lit("")), F.lit("en"))
-    rows = first.join(catalog.select(F.col(key).alias("key"), title.alias("plain")), "key").withColumn("words", F.array_distinct(index_tokens(F.col("plain"), BOUNDED_STOP)))
+    inside = (F.col("provider").isin(providers) if providers else F.lit(True)) & (F.lower("topic") == topic.lower() if topic else F.lit(True))
+    most, code_like = max(5 * limit, 40), bool(re.match(CODE_LIKE, raw))
+    if isinstance(catalog, TextIndex):
+        first = fulltext.scored(catalog, terms, BOUNDED_WEIGHTS, False).filter(inside).orderBy(F.desc("bm25"), "key").limit(most).select("key", "bm25")
+        best = first.collect()  # ``most`` candidates
+        first = spark.createDataFrame(best, first.schema)
+        titles = catalog.rows([r.key for r in best]).select("key", "plain")
+        exact = fulltext.with_code(catalog, raw) if code_like else first.select("key").filter("false")
+    else:
+        scored = _prefix_scored(catalog, terms, {w: v for w, v in BOUNDED_WEIGHTS.items() if w in catalog.columns}, False, key)
+        first = scored.join(catalog.filter(inside).select(F.col(key).alias("key")), "key", "left_semi").orderBy(F.desc("bm25"), "key").limit(most)
+        titles = catalog.select(F.col(key).alias("key"), fold(F.coalesce("title", F.lit("")), F.lit("en")).alias("plain"))
+        exact = catalog.filter((F.lower("code") == raw.lower()) & F.lit(code_like)).select(F.col(key).alias("key"))
+    exact = exact.orderBy("key").limit(5)
+    rows = first.join(titles, "key").withColumn("words", F.array_distinct(index_tokens(F.col("plain"), BOUNDED_STOP)))
     lists = lambda x: F.array(*map(F.lit, sorted(x))).cast("array<string>")
     shared = lambda x: F.size(F.array_intersect("words", lists(x)))
     covered, phrase = shared(set(terms)) / max(len(set(terms)), 1), " ".join(terms)
@@ -234,29 +250,41 @@ def bounded_search(catalog: DataFrame, query: str, limit: int = 20, providers: l
 NEGATIONS = ("un", "non", "dis", "in")
 
 
-def spoken_search(catalog: DataFrame, query: str, limit: int = 20, provider: str | None = None, topic: str | None = None, key: str = "id") -> DataFrame:
+def spoken_search(catalog: DataFrame | TextIndex, query: str, limit: int = 20, provider: str | None = None, topic: str | None = None, key: str = "id") -> DataFrame:
     """(key, relevance), smaller is better: all words must match by prefix; BM25 less 0.05 for each point of popularity.
 
     One-word queries, unless they are negations themselves, put 50 on titles without the word
     as a word of its own, among three times as many candidates.
     """
-    words = _on_driver(catalog.sparkSession, F.regexp_extract_all(F.lower(F.lit(query)), F.lit(r"([\p{L}\p{N}_]+)"), 1))[0]
-    scored = _prefix_scored(catalog, words, {w: v for w, v in SPOKEN_WEIGHTS.items() if w in catalog.columns}, True, key)
-    popular = F.coalesce(F.col("popularity").cast("double"), F.lit(0.0)) if "popularity" in catalog.columns else F.lit(0.0)
-    pool = catalog.filter(F.lower("provider") == provider.lower()) if provider else catalog
-    pool = pool.filter(F.col("topic") == topic) if topic else pool
-    rows = scored.join(pool.select(F.col(key).alias("key"), "title", popular.alias("popularity")), "key").withColumn("relevance", -F.col("bm25") - 0.05 * F.col("popularity"))
+    stored = isinstance(catalog, TextIndex)
+    words = _on_driver(catalog.spark if stored else catalog.sparkSession, F.regexp_extract_all(F.lower(F.lit(query)), F.lit(r"([\p{L}\p{N}_]+)"), 1))[0]
+    if stored:
+        rows = fulltext.scored(catalog, words, SPOKEN_WEIGHTS, True)
+    else:
+        popular = F.coalesce(F.col("popularity").cast("double"), F.lit(0.0)) if "popularity" in catalog.columns else F.lit(0.0)
+        scored = _prefix_scored(catalog, words, {w: v for w, v in SPOKEN_WEIGHTS.items() if w in catalog.columns}, True, key)
+        rows = scored.join(catalog.select(F.col(key).alias("key"), "title", "provider", "topic", popular.alias("popularity")), "key")
+    rows = rows.filter(F.lower("provider") == provider.lower()) if provider else rows
+    rows = rows.filter(F.col("topic") == topic) if topic else rows
+    rows = rows.withColumn("relevance", -F.col("bm25") - 0.05 * F.col("popularity"))
     if len(words) == 1:
         rows = rows.orderBy("relevance", "key").limit(3 * limit)
         if not words[0].startswith(NEGATIONS):
+            if stored:
+                best = rows.select("key", "relevance").collect()  # three times ``limit``
+                rows = rows.sparkSession.createDataFrame(best, rows.select("key", "relevance").schema).join(catalog.rows([r.key for r in best]).select("key", "title"), "key")
             alone = F.lower(F.coalesce("title", F.lit(""))).rlike(rf"\b{words[0]}")
             rows = rows.withColumn("relevance", F.col("relevance") + F.when(alone, 0.0).otherwise(50.0))
     return rows.select(F.col("key").alias(key), F.round("relevance", 4).alias("relevance")).orderBy("relevance", key).limit(limit)
 
 
-def prefix_search(catalog: DataFrame, words: list[str], match_all: bool, limit: int, key: str = "id") -> DataFrame:
-    """(key, bm25) of rows with tokens that start with all (or any) of the words, best first."""
-    scored = _prefix_scored(catalog, words, {w: v for w, v in SPOKEN_WEIGHTS.items() if w in catalog.columns}, match_all, key)
+def prefix_search(catalog: DataFrame | TextIndex, words: list[str], match_all: bool, limit: int, key: str = "id", provider: str | None = None) -> DataFrame:
+    """(key, bm25) of rows (of a provider) with tokens that start with all (or any) of the words, best first."""
+    if isinstance(catalog, TextIndex):
+        scored = fulltext.scored(catalog, words, SPOKEN_WEIGHTS, match_all, provider)
+    else:
+        mine = catalog.filter(F.lower("provider") == provider.lower()) if provider else catalog
+        scored = _prefix_scored(mine, words, {w: v for w, v in SPOKEN_WEIGHTS.items() if w in catalog.columns}, match_all, key)
     return scored.select(F.col("key").alias(key), F.round("bm25", 4).alias("bm25")).orderBy(F.desc("bm25"), key).limit(limit)
 
 
@@ -396,25 +424,22 @@ def catalogue_stats(catalog: DataFrame, now: Column | None = None) -> DataFrame:
     return catalog.agg(n.alias("series"), F.countDistinct("provider").alias("providers"), F.max(when).alias("latest"), recent.alias("recent"), band.alias("milestone"))
 
 
-def build_catalogue(raw: DataFrame, order: str, upsert: bool = False) -> DataFrame:
-    """One row for each (provider, code): the first to come, or with ``upsert`` the last. Descriptions are
-    cut to 4,000 characters and aliases to 12."""
+def build_catalogue(raw: DataFrame, order: str, upsert: bool = False, characters: int | None = 4000, aliases: int | None = 12) -> DataFrame:
+    """One row for each (provider, code): the first to come, or with ``upsert`` the last. Descriptions keep so many
+    characters and lists so many aliases; None keeps all."""
     w = Window.partitionBy("provider", "code").orderBy(F.desc(order) if upsert else F.asc(order))
     rows = raw.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    rows = rows.withColumn("description", F.substring("description", 1, 4000)) if "description" in raw.columns else rows
-    return rows.withColumn("aliases", F.slice("aliases", 1, 12)) if "aliases" in raw.columns else rows
+    rows = rows.withColumn("description", F.substring("description", 1, characters)) if "description" in raw.columns and characters is not None else rows
+    return rows.withColumn("aliases", F.slice("aliases", 1, aliases)) if "aliases" in raw.columns and aliases is not None else rows
 
 
-def related_series(catalog: DataFrame, name: str, provider: str, key: str = "id", limit: int = 5) -> DataFrame:
+def related_series(catalog: DataFrame | TextIndex, name: str, provider: str, key: str = "id", limit: int = 5) -> DataFrame:
     """Up to five rows of the provider that match all of the first four words of a name (its part before
     a comma or parenthesis); any of them where none has all."""
-    import re
-
     head = re.split(r"[,(]", name)[0]
     words = [w for w in re.findall(r"\w+", head.lower()) if len(w) > 1][:4]
-    mine = catalog.filter(F.lower("provider") == provider.lower())
-    found = prefix_search(mine, words, True, limit, key)
-    return prefix_search(mine, words, False, limit, key) if found.isEmpty() else found
+    found = prefix_search(catalog, words, True, limit, key, provider)
+    return prefix_search(catalog, words, False, limit, key, provider) if found.isEmpty() else found
 
 
 #: Cues of what a series measures, and how much a series without a cue that was asked for loses.
@@ -430,8 +455,6 @@ def relevance(query: str, series: Column, cues: dict[str, str] = CUES, lacking:
     each that the series lacks; .35 for each shared word up to 2.5; ratios of GDP 2.5 or -1.8; -3 for
     discontinued series that were not asked for; -1 for an empty text. Cues are a parameter.
     """
-    import re
-
     low = F.lower(F.coalesce(series, F.lit("")))
     asked = [c for c, p in cues.items() if re.search(p, query.lower())]
     has = {c: low.rlike(p) for c, p in cues.items()}

@@ -214,7 +214,7 @@ def _windowed(rows: DataFrame, spec: Spec) -> DataFrame:
 def _finish(parts: list[tuple[dict, DataFrame]], spec: Spec, failures: list[dict]) -> dict:
     if not parts:
         return {"spec": spec, "dataset": None, "failures": failures, "warning": "no series"}
-    made = build(parts, spec).persist()
+    made = build(parts, spec).stored()
     issues = validate(made.observations, made.variables, spec.frequency, spec.end)
     return {"spec": spec, "dataset": made, "issues": issues, "verdict": verdict(issues), "failures": failures, "warning": None}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanack.functions import text
-from almanack.operators import search
+from almanack.operators import fulltext, search
 from almanack.plans.queries import EN_LIST, FR_LIST
 from almanack.plans.registry import query
 from almanack.sources import driver_tables as tables
@@ -79,6 +79,12 @@ def catalogue_search_code(spark, sf):
     return search.search(tables.catalogue(spark, sf), "d77", 20)
 
 
+@query(_ranked().replace(f"({_tok('description')})[1:120]", _tok("description")))
+def catalogue_search_whole(spark, sf):
+    """The same over whole descriptions."""
+    return search.search(tables.catalogue(spark, sf), "tion the heat", 20, limits=search.WHOLE)
+
+
 @query(_ranked())
 def catalogue_stored_index(spark, sf):
     """The same search over an index that is written once and read back: buckets and terms are pruned."""
@@ -105,20 +111,31 @@ _BOUNDED = f"""WITH {_CAT}, {_prefix(['heat', 'tion'], search.BOUNDED_WEIGHTS, _
 _BONUS = "round(10 * bm25 + CASE WHEN cov > 0 THEN 60 * cov * cov + 12.0 / (1 + k) + CASE WHEN contains(plain, '{p}') THEN 90 + CASE WHEN starts_with(plain, '{p}') THEN 70 ELSE 0 END ELSE 0 END ELSE 0 END{more}, 4)::DOUBLE AS score"
 
 
+def _stored(spark, sf):
+    """The full-text index of the catalogue below ``sf``; one is built for each application and read by every search after."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _BUILT:
+        _BUILT[at] = fulltext.build(tables.catalogue(spark, sf).withColumn("popularity", F.col("id") % 13), landing.folder(spark, "text-index")).path
+    return fulltext.open_index(spark, _BUILT[at])
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 @query(_BOUNDED + " SELECT id, " + _BONUS.format(p="heat tion", more="") + " FROM s ORDER BY score DESC, id LIMIT 8")
 def catalogue_search_bounded(spark, sf):
-    return search.bounded_search(tables.catalogue(spark, sf), "heat of tion", 8)
+    return search.bounded_search(_stored(spark, sf), "heat of tion", 8)
 
 
 @query(_BOUNDED + " SELECT id, " + _BONUS.format(p="heat tion", more=" + 18 * least(len(list_intersect(words, ['er', 'ing', 'on'])), 3) + CASE WHEN len(list_intersect(words, ['ed', 're'])) > 0 THEN -60 ELSE 0 END") + " FROM s ORDER BY score DESC, id LIMIT 8")
 def catalogue_search_concept_bonus(spark, sf):
     """Other names of a concept and words of countries move candidates; years and places retrieve none."""
-    return search.bounded_search(tables.catalogue(spark, sf), "tion 2020", 8, concepts=[("warmth", ["heat", "er ing", "on ing"])], places=["re", "ed"])
+    return search.bounded_search(_stored(spark, sf), "tion 2020", 8, concepts=[("warmth", ["heat", "er ing", "on ing"])], places=["re", "ed"])
 
 
 @query(f"""WITH {_CAT}, {_prefix(['he', 'tio'], search.SPOKEN_WEIGHTS, _COLUMNS)} SELECT id, round(-bm25 - 0.05 * (id % 13), 4)::DOUBLE AS relevance FROM q WHERE hits = 2 ORDER BY relevance, id LIMIT 15""")
 def catalogue_spoken_search(spark, sf):
-    return search.spoken_search(tables.catalogue(spark, sf).withColumn("popularity", F.col("id") % 13), "he tio", 15)
+    return search.spoken_search(_stored(spark, sf), "he tio", 15)
 
 
 @query(f"""WITH {_CAT}, {_prefix(['heat'], search.SPOKEN_WEIGHTS, _COLUMNS)}, t AS (SELECT id, title, -bm25 AS relevance FROM q WHERE hits = 1 ORDER BY relevance, id LIMIT 45)
@@ -129,14 +146,42 @@ def catalogue_antonyms(spark, sf):
 
 @query(f"""WITH {_CAT}, m AS (SELECT * FROM c WHERE provider = 'src3'), {_prefix(['he', 'ti'], search.SPOKEN_WEIGHTS, _COLUMNS).replace('FROM c)', 'FROM m)')} SELECT id, round(bm25, 4)::DOUBLE AS bm25 FROM q WHERE hits = 2 ORDER BY bm25 DESC, id LIMIT 5""")
 def related_series(spark, sf):
-    return search.related_series(tables.catalogue(spark, sf), "He ti, annual (index)", "SRC3")
+    return search.related_series(_stored(spark, sf), "He ti, annual (index)", "SRC3")
 
 
 @query(f"""WITH {_CAT}, {_prefix(['heat', 'lynd'], search.SPOKEN_WEIGHTS, _COLUMNS)} SELECT id, round(bm25, 4)::DOUBLE AS bm25 FROM q WHERE hits > 0 ORDER BY bm25 DESC, id LIMIT 25""")
 def prefix_search(spark, sf):
+    return search.prefix_search(_stored(spark, sf), ["lynd", "heat"], False, 25)
+
+
+@query(f"""WITH {_CAT}, {_prefix(['heat', 'lynd'], search.SPOKEN_WEIGHTS, _COLUMNS)} SELECT id, round(bm25, 4)::DOUBLE AS bm25 FROM q WHERE hits > 0 ORDER BY bm25 DESC, id LIMIT 25""")
+def prefix_search_unstored(spark, sf):
+    """The same over a catalogue without an index."""
     return search.prefix_search(tables.catalogue(spark, sf), ["lynd", "heat"], False, 25)
 
 
+_CHANGED = _CAT.replace("coalesce(text, '') AS description", "CASE WHEN doc_id % 50 = 7 THEN 'heat of lyndon ' || coalesce(text, '') ELSE coalesce(text, '') END AS description").replace("FROM documents", "FROM documents WHERE doc_id % 50 <> 9")
+
+
+@query(f"""WITH {_CHANGED}, {_prefix(['heat', 'lynd'], search.SPOKEN_WEIGHTS, _COLUMNS)} SELECT id, round(bm25, 4)::DOUBLE AS bm25 FROM q WHERE hits > 0 ORDER BY bm25 DESC, id LIMIT 25""")
+def catalogue_index_upsert(spark, sf):
+    """Changed descriptions, and rows gone, as a segment of the stored index; the search is that of a catalogue built anew."""
+    c = tables.catalogue(spark, sf)
+    base = fulltext.build(c, landing.folder(spark, "text-index"))
+    changed = c.filter("id % 50 = 7").withColumn("description", F.concat(F.lit("heat of lyndon "), F.coalesce("description", F.lit(""))))
+    return search.prefix_search(fulltext.upsert(base, changed, removed=c.filter("id % 50 = 9")), ["lynd", "heat"], False, 25)
+
+
+@query(f"""WITH {_CHANGED}, {_prefix(['he', 'tio'], search.SPOKEN_WEIGHTS, _COLUMNS)} SELECT id, round(-bm25 - 0.05 * (id % 13), 4)::DOUBLE AS relevance FROM q WHERE hits = 2 ORDER BY relevance, id LIMIT 15""")
+def catalogue_index_merge(spark, sf):
+    """The segments merged, searched in conversation."""
+    c = tables.catalogue(spark, sf).withColumn("popularity", F.col("id") % 13)
+    base = fulltext.build(c.filter("id % 50 <> 7"), landing.folder(spark, "text-index"))
+    added = c.filter("id % 50 = 7").withColumn("description", F.concat(F.lit("heat of lyndon "), F.coalesce("description", F.lit(""))))
+    both = fulltext.upsert(fulltext.upsert(base, added), added.limit(3), removed=c.filter("id % 50 = 9"))
+    return search.spoken_search(fulltext.merge(both), "he tio", 15)
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, p_retailprice AS score, p_size AS priority FROM part), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, priority, id) AS place FROM p ORDER BY place LIMIT 4)
  SELECT id, place::INT AS place, CASE WHEN place = 1 THEN 0.94 END::DOUBLE AS confidence FROM t""")
 def best_series(spark, sf):
