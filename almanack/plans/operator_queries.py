@@ -15,7 +15,7 @@ from almanack.plans import recipes, requests, vocabulary
 from almanack.plans.queries import OBS, WIDE, _cells, _wide
 from almanack.plans.registry import query
 from almanack.plans.source_queries import ANNUAL, annual
-from almanack.schema import OBSERVATIONS
+from almanack.schema import OBSERVATIONS, VARIABLES
 from almanack.sources import driver_tables as tables
 from almanack.sources import exports, landing
 from almanack.streaming import streams
@@ -229,6 +229,49 @@ def validation_rules(spark, sf):
     return validate.validate(*_planted(spark), "annual", 2005).filter("not (code = 'coverage_ends_early' and variable in ('gap', 'jump'))").select("code", "severity", "variable")
 
 
+_PLANTED = OBS + """, o AS (SELECT series_id, geography, period, right(period, 2) AS m, value, status FROM obs),
+ p AS (SELECT 'nan' AS alias, 'AUTOMOBILE' AS s, 1 AS i UNION ALL SELECT 'units', 'BUILDING', 2 UNION ALL SELECT 'void', 'FURNITURE', 3 UNION ALL SELECT 'thin', 'HOUSEHOLD', 4 UNION ALL SELECT 'mix', 'MACHINERY', 5),
+ kept AS (SELECT * FROM o WHERE NOT (series_id = 'AUTOMOBILE' AND m = '05')),
+ months AS (SELECT series_id, geography, 12 * left(period, 4)::INT + m::INT AS slot FROM (FROM kept WHERE NOT (series_id = 'BUILDING' AND m = '07') UNION ALL FROM kept WHERE series_id = 'HOUSEHOLD' AND m = '03')),
+ gaps AS (SELECT series_id, geography FROM months WHERE series_id <> 'MACHINERY' GROUP BY ALL HAVING count(*) >= 3 AND max(slot) - min(slot) + 1 > count(*))
+ SELECT 'duplicate_key' AS code, 'error' AS severity, 'orders:HOUSEHOLD' AS variable, count(*)::BIGINT AS issues FROM kept WHERE series_id = 'HOUSEHOLD' AND m = '03'
+ UNION ALL SELECT 'invalid_period', 'error', 'orders:BUILDING', 1 WHERE EXISTS (FROM kept WHERE series_id = 'BUILDING' AND m = '07')
+ UNION ALL SELECT 'non_numeric_value', 'error', 'nan', 1 WHERE EXISTS (FROM kept WHERE series_id = 'AUTOMOBILE' AND m = '02')
+ UNION ALL SELECT 'mixed_frequency', 'error', 'mix', 1 WHERE EXISTS (FROM kept WHERE series_id = 'MACHINERY' AND m = '09')
+ UNION ALL SELECT 'unit_conflict', 'error', 'units', 1 WHERE EXISTS (FROM kept WHERE series_id = 'BUILDING' AND m = '04')
+ UNION ALL SELECT 'incompatible_units_same_concept', 'warning', 'sales', 1
+ UNION ALL SELECT 'missing_variable', 'error', 'never', 1
+ UNION ALL SELECT 'all_values_missing', 'error', 'void', 1
+ UNION ALL SELECT 'sparse_variable', 'warning', 'thin', 1 WHERE (SELECT count(*) FILTER (WHERE m IN ('03', '04')) * 1.0 / count(*) FROM (FROM kept WHERE series_id = 'HOUSEHOLD' UNION ALL FROM kept WHERE series_id = 'HOUSEHOLD' AND m = '03')) BETWEEN 0.0001 AND 0.4999
+ UNION ALL SELECT 'time_gap', 'warning', alias, count(*)::BIGINT FROM gaps JOIN p ON s = series_id GROUP BY alias"""
+
+
+@query(_PLANTED)
+def validation_planted(spark, sf):
+    """Faults planted into the observations by rules over segment and month; every rule finds its own, counted by code and variable."""
+    o = tables.observations(spark, sf).withColumn("m", F.right("period", F.lit(2)))
+    is_ = lambda s, *m: (F.col("series_id") == s) & (F.col("m").isin(*m) if m else F.lit(True))
+    o = o.filter(~is_("AUTOMOBILE", "05"))
+    o = o.unionByName(o.filter(is_("HOUSEHOLD", "03")))
+    value = F.when(is_("AUTOMOBILE", "02"), F.lit(float("nan"))).when(is_("FURNITURE") | (is_("HOUSEHOLD") & ~F.col("m").isin("03", "04")), F.lit(None).cast("double")).otherwise(F.col("value"))
+    period = F.when(is_("BUILDING", "07"), F.concat(F.lit("about "), "period")).when(is_("MACHINERY", "09"), F.concat(F.left("period", F.lit(4)), F.lit("Q3"))).otherwise(F.col("period"))
+    unit = F.when(is_("BUILDING", "04"), "thousands").when(is_("MACHINERY"), "percent").otherwise(F.col("unit"))
+    o = o.withColumns({"value": value, "period": period, "unit": unit}).drop("m")
+    named = {"nan": ("AUTOMOBILE", "sales"), "units": ("BUILDING", None), "void": ("FURNITURE", None), "thin": ("HOUSEHOLD", None), "mix": ("MACHINERY", "sales"), "never": ("NONE", None)}
+    v = spark.createDataFrame([(a, "orders", s, a, None, "monthly", c, None, i) for i, (a, (s, c)) in enumerate(named.items())], VARIABLES)
+    issues = validate.validate(o, v).filter(~F.col("code").isin("extreme_jump", "provider_flag") & ~((F.col("code") == "time_gap") & (F.col("variable") == "mix")))
+    return issues.groupBy("code", "severity", "variable").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS e, count(*) FILTER (WHERE o_orderstatus = 'O') AS w, count(*) FILTER (WHERE o_orderstatus = 'P') AS i FROM orders GROUP BY 1)
+ SELECT sum(e)::BIGINT AS errors, sum(w)::BIGINT AS warnings, sum(i)::BIGINT AS infos, CASE WHEN sum(e) > 0 THEN 'unusable' WHEN sum(w) > 0 THEN 'usable_with_warnings' ELSE 'clean' END AS status FROM o""")
+def validation_verdict_of_orders(spark, sf):
+    """The roll-up over issues made from order states."""
+    o = tables.read(spark, sf, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "warning").when(F.col("o_orderstatus") == "P", "info")
+    return validate.verdict(o.select(kind.alias("severity")).filter("severity is not null"))
+
+
 @query(_values("errors, warnings, infos, status", "7::BIGINT, 3::BIGINT, 3::BIGINT, 'unusable'"))
 def validation_verdict(spark, sf):
     return validate.verdict(validate.validate(*_planted(spark)))
@@ -333,27 +376,42 @@ def region_substitution(spark, sf):
 
 # Requests and recipes
 
-_SENTENCES = (
-    ("Inflation in Algeria from 2000 to 2025", "en", "inflation", "DZA", 2000, 2025, "annual"),
-    ("taux de chômage au Maroc depuis 2005", "fr", "unemployment", "MAR", 2005, None, "annual"),
-    ("التضخم في الجزائر ربع سنوي", "ar", "inflation", "DZA", None, None, "quarterly"),
-    ("التضخم gdp", "ar", "inflation,gdp", "", None, None, "annual"),
-    ("GDP per capita of the Maghreb, quarterly, as csv", "en", "gdp_per_capita", "DZA,MAR,TUN,LBY,MRT", None, None, "quarterly"),
-    ("exports of South Africa over the last 5 years", "en", "exports", "ZAF", 2021, 2025, "annual"),
-)
-_sql = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-
-@query(_values("text, language, concepts, places, first, last, frequency", *(", ".join(map(_sql, r)) for r in _SENTENCES)))
+def _words(spark: SparkSession, sf: str) -> vocabulary.Vocabulary:
+    """A vocabulary made from the tables: segments as concepts, nations and regions as places."""
+    nations, regions = tables.read(spark, sf, "nation"), tables.read(spark, sf, "region")
+    segments = tables.read(spark, sf, "customer").select(F.lower("c_mktsegment").alias("key")).distinct()
+    concepts = segments.select("key", F.lit("en").alias("language"), F.col("key").alias("name")).unionByName(segments.select("key", F.lit("fr").alias("language"), F.concat(F.lit("secteur "), "key").alias("name")))
+    countries = nations.select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    areas = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("code"), F.col("r_name").alias("name"), F.concat(F.lit("N"), "n_nationkey").alias("member"))
+    return vocabulary.from_tables(concepts, countries, areas, frequencies={"quarterly": ["quarterly", "trimestriel"], "monthly": ["monthly"]}, providers={"orders": ["order book"]}, formats={"csv": ["csv"]}, long_shape=["long"], ambiguous=["building"])
+
+
+@query("""WITH c AS (SELECT c_custkey, lower(c_mktsegment) AS s, 'N' || n_nationkey AS code, n_regionkey, c_custkey % 4 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ m AS (SELECT n_regionkey, list_sort(list('N' || n_nationkey)) AS members FROM nation GROUP BY 1)
+ SELECT c_custkey, CASE WHEN k = 3 THEN 'fr' ELSE 'en' END AS language, s AS concepts, CASE WHEN k = 1 THEN array_to_string(members, ',') ELSE code END AS geographies,
+  CASE k WHEN 0 THEN 1994 WHEN 1 THEN 2025 - (c_custkey % 9) WHEN 3 THEN 1995 END::INT AS start, CASE k WHEN 0 THEN 1996 WHEN 1 THEN 2025 END::INT AS "end", CASE k WHEN 0 THEN 'quarterly' WHEN 2 THEN 'monthly' WHEN 3 THEN 'quarterly' ELSE 'annual' END AS frequency,
+  CASE WHEN k = 2 THEN 'orders' ELSE '' END AS providers, CASE WHEN k = 2 THEN 'long' ELSE 'wide' END AS shape, CASE WHEN k = 0 THEN 'csv' ELSE 'xlsx' END AS formats, CASE WHEN s = 'building' THEN s ELSE '' END AS ambiguous FROM c JOIN m USING (n_regionkey)""")
 def parsed_requests(spark, sf):
-    specs = [requests.parse(r[0], current_year=2025) for r in _SENTENCES]
-    rows = [(s.text, s.language, ",".join(s.concepts), ",".join(s.geographies), s.start, s.end, s.frequency) for s in specs]
-    return spark.createDataFrame(rows, "text string, language string, concepts string, places string, first int, last int, frequency string")
-
-
-@query(_values("text, n, year", "'top 500 in 2010 or 2015', 100, 2015", "'the highest', 1, NULL", "'rank them', 10, NULL", "'3 largest in 1999', 3, 1999"))
+    """A request for each customer, in four wordings, read against a vocabulary made from the tables."""
+    c = tables.read(spark, sf, "customer").join(tables.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(tables.read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k, s = F.col("c_custkey") % 4, F.initcap("c_mktsegment")
+    text = (
+        F.when(k == 0, F.concat(s, F.lit(" of "), "n_name", F.lit(" from 1994 to 1996, quarterly, as csv")))
+        .when(k == 1, F.concat(s, F.lit(" for "), F.initcap("r_name"), F.lit(" over the last "), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(" years")))
+        .when(k == 2, F.concat(F.lit("monthly "), s, F.lit(" in "), "n_name", F.lit(" from the order book, long")))
+        .otherwise(F.concat(F.lit("données trimestriel du secteur "), s, F.lit(" pour "), "n_name", F.lit(" depuis 1995")))
+    )
+    got = requests.parse_requests(c.select("c_custkey", text.alias("text")), _words(spark, sf), current_year=2025)
+    return got.select("c_custkey", "language", *(F.array_join(x, ",").alias(x) for x in ("concepts", "geographies")), "start", "end", "frequency", F.array_join("providers", ",").alias("providers"), "shape", F.array_join("formats", ",").alias("formats"), F.array_join("ambiguous", ",").alias("ambiguous"))
+
+
+@query("""SELECT p_partkey, p_size::INT AS n, greatest(1990 + p_size % 30, 1990 + p_size % 7)::INT AS year FROM part""")
 def ranks_asked_for(spark, sf):
-    return spark.createDataFrame([(t, requests.top_count(t), requests.target_year(t)) for t in ("top 500 in 2010 or 2015", "the highest", "rank them", "3 largest in 1999")], "text string, n int, year int")
+    """How many ranks, and of which year, the sentences about parts ask for."""
+    top, year = F.udf(lambda t: requests.top_count(t), "int"), F.udf(lambda t: requests.target_year(t), "int")
+    size = F.col("p_size")
+    text = F.concat(F.lit("top "), size.cast("string"), F.lit(" "), "p_name", F.lit(" in "), (1990 + size % 30).cast("string"), F.lit(" or "), (1990 + size % 7).cast("string"))
+    return tables.read(spark, sf, "part").select("p_partkey", top(text).alias("n"), year(text).alias("year"))
 
 
 @query(_values("countries, provider, fallback", "'DZA', 'b', 'b,d'", "'', 'a', 'b,d'", "'FRA', 'a', 'b,d'"))
@@ -364,10 +422,11 @@ def provider_choice(spark, sf):
     return spark.createDataFrame(rows, "countries string, provider string, fallback string")
 
 
-@query(_values("kind, n", "'concepts', 26::BIGINT", "'countries', 57::BIGINT", "'regions', 8::BIGINT"))
+@query("""SELECT 'concepts' AS kind, count(DISTINCT c_mktsegment)::BIGINT AS n FROM customer UNION ALL SELECT 'countries', count(*)::BIGINT FROM nation UNION ALL SELECT 'regions', count(DISTINCT n_regionkey)::BIGINT FROM nation""")
 def vocabulary_lists(spark, sf):
-    g = requests.geographies()
-    rows = requests.concepts().select(F.lit("concepts").alias("kind"), "key").unionAll(g.select(F.when(F.col("kind") == "country", "countries").otherwise("regions"), "code"))
+    words = _words(spark, sf)
+    g = requests.geographies(words)
+    rows = requests.concepts(words).select(F.lit("concepts").alias("kind"), "key").unionAll(g.select(F.when(F.col("kind") == "country", "countries").otherwise("regions"), "code"))
     return rows.groupBy("kind").agg(F.count_distinct("key").alias("n"))
 
 
@@ -391,11 +450,11 @@ def dataset_from_selection(spark, sf):
     return made["dataset"].long().select("geography", "period", "indicator", "value")
 
 
-@query(OBS + " SELECT geography AS geo_key, period, max(value) FILTER (WHERE series_id = 'BUILDING') AS inflation_usd, max(value) FILTER (WHERE series_id = 'MACHINERY') AS unemployment_usd FROM obs WHERE series_id IN ('BUILDING', 'MACHINERY') GROUP BY ALL")
+@query(OBS + " SELECT geography AS geo_key, period, max(value) FILTER (WHERE series_id = 'BUILDING') AS building_usd, max(value) FILTER (WHERE series_id = 'MACHINERY') AS machinery_usd FROM obs WHERE series_id IN ('BUILDING', 'MACHINERY') GROUP BY ALL")
 def instant_dataset(spark, sf):
     """From a sentence to a wide dataset: the first series of each concept that can be had."""
     o = tables.observations(spark, sf)
-    ranked = {"inflation": ["GONE", "BUILDING"], "unemployment": ["MACHINERY"]}
+    ranked = {"building": ["GONE", "BUILDING"], "machinery": ["MACHINERY"]}
 
     def fetch(series: dict, spec) -> DataFrame:
         if series["series_id"] == "GONE":
@@ -403,7 +462,7 @@ def instant_dataset(spark, sf):
         return o.filter(F.col("series_id") == series["series_id"])
 
     resolve = lambda concept, spec: [{"provider": "orders", "series_id": s, "title": s, "unit": "current us$"} for s in ranked[concept]]
-    made = requests.instant("inflation and unemployment in Algeria", resolve, fetch)
+    made = requests.instant("building and machinery in NATION_3", resolve, fetch, _words(spark, sf))
     return made["dataset"].wide().drop("geography")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from almanack.functions.text import detect_language, fold, smart_alias
 from almanack.operators.dataset import Dataset, alias_numbers, union_all
 from almanack.operators.validate import validate, verdict
-from almanack.plans.vocabulary import Vocabulary, standard
+from almanack.plans.vocabulary import LANGUAGES, Vocabulary
 from almanack.schema import VARIABLES
 from almanack.sources.readers import fetch_all
 
@@ -48,12 +49,37 @@ def consume(text: str, names: dict[str, str]) -> list[str]:
     return list(dict.fromkeys(target for _, target in sorted(found)))
 
 
+class Names:
+    """Names and their targets with an automaton over all of them, which each process makes once."""
+
+    def __init__(self, names: dict[str, str]) -> None:
+        self.names = names
+        self.found: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "found": None}
+
+    def present(self, text: str) -> dict[str, str]:
+        """The names that stand in a text, at any place; the time depends on the text and not on how many names there are."""
+        if self.found is None:
+            self.found = ahocorasick.Automaton()
+            for n in filter(None, self.names):
+                self.found.add_word(f" {n} ", n)
+            self.found.make_automaton()
+        return {n: self.names[n] for _, n in self.found.iter(f" {text} ")} if len(self.found) else {}
+
+    def consume(self, text: str) -> list[str]:
+        """As ``consume`` over all names: those that are not in the text change nothing."""
+        return consume(text, self.present(text))
+
+
 def mentions(text: Column, names: dict[str, str]) -> Column:
-    """The same for a column of texts: ``array<string>``. ``names`` is a vocabulary, sent to every task once."""
+    """``consume`` for a column of texts: ``array<string>``. ``names`` is a vocabulary, sent to every task once."""
+    every = SparkSession.active().sparkContext.broadcast(Names(names))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else consume(t, names))
+        return texts.map(lambda t: None if t is None else every.value.consume(t))
 
     return find(text)
 
@@ -77,55 +103,67 @@ def _names(vocabulary: Vocabulary, language: str) -> dict[str, dict[str, str]]:
     return {t: {plain[n]: k for n, k in reversed(rows) if plain[n]} for t, rows in tables.items()}
 
 
-def years(text: str) -> tuple[int | None, int | None]:
-    """First and last year named; one year alone has no last."""
-    found = sorted({int(y) for y in re.findall(r"\b((?:19|20)\d{2})\b", text)})
-    return (found[0] if found else None), (found[-1] if len(found) > 1 else None)
-
-
-def language_of(text: str) -> str:
-    return SparkSession.active().range(1).select(detect_language(F.lit(text))).first()[0]
+#: What follows a number of years back, in folded texts.
+_LAST = r"\b(?:last|past|dernieres?|derniers?|derniere?|اخر)\s+(\d{1,3})\s*(?:years?|ans?|annees?|سنوات|سنه)\b"
+_FOUND = "concepts array<string>, places array<string>, frequency string, providers array<string>, long boolean, formats array<string>"
 
 
-def parse(text: str, current_year: int | None = None, vocabulary: Vocabulary | None = None) -> Spec:
-    """What a sentence asks for. Nothing is guessed: what is not named stays empty.
+def parse_requests(rows: DataFrame, vocabulary: Vocabulary, text: str = "text", current_year: int | None = None) -> DataFrame:
+    """All columns, and what each request asks for: language, concepts, geographies (codes; regions stand as their members),
+    start, end, frequency, providers, shape, formats, and which of the concepts are ambiguous.
 
-    Of several frequencies named, the one with the longest name counts.
+    Nothing is guessed: what is not named stays empty. Of several frequencies named, the one with the
+    longest name counts. A null text is an empty one.
     """
-    words, language = vocabulary or standard(), language_of(text)
-    plain, names = folded([text], language)[0], _names(words, language)
-    found = {t: consume(plain, table) for t, table in names.items()}
-    geographies = [m for p in found["places"] for m in (words.regions[p[1:]][1] if p.startswith("*") else (p,))]
-    start, end = years(text)
-    last = re.search(r"\b(?:last|past|dernieres?|derniers?|derniere?|اخر)\s+(\d{1,3})\s*(?:years?|ans?|annees?|سنوات|سنه)\b", plain)
-    if start is None and last and current_year:
-        start, end = current_year - int(last[1]) + 1, current_year
-    hint = max((n for n in names["frequencies"] if f" {n} " in f" {plain} "), key=lambda n: (len(n), n), default=None)
-    return Spec(
-        text,
-        language,
-        tuple(found["concepts"]),
-        tuple(dict.fromkeys(geographies)),
-        start,
-        end,
-        names["frequencies"][hint] if hint else "annual",
-        tuple(found["providers"]),
-        "long" if found["shape"] else "wide",
-        tuple(found["formats"]) or ("xlsx",),
-        tuple(c for c in found["concepts"] if c in words.ambiguous),
+    tables = {g: {t: Names(n) for t, n in _names(vocabulary, g).items()} for g in LANGUAGES}
+    sent = rows.sparkSession.sparkContext.broadcast((tables, {k: m for k, (_, m) in vocabulary.regions.items()}))
+
+    @F.pandas_udf(_FOUND)
+    def find(plain: pd.Series, language: pd.Series) -> pd.DataFrame:
+        every, regions = sent.value
+        out = []
+        for t, g in zip(plain, language, strict=True):
+            got = {k: names.consume(t) for k, names in every[g].items()}
+            places = [m for p in got["places"] for m in (regions[p[1:]] if p.startswith("*") else (p,))]
+            hint = max(every[g]["frequencies"].present(t).items(), key=lambda x: (len(x[0]), x[0]), default=("", "annual"))[1]
+            out.append((got["concepts"], list(dict.fromkeys(places)), hint, got["providers"], bool(got["shape"]), got["formats"] or ["xlsx"]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
+
+    said = F.coalesce(F.col(text), F.lit(""))
+    language = detect_language(said)
+    named = F.array_sort(F.array_distinct(F.regexp_extract_all(said, F.lit(r"\b((?:19|20)\d{2})\b"), 1).cast("array<int>")))
+    out = rows.withColumn("_l", language).withColumn("_p", fold(said, F.col("_l"))).withColumn("_f", find("_p", "_l")).withColumn("_y", named)
+    back = F.nullif(F.regexp_extract("_p", _LAST, 1), F.lit("")).cast("int")
+    ago = F.when((F.size("_y") == 0) & F.lit(current_year is not None), F.lit(current_year) - back + 1)
+    return out.select(
+        *(F.col(f"`{c}`") for c in rows.columns),
+        F.col("_l").alias("language"),
+        F.col("_f.concepts").alias("concepts"),
+        F.col("_f.places").alias("geographies"),
+        F.coalesce(F.get("_y", F.lit(0)), ago).alias("start"),
+        F.when(F.size("_y") > 1, F.element_at("_y", -1)).when(ago.isNotNull(), F.lit(current_year)).alias("end"),
+        F.col("_f.frequency").alias("frequency"),
+        F.col("_f.providers").alias("providers"),
+        F.when(F.col("_f.long"), "long").otherwise("wide").alias("shape"),
+        F.col("_f.formats").alias("formats"),
+        F.filter("_f.concepts", lambda c: c.isin(vocabulary.ambiguous)).alias("ambiguous"),
     )
 
 
-def concepts(vocabulary: Vocabulary | None = None) -> DataFrame:
+def parse(text: str, vocabulary: Vocabulary, current_year: int | None = None) -> Spec:
+    """What one sentence asks for (see ``parse_requests``)."""
+    row = parse_requests(SparkSession.active().createDataFrame([(text,)], "text string"), vocabulary, "text", current_year).first()
+    return Spec(text, row.language, tuple(row.concepts), tuple(row.geographies), row.start, row.end, row.frequency, tuple(row.providers), row["shape"], tuple(row.formats), tuple(row.ambiguous))
+
+
+def concepts(words: Vocabulary) -> DataFrame:
     """(key, language, name, place) of every name of every concept."""
-    words = vocabulary or standard()
-    rows = [(k, g, n, i) for k, by_language in words.concepts.items() for g, names in zip(("en", "fr", "ar"), by_language, strict=False) for i, n in enumerate(names)]
+    rows = [(k, g, n, i) for k, by_language in words.concepts.items() for g, names in zip(LANGUAGES, by_language, strict=False) for i, n in enumerate(names)]
     return SparkSession.active().createDataFrame(rows, "key string, language string, name string, place int")
 
 
-def geographies(vocabulary: Vocabulary | None = None) -> DataFrame:
+def geographies(words: Vocabulary) -> DataFrame:
     """(code, kind, names, members): countries, which are their own members, and regions."""
-    words = vocabulary or standard()
     rows = [(k, "country", list(names), [k]) for k, names in words.countries.items()] + [(k, "region", list(names), list(members)) for k, (names, members) in words.regions.items()]
     return SparkSession.active().createDataFrame(rows, "code string, kind string, names array<string>, members array<string>")
 
@@ -219,14 +257,14 @@ def _finish(parts: list[tuple[dict, DataFrame]], spec: Spec, failures: list[dict
     return {"spec": spec, "dataset": made, "issues": issues, "verdict": verdict(issues), "failures": failures, "warning": None}
 
 
-def instant(text: str, resolve: Callable[[str, Spec], list[dict]], fetch: Callable[[dict, Spec], DataFrame], current_year: int | None = None, vocabulary: Vocabulary | None = None) -> dict:
+def instant(text: str, resolve: Callable[[str, Spec], list[dict]], fetch: Callable[[dict, Spec], DataFrame], vocabulary: Vocabulary, current_year: int | None = None) -> dict:
     """Sentence to dataset: parse, resolve each concept, fetch the first series that works, build, validate.
 
     ``resolve`` ranks series for a concept; ``fetch`` gives a series' observations or raises. Each is run
     by a small action of its own, so errors in its data are its own too. What could not be had is
     reported under ``failures`` and never made up.
     """
-    spec = parse(text, current_year, vocabulary)
+    spec = parse(text, vocabulary, current_year)
     if not spec.concepts or not spec.geographies:
         return {"spec": spec, "dataset": None, "failures": [], "warning": "no concept" if not spec.concepts else "no geography"}
     parts, failures = [], []

@@ -1,17 +1,19 @@
-"""Names that requests use, as data: a vocabulary is read from JSON or YAML and passed as a parameter.
+"""Names that requests use, as data: a vocabulary is read from JSON or YAML, or made from tables, and passed as a parameter.
 
-``vocabulary.json`` beside this module is a small selection of concepts, countries and regions in
-English, French and Arabic, made of public names and ISO 3166 codes; it serves examples and tests, and
-requests over more take a vocabulary of their own. Fixed values only, no logic.
+None is built in: which concepts, countries and regions there are is the caller's to say.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import cache
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LANGUAGES = ("en", "fr", "ar")
+
 
 @dataclass(frozen=True, eq=False)
 class Vocabulary:
@@ -45,11 +47,23 @@ def load(path: str) -> Vocabulary:
     Concepts are ``{key: [[english], [french], [arabic]]}`` or ``{key: {en: [...], fr: [...], ar: [...]}}``.
     """
     raw = read_table(path)
-    concepts = {k: ([v.get(g, []) for g in ("en", "fr", "ar")] if isinstance(v, dict) else v) for k, v in raw.get("concepts", {}).items()}
+    concepts = {k: ([v.get(g, []) for g in LANGUAGES] if isinstance(v, dict) else v) for k, v in raw.get("concepts", {}).items()}
     named = {n: raw.get(n, {}) for n in ("countries", "regions", "frequencies", "providers", "formats")}
     return Vocabulary(concepts, **named, long_shape=raw.get("long_shape", []), ambiguous=raw.get("ambiguous", []))
 
 
-@cache
-def standard() -> Vocabulary:
-    return load(str(Path(__file__).with_name("vocabulary.json")))
+def from_tables(concepts: DataFrame, countries: DataFrame, regions: DataFrame, **other) -> Vocabulary:
+    """A vocabulary from tables ``concepts(key, language, name)``, ``countries(code, name)`` and ``regions(code, name, member)``.
+
+    Names stand in the order of the texts; vocabularies are collected, as each request is read against all of one.
+    ``other`` holds the remaining fields.
+    """
+    named, places, areas = {}, {}, {}
+    for r in concepts.distinct().orderBy("key", "language", "name").collect():
+        named.setdefault(r.key, [[], [], []])[LANGUAGES.index(r.language)].append(r.name)
+    for r in countries.distinct().orderBy("code", "name").collect():
+        places.setdefault(r.code, []).append(r.name)
+    for r in regions.groupBy("code").agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("member")).alias("members")).orderBy("code").collect():
+        areas[r.code] = (r.names, r.members)
+    rest = {"frequencies": {}, "providers": {}, "formats": {}, "long_shape": [], "ambiguous": []} | other
+    return Vocabulary(named, places, areas, **rest)
