@@ -77,6 +77,26 @@ def round_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
+def round_binary(value: Column, digits: int) -> Column:
+    """The double nearest to the value's exact binary number rounded half-even at ``digits`` places (0 to 22).
+
+    The product with the power of ten is held as a rounded part and its exact error (both factors split in
+    halves), so a product that only looks like a tie goes the way of its error. Sizes without places stay.
+    """
+    power, split = 10.0**digits, 134217729.0
+    high = (b := split * power) - (b - power)
+    low = power - high
+    x = value.cast("double")
+    p = x * power
+    c = x * split
+    xh = c - (c - x)
+    xl = x - xh
+    error = ((xh * high - p) + xh * low + xl * high) + xl * low
+    tie = p - F.floor(p) == 0.5
+    whole = F.when(tie & (error > 0), F.floor(p) + 1).when(tie & (error < 0), F.floor(p)).otherwise(F.rint(p))
+    return F.when(F.isnan(x) | (F.abs(x) >= 2.0**53 / power), x).otherwise(whole / power)
+
+
 def guard_formula(text: Column) -> Column:
     """A leading quote before texts that a spreadsheet would run."""
     return F.when(F.ltrim(text).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)

@@ -396,11 +396,23 @@ def title_match(a: Column, b: Column) -> Column:
 
 
 def permuted_titles(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
-    """Pairs of titles (key, tokens) that differ by at most one token of a multiset, in any order."""
-    count = lambda t, n: t.select(F.col(key).alias(n), F.size("tokens").alias(f"{n}_n"), F.explode("tokens").alias("token")).groupBy(n, f"{n}_n", "token").agg(F.count(F.lit(1)).alias(f"{n}_c"))
-    both = count(a, "left").join(count(b, "right"), "token").groupBy("left", "right", "left_n", "right_n").agg(F.sum(F.least("left_c", "right_c")).alias("common"))
-    n = F.greatest("left_n", "right_n")
-    return both.filter((F.least("left_n", "right_n") >= 5) & (F.abs(F.col("left_n") - F.col("right_n")) <= 1) & (n - F.col("common") <= 1) & (F.col("common") / F.least("left_n", "right_n") >= 0.92))
+    """(left, right): titles (key, tokens) that differ by at most one token of a multiset, in any order.
+
+    Sizes of five and more that differ by one at most and share all but one token share one of the two rarest
+    tokens of each (the n-th time a token comes counts as a token of its own), so only those are joined, and a
+    word that every title has pairs nothing. What is joined is compared whole.
+    """
+    numbered = F.expr("transform(array_sort(tokens), (t, i) -> concat(t, '\u0001', i + 1 - array_position(array_sort(tokens), t)))")
+    each = lambda t, side: t.filter("size(tokens) >= 5").select(F.col(key).alias("id"), F.lit(side).alias("side"), numbered.alias("e"))
+    both = each(a, 0).unionByName(each(b, 1))
+    tokens_ = both.select("side", "id", "e", F.explode("e").alias("t"))
+    often = tokens_.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    rare = tokens_.join(often, "t").withColumn("place", F.row_number().over(Window.partitionBy("side", "id", "e").orderBy("n", "t"))).filter("place <= 2")
+    left = rare.filter("side = 0").select("t", F.col("id").alias("left"), F.col("e").alias("l"))
+    right = rare.filter("side = 1").select("t", F.col("id").alias("right"), F.col("e").alias("r"))
+    common, small, large = F.size(F.array_intersect("l", "r")), F.least(F.size("l"), F.size("r")), F.greatest(F.size("l"), F.size("r"))
+    near = left.join(right, "t").filter((large - small <= 1) & (large - common <= 1) & (common / small >= 0.92))
+    return near.select("left", "right").distinct()
 
 
 def ranking_quality(results: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

@@ -430,6 +430,13 @@ def vocabulary_lists(spark, sf):
     return rows.groupBy("kind").agg(F.count_distinct("key").alias("n"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, format('{:.2f}', l_extendedprice * l_discount / 7)::DOUBLE AS two, format('{:.1f}', l_quantity / 8)::DOUBLE AS one, format('{:.3f}', l_tax / 16)::DOUBLE AS three FROM lineitem""")
+def binary_rounding(spark, sf):
+    """Half-even rounding of the doubles themselves, ties (eighths, sixteenths) among them."""
+    r = values.round_binary
+    return tables.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r(F.col("l_extendedprice") * F.col("l_discount") / 7, 2).alias("two"), r(F.col("l_quantity") / 8, 1).alias("one"), r(F.col("l_tax") / 16, 3).alias("three"))
+
+
 def _selection(spark: SparkSession, sf: str, names: list[str]) -> dict:
     """A dataset of picked series, one of which is not there."""
     o = tables.observations(spark, sf)

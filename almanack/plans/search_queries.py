@@ -224,6 +224,17 @@ def permuted_titles(spark, sf):
     return near.select("left", "right")
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, string_split('series of ' || p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) || ' in size ' || p_size % 5, ' ') AS t FROM part),
+ e AS (SELECT id, len(t) AS n, unnest(t) AS w FROM p), m AS (SELECT id, n, w, count(*) AS c FROM e GROUP BY ALL),
+ j AS (SELECT a.id AS l, b.id AS r, a.n AS x, b.n AS y, sum(least(a.c, b.c)) AS common FROM m a JOIN m b USING (w) GROUP BY ALL)
+ SELECT l AS "left", r AS "right" FROM j WHERE l < r AND abs(x - y) <= 1 AND greatest(x, y) - common <= 1 AND common / least(x, y)::DOUBLE >= 0.92""")
+def permuted_part_titles(spark, sf):
+    """Titles of parts, each with the same four words besides its own, and turned round on one side."""
+    words = F.concat(F.lit("series of "), "p_name", F.lit(" "), F.lower("p_type"), F.lit(" "), F.lower("p_brand"), F.lit(" in size "), (F.col("p_size") % 5).cast("string"))
+    d = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.split(words, " ").alias("tokens"))
+    return search.permuted_titles(d, d.withColumn("tokens", F.reverse("tokens"))).filter("left < right")
+
+
 @query("""SELECT count(*)::BIGINT AS series, count(DISTINCT source)::BIGINT AS providers, max(TIMESTAMP '2024-01-01' + INTERVAL (doc_id % 90) DAY)::TIMESTAMP AS latest, count(*) FILTER (WHERE doc_id % 90 >= 60)::BIGINT AS recent,
  CASE WHEN count(*) >= 1000000 THEN '1M' WHEN count(*) >= 500000 THEN '500k' WHEN count(*) >= 331000 THEN '331k' ELSE 'below' END AS milestone FROM documents""")
 def catalogue_stats(spark, sf):

@@ -20,6 +20,7 @@ from almanack.functions.values import numeric_parse, sanitise
 from almanack.operators import cube
 from almanack.operators.dataset import union_all
 from almanack.operators.derive import best_slice
+from almanack.sources import landing
 
 _NAMES = ("provider", "series_id", "geography", "iso3", "period", "value", "unit", "frequency", "status")
 
@@ -281,20 +282,16 @@ def bulk_catalogue(spark: SparkSession, files: dict[str, str]) -> tuple[DataFram
 def fetch_all(jobs: list[tuple[str, Callable[[], DataFrame]]], apart: bool = False, land: str | None = None) -> tuple[DataFrame | list[DataFrame | None] | None, list[dict]]:
     """(name, function returning a DataFrame) in order: the union of those that work (or each ``apart``), and a log of all.
 
-    Plans are lazy, so each source is run by an action of its own: with ``land``, a folder that the cluster
-    shares, it is written there and read back, and whatever fails in it is its own failure; otherwise its
-    first row is read, which finds missing and malformed payloads but not damage further on.
+    Plans are lazy, so each source is run by an action of its own: it is written whole to ``land``, or else to a new
+    folder that the cluster shares, and read back, so whatever fails in it is its own failure.
     """
     log, parts = [], []
     for n, (name, job) in enumerate(jobs):
         try:
             part = job()
-            if land:
-                part.write.mode("overwrite").parquet(f"{land}/{n:05d}")
-                part = part.sparkSession.read.schema(part.schema).parquet(f"{land}/{n:05d}")
-            else:
-                part.limit(1).collect()
-            parts.append(part)
+            path = f"{land}/{n:05d}" if land else landing.folder(part.sparkSession, "fetched")
+            part.write.mode("overwrite").parquet(path)
+            parts.append(part.sparkSession.read.schema(part.schema).parquet(path))
             log.append({"source": name, "ok": True, "error": None})
         except Exception as e:  # noqa: BLE001  one source must not stop the others
             parts.append(None)

@@ -86,8 +86,8 @@ def to_stata(df: DataFrame, path: str, labels: dict[str, str] | None = None) ->
 
 
 def to_excel(sheets: dict[str, DataFrame], path: str) -> None:
-    """One sheet for each table; the format's own bound of rows cuts a sheet, which then says so."""
-    tables = {n: df.limit(workbook.SHEET_ROWS + 1).toArrow() for n, df in sheets.items()}
+    """One sheet for each table, and further ones for what a sheet does not hold."""
+    tables = {n: _whole(df) for n, df in sheets.items()}
     workbook.write(path, {n: (t.column_names, [tuple(r.values()) for r in t.to_pylist()]) for n, t in tables.items()})
 
 

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-#: Rows of a sheet; what is beyond is cut, as the format holds no more, and the sheet says so.
+#: Rows of a sheet; what is beyond goes on in further sheets, as the format holds little more.
 SHEET_ROWS = 1_000_000
 #: Number formats by the largest magnitude of a column, and their places in the style table.
 FORMATS = ((1_000_000, "#,##0"), (1_000, "#,##0.0"), (1, "#,##0.00"), (0, "0.0000"))
@@ -52,9 +52,11 @@ def _cells(columns: list[str], rows: list[tuple]) -> Iterator[str]:
 
 
 def write(path: str, sheets: dict[str, tuple[list[str], list[tuple]]]) -> None:
-    """``{name: (columns, rows)}``: numbers formatted by magnitude, gaps highlighted, long sheets cut and marked."""
+    """``{name: (columns, rows)}``: numbers formatted by magnitude, gaps highlighted; long tables go on in further sheets."""
+    parts_of = lambda n, rows: [(n, rows[a : a + SHEET_ROWS]) for a in range(0, max(len(rows), 1), SHEET_ROWS)]
+    split = [(n, columns, some) for name, (columns, rows) in sheets.items() for n, some in parts_of(name, rows)]
     used: set[str] = set()
-    names = [sheet_name(n, used) for n in sheets]
+    names = [sheet_name(n, used) for n, _, _ in split]
     formats = "".join(f'<numFmt numFmtId="{163 + i}" formatCode="{f}"/>' for i, (_, f) in enumerate(FORMATS, 1))
     xfs = '<xf numFmtId="0" fillId="0"/>' + "".join(f'<xf numFmtId="{163 + i}" fillId="0" applyNumberFormat="1"/>' for i in range(1, BLANK)) + '<xf numFmtId="0" fillId="2" applyFill="1"/>'
     fills = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFE699"/></patternFill></fill>'
@@ -68,12 +70,9 @@ def write(path: str, sheets: dict[str, tuple[list[str], list[tuple]]]) -> None:
         z.writestr("xl/workbook.xml", f'<workbook {_NS} xmlns:r="{kinds}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}<Relationship Id="rId0" Type="{kinds}/styles" Target="styles.xml"/></Relationships>')
         z.writestr("xl/styles.xml", styles)
-        for i, (columns, rows) in enumerate(sheets.values(), 1):
-            cut = rows[:SHEET_ROWS]
+        for i, (_, columns, rows) in enumerate(split, 1):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
                 out.write(f"<worksheet {_NS}><sheetData>".encode())
-                for row in _cells(columns, cut):
+                for row in _cells(columns, rows):
                     out.write(row.encode())
-                if len(rows) > SHEET_ROWS:
-                    out.write(f'<row><c t="inlineStr"><is><t>cut after {SHEET_ROWS} rows</t></is></c></row>'.encode())
                 out.write(b"</sheetData></worksheet>")
