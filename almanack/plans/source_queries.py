@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almanack.plans.registry import query
 from almanack.sources import driver_tables as tables
-from almanack.sources import readers, sinks
+from almanack.sources import connector, readers, sinks
 from almanack.sources.landing import folder, land
 
 ANNUAL = """WITH a AS (SELECT n_name AS nation, 'N' || n_nationkey AS code, n_regionkey AS region, strftime(o_orderdate, '%Y') AS year, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value
@@ -52,6 +52,40 @@ def source_world_bank(spark, sf):
     return _brief(readers.world_bank(spark, land(pages, F.concat(F.lit('[{"page":1,"pages":5},'), F.to_json("p"), F.lit("]")).alias("value"), "wb")), "frequency")
 
 
+def _pages(spark: SparkSession, sf: str) -> str:
+    """Landed pages of a batch answer, a page a region, and a payload that no connector can read."""
+    point = [F.struct(F.lit("TOT").alias("id")).alias("indicator"), F.struct(F.col("nation").alias("value")).alias("country"), F.col("code").alias("countryiso3code"), F.col("year").alias("date"), "value"]
+    pages = annual(spark, sf).groupBy("region").agg(_all(*point).alias("p")).select(F.concat(F.lit('[{"page":1},'), F.to_json("p"), F.lit("]")).alias("value"))
+    return land(pages.unionByName(spark.createDataFrame([("<html>busy</html>",)], "value string")), "value", "pages")
+
+
+@query(ANNUAL + f" {_SERIES} FROM a")
+def connector_table(spark, sf):
+    """The pages through the data source: a partition for each payload, the damaged one in the log."""
+    connector.register(spark)
+    return _brief(spark.read.format("almanack").options(path=_pages(spark, sf), connector="world_bank", log=folder(spark, "failures")).load())
+
+
+@query(ANNUAL + f" {_SERIES} FROM a")
+def connector_stream(spark, sf):
+    """The same pages as a stream, up to what there is now."""
+    connector.register(spark)
+    at = folder(spark, "stream")
+    rows = spark.readStream.format("almanack").options(path=_pages(spark, sf), connector="world_bank", log=f"{at}/failures").load()
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return _brief(spark.read.parquet(f"{at}/rows"))
+
+
+@query(ANNUAL + " SELECT 'A.TOT' AS series_id, code AS geography, code AS iso3, year AS period, value FROM a")
+def connector_csv(spark, sf):
+    """Tables of comma-separated values, one a region."""
+    connector.register(spark)
+    line = F.concat_ws(",", F.lit("A"), F.lit("TOT"), "code", "year", F.col("value").cast("string"), F.lit("usd"))
+    text = F.concat(F.lit("FREQ,INDICATOR,REF_AREA,TIME_PERIOD,OBS_VALUE,UNIT_MEASURE\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"))
+    at = land(annual(spark, sf).groupBy("region").agg(text.alias("value")).select("value"), "value", "csv")
+    return _brief(spark.read.format("almanack").options(path=at, connector="sdmx_csv").load())
+
+
 @query(ANNUAL + f" {_SERIES} FROM a")
 def source_world_bank_ladder(spark, sf):
     """A batch answer without some regions, completed country by country, and never twice."""

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,12 +210,6 @@ def points(rows: DataFrame, provider: str) -> DataFrame:
     return canonical(flat, provider, series_id=F.coalesce("seriesId", "indicator"), geography="country", period="d.date", value="d.value", unit="unit", frequency="frequency")
 
 
-class Source(Protocol):
-    """What every connector is: landed payloads in, canonical observations out."""
-
-    def __call__(self, spark: SparkSession, path: str, **parameters: object) -> DataFrame: ...
-
-
 def ladder(first: DataFrame, more: DataFrame, key: str = "iso3") -> DataFrame:
     """A batch answer, completed by a finer one for the keys that the batch lacks altogether."""
     return first.unionByName(more.join(first.select(key).distinct(), key, "left_anti").select(first.columns))
