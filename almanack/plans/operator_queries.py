@@ -641,14 +641,15 @@ def breaker_stream(spark, sf):
 
 @query("SELECT conv_id, count(*)::BIGINT AS turns, count(*) FILTER (WHERE role = 'user')::BIGINT AS user_turns, arg_max(role, turn) AS last_role, sum(length(coalesce(text, '')))::BIGINT AS chars FROM conversations GROUP BY conv_id")
 def conversation_stream(spark, sf):
-    """The fold of every conversation, kept as state while its turns arrive."""
+    """The fold of every conversation, kept as state while its turns arrive; the stream is stopped and started between them."""
+    spark.conf.set(*streams.STATE_STORE)
     root = landing.folder(spark, "turns")
     turns = tables.read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    kept = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out")
     for part in ("turn % 2 = 0", "turn % 2 = 1"):
         turns.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    out = streams.fold_stream(streams.watch(spark, f"{root}/in", turns.schema, files=1)).writeStream.outputMode("update").option("checkpointLocation", f"{root}/c")
-    kept = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out")
-    out.foreachBatch(kept).trigger(availableNow=True).start().awaitTermination()
+        out = streams.fold_stream(streams.watch(spark, f"{root}/in", turns.schema, files=1)).writeStream.outputMode("update").option("checkpointLocation", f"{root}/c")
+        out.foreachBatch(kept).trigger(availableNow=True).start().awaitTermination()
     w = Window.partitionBy("conv_id").orderBy(F.desc("batch"))
     return spark.read.parquet(f"{root}/out").withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "batch")
 

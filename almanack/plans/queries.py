@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.functions import periods, text, values
-from almanack.operators import cube, dataset, derive, describe, diff, geography, missing, outliers, search, survey_stats, validate
+from almanack.operators import cube, dataset, derive, describe, diff, geography, missing, outliers, search, survey_stats, validate, versions
 from almanack.plans.registry import query
 from almanack.sources import driver_tables as tables
-from almanack.sources import sinks
+from almanack.sources import landing, sinks
 from almanack.streaming import streams
 
 OBS = """
@@ -296,6 +296,25 @@ def version_diff_rows(spark, sf):
     return diff.changes(*_two_versions(spark, sf))
 
 
+@query(_VERSIONS + " SELECT 'orders' AS provider, series_id, geo_key, period, old, new, change FROM j WHERE change IS NOT NULL")
+def version_diff_stored(spark, sf):
+    """The same from two stored versions, by the ranges whose digests differ."""
+    path = landing.folder(spark, "versions")
+    for n, rows in enumerate(_two_versions(spark, sf)):
+        versions.write_version(rows, path, n, n - 1 if n else None)
+    return versions.changes(spark, path, 0, 1)
+
+
+@query(OBS + " SELECT series_id, geography, period, value, CASE WHEN series_id = 'BUILDING' AND period LIKE '1996-0%' THEN 1 ELSE 0 END AS changed FROM obs")
+def version_held(spark, sf):
+    """A version of which a few months differ, read back from what both versions hold."""
+    path, rows = landing.folder(spark, "versions"), tables.observations(spark, sf).withColumn("changed", F.lit(0))
+    later = F.when((F.col("series_id") == "BUILDING") & F.col("period").startswith("1996-0"), 1).otherwise(0)
+    versions.write_version(rows, path, 0)
+    versions.write_version(rows.withColumn("changed", later), path, 1, 0)
+    return versions.read_version(spark, path, 1).select("series_id", "geography", "period", "value", "changed")
+
+
 @query("""WITH f AS (SELECT n.n_name, max(CASE WHEN c.c_nationkey IS NOT NULL THEN 1 END) AS hit FROM nation n LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9990) c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name)
  SELECT count(*)::BIGINT AS requested, count(hit)::BIGINT AS covered, count(hit)::DOUBLE / count(*) AS ratio, coalesce(string_agg(n_name, ',' ORDER BY n_name) FILTER (WHERE hit IS NULL), '') AS missing FROM f""")
 def geo_coverage(spark, sf):

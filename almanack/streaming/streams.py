@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from almanack.operators.diff import change_counts
 
@@ -61,20 +62,46 @@ def fold_batch(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.max_by("role", order).alias("last_role"), F.sum(F.length(F.coalesce("text", F.lit("")))).cast("long").alias("chars"))
 
 
-def fold_stream(turns: DataFrame) -> DataFrame:
-    """The same state, kept for each conversation while turns arrive."""
+class Conversation(StatefulProcessor):
+    """A conversation's state as one typed value, and a timer that clears it when no turn came for ``quiet_ms``."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, users, chars, at, last = state.get if state.exists else (0, 0, 0, -1, "")
-        for p in parts:
+    def __init__(self, quiet_ms: int | None) -> None:
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("conversation", "turns long, users long, chars long, at long, last string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        n, users, chars, at, last = self.state.get() or (0, 0, 0, -1, "")
+        for p in rows:
             n, users, chars = n + len(p), users + int((p["role"] == "user").sum()), chars + int(p["text"].fillna("").str.len().sum())
             top = p.sort_values(["turn", "role"]).iloc[-1]
             if int(top["turn"]) >= at:
                 at, last = int(top["turn"]), str(top["role"])
-        state.update((n, users, chars, at, last))
+        self.state.update((n, users, chars, at, last))
+        if self.quiet_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [n], "user_turns": [users], "last_role": [last], "chars": [chars]})
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, _TURNS, "n long, users long, chars long, at long, last string", "update", "NoTimeout")
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+#: Where the state of ``fold_stream`` has to be kept; set it on the session before the stream starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def fold_stream(turns: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+    """The same state, kept for each conversation while turns arrive; after ``quiet_ms`` without one it starts anew (None: never)."""
+    mode = "none" if quiet_ms is None else "processingTime"
+    return turns.groupBy("conv_id").transformWithStateInPandas(Conversation(quiet_ms), _TURNS, "Update", mode)
 
 
 def breaker(calls: DataFrame, failures: int = 5, within: int = 300) -> DataFrame:

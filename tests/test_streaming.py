@@ -1,3 +1,5 @@
+import time
+
 from almanack import schema
 from almanack.streaming import streams
 
@@ -26,9 +28,40 @@ def test_windows_agree_with_batch(spark, tmp_path):
         assert spark.table(f"q{n}").count() == rows
 
 
-def test_fold_stream_agrees_with_batch(spark, tmp_path):
-    turns = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", None), (2, 0, "user", "xyz")], "conv_id long, turn long, role string, text string")
-    turns.write.parquet(str(tmp_path / "t"))
-    plan = streams.fold_stream(streams.watch(spark, str(tmp_path / "t"), turns.schema))
-    plan.writeStream.format("memory").queryName("fold").outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(map(tuple, spark.table("fold").collect())) == sorted(map(tuple, streams.fold_batch(turns).collect()))
+def test_fold_stream_agrees_with_batch_over_a_restart(spark, tmp_path):
+    spark.conf.set(*streams.STATE_STORE)
+    turns = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", None), (2, 0, "user", "xyz"), (1, 2, "user", "c"), (3, 0, "tool", "t")], "conv_id long, turn long, role string, text string")
+    last = {}
+
+    def arrive(rows, **how):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+        plan = streams.fold_stream(streams.watch(spark, str(tmp_path / "t"), turns.schema), **how)
+        keep = lambda batch, n: last.update({r.conv_id: tuple(r) for r in batch.collect()})
+        plan.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    arrive(turns.filter("turn < 1"))
+    arrive(turns.filter("turn >= 1"))
+    assert sorted(last.values()) == sorted(map(tuple, streams.fold_batch(turns).collect()))
+
+
+def test_a_quiet_conversation_starts_anew(spark, tmp_path):
+    spark.conf.set(*streams.STATE_STORE)
+    schema = "conv_id long, turn long, role string, text string"
+    seen = []
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+        count, until = len(seen), time.monotonic() + 60
+        while len(seen) == count and time.monotonic() < until:
+            time.sleep(0.2)
+
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "t"))
+    plan = streams.fold_stream(streams.watch(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema), quiet_ms=3000)
+    query = plan.writeStream.foreachBatch(lambda b, n: seen.extend((r.conv_id, r.turns) for r in b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        arrive((1, 0, "user", "a"))
+        time.sleep(6)  # the timer goes off in a batch without rows
+        arrive((1, 1, "user", "b"))
+    finally:
+        query.stop()
+    assert seen == [(1, 1), (1, 1)]
