@@ -180,9 +180,9 @@ def test_workbooks(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("a<b", 1_500_000.0, None), (None, float("nan"), True), ("c", 2.0, False), ("d", 3.0, None)], "s string, v double, b boolean").coalesce(1)
     sinks.to_excel({"x/y": df, "X_y": df.limit(0)}, str(tmp_path / "w.xlsx"))
     with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
-        sheet, book = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/workbook.xml").decode()
-    assert "a&lt;b" in sheet and "cut after 3 rows" in sheet and sheet.count("<row>") == 5
-    assert 'name="x_y"' in book and 'name="X_y_2"' in book
+        sheet, more, book = (z.read(f"xl/{n}.xml").decode() for n in ("worksheets/sheet1", "worksheets/sheet2", "workbook"))
+    assert "a&lt;b" in sheet and sheet.count("<row>") == 4 and more.count("<row>") == 2 and ">d<" in more
+    assert 'name="x_y"' in book and 'name="x_y_2"' in book and 'name="X_y_3"' in book
 
 
 def test_a_broken_source_is_its_own_failure(spark, tmp_path):
