@@ -1,10 +1,10 @@
-"""Exports. Tables are written by executors; documents for people are written by the driver, within stated bounds."""
+"""Exports. Tables, and the parts of large documents, are written by executors; Stata files and reports by the driver, within stated bounds."""
 
 from __future__ import annotations
 
-import hashlib
+import csv
+import io
 import json
-import zipfile
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanack.functions.values import guard_formula
-from almanack.sources import workbook
+from almanack.sources import documents, workbook
 
-#: Rows that a document for people may hold; a larger table is an error there, and goes to Parquet or CSV.
+#: Rows that a document made by the driver may hold; a larger table is an error there, and goes to another format.
 DOCUMENT_ROWS = 5_000_000
 
 
@@ -37,19 +37,18 @@ def _whole(df: DataFrame, limit: int | None = None) -> pa.Table:
     limit = DOCUMENT_ROWS if limit is None else limit
     table = df.limit(limit + 1).toArrow()
     if table.num_rows > limit:
-        raise ValueError(f"over {limit} rows are too many for one document; write Parquet or CSV instead")
+        raise ValueError(f"over {limit} rows are too many for this format; write another one instead")
     return table
 
 
 def to_json(df: DataFrame, path: str, variables: list[dict], transformations: list[dict]) -> None:
-    """Rows and provenance in one document, rows one at a time."""
+    """Rows and provenance in one document of any size."""
     head = json.dumps({"variables": variables, "transformations": transformations}, default=str, ensure_ascii=False)
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(head[:-1] + ', "data": [')
-        for batch, rows in enumerate(_whole(df).to_batches()):
-            text = ",\n".join(json.dumps(r, default=str, ensure_ascii=False) for r in rows.to_pylist())
-            out.write((",\n" if batch and text else "") + text)
-        out.write("]}")
+    rows = documents.json_parts(df)
+    with documents.Document(df.sparkSession, path) as out:
+        out.text(head[:-1] + ', "data": [')
+        out.parts(rows, skip=1)  # the comma before the first row
+        out.text("]}")
 
 
 def to_json_lines(df: DataFrame, path: str) -> None:
@@ -58,9 +57,8 @@ def to_json_lines(df: DataFrame, path: str) -> None:
 
 
 def to_feather(df: DataFrame, path: str) -> None:
-    from pyarrow import feather
-
-    feather.write_feather(_whole(df), path)
+    """An Arrow file of any number of rows on the driver's disk, which holds one part's batches at a time."""
+    documents.write_arrow(df, path)
 
 
 def stata_names(columns: list[str]) -> dict[str, str]:
@@ -86,9 +84,23 @@ def to_stata(df: DataFrame, path: str, labels: dict[str, str] | None = None) ->
 
 
 def to_excel(sheets: dict[str, DataFrame], path: str) -> None:
-    """One sheet for each table, and further ones for what a sheet does not hold."""
-    tables = {n: _whole(df) for n, df in sheets.items()}
-    workbook.write(path, {n: (t.column_names, [tuple(r.values()) for r in t.to_pylist()]) for n, t in tables.items()})
+    """One sheet for each table, and further ones for what a sheet does not hold; executors write the rows."""
+    pages = []
+    for name, df in sheets.items():
+        folder, n = documents.numbered_parts(workbook.rows(df), workbook.SHEET_ROWS, "sheet")
+        pages += [(name, workbook.header(df.columns), f"{folder}/page={i}") for i in range(max(n, 1))]
+    spark = next(iter(sheets.values())).sparkSession
+    with documents.Document(spark, path, zipped=True) as out:
+        for name, text in workbook.package([name for name, _, _ in pages]).items():
+            out.entry(name, lambda text=text: out.text(text))
+        for i, (_, first, folder) in enumerate(pages, 1):
+
+            def sheet(first: str = first, folder: str = folder) -> None:
+                out.text(workbook.OPEN + first)
+                out.parts(folder)
+                out.text(workbook.CLOSE)
+
+            out.entry(f"xl/worksheets/sheet{i}.xml", sheet)
 
 
 def html_report(title: str, series: dict[str, list[tuple[str, float | None]]], coverage: list[tuple[str, str, float]], path: str) -> None:
@@ -115,12 +127,18 @@ def html_report(title: str, series: dict[str, list[tuple[str, float | None]]], c
 
 
 def bundle(path: str, data: DataFrame, recipe_text: str, sources: list[dict], transformations: list[dict], readme: str) -> None:
-    """A research bundle: data, metadata, sources, transformations, recipe, read-me, and their digests."""
-    parts = {"data.csv": _whole(data).to_pandas().to_csv(index=False), "metadata.json": json.dumps(data.dtypes), "sources.json": json.dumps(sources, default=str), "transformations.json": json.dumps(transformations, default=str), "recipe.yaml": recipe_text, "README.md": readme}
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in parts.items():
-            z.writestr(name, body)
-        z.writestr("SHA256SUMS", "".join(f"{hashlib.sha256(b.encode()).hexdigest()}  {n}\n" for n, b in parts.items()))
+    """A research bundle of any size: data, metadata, sources, transformations, recipe, read-me, and their digests."""
+    parts = {"metadata.json": json.dumps(data.dtypes), "sources.json": json.dumps(sources, default=str), "transformations.json": json.dumps(transformations, default=str), "recipe.yaml": recipe_text, "README.md": readme}
+    rows, names = documents.csv_parts(data), io.StringIO()
+    csv.writer(names, lineterminator="\n").writerow(data.columns)
+    with documents.Document(data.sparkSession, path, zipped=True) as out:
+
+        def table() -> None:
+            out.text(names.getvalue())
+            out.parts(rows)
+
+        sums = {"data.csv": out.entry("data.csv", table)} | {n: out.entry(n, lambda body=body: out.text(body)) for n, body in parts.items()}
+        out.entry("SHA256SUMS", lambda: out.text("".join(f"{digest}  {n}\n" for n, digest in sums.items())))
 
 
 def align_series(series: DataFrame, names: list[str], date: str = "date", name: str = "series", value: str = "value", seq: str = "seq") -> DataFrame:

@@ -145,6 +145,19 @@ def _advance(memory: tuple[str, int, int, list[int]], seconds: int, ok: bool, ru
     return state, since, good, bad
 
 
+def _follow(batches: Iterator[pd.DataFrame], rule: Breaker) -> Iterator[pd.DataFrame]:
+    """The states of sorted calls; what a circuit remembers goes on from batch to batch."""
+    of, memory = object(), ("closed", 0, 0, [])
+    for batch in batches:
+        states = []
+        for provider, seconds, ok in batch[["provider", "seconds", "ok"]].itertuples(index=False):
+            if provider != of:
+                of, memory = provider, ("closed", 0, 0, [])
+            memory = _advance(memory, int(seconds), bool(ok), rule)
+            states.append(memory[0])
+        yield batch.assign(state=states)
+
+
 def breaker_states(calls: DataFrame, rule: Breaker = Breaker(), timers: bool = True) -> DataFrame:
     """The state of a provider's circuit after each call (closed, open, half_open), as calls stream in.
 
@@ -163,7 +176,8 @@ def breaker_states(calls: DataFrame, rule: Breaker = Breaker(), timers: bool = T
 
     base = calls.select("provider", F.col("seconds").cast("long"), "ok")
     if not calls.isStreaming:
-        return base.groupBy("provider").applyInPandas(lambda key, rows: run(key[0], rows, ("closed", 0, 0, []))[0], _STATES)
+        # In order, a batch at a time: a provider with most of the calls is one task, and never one frame.
+        return base.repartition("provider").sortWithinPartitions("provider", "seconds", "ok").mapInPandas(lambda batches: _follow(batches, rule), _STATES)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         memory = state.get if state.exists else ("closed", 0, 0, [])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions.values import round_binary
 from almanack.operators import search
-from almanack.sources import readers, workbook
+from almanack.sources import readers, sinks, workbook
 
 
 def test_permuted_titles_agree_with_all_pairs(spark):
@@ -50,9 +50,9 @@ def test_rounding_of_a_million_doubles(spark, digits):
     assert got.r[~finite].astype(str).tolist() == got.x[~finite].astype(str).tolist()
 
 
-def test_long_tables_go_on_in_further_sheets(tmp_path, monkeypatch):
+def test_long_tables_go_on_in_further_sheets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(workbook, "SHEET_ROWS", 3)
-    workbook.write(str(tmp_path / "a.xlsx"), {"Data": (["a"], [(i,) for i in range(8)]), "None": (["b"], [])})
+    sinks.to_excel({"Data": spark.range(8).select(F.col("id").alias("a")), "None": spark.range(0).select(F.col("id").alias("b"))}, str(tmp_path / "a.xlsx"))
     with zipfile.ZipFile(tmp_path / "a.xlsx") as z:
         sheets = [z.read(f"xl/worksheets/sheet{i}.xml").decode() for i in range(1, 5)]
         assert 'name="Data_3"' in z.read("xl/workbook.xml").decode()
