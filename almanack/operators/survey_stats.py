@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +46,19 @@ def split(ratio: Column, shares: dict[str, float]) -> Column:
     return F.lit(last) if out is None else out.otherwise(last)
 
 
-def allocate(sizes: dict[str, int], total: int) -> dict[str, int]:
-    """Places for strata: floors of the shares, then the largest remainders, never over a stratum's size."""
-    everything = sum(sizes.values())
+def allocate(strata: DataFrame, by: list[str], size: str, total: int) -> DataFrame:
+    """(by..., places): floors of the strata's shares, then one more for the largest remainders, equal ones from the last key on.
+
+    Remainders are whole numbers, so nothing depends on rounding. Null sizes are 0; no stratum gets more than its size.
+    """
+    n = F.coalesce(F.col(size), F.lit(0)).cast("decimal(19,0)")
+    rows = strata.select(*by, n.alias("_n"))
+    everything = int(rows.agg(F.sum("_n")).first()[0] or 0)  # one number
+    places = min(total, everything)
     if not everything:
-        return dict.fromkeys(sizes, 0)
-    exact = {k: total * n / everything for k, n in sizes.items()}
-    out = {k: min(sizes[k], int(x)) for k, x in exact.items()}
-    while sum(out.values()) < min(total, everything):
-        open_ = [k for k in sizes if out[k] < sizes[k]]
-        best = max(open_, key=lambda k: (exact[k] - out[k], k))
-        out[best] += 1
-    return out
+        return rows.select(*by, F.lit(0).cast("long").alias("places"))
+    dealt = rows.withColumn("_left", F.expr(f"(_n * {places}BD) % {everything}BD")).withColumn("places", F.expr(f"(_n * {places}BD) div {everything}BD"))
+    more = places - int(dealt.agg(F.sum("places")).first()[0])
+    extra = dealt.filter("_left > 0").orderBy(F.desc("_left"), *map(F.desc, by)).limit(more).select(*(F.col(k).alias(f"_of_{k}") for k in by), F.lit(1).alias("_more"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by))
+    return dealt.join(extra, same, "left").select(*by, (F.col("places") + F.coalesce("_more", F.lit(0))).cast("long").alias("places"))

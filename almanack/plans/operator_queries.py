@@ -81,10 +81,12 @@ def profiling_sample(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("rows")).withColumn("sampled", F.lit(sampled))
 
 
-@query(_values("provider, first, last", "'comtrade', '2014', '2024'", "'coingecko', '2024-02-14', '2024-03-15'", "'fred', NULL, NULL"))
+@query("WITH d AS (SELECT DISTINCT o_orderdate::DATE AS today, unnest(['comtrade', 'coingecko', 'fred']) AS provider FROM orders) SELECT provider, today, CASE provider WHEN 'comtrade' THEN (year(today) - 10)::VARCHAR WHEN 'coingecko' THEN (today - 30)::VARCHAR END AS first, CASE provider WHEN 'comtrade' THEN year(today)::VARCHAR WHEN 'coingecko' THEN today::VARCHAR END AS last FROM d")
 def default_windows(spark, sf):
-    rows = [(p, *requests.default_window(p, "2024-03-15")) for p in ("comtrade", "coingecko", "fred")]
-    return spark.createDataFrame(rows, "provider string, first string, last string")
+    """The window of each provider for requests made on each day of an order."""
+    days = tables.read(spark, sf, "orders").select(F.to_date("o_orderdate").alias("today")).distinct()
+    asked = days.withColumn("provider", F.explode(F.array(*map(F.lit, ("comtrade", "coingecko", "fred")))))
+    return asked.select("provider", "today", requests.default_window(F.col("provider"), F.col("today")).alias("w")).select("provider", "today", "w.first", "w.last")
 
 
 # Joins, geography, sets
@@ -180,10 +182,12 @@ def collapsed_growth(spark, sf):
     return derive.collapse_dates(rows, ["o_custkey"], growth=True)
 
 
-@query(_values("design_stratum, places", *[f"'s{i}', {n}" for i, n in enumerate((5, 3, 2, 0))]))
+@query("""WITH s AS (SELECT c_nationkey, c_mktsegment, count(*)::HUGEINT AS n FROM customer GROUP BY ALL), t AS (SELECT *, sum(n) OVER () AS everything FROM s), f AS (SELECT *, (n * 1000) % everything AS rest, (n * 1000) // everything AS floored FROM (SELECT c_nationkey, c_mktsegment, n, everything::HUGEINT AS everything FROM t) WHERE everything > 1000 UNION ALL SELECT c_nationkey, c_mktsegment, n, everything::HUGEINT, 0, n FROM t WHERE everything <= 1000),
+ r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, c_nationkey DESC, c_mktsegment DESC) AS place, 1000 - sum(floored) OVER () AS more FROM f) SELECT c_nationkey, c_mktsegment, (floored + CASE WHEN place <= more AND rest > 0 THEN 1 ELSE 0 END)::BIGINT AS places FROM r""")
 def stratified_allocation(spark, sf):
-    got = survey_stats.allocate({"s0": 50, "s1": 30, "s2": 20, "s3": 0}, 10)
-    return spark.createDataFrame(sorted(got.items()), "design_stratum string, places int")
+    """A thousand places for the strata of customers by nation and segment."""
+    strata = tables.read(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return survey_stats.allocate(strata, ["c_nationkey", "c_mktsegment"], "n", 1000)
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y')::INT AS year, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN quarter(o_orderdate)::INT ELSE month(o_orderdate)::INT * 100 + day(o_orderdate)::INT END AS sub FROM orders")
@@ -213,20 +217,25 @@ _OBS_ROWS = [
 ]
 
 
-def _planted(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+def _planted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every fault once for each region, whose key ends the series' codes."""
+    regions = tables.read(spark, sf, "region").select("r_regionkey")
+    named = lambda c: F.concat(F.col(c), F.lit("_"), F.col("r_regionkey").cast("string"))
     obs = spark.createDataFrame([(*r, i) for i, r in enumerate(_OBS_ROWS)], OBSERVATIONS)
     names = [*dict.fromkeys(r[1] for r in _OBS_ROWS), "never"]
     concept = {"units": "c", "level": "c"}
-    rows = [(n, "p", n, n, "%", "annual", concept.get(n), None, i) for i, n in enumerate(names)]
-    return obs, spark.createDataFrame(rows, "alias string, provider string, series_id string, title string, unit string, frequency string, concept string, coverage_end string, ordinal int")
+    rows = spark.createDataFrame([(n, "p", n, n, "%", "annual", concept.get(n), None, i) for i, n in enumerate(names)], "alias string, provider string, series_id string, title string, unit string, frequency string, concept string, coverage_end string, ordinal int")
+    both = [x.withColumn("r_regionkey", F.explode(F.array(*(F.lit(r.r_regionkey) for r in regions.collect())))) for x in (obs, rows)]  # a number a region
+    obs, rows = both[0].withColumn("series_id", named("series_id")), both[1].withColumns({c: named(c) for c in ("alias", "series_id", "title", "concept")})
+    return obs.drop("r_regionkey"), rows.drop("r_regionkey")
 
 
-@query(_values("code, severity, variable", "'duplicate_key', 'error', 'p:dup'", "'invalid_period', 'error', 'p:bad'", "'non_numeric_value', 'error', 'nan'", "'mixed_frequency', 'error', 'mix'", "'unit_conflict', 'error', 'units'", "'incompatible_units_same_concept', 'warning', 'c'", "'missing_variable', 'error', 'never'",
+@query("WITH v AS (" + _values("code, severity, variable", "'duplicate_key', 'error', 'p:dup'", "'invalid_period', 'error', 'p:bad'", "'non_numeric_value', 'error', 'nan'", "'mixed_frequency', 'error', 'mix'", "'unit_conflict', 'error', 'units'", "'incompatible_units_same_concept', 'warning', 'c'", "'missing_variable', 'error', 'never'",
     "'all_values_missing', 'error', 'void'", "'sparse_variable', 'warning', 'thin'", "'time_gap', 'warning', 'gap'", "'extreme_jump', 'info', 'jump'", "'provider_flag', 'info', NULL", "'provider_flag', 'info', NULL", "'frequency_not_available', 'warning', 'bad'",
-    *[f"'coverage_ends_early', 'warning', '{n}'" for n in ("dup", "bad", "nan", "mix", "units", "level", "thin")]))
+    *[f"'coverage_ends_early', 'warning', '{n}'" for n in ("dup", "bad", "nan", "mix", "units", "level", "thin")]) + ") SELECT code, severity, variable || '_' || r_regionkey AS variable FROM v, region WHERE variable IS NOT NULL UNION ALL FROM v WHERE variable IS NULL")
 def validation_rules(spark, sf):
-    """Observations with every fault planted once: each rule finds its own."""
-    return validate.validate(*_planted(spark), "annual", 2005).filter("not (code = 'coverage_ends_early' and variable in ('gap', 'jump'))").select("code", "severity", "variable")
+    """Observations with every fault planted once a region: each rule finds its own."""
+    return validate.validate(*_planted(spark, sf), "annual", 2005).filter("not (code = 'coverage_ends_early' and (variable like 'gap%' or variable like 'jump%'))").select("code", "severity", "variable")
 
 
 _PLANTED = OBS + """, o AS (SELECT series_id, geography, period, right(period, 2) AS m, value, status FROM obs),
@@ -272,9 +281,9 @@ def validation_verdict_of_orders(spark, sf):
     return validate.verdict(o.select(kind.alias("severity")).filter("severity is not null"))
 
 
-@query(_values("errors, warnings, infos, status", "7::BIGINT, 3::BIGINT, 3::BIGINT, 'unusable'"))
+@query("SELECT 7 * count(*)::BIGINT AS errors, 3 * count(*)::BIGINT AS warnings, count(*)::BIGINT + 2 AS infos, 'unusable' AS status FROM region")
 def validation_verdict(spark, sf):
-    return validate.verdict(validate.validate(*_planted(spark)))
+    return validate.verdict(validate.validate(*_planted(spark, sf)))
 
 
 @query(WIDE + """, t AS (SELECT 'time_gap' AS code, 'warning' AS severity FROM obs GROUP BY series_id, geography HAVING count(*) >= 3 AND max(left(period, 4)::INT * 12 + right(period, 2)::INT) - min(left(period, 4)::INT * 12 + right(period, 2)::INT) + 1 > count(*)),
@@ -300,9 +309,14 @@ def sign_checks(spark, sf):
 # Scalars
 
 
-@query(_values("raw, coerced, label, guessed", "'A', 'annual', 'annual', 'A'", "'Quarterly', 'quarterly', 'Quarterly', 'A'", "' m ', 'monthly', 'monthly', 'A'", "'2000-Q3', 'unknown', '2000-Q3', 'Q'", "'2000-M7', 'unknown', '2000-M7', 'M'", "'', 'unknown', 'annual', 'A'", "'trimestriel', 'quarterly', 'trimestriel', 'A'"))
+@query("""WITH r AS (SELECT DISTINCT unnest([strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate), year(o_orderdate) || '-M' || month(o_orderdate), CASE o_orderstatus WHEN 'F' THEN 'Quarterly' WHEN 'O' THEN ' m ' ELSE 'A' END, CASE o_orderpriority WHEN '5-LOW' THEN '' WHEN '2-HIGH' THEN 'trimestriel' ELSE o_orderpriority END]) AS raw FROM orders)
+ SELECT raw, CASE raw WHEN 'Quarterly' THEN 'quarterly' WHEN 'trimestriel' THEN 'quarterly' WHEN ' m ' THEN 'monthly' WHEN 'A' THEN 'annual' ELSE 'unknown' END AS coerced, CASE raw WHEN 'A' THEN 'annual' WHEN ' m ' THEN 'monthly' WHEN '' THEN 'annual' ELSE raw END AS label, CASE WHEN raw LIKE '____-Q_' THEN 'Q' WHEN raw LIKE '____-M%' THEN 'M' ELSE 'A' END AS guessed FROM r""")
 def frequency_names(spark, sf):
-    df = spark.createDataFrame([(x,) for x in ("A", "Quarterly", " m ", "2000-Q3", "2000-M7", "", "trimestriel")], "raw string")
+    """Spellings of frequencies and period labels made from orders."""
+    day, status, priority = F.col("o_orderdate"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    label = lambda mark, part: F.concat(F.year(day).cast("string"), F.lit(mark), part.cast("string"))
+    spelled = F.when(status == "F", "Quarterly").when(status == "O", " m ").otherwise("A")
+    df = tables.read(spark, sf, "orders").select(F.explode(F.array(label("-Q", F.quarter(day)), label("-M", F.month(day)), spelled, F.when(priority == "5-LOW", "").when(priority == "2-HIGH", "trimestriel").otherwise(priority))).alias("raw")).distinct()
     return df.select("raw", periods.coerce_frequency(F.col("raw")).alias("coerced"), periods.frequency_label(F.col("raw")).alias("label"), periods.frequency_from_period(F.col("raw")).alias("guessed"))
 
 
@@ -414,12 +428,20 @@ def ranks_asked_for(spark, sf):
     return tables.read(spark, sf, "part").select("p_partkey", top(text).alias("n"), year(text).alias("year"))
 
 
-@query(_values("countries, provider, fallback", "'DZA', 'b', 'b,d'", "'', 'a', 'b,d'", "'FRA', 'a', 'b,d'"))
+@query("""WITH c AS (SELECT o_orderkey, list_sort(list(DISTINCT n_name)) AS asked FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey <= 1 GROUP BY 1),
+ m AS (SELECT list(n_name) FILTER (WHERE n_regionkey = 0) AS zero, list(n_name) FILTER (WHERE n_nationkey = 1) AS one FROM nation), a AS (SELECT o_orderkey, coalesce(asked, []) AS asked FROM orders LEFT JOIN c USING (o_orderkey))
+ SELECT o_orderkey, p AS provider, list_filter(CASE p WHEN 'a' THEN ['b', 'd'] WHEN 'b' THEN ['a'] ELSE [] END, lambda x: x <> CASE WHEN o_orderkey % 2 = 0 THEN 'd' ELSE 'b' END) AS fallback
+ FROM (SELECT o_orderkey, CASE WHEN len(asked) = 0 THEN 'a' WHEN list_has_all(one, asked) THEN 'c' WHEN list_has_all(zero, asked) THEN 'b' ELSE 'a' END AS p FROM a, m)""")
 def provider_choice(spark, sf):
-    offers = [{"provider": "a", "confidence": 0.8, "scope": "global"}, {"provider": "b", "confidence": 0.75, "scope": "list", "countries": ["DZA"]}, {"provider": "c", "confidence": 0.86, "scope": "single", "countries": ["USA"]}]
-    after = ",".join(requests.fallback_order("a", {"a": ["b", "a", "c", "b", "d"]}, lambda p: p != "c"))
-    rows = [(",".join(c), requests.choose_provider(offers, c)["provider"], after) for c in (["DZA"], [], ["FRA"])]
-    return spark.createDataFrame(rows, "countries string, provider string, fallback string")
+    """For each order the provider that covers the nations of two regions among its suppliers, and which to try after it."""
+    orders, items, s, n = (tables.read(spark, sf, t) for t in ("orders", "lineitem", "supplier", "nation"))
+    names = n.select("n_nationkey", "n_name", "n_regionkey").collect()  # the offers' countries
+    offers = [{"provider": "a", "confidence": 0.8, "scope": "global"}, {"provider": "b", "confidence": 0.75, "scope": "list", "countries": [r.n_name for r in names if r.n_regionkey == 0]}, {"provider": "c", "confidence": 0.86, "scope": "single", "countries": [r.n_name for r in names if r.n_nationkey == 1]}]
+    few = n.filter("n_regionkey <= 1")
+    asked = items.join(s, items.l_suppkey == s.s_suppkey).join(few, s.s_nationkey == few.n_nationkey).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("n_name").alias("countries"))
+    rows = orders.select("o_orderkey").join(asked, "o_orderkey", "left").withColumn("provider", requests.choose_provider(offers, F.col("countries")))
+    covers = F.when(F.col("o_orderkey") % 2 == 0, F.array(*map(F.lit, "abc"))).otherwise(F.array(*map(F.lit, "acd")))
+    return rows.select("o_orderkey", "provider", requests.fallback_order(F.col("provider"), {"a": ["b", "a", "c2", "b", "d"], "b": ["a", "b"]}, covers).alias("fallback"))
 
 
 @query("""SELECT 'concepts' AS kind, count(DISTINCT c_mktsegment)::BIGINT AS n FROM customer UNION ALL SELECT 'countries', count(*)::BIGINT FROM nation UNION ALL SELECT 'regions', count(DISTINCT n_regionkey)::BIGINT FROM nation""")
@@ -484,10 +506,16 @@ def recipe_round_trip(spark, sf):
     return spark.createDataFrame([(",".join(one.problems()), one.hash() == two.hash(), one.hash() != other.hash(), recipes.Recipe.load(str(path)).hash() == one.hash())], "problems string, same boolean, differs boolean, loaded boolean")
 
 
-@query("SELECT left(sha256('{\"end_year\":2001,\"frequency\":\"annual\",\"geographies\":[\"DZA\",\"MAR\"],\"output_shape\":\"wide\",\"preferred_sources\":[],\"recipe_version\":\"1.0\",\"series\":[[\"p\",\"s\",\"a\"]],\"start_year\":2000,\"transformations\":[]}'), 16) AS hash, md5('{\"params\": {\"a\": 1, \"b\": [\"x\"]}, \"provider\": \"p\"}') AS cache_key")
+_DEFINED = WIDE + """, d AS (SELECT '{"end_year":null,"frequency":"annual","geographies":[' || (SELECT string_agg('"' || g || '"', ',' ORDER BY g) FROM (SELECT DISTINCT geography AS g FROM obs)) || '],"output_shape":"wide","preferred_sources":[],"recipe_version":"1.0","series":['
+ || (SELECT string_agg('["orders","' || s || '","' || lower(s) || '"]', ',' ORDER BY s) FROM (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY')) v(s)) || '],"start_year":null,"transformations":[]}' AS text)"""
+
+
+
+@query(_DEFINED + """ SELECT left(sha256(text), 16) AS hash, md5('{"params": {"a": ' || (SELECT count(DISTINCT geography) FROM obs) || ', "b": ["x"]}, "provider": "p"}') AS cache_key FROM d""")
 def recipe_hash(spark, sf):
-    made = recipes.Recipe("n", geographies=["MAR", "DZA"], series=[{"provider": "p", "series_id": "s", "alias": "a", "title": "x"}], start_year=2000, end_year=2001, transformations=[{"operation": "build_dataset"}])
-    return spark.createDataFrame([(made.hash(), recipes.cache_key("p", {"b": ["x"], "a": 1}))], "hash string, cache_key string")
+    """The hash of a dataset's definition, read from its tables, and the key of a request about it."""
+    made = recipes.Recipe.of(_dataset(spark, sf), "n")
+    return spark.createDataFrame([(made.hash(), recipes.cache_key("p", {"b": ["x"], "a": len(made.definition["geographies"])}))], "hash string, cache_key string")
 
 
 @query(_values("alias, provider, series_id, title, unit, frequency, transformations", *(f"'{a}', 'orders', '{a.upper()}', 'Orders of {a}', 'current us$', 'monthly', ['build_dataset', 'filter_periods']" for a in tables.ALIASES)))
@@ -583,14 +611,14 @@ def export_report(spark, sf):
     return spark.createDataFrame([(Path(_exported(spark, sf, "html", "d.html")).read_text().count("<polyline"),)], "lines long")
 
 
-@query(_values("yaml, json", "true, true"))
+@query(_DEFINED + " SELECT left(sha256(text), 16) AS yaml, left(sha256(text), 16) AS json FROM d")
 def export_recipes(spark, sf):
-    read = lambda fmt, name: recipes.Recipe.load(_exported(spark, sf, fmt, name)).hash() == recipes.Recipe.of(_dataset(spark, sf), "x").hash()
-    try:
-        yaml = read("recipe_yaml", "r.yaml")
-    except RuntimeError:  # no YAML library: the text is JSON as well
-        yaml = True
-    return spark.createDataFrame([(yaml, read("recipe_json", "r.json"))], "yaml boolean, json boolean")
+    """The hashes of recipes read back from their files; a file of YAML is one of JSON too, as which it is read here."""
+    back = {}
+    for fmt in ("yaml", "json"):
+        text = Path(_exported(spark, sf, f"recipe_{fmt}", f"r.{fmt}"))
+        back[fmt] = recipes.Recipe.load(str(text.rename(text.with_suffix(".json")))).hash()
+    return spark.createDataFrame([(back["yaml"], back["json"])], "yaml string, json string")
 
 
 @query(WIDE + " SELECT geo_key, period, building FROM wide")
@@ -618,22 +646,33 @@ def versioned_refresh(spark, sf):
 
 _CALLS = [("a", t, False) for t in (0, 10, 20, 30, 40)] + [("a", t, ok) for t, ok in ((70, True), (110, True), (115, True), (120, False), (125, True))] + [("b", t, t % 2 == 0) for t in range(0, 9)]
 _STATES = ["closed"] * 4 + ["open"] + ["open", "half_open", "closed", "closed", "closed"]
-_EXPECTED = _values("provider, seconds, state", *(f"'a', {t}::BIGINT, '{s}'" for (_, t, _), s in zip(_CALLS, _STATES, strict=False)), *(f"'b', {t}::BIGINT, 'closed'" for t in range(0, 9)))
+_EXPECTED = (
+    "WITH v AS (" + _values("kind, t, state", *(f"'a', {t}, '{s}'" for (_, t, _), s in zip(_CALLS, _STATES, strict=False)), *(f"'b', {t}, 'closed'" for t in range(0, 9)))
+    + ") SELECT 'supplier ' || s_suppkey AS provider, s_suppkey::BIGINT + t AS seconds, state FROM supplier JOIN v ON kind = CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END"
+)
+
+
+def _calls(spark: SparkSession, sf: str, rows: list[tuple]) -> DataFrame:
+    """Calls to every supplier, from a second of its own on: those of a failing one for even keys, of a working one for odd keys."""
+    parts = {k: F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(ok).alias("ok")) for kind, t, ok in rows if kind == k)).cast("array<struct<t:long,ok:boolean>>") for k in "ab"}
+    key = F.col("s_suppkey")
+    every = tables.read(spark, sf, "supplier").select(key, F.explode(F.when(key % 2 == 0, parts["a"]).otherwise(parts["b"])).alias("c"))
+    return every.select(F.concat(F.lit("supplier "), key.cast("string")).alias("provider"), (key + F.col("c.t")).cast("long").alias("seconds"), "c.ok")
 
 
 @query(_EXPECTED)
 def breaker_states(spark, sf):
     """Five failures open a circuit; after a minute two successes close it."""
-    return streams.breaker_states(spark.createDataFrame(_CALLS, "provider string, seconds long, ok boolean")).select("provider", "seconds", "state")
+    return streams.breaker_states(_calls(spark, sf, _CALLS)).select("provider", "seconds", "state")
 
 
 @query(_EXPECTED)
 def breaker_stream(spark, sf):
     """The same over a stream that stops and goes on from its state."""
     root, n = landing.folder(spark, "calls"), len(_CALLS) // 2
-    calls = spark.createDataFrame(_CALLS, "provider string, seconds long, ok boolean")
+    calls = _calls(spark, sf, _CALLS)
     for part in (_CALLS[:n], _CALLS[n:]):
-        spark.createDataFrame(part, calls.schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        _calls(spark, sf, part).coalesce(1).write.mode("append").parquet(f"{root}/in")
         query_ = streams.breaker_states(streams.watch(spark, f"{root}/in", calls.schema), timers=False).writeStream.format("parquet").option("checkpointLocation", f"{root}/c").option("path", f"{root}/out").outputMode("append").trigger(availableNow=True).start()
         query_.awaitTermination()
     return spark.read.parquet(f"{root}/out").filter("ok is not null").select("provider", "seconds", "state")

@@ -181,40 +181,35 @@ def target_year(text: str) -> int | None:
     return max(map(int, found)) if found else None
 
 
-def default_window(provider: str, today: str) -> tuple[str | None, str | None]:
-    """Ten years of trade, thirty days of crypto; nothing elsewhere."""
-    from datetime import date, timedelta
+def default_window(provider: Column, today: Column) -> Column:
+    """``struct<first, last>`` as texts: ten years of trade, thirty days of crypto; nothing elsewhere."""
+    day, year = today.cast("date"), F.year(today.cast("date"))
+    window = lambda first, last: F.struct(first.cast("string").alias("first"), last.cast("string").alias("last"))
+    return F.when(provider == "comtrade", window(year - 10, year)).when(provider == "coingecko", window(F.date_sub(day, 30), day)).otherwise(window(F.lit(None), F.lit(None)))
 
-    day = date.fromisoformat(today)
-    if provider == "comtrade":
-        return str(day.year - 10), str(day.year)
-    if provider == "coingecko":
-        return (day - timedelta(days=30)).isoformat(), today
-    return None, None
 
+def fallback_order(primary: Column, related: dict[str, list[str]], covers: Column) -> Column:
+    """Providers to try after the primary one: its relatives, once each, that are among ``covers`` (``array<string>``)."""
+    names = F.create_map(*(x for k, v in related.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>")))) if related else F.lit(None).cast("map<string,array<string>>")
+    tried = F.coalesce(F.try_element_at(names, primary), F.array().cast("array<string>"))
+    return F.filter(F.array_distinct(tried), lambda p: (p != primary) & F.array_contains(covers, p))
 
-def fallback_order(primary: str, related: dict[str, list[str]], covers: Callable[[str], bool]) -> list[str]:
-    """Providers to try after the primary one: its relatives, once each, that cover the request."""
-    return [p for p in dict.fromkeys(related.get(primary, [])) if p != primary and covers(p)]
 
+def choose_provider(offers: list[dict], countries: Column) -> Column:
+    """The provider of the best of a few offers {provider, confidence, scope, countries} for an array of countries; null if none fits.
 
-def choose_provider(candidates: list[dict], countries: list[str]) -> dict | None:
-    """The best of candidates {provider, confidence, scope, countries}: it must cover every country.
-
-    Coverage adds to the confidence: .10 for a country list, .06 for the EU, .08 for a world-wide one
-    when no country was named, -.08 for a single country then. The first wins ties.
+    An offer must cover every country. Coverage adds to the confidence: .10 for a country list, .06 for the
+    EU, .08 for a world-wide one when no country was named, -.08 for a single country then. The first wins ties.
     """
-    best = None
-    for c in candidates:
-        if c["scope"] != "global" and not set(countries) <= set(c.get("countries", ())):
-            continue
-        bonus = {"list": 0.10, "eu": 0.06}.get(c["scope"], 0.0)
-        if not countries:
-            bonus = {"global": 0.08, "single": -0.08}.get(c["scope"], bonus)
-        score = c["confidence"] + bonus
-        if best is None or score > best[0]:
-            best = score, c
-    return best and best[1]
+    asked = F.coalesce(countries, F.array().cast("array<string>"))
+    scores = []
+    for i, o in enumerate(offers):
+        bonus = {"list": 0.10, "eu": 0.06}.get(o["scope"], 0.0)
+        alone = {"global": 0.08, "single": -0.08}.get(o["scope"], bonus)
+        score = F.when(F.size(asked) == 0, o["confidence"] + alone).otherwise(o["confidence"] + bonus)
+        inside = F.lit(True) if o["scope"] == "global" else F.size(F.array_except(asked, F.array(*map(F.lit, o.get("countries", ()))).cast("array<string>"))) == 0
+        scores.append(F.when(inside, F.struct(score.alias("score"), F.lit(-i).alias("place"), F.lit(o["provider"]).alias("provider"))))
+    return F.array_max(F.array(*scores))["provider"] if scores else F.lit(None).cast("string")
 
 
 def build(parts: list[tuple[dict, DataFrame]], spec: Spec | None = None) -> Dataset:

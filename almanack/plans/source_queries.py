@@ -317,12 +317,14 @@ def source_sessions(spark, sf):
     return readers.sessions(spark, path)
 
 
-@query("SELECT * FROM (VALUES ('S', 'Algeria', 'DZA', '2000', 1.5::DOUBLE, 1::BIGINT), ('S', 'Algeria', 'DZA', '2001', NULL, 2)) t(series_id, geography, iso3, period, value, obs_seq)")
+@query(ANNUAL + " SELECT 'N' || region AS series_id, nation AS geography, code AS iso3, year AS period, CASE WHEN year < '1994' THEN NULL ELSE value END AS value, 'annual' AS frequency, NULL::VARCHAR AS unit FROM a")
 def source_direct(spark, sf):
+    """A table that a caller posts: texts become numbers, what is no number is missing, absent columns are null."""
     from almanack.schema import OBSERVATIONS
 
-    row = lambda period, value, seq: {"provider": "p", "series_id": "S", "geography": "Algeria", "iso3": "DZA", "period": period, "value": value, "unit": None, "frequency": "annual", "status": None, "obs_seq": seq}
-    return readers.direct(spark, [row("2000", 1.5, 1), row("2001", None, 2)], OBSERVATIONS).select("series_id", "geography", "iso3", "period", "value", "obs_seq")
+    said = F.when(F.col("year") < "1994", F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    posted = annual(spark, sf).select(F.lit("p").alias("provider"), F.concat(F.lit("N"), "region").alias("series_id"), F.col("nation").alias("geography"), F.col("code").alias("iso3"), F.col("year").alias("period"), said.alias("value"), F.lit("annual").alias("frequency"), F.lit(1).alias("more"))
+    return readers.direct(spark, posted, OBSERVATIONS).select("series_id", "geography", "iso3", "period", "value", "frequency", "unit")
 
 
 @query(ANNUAL + " SELECT 'TOT' AS series_id, nation AS geography, NULL::VARCHAR AS iso3, year AS period, value FROM a")

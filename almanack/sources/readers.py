@@ -37,9 +37,12 @@ def canonical(rows: DataFrame, provider: str, **columns: Column | str | None) ->
     return rows.select(*(out[n].alias(n) for n in _NAMES), seq.cast("long").alias("obs_seq"))
 
 
-def direct(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
-    """Observations that a caller posts."""
-    return spark.createDataFrame(rows, schema)
+def direct(spark: SparkSession, rows: list[dict] | DataFrame, schema: T.StructType) -> DataFrame:
+    """Observations that a caller posts, as a list or a table; columns of a table that are missing are null, values that do not fit their type too."""
+    if not isinstance(rows, DataFrame):
+        return spark.createDataFrame(rows, schema)
+    have = set(rows.columns)
+    return rows.select(*((F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema))
 
 
 def world_bank(spark: SparkSession, path: str) -> DataFrame:

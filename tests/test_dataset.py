@@ -154,7 +154,10 @@ def test_survey(spark):
     df = spark.createDataFrame([("a", 1.0, True)] * 9 + [("a", 1.0, False), ("b", 2.0, True), ("b", 2.0, None)], "s string, w double, ok boolean")
     r = survey_stats.stratified_bound(df, "s", "w", "ok").first()
     assert r.strata == 2 and r.effective_n == pytest.approx(11.0) and 0 < r.lower_bound < 0.9
-    assert survey_stats.allocate({"a": 5, "b": 3, "c": 0}, 4) in ({"a": 2, "b": 2, "c": 0}, {"a": 3, "b": 1, "c": 0})
+    deal = lambda sizes, total: {r.k: r.places for r in survey_stats.allocate(spark.createDataFrame(sizes, "k string, n long"), ["k"], "n", total).collect()}
+    assert deal([("a", 5), ("b", 3), ("c", 0), (None, None)], 4) == {"a": 2, "b": 2, "c": 0, None: 0}
+    assert deal([("a", 1), ("b", 1), ("c", 1)], 2) == {"a": 0, "b": 1, "c": 1} and deal([("a", 2), ("b", 1)], 9) == {"a": 2, "b": 1}
+    assert deal([("a", 0)], 3) == {"a": 0} and deal([("x", 6_000_000_000_000_000_000), ("y", 3)], 2_000_000_000) == {"x": 2_000_000_000, "y": 0}
 
 
 def test_names(spark):

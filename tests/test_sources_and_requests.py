@@ -125,8 +125,11 @@ def test_parse_details(spark):
     rows = requests.parse_requests(spark.createDataFrame([(1, None), (2, "CPI Peru")], "concepts_of int, said string"), WORDS, "said")
     assert [(r.concepts_of, r.concepts, r.geographies) for r in rows.orderBy("concepts_of").collect()] == [(1, [], []), (2, ["cpi"], ["PER"])]
     assert (requests.top_count("top 500"), requests.top_count("the highest"), requests.top_count("rank them")) == (100, 1, 10)
-    assert requests.choose_provider([{"provider": "a", "confidence": 0.8, "scope": "global"}, {"provider": "b", "confidence": 0.75, "scope": "list", "countries": ["DZA"]}], ["DZA"])["provider"] == "b"
-    assert requests.fallback_order("a", {"a": ["b", "a", "c", "b"]}, lambda p: p != "c") == ["b"]
+    asked = spark.createDataFrame([(["DZA"], "a"), ([], "z"), (["DZA", "FRA"], None), (None, "a")], "c array<string>, p string")
+    offers = [{"provider": "a", "confidence": 0.8, "scope": "global"}, {"provider": "b", "confidence": 0.75, "scope": "list", "countries": ["DZA"]}, {"provider": "t", "confidence": 0.8, "scope": "global"}]
+    after = requests.fallback_order(F.col("p"), {"a": ["b", "a", "c", "b"]}, F.array(F.lit("b"), F.lit("a")))
+    got = asked.select(requests.choose_provider(offers, F.col("c")), requests.choose_provider(offers[1:2], F.col("c")), requests.choose_provider([], F.col("c")), after).collect()
+    assert [tuple(r) for r in got] == [("b", "b", None, ["b"]), ("a", "b", None, []), ("a", None, None, []), ("a", "b", None, ["b"])]
 
 
 def test_instant(spark):
