@@ -197,10 +197,10 @@ def concept_by_synonym(spark, sf):
     return search.concept_by_synonym(tables.read(spark, sf, "part").select(F.col("p_name").alias("term")), concepts)
 
 
-@query("""WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS noun FROM part) SELECT 'total export of ' || noun AS term, 'exports_of_' || noun AS key, 0.98::DOUBLE AS confidence FROM w UNION ALL SELECT 'import ' || noun || ' share', 'imports_of_' || noun, 0.96 FROM w""")
+@query("""WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[-1] || 's' AS noun FROM part) SELECT 'total export of ' || noun AS term, 'exports_of_' || noun AS key, 0.98::DOUBLE AS confidence FROM w UNION ALL SELECT 'import ' || noun || ' share', 'imports_of_' || noun, 0.96 FROM w""")
 def concept_direction(spark, sf):
     """Imports and exports of each kind of part: the direction decides between concepts that share all other words."""
-    nouns = tables.read(spark, sf, "part").select(F.substring_index("p_name", " ", -1).alias("noun")).distinct()
+    nouns = tables.read(spark, sf, "part").select(F.concat(F.substring_index("p_name", " ", -1), F.lit("s")).alias("noun")).distinct()
     text = lambda *x: F.concat(*(F.col("noun") if y is None else F.lit(y) for y in x))
     concept = lambda place, key, name: F.struct(key.alias("key"), F.lit(place).alias("place"), F.array(name).alias("synonyms"))
     concepts = nouns.select(F.explode(F.array(concept(0, text("exports_of_", None), text("export of ", None)), concept(1, text("imports_of_", None), text(None, " import value")), concept(2, F.col("noun"), text(None, " of all kinds")))).alias("c")).select("c.*")
