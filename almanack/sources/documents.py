@@ -12,7 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.sources.landing import folder, keep
@@ -95,24 +95,26 @@ def csv_parts(df: DataFrame) -> str:
     return path
 
 
-def numbered_parts(lines: DataFrame, size: int, name: str = "lines") -> tuple[str, int]:
-    """A column of texts in parts for pages of ``size`` rows, in the table's order: the folder of ``page=0``, ``page=1``..., and how many.
+def numbered_parts(df: DataFrame, line: Callable[[DataFrame], Column], size: int, name: str = "lines") -> tuple[str, int]:
+    """A table as texts in parts for pages of ``size`` rows, in its order: the folder of ``page=0``, ``page=1``..., and how many.
 
-    Rows are counted by partition; what the partitions before hold is added to the place inside each.
+    The table is computed and stored once; ``line`` makes the column of texts for the stored one. Rows are counted
+    by partition; what the partitions before hold is added to the place inside each.
     """
-    (column,) = lines.columns
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    stored = keep(lines.select(F.col(column).alias("value"), F.spark_partition_id().alias("_part"), inside.alias("_at")), name)
+    plain = [F.col(f"`{c}`").cast("string").alias(c) if kind == "void" else F.col(f"`{c}`") for c, kind in df.dtypes]
+    stored = keep(df.select(*plain, F.spark_partition_id().alias("_part"), inside.alias("_at")), name)
     sizes = {r["_part"]: r["n"] for r in stored.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number a partition
     before, total = [], 0
     for part in sorted(sizes):
         before.append((part, total))
         total += sizes[part]
-    path = folder(lines.sparkSession, name)
+    path = folder(df.sparkSession, name)
     if total:
-        starts = lines.sparkSession.createDataFrame(before, "_part int, _before long")
+        starts = df.sparkSession.createDataFrame(before, "_part int, _before long")
         at = F.col("_before") + F.col("_at")
-        paged = stored.join(starts, "_part").select(F.floor(at / size).cast("int").alias("page"), at.alias("_at"), "value")
+        lines = stored.select("_part", "_at", line(stored.drop("_part", "_at")).alias("value"))
+        paged = lines.join(starts, "_part").select(F.floor(at / size).cast("int").alias("page"), at.alias("_at"), "value")
         paged.orderBy("page", "_at").select("page", "value").write.partitionBy("page").text(path)
     return path, -(-total // size)
 

@@ -14,7 +14,7 @@ from almanack.operators import describe, missing
 from almanack.operators.dataset import Dataset
 from almanack.operators.validate import validate, verdict
 from almanack.plans.recipes import Recipe
-from almanack.sources import sinks
+from almanack.sources import landing, sinks
 
 FORMATS = ("csv", "json", "parquet", "feather", "dta", "xlsx", "html", "bundle", "recipe_yaml", "recipe_json")
 
@@ -36,10 +36,11 @@ def sources(d: Dataset) -> DataFrame:
 
 def sheets(d: Dataset) -> dict[str, DataFrame]:
     """The eight sheets of a workbook."""
-    cells = missing.cells(d.wide(), list(d.aliases))
+    wide = landing.keep(d.wide(), "wide")  # three sheets are made of it, two of the issues
+    cells = missing.cells(wide, list(d.aliases))
     spark = d.variables.sparkSession
     steps = spark.createDataFrame([(t["operation"], json.dumps(t["parameters"], default=str)) for t in d.transformations], "operation string, parameters string")
-    issues = validate(d.observations, d.variables)
+    issues = landing.keep(validate(d.observations, d.variables), "issues")
     flat = issues.select("code", "severity", "variable", F.to_json("details").alias("details"))
     return {
         "Data": _data(d),
@@ -48,7 +49,7 @@ def sheets(d: Dataset) -> dict[str, DataFrame]:
         "Transformations": steps,
         "Validation": flat,
         "Missingness": missing.by(cells, "alias"),
-        "Statistics": describe.describe_wide(d.wide(), list(d.aliases)),
+        "Statistics": describe.describe_wide(wide, list(d.aliases)),
         "Verdict": verdict(issues),
     }
 

@@ -87,7 +87,7 @@ def to_excel(sheets: dict[str, DataFrame], path: str) -> None:
     """One sheet for each table, and further ones for what a sheet does not hold; executors write the rows."""
     pages = []
     for name, df in sheets.items():
-        folder, n = documents.numbered_parts(workbook.rows(df), workbook.SHEET_ROWS, "sheet")
+        folder, n = documents.numbered_parts(df, workbook.row, workbook.SHEET_ROWS, "sheet")
         pages += [(name, workbook.header(df.columns), f"{folder}/page={i}") for i in range(max(n, 1))]
     spark = next(iter(sheets.values())).sparkSession
     with documents.Document(spark, path, zipped=True) as out:

@@ -46,8 +46,8 @@ def header(columns: list[str]) -> str:
     return f"<row>{''.join(cells)}</row>"
 
 
-def rows(df: DataFrame) -> DataFrame:
-    """Each row's XML: a column's numbers formatted by the largest of them, gaps highlighted, infinities and NaN as texts."""
+def row(df: DataFrame) -> Column:
+    """The XML of each row of a stored table: a column's numbers formatted by the largest of them, gaps highlighted, infinities and NaN as texts."""
     col = lambda c: F.col(f"`{c}`")
     numbers = [c for c, kind in df.dtypes if _is_number(kind)]
     most = df.agg(*(F.max(F.abs(finite(col(c).cast("double")))).alias(f"m{i}") for i, c in enumerate(numbers))).first() if numbers else ()  # a number a column
@@ -61,7 +61,7 @@ def rows(df: DataFrame) -> DataFrame:
         else:
             value = _inline(F.to_json(col(c)) if kind.startswith(("array", "map", "struct")) else col(c).cast("string"))
         cells.append(F.when(col(c).isNull(), f'<c s="{BLANK}"/>').otherwise(value))
-    return df.select(F.concat(F.lit("<row>"), *cells, F.lit("</row>")).alias("row"))
+    return F.concat(F.lit("<row>"), *cells, F.lit("</row>"))
 
 
 OPEN, CLOSE = f"<worksheet {_NS}><sheetData>", "</sheetData></worksheet>"

@@ -87,11 +87,12 @@ def test_workbook_pages(table, no_collect, tmp_path, monkeypatch):
 
 
 def test_numbered_parts_keep_the_order(spark):
-    lines = spark.range(0, 1_000, 1, 7).select(F.col("id").cast("string").alias("x")).filter("x % 3 = 0")
-    path, pages = documents.numbered_parts(lines, 100)
+    table = spark.range(0, 1_000, 1, 7).select(F.col("id").alias("x.y"), F.lit(None).alias("nothing")).filter("`x.y` % 3 = 0")
+    line = lambda df: F.concat(F.col("`x.y`").cast("string"), F.coalesce("nothing", F.lit("")))
+    path, pages = documents.numbered_parts(table, line, 100)
     got = [[int(r) for p in documents.part_files(spark, f"{path}/page={i}") for r in open(p.removeprefix("file:"))] for i in range(pages)]  # noqa: SIM115
     assert [len(g) for g in got] == [100, 100, 100, 34] and sum(got, []) == list(range(0, 1_000, 3))
-    assert documents.numbered_parts(lines.limit(0), 100)[1] == 0
+    assert documents.numbered_parts(table.limit(0), line, 100)[1] == 0
 
 
 def test_circuits_go_on_over_batches(spark):
