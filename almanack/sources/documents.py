@@ -81,11 +81,16 @@ class Document:
             source.close()
 
 
+def text_parts(lines: DataFrame) -> str:
+    """A folder with a table's one column of texts, a line each."""
+    path = folder(lines.sparkSession, "text")
+    lines.write.text(path)
+    return path
+
+
 def json_parts(df: DataFrame) -> str:
     """A folder with one JSON object a row, each after a comma. Dates are ISO texts; NaN and infinities are texts."""
-    path = folder(df.sparkSession, "json")
-    df.select(F.concat(F.lit(","), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}))).write.text(path)
-    return path
+    return text_parts(df.select(F.concat(F.lit(","), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}))))
 
 
 def csv_parts(df: DataFrame) -> str:

@@ -1,4 +1,4 @@
-"""A dataset's exports by name: tables by executors, documents for people on the driver."""
+"""A dataset's exports by name."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanack.functions.periods import period_key
 from almanack.functions.text import citation
 from almanack.operators import describe, missing
 from almanack.operators.dataset import Dataset
@@ -56,13 +55,8 @@ def sheets(d: Dataset) -> dict[str, DataFrame]:
 
 def report(d: Dataset, path: str) -> None:
     """Charts by geography and variable, broken at gaps, and coverage."""
-    wide = d.wide().orderBy("geo_key", period_key(F.col("period")), "period")
-    series: dict[str, list[tuple[str, float | None]]] = {}
-    for r in sinks._whole(wide, 200_000).to_pylist():
-        for a in d.aliases:
-            series.setdefault(f"{a}, {r['geo_key']}", []).append((r["period"], r[a]))
-    cover = [(r["alias"], r["period"], r["coverage_pct"]) for r in sinks._whole(missing.coverage_matrix(missing.cells(d.wide(), list(d.aliases))).orderBy("alias", "period"), 100_000).to_pylist()]
-    sinks.html_report(", ".join(d.aliases), series, cover, path)
+    cells = missing.cells(landing.keep(d.wide(), "wide"), list(d.aliases))
+    sinks.html_report(", ".join(d.aliases), cells, missing.coverage_matrix(cells), list(d.aliases), path)
 
 
 def export(d: Dataset, fmt: str, path: str, name: str = "dataset") -> None:

@@ -1,17 +1,17 @@
-"""Exports. Tables, and the parts of large documents, are written by executors; Stata files and reports by the driver, within stated bounds."""
+"""Exports. Tables, and the parts of large documents, are written by executors; Stata files by the driver, within a stated bound."""
 
 from __future__ import annotations
 
 import csv
 import io
 import json
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanack.functions.values import guard_formula
+from almanack.functions.periods import period_key
+from almanack.functions.values import finite, guard_formula
 from almanack.sources import documents, workbook
 
 #: Rows that a document made by the driver may hold; a larger table is an error there, and goes to another format.
@@ -103,27 +103,44 @@ def to_excel(sheets: dict[str, DataFrame], path: str) -> None:
             out.entry(f"xl/worksheets/sheet{i}.xml", sheet)
 
 
-def html_report(title: str, series: dict[str, list[tuple[str, float | None]]], coverage: list[tuple[str, str, float]], path: str) -> None:
-    """A page without outside parts: one line chart for each series, broken at gaps, and a coverage table."""
-    esc = lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    out = [f"<!doctype html><meta charset=utf-8><title>{esc(title)}</title><h1>{esc(title)}</h1>"]
-    for name, data in series.items():
-        have = [v for _, v in data if v is not None]
-        if not have:
-            continue
-        low, high = min(have), max(have)
-        at = lambda i, v: f"{10 + 580 * i / max(1, len(data) - 1):.1f},{110 - 100 * (v - low) / ((high - low) or 1):.1f}"  # noqa: B023, E731
-        lines, run = [], []
-        for i, (_, v) in enumerate([*data, ("", None)]):
-            if v is None:
-                lines += [f'<polyline fill="none" stroke="currentColor" points="{" ".join(run)}"/>'] if run else []
-                run = []
-            else:
-                run.append(at(i, v))
-        out.append(f"<h2>{esc(name)}</h2><svg viewBox='0 0 600 120'>{''.join(lines)}</svg>")
-    rows = "".join(f"<tr><td>{esc(a)}<td>{esc(p)}<td style='background:rgba(0,128,0,{c / 100:.2f})'>{c:.1f}" for a, p, c in coverage)
-    out.append(f"<h2>Coverage</h2><table>{rows}</table>")
-    Path(path).write_text("".join(out), encoding="utf-8")
+def _escaped(text: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def charts(cells: DataFrame, order: list[str]) -> DataFrame:
+    """(place, geo_key, html): a line chart for each series with numbers; a gap begins a new line.
+
+    ``cells(alias, geo_key, period, value)``; NaN and infinities are gaps too. One task orders a series' periods.
+    """
+    one = Window.partitionBy("alias", "geo_key")
+    time = one.orderBy(period_key(F.col("period")), "period")
+    rows = cells.withColumn("value", finite(F.col("value")))
+    placed = rows.select("alias", "geo_key", "value", (F.row_number().over(time) - 1).alias("i"), F.count(F.lit(1)).over(one).alias("n"), F.min("value").over(one).alias("low"), F.max("value").over(one).alias("high"), F.count_if(F.col("value").isNull()).over(time).alias("gaps"))
+    span = F.coalesce(F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(1.0))
+    point = F.format_string("%.1f,%.1f", 10 + 580 * F.col("i") / F.greatest(F.lit(1), F.col("n") - 1), 110 - 100 * (F.col("value") - F.col("low")) / span)
+    joined = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c.alias("t")))), lambda x: x["t"])
+    lines = placed.filter("value is not null").groupBy("alias", "geo_key", "gaps").agg(F.min("i").alias("i"), F.array_join(joined(point), " ").alias("points"))
+    drawn = F.concat(F.lit('<polyline fill="none" stroke="currentColor" points="'), F.col("points"), F.lit('"/>'))
+    series = lines.groupBy("alias", "geo_key").agg(F.array_join(joined(drawn), "").alias("lines"))
+    html = F.concat(F.lit("<h2>"), _escaped(F.concat_ws(", ", "alias", "geo_key")), F.lit('</h2><svg viewBox="0 0 600 120">'), F.col("lines"), F.lit("</svg>"))
+    return series.select(F.array_position(F.array(*map(F.lit, order)), F.col("alias")).alias("place"), "geo_key", html.alias("html"))
+
+
+def html_report(title: str, cells: DataFrame, coverage: DataFrame, order: list[str], path: str) -> None:
+    """A page of any size without outside parts: charts by geography and variable, and ``coverage(alias, period, coverage_pct)`` as a table."""
+    share = F.coalesce("coverage_pct", F.lit(0.0))
+    row = F.concat(F.lit("<tr><td>"), _escaped(F.coalesce("alias", F.lit(""))), F.lit("<td>"), _escaped(F.coalesce("period", F.lit(""))), F.format_string("<td style='background:rgba(0,128,0,%.2f)'>%.1f", share / 100, share))
+    drawn = documents.text_parts(charts(cells, order).orderBy("geo_key", "place").select("html"))
+    table = documents.text_parts(coverage.orderBy("alias", period_key(F.col("period")), "period").select(row))
+    name = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    with documents.Document(cells.sparkSession, path) as out:
+        out.text(f"<!doctype html><meta charset=utf-8><title>{name}</title><h1>{name}</h1>")
+        out.parts(drawn)
+        out.text("<h2>Coverage</h2><table>")
+        out.parts(table)
+        out.text("</table>")
 
 
 def bundle(path: str, data: DataFrame, recipe_text: str, sources: list[dict], transformations: list[dict], readme: str) -> None:

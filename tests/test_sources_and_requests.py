@@ -83,9 +83,12 @@ def test_sinks(spark, tmp_path):
     names = sinks.stata_names(["2000 value", "x" * 40, "x" * 41, "ok"])
     assert names["2000 value"] == "v_2000_value" and len(set(names.values())) == 4 and max(map(len, names.values())) <= 32
     sinks.to_stata(df.na.fill("").na.fill(0.0), str(tmp_path / "x.dta"), {"v": "l" * 100})
-    sinks.html_report("T<", {"v": [("2000", 1.0), ("2001", None), ("2002", 2.0), ("2003", 3.0)]}, [("v", "2000", 100.0)], str(tmp_path / "x.html"))
+    cells = spark.createDataFrame([("v", "A<", "2000", 1.0), ("v", "A<", "2001", None), ("v", "A<", "2002", 2.0), ("v", "A<", "2003", 3.0), ("v", "B", "2000", None), ("u", "A<", "2000", float("nan")), ("u", "A<", "2001", 5.0)], "alias string, geo_key string, period string, value double")
+    sinks.html_report("T<", cells, spark.createDataFrame([("v", "2000", 100.0), ("v", None, None)], "alias string, period string, coverage_pct double"), ["v", "u"], str(tmp_path / "x.html"))
     page = (tmp_path / "x.html").read_text()
-    assert page.count("<polyline") == 2 and "T&lt;" in page
+    assert 'points="10.0,110.0"/><polyline' in page and 'points="396.7,60.0 590.0,10.0"' in page and 'points="590.0,110.0"' in page
+    assert page.index("v, A&lt;") < page.index("u, A&lt;") and "v, B" not in page and ">100.0" in page and page.endswith("</table>")
+    assert page.count("<polyline") == 3 and "T&lt;" in page
     sinks.bundle(str(tmp_path / "b.zip"), df, "recipe", [], [], "readme")
     assert "SHA256SUMS" in zipfile.ZipFile(tmp_path / "b.zip").namelist()
 
