@@ -64,3 +64,25 @@ def test_damage_far_into_a_source_is_its_own(spark):
     good = spark.range(3).select(F.lit("y").alias("v"))
     parts, log = readers.fetch_all([("bad", lambda: bad), ("good", lambda: good)], apart=True)
     assert parts[0] is None and parts[1].count() == 3 and [x["ok"] for x in log] == [False, True] and "broken" in log[0]["error"]
+
+
+def test_classes_hold_every_link(spark):
+    rng = random.Random(2)
+    titles = [rng.choices("abcdefgh", k=rng.choice([4, 5, 6, 13, 14])) for _ in range(120)]
+    titles += [t[::-1] for t in titles[:30]] + [[*t[1:], "new"] for t in titles[:40]] + [[*t, "more"] for t in titles[40:80]]
+    df = spark.createDataFrame(enumerate(titles), "id int, tokens array<string>")
+    rows = search.permuted_classes(df).collect()
+    of = {r.right: r.left for r in rows if r.kind == "member"}
+    near = [(r.left, r.right) for r in rows if r.kind == "near"]
+    assert len(near) == len(set(near)) and all(a < b and of[a] == a and of[b] == b for a, b in near)
+    linked = {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or (min(of[a], of[b]), max(of[a], of[b])) in set(near))}
+    assert linked == {(r.left, r.right) for r in search.permuted_titles(df, df).collect() if r.left < r.right}
+
+
+def test_many_copies_of_many_near_titles_stay_classes(spark):
+    """Copies and shared words neither pair with each other nor meet in a join: 150,000 titles of 25,000 classes."""
+    word = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(30)).cast("string")
+    few = spark.range(25_000).select("id", F.concat(F.array(*map(F.lit, "series of in size".split())), F.array(*(F.concat(F.lit(f"w{n}-"), word(n)) for n in range(1, 5)))).alias("t"))
+    df = few.crossJoin(spark.range(6).withColumnRenamed("id", "copy")).select((F.col("id") + 25_000 * F.col("copy")).alias("id"), F.when(F.col("copy") % 2 == 1, F.reverse("t")).otherwise(F.col("t")).alias("tokens"))
+    rows = search.permuted_classes(df).groupBy("kind").count().collect()
+    assert [tuple(r) for r in rows] == [("member", 150_000)]
