@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from almanack import schema
 from almanack.functions import periods, text, values
 from almanack.operators import dataset, derive, describe, diff, missing, outliers, survey_stats, validate
+from almanack.plans import queries
 
 
 def obs(spark, rows):
@@ -167,3 +169,13 @@ def test_names(spark):
     assert got == ["inflation_consumer_prices_pct", "evolution_du_pib_reel", "series", "share_in_percent_pct", "ne_exp_gnfs_idx"]
     names = spark.createDataFrame([(i, a) for i, a in enumerate(["a", "b", "a", "a"])], "ordinal int, alias string")
     assert [r.alias for r in dataset.alias_numbers(names).orderBy("ordinal").collect()] == ["a", "b", "a_2", "a_3"]
+
+
+def test_no_gaps_are_a_count_of_nothing(spark, tmp_path):
+    """SQL's aggregate without groups has a row where nothing is found."""
+    spark.createDataFrame([(1, "X")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1, 1, "BUILDING")], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = spark.range(1, 6).selectExpr("id o_orderkey", "1L o_custkey", "'F' o_orderstatus", "10D o_totalprice", "add_months(date'2000-01-01', cast(id as int)) o_orderdate")
+    for rows, issues in ((orders, 0), (orders.filter("o_orderkey <> 3"), 1)):
+        rows.write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+        assert [tuple(r) for r in queries.validation_time_gaps(spark, str(tmp_path)).collect()] == [("time_gap", "warning", issues)]
