@@ -64,7 +64,9 @@ def axis_buckets(orders: Column) -> Column:
     sorted_ = F.array_sort(F.array_distinct(F.filter(orders, lambda x: x.isNotNull())))
     start = F.struct(F.array().cast("array<int>").alias("firsts"))
     firsts = F.aggregate(sorted_, start, lambda s, x: F.struct(F.when((F.size(s["firsts"]) == 0) | (x - F.element_at(s["firsts"], -1) > 2), F.array_append(s["firsts"], x)).otherwise(s["firsts"]).alias("firsts")))["firsts"]
-    return F.transform(orders, lambda x: F.when(x.isNotNull(), F.size(F.filter(firsts, lambda f: f <= x)) - 1))
+    # The inner variable holds the bounds, so that they are found once an array and not once an element.
+    each = F.transform(F.array(firsts), lambda fs: F.transform(orders, lambda x: F.when(x.isNotNull(), F.size(F.filter(fs, lambda f: f <= x)) - 1)))
+    return F.element_at(each, 1)
 
 
 def json_field(text: Column, path: str, kind: str = "string") -> Column:

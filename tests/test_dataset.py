@@ -179,3 +179,13 @@ def test_no_gaps_are_a_count_of_nothing(spark, tmp_path):
     for rows, issues in ((orders, 0), (orders.filter("o_orderkey <> 3"), 1)):
         rows.write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
         assert [tuple(r) for r in queries.validation_time_gaps(spark, str(tmp_path)).collect()] == [("time_gap", "warning", issues)]
+
+
+def test_axes_of_a_long_array(spark):
+    """Bounds are found once an array: 200,000 orders take a moment."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 11 > 0, (F.col("id") % 11 - 5).cast("int")).alias("o"))
+    begin = time.monotonic()
+    axes = rows.agg(F.collect_list(F.struct("o")).alias("k")).select(F.explode(F.arrays_zip(F.col("k.o").alias("o"), values.axis_buckets(F.col("k.o")).alias("a"))).alias("z")).select("z.*").distinct().collect()
+    assert {r.o: r.a for r in axes} == {None: None, -4: 0, -3: 0, -2: 0, -1: 1, 0: 1, 1: 1, 2: 2, 3: 2, 4: 2, 5: 3} and time.monotonic() - begin < 30
+    empty = spark.createDataFrame([([],), (None,), ([None],)], "o array<int>").select(values.axis_buckets(F.col("o"))).collect()
+    assert [r[0] for r in empty] == [[], None, [None]]
