@@ -310,8 +310,8 @@ def lower(counts: DataFrame, config: CtwConfig) -> DataFrame:
 
     def rows(keys: np.ndarray, n: np.ndarray | None, under: np.ndarray | None, total: np.ndarray | None) -> pa.RecordBatch:
         size = len(keys)
-        lists = pa.nulls(size, pa.list_(pa.float64())) if under is None else pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * size + 1, 8, dtype=np.int32)), pa.array(under.ravel()))
-        return pa.record_batch([pa.array(keys.view(np.int64)), pa.nulls(size, pa.int64()) if n is None else pa.array(n), lists, pa.nulls(size, pa.float64()) if total is None else pa.array(total)], names=["key", "n", "under", "total"])
+        lists = pa.nulls(size, pa.list_(pa.float64())) if under is None else pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * size + 1, 8, dtype=np.int32)), pa.array(under.ravel(), pa.float64()))
+        return pa.record_batch([pa.array(keys.view(np.int64)), pa.nulls(size, pa.int64()) if n is None else pa.array(n), lists, pa.nulls(size, pa.float64()) if total is None else pa.array(total, pa.float64())], names=["key", "n", "under", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, key, c, n in chunks(batches):
@@ -418,7 +418,7 @@ def _scorer(pairs, hot, config: CtwConfig):
                 miss = np.flatnonzero(~hit)
                 part = batch.slice(lo, rows)
                 rare, rare_pairs = lists(row[miss], word[miss], rows), lists(np.searchsorted(first, lost, "right") - 1, entry[lost], rows)
-                yield pa.record_batch([pa.array(uid + np.arange(rows)), part.column(0), part.column(1), pa.array(np.bincount(row, minlength=rows)), pa.array(np.diff(offs)), pa.array(known), pa.array(sums), pa.array(score), rare, rare_pairs], names=["uid", "id", "held", "n_tokens", "n_bytes", "known", "logs", "score", "rare", "rare_pairs"])
+                yield pa.record_batch([pa.array(uid + np.arange(rows)), part.column(0), part.column(1), pa.array(np.bincount(row, minlength=rows)), pa.array(np.diff(offs)), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()), rare, rare_pairs], names=["uid", "id", "held", "n_tokens", "n_bytes", "known", "logs", "score", "rare", "rare_pairs"])
                 uid += rows
 
     return run

@@ -175,6 +175,19 @@ def test_pruned_trees_stay_proper(spark):
     assert (10 ** model.log10(every)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_contexts_of_held_out_texts_alone(spark):
+    """A part of the trees with nothing learned has the columns' types too, whatever comes before it."""
+    rows = [(ctw.GRAM, (k << 8) | 97, int(k % 2), 1) for k in range(1, 40)]
+    counts = spark.createDataFrame(rows, "kind int, key long, c long, n long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        found = ctw.lower(counts, ctw.CtwConfig(depth=3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(r.key for r in found if r.under) == sorted(r[1] for r in rows) and sum(r.total is not None for r in found) >= 8
+
+
 @pytest.mark.parametrize("depth", [2, 3, 5])
 def test_scores_keep_every_context(spark, depth):
     rng = random.Random(8)
