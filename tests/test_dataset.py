@@ -189,3 +189,11 @@ def test_axes_of_a_long_array(spark):
     assert {r.o: r.a for r in axes} == {None: None, -4: 0, -3: 0, -2: 0, -1: 1, 0: 1, 1: 1, 2: 2, 3: 2, 4: 2, 5: 3} and time.monotonic() - begin < 30
     empty = spark.createDataFrame([([],), (None,), ([None],)], "o array<int>").select(values.axis_buckets(F.col("o"))).collect()
     assert [r[0] for r in empty] == [[], None, [None]]
+
+
+def test_folding_takes_words_once_for_each_language(spark):
+    rows = [("The Évolution of prices",), ("les taux du chômage",), ("the of",), ("",), (None,), ("bus glass boxes ﬁx",)]
+    df = spark.createDataFrame(rows, "t string").select(text.fold(F.col("t"), text.detect_language(F.col("t"))).alias("f"), text.detect_language(F.col("t")).alias("l"))
+    assert [tuple(r) for r in df.collect()] == [("evolution price", "fr"), ("taux chomage", "fr"), ("the of", "en"), ("", "en"), (None, "en"), ("bus glass boxe fix", "en")]
+    one = spark.createDataFrame(rows, "t string").select(text.fold(F.col("t"), F.lit("x")).alias("f"))
+    assert one._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") <= 4
