@@ -686,8 +686,8 @@ def conversation_stream(spark, sf):
     turns = tables.read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     kept = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out")
     for part in ("turn % 2 = 0", "turn % 2 = 1"):
-        turns.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        out = streams.fold_stream(streams.watch(spark, f"{root}/in", turns.schema, files=1)).writeStream.outputMode("update").option("checkpointLocation", f"{root}/c")
+        turns.filter(part).write.mode("append").parquet(f"{root}/in")
+        out = streams.fold_stream(streams.watch(spark, f"{root}/in", turns.schema)).writeStream.outputMode("update").option("checkpointLocation", f"{root}/c")
         out.foreachBatch(kept).trigger(availableNow=True).start().awaitTermination()
     w = Window.partitionBy("conv_id").orderBy(F.desc("batch"))
     return spark.read.parquet(f"{root}/out").withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "batch")

@@ -65,3 +65,10 @@ def test_a_quiet_conversation_starts_anew(spark, tmp_path):
     finally:
         query.stop()
     assert seen == [(1, 1), (1, 1)]
+
+
+def test_a_fold_without_timers_needs_no_python(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, None, "ab"), (1, 1, "user", None)], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(str(tmp_path / "t"))
+    plan = lambda **how: streams.fold_stream(streams.watch(spark, str(tmp_path / "t"), turns.schema), **how)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan() and "TransformWithState" in plan(quiet_ms=5)
