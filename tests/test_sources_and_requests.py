@@ -233,6 +233,15 @@ def test_languages(spark):
     assert one("GDP", "ar") == "gdp" and one(None, "en") is None
 
 
+def test_folded_texts_go_to_python(spark):
+    """A Python function of a folded text is computed, in every language, with marks and without."""
+    shout = F.pandas_udf(lambda t: t.str.upper(), "string")
+    rows = [("the prices of Peru", "en"), ("les prix d'été", "fr"), ("the of", "en"), ("la de", "fr"), ("", "en"), (None, "fr"), ("الأسعار GDP", "ar")]
+    df = spark.createDataFrame(rows, "t string, g string").withColumn("p", text.fold(F.col("t"), F.col("g")))
+    got = [r[0] for r in df.select(shout("p")).collect()]
+    assert got == ["PRICE PERU", "PRIX ETE", "THE OF", "LA DE", "", None, "اسعار GDP GDP"]
+
+
 def test_mentions_of_a_large_vocabulary(spark):
     """Longest names win, and the time of a text does not follow the number of names."""
     small = {"a b": "AB", "b": "B", "b c d": "BCD", "d": "D", "e": "E"}
