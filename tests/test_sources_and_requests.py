@@ -135,6 +135,15 @@ def test_parse_details(spark):
     assert [tuple(r) for r in got] == [("b", "b", None, ["b"]), ("a", "b", None, []), ("a", None, None, []), ("a", "b", None, ["b"])]
 
 
+def test_parse_a_table_of_requests(spark, tmp_path):
+    """Requests in three languages, one of them null, read from files and dealt over tasks."""
+    said = ["Consumer prices of Peru, 1999-2004", "les prix au Pérou depuis 2011", "أسعار في بيرو 2001 2003", "jobless share of Finland in the past 7 years", None]
+    spark.createDataFrame([(i, said[i % 5]) for i in range(50)], "i int, said string").repartition(3).write.parquet(str(tmp_path / "said"))
+    rows = requests.parse_requests(spark.read.parquet(str(tmp_path / "said")), WORDS, "said", current_year=2025).collect()
+    expected = [("en", ["cpi"], ["PER"], 1999, 2004), ("fr", ["cpi"], ["PER"], 2011, None), ("ar", ["cpi"], ["PER"], 2001, 2003), ("en", ["jobs"], ["FIN"], 2019, 2025), ("en", [], [], None, None)]
+    assert len(rows) == 50 and all((r.language, r.concepts, r.geographies, r.start, r.end) == expected[r.i % 5] for r in rows)
+
+
 def test_instant(spark):
     def fetch(series, spec):
         if series["series_id"] == "bad":
