@@ -25,8 +25,8 @@ def land(payloads: DataFrame, payload: str | Column, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """A table written to a folder that the cluster shares and read back: its plan starts anew, and lost executors cost a re-read."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

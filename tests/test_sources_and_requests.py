@@ -216,6 +216,20 @@ def test_stored_index_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,trade)]" in plan
 
 
+def test_stored_index_reads_whole_texts(spark, tmp_path):
+    """Words far inside a description and items far down a list are found, as in a search of the whole catalogue."""
+    many = [f"w{i}" for i in range(40)]
+    rows = [(1, "C1", "gross last", " ".join(many * 5 + ["last", "far", "far"]), "p", "last", many), (2, "C2", "other", "far " * 130 + "end", "p", "t", many[:13] + ["end"]), (3, "C3", None, None, None, None, None)]
+    catalog = spark.createDataFrame(rows, "id long, code string, title string, description string, provider string, topic string, aliases array<string>")
+    search.build_index(catalog, str(tmp_path / "index"))
+    index = search.open_index(spark, str(tmp_path / "index"))
+    found = {q: [r.id for r in search.search(index, q, 5).collect()] for q in ("far", "last", "end", "w39", "w12")}
+    assert {q: sorted(ids) for q, ids in found.items()} == {"far": [1, 2], "last": [1], "end": [2], "w39": [1], "w12": [1, 2]}
+    for query in (*found, "far end last", "gross w39", "nothing"):
+        assert search.search(index, query, 5).collect() == search.search(catalog, query, 5, limits=search.WHOLE).collect()
+    assert {(r.key, r.weight) for r in search._hits(index, ["last"]).collect()} == {(1, 8.0 + 2.0 + 1.0)}
+
+
 def test_search_tie_and_fusion(spark):
     a = spark.createDataFrame([(i, float(-i)) for i in range(30)], "id long, score double")
     b = spark.createDataFrame([(29, 1.0), (0, 0.5)], "id long, score double")
